@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates
+from . import components, history, near_duplicates, seen
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": near_duplicates.p1_found}
+    return {
+        "p1_found": near_duplicates.p1_found,
+        "p3_found": history.p3_found,
+        "p4_found": components.p4_found,
+        "p5_found": seen.p5_found,
+        "p5_error_rate": seen.p5_error_rate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": components.P4_FOUND_SQL,
+        "p5_found": seen.P5_FOUND_SQL,
+    }
