@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import components, history, near_duplicates, seen
+from . import components, history, near_duplicates, packing, seen, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": components.p4_found,
         "p5_found": seen.p5_found,
         "p5_error_rate": seen.p5_error_rate,
+        "p8_ids": tokens.p8_ids,
+        "p9_packed": packing.p9_packed,
+        "p9_fill": packing.p9_fill,
     }
 
 
