@@ -36,9 +36,9 @@ def recall_of(rows: int, global_bands: int, block_bands: int, global_distance: i
 
 
 def plan_bands(n: int, target_recall: float = 0.99, global_distance: int = 4, block_distance: int = 9, n_blocks: int = 16) -> BandPlan:
-    """Rows so that a band value is expected once in about four records (at least 16 rows), then the fewest bands that
-    reach the target for the hardest profile: every block at ``block_distance``, none closer."""
-    rows = max(16, min(40, math.ceil(math.log2(max(n, 2))) - 2))
+    """Rows so that about eight of ``n`` records share a band value by chance (at least 16 rows), then the fewest bands
+    that reach the target for the hardest profile: every block at ``block_distance``, none closer."""
+    rows = max(16, min(40, math.ceil(math.log2(max(n, 2))) - 3))
     bands = 1
     while (r := recall_of(rows, 2 * bands, bands, global_distance, block_distance, n_blocks)) < target_recall:
         bands += 1
@@ -80,34 +80,41 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 PAIRS = pa.schema([("hot", pa.bool_()), ("key", pa.int64()), ("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _pairs_of(key: np.ndarray, kind: np.ndarray, ident: np.ndarray, value: np.ndarray, limit: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within runs of equal keys whose values differ in at most ``limit`` bits; runs over ``most`` rows come out as hot rows."""
+def _pairs_of(key: np.ndarray, kind: np.ndarray, ident: np.ndarray, value: np.ndarray, limit: int, most: int, crowd: float) -> Iterator[pa.RecordBatch]:
+    """Pairs within runs of equal keys whose values differ in at most ``limit`` bits. Runs over ``most`` rows, and those
+    with more than ``crowd`` such pairs a row, come out as rows."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
+    hot = sizes > most
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= most)]):
-        at = starts[sizes == size]
+    for size in np.unique(sizes[(sizes > 1) & ~hot]):
+        at = np.flatnonzero(sizes == size)
         step = max(1, 2_000_000 // (size * size))
         i, j = np.triu_indices(size, 1)
         for k in range(0, len(at), step):
-            left, right = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+            runs = at[k : k + step]
+            left, right = starts[runs, None] + i, starts[runs, None] + j
             ok = (distance(value[left], value[right]) <= limit) & (kind[left] == kind[right]) & (ident[left] != ident[right])
+            if (size - 1) / 2 > crowd and (full := ok.sum(axis=1) > crowd * size).any():
+                hot[runs[full]] = True
+                ok[full] = False
             out.append((left[ok], right[ok]))
-    if out:
+    if out and sum(len(x[0]) for x in out):
         left, right = (np.concatenate(x) for x in zip(*out, strict=True))
-        a, b = np.minimum(ident[left], ident[right]), np.maximum(ident[left], ident[right])
-        got = np.unique(np.rec.fromarrays([kind[left], a, b]))
-        n = len(got)
-        yield pa.record_batch([pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64)), pa.array(np.ascontiguousarray(got["f0"])), pa.array(np.ascontiguousarray(got["f1"])), pa.array(np.ascontiguousarray(got["f2"]))], schema=PAIRS)
-    hot = np.repeat(sizes > most, sizes)
-    if hot.any():
-        yield pa.record_batch([pa.array(np.ones(int(hot.sum()), bool)), pa.array(key[hot]), pa.array(kind[hot]), pa.array(ident[hot]), pa.array(value[hot])], schema=PAIRS)
+        got = pa.table({"kind": kind[left], "a": np.minimum(ident[left], ident[right]), "b": np.maximum(ident[left], ident[right])}).group_by(["kind", "a", "b"]).aggregate([])
+        for piece in got.select(["kind", "a", "b"]).combine_chunks().to_batches():
+            n = piece.num_rows
+            yield pa.record_batch([pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64)), *piece.columns], schema=PAIRS)
+    rows = np.repeat(hot, sizes)
+    if rows.any():
+        yield pa.record_batch([pa.array(np.ones(int(rows.sum()), bool)), pa.array(key[rows]), pa.array(kind[rows]), pa.array(ident[rows]), pa.array(value[rows])], schema=PAIRS)
 
 
-def band_pairs(bands: DataFrame, partitions: int, limit: int, most: int = 4096) -> DataFrame:
-    """Candidate pairs (kind, a < b) of rows ``(key, kind, id, value)`` that share a key and whose values differ in at
-    most ``limit`` bits. One shuffle on the key; each partition is streamed in key order, so that no group is held whole:
-    the rows of a key with more than ``most`` of them come out with ``hot`` true, as (key, kind, id, value), for a finer pass."""
+def band_pairs(bands: DataFrame, partitions: int, limit: int, most: int = 4096, crowd: float = float("inf")) -> DataFrame:
+    """Candidate pairs (kind, a < b) of rows ``(key, kind, id, value)`` that share a key and a kind and whose values differ
+    in at most ``limit`` bits. One shuffle on the key; each partition is streamed in key order, so that no group is held
+    whole: the rows of a key with more than ``most`` of them, or with more than ``crowd`` candidates for each row, come out
+    with ``hot`` true, as (key, kind, id, value), for a finer pass."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = [np.empty(0, t) for t in (np.int64, np.int8, np.int64, np.int64)]
@@ -123,7 +130,7 @@ def band_pairs(bands: DataFrame, partitions: int, limit: int, most: int = 4096)
                     done = [c[~head] for c in done]
                 spilled = None
             if len(done[0]):
-                yield from _pairs_of(*done, limit, most)
+                yield from _pairs_of(*done, limit, most, crowd)
             if len(rest[0]) > most or (spilled is not None and len(rest[0]) and rest[0][0] == spilled):
                 spilled = int(rest[0][0])
                 yield _hot(rest, np.ones(len(rest[0]), bool))
@@ -132,7 +139,7 @@ def band_pairs(bands: DataFrame, partitions: int, limit: int, most: int = 4096)
             if spilled is not None and rest[0][0] == spilled:
                 yield _hot(rest, np.ones(len(rest[0]), bool))
             else:
-                yield from _pairs_of(*rest, limit, most)
+                yield from _pairs_of(*rest, limit, most, crowd)
 
     def _hot(cols: list[np.ndarray], rows: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(np.ones(int(rows.sum()), bool)), *(pa.array(c[rows]) for c in cols)], schema=PAIRS)
