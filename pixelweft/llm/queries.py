@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import components, history, near_duplicates, packing, seen, tokens
+from . import components, history, near_duplicates, packing, seen, subjects, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": tokens.p8_ids,
         "p9_packed": packing.p9_packed,
         "p9_fill": packing.p9_fill,
+        "p10_found": subjects.p10_found,
+        "p10_shares": subjects.p10_shares,
     }
 
 
