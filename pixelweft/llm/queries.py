@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import components, history, near_duplicates, packing, seen, subjects, tokens
+from . import components, history, near_duplicates, neighbours, packing, seen, subjects, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": components.p4_found,
         "p5_found": seen.p5_found,
         "p5_error_rate": seen.p5_error_rate,
+        "p6_found": neighbours.p6_found,
         "p8_ids": tokens.p8_ids,
         "p9_packed": packing.p9_packed,
         "p9_fill": packing.p9_fill,
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": components.P4_FOUND_SQL,
         "p5_found": seen.P5_FOUND_SQL,
+        "p6_found": neighbours.P6_FOUND_SQL,
     }
