@@ -32,7 +32,7 @@ class CentroidGraph:
         self.links = np.argsort(-(c @ c.T), axis=1, kind="stable")[:, 1 : degree + 1] if k <= 2048 else self._links_in_blocks(c, degree)
         self.groups = None
         if k > 512:
-            entries = _kmeans(c, int(4 * math.sqrt(k)), 4, seed)
+            entries = kmeans(c, int(4 * math.sqrt(k)), 4, seed)
             home = (c @ entries.T).argmax(axis=1)
             width = int(np.bincount(home, minlength=len(entries)).max())
             self.groups = np.full((len(entries), width), -1)
@@ -71,7 +71,7 @@ class CentroidGraph:
         return met, met.argmax(axis=1)
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """Unit centroids; empty ones are drawn anew."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -111,7 +111,7 @@ def _fit(rows: DataFrame, search: Search) -> dict[int, CentroidGraph]:
         drawn = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))).select("vector").limit(2 * SAMPLE).toArrow()
         if not len(drawn):
             drawn = rows.where(F.col("dim") == dim).select("vector").limit(SAMPLE).toArrow()
-        graphs[dim] = CentroidGraph(_kmeans(vectors.matrix(drawn["vector"])[:SAMPLE], k, 6, dim))
+        graphs[dim] = CentroidGraph(kmeans(vectors.matrix(drawn["vector"])[:SAMPLE], k, 6, dim))
     return graphs
 
 

@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import components, history, near_duplicates, neighbours, packing, seen, subjects, tokens
+from . import clusters, components, history, near_duplicates, neighbours, packing, seen, subjects, subset, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": near_duplicates.p1_found,
+        "p2_subset": subset.p2_subset,
         "p3_found": history.p3_found,
         "p4_found": components.p4_found,
         "p5_found": seen.p5_found,
         "p5_error_rate": seen.p5_error_rate,
         "p6_found": neighbours.p6_found,
+        "p7_found": clusters.p7_found,
+        "p7_clusters": clusters.p7_clusters,
         "p8_ids": tokens.p8_ids,
         "p9_packed": packing.p9_packed,
         "p9_fill": packing.p9_fill,
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": components.P4_FOUND_SQL,
         "p5_found": seen.P5_FOUND_SQL,
         "p6_found": neighbours.P6_FOUND_SQL,
+        "p7_found": clusters.P7_FOUND_SQL,
     }
