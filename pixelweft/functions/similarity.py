@@ -1,8 +1,8 @@
 """Scores of fingerprint pairs as Column expressions.
 
 Scores are 32-bit floats. Spark widens ``float / float`` and ``int * float`` to DOUBLE, so operands and quotients are
-cast back. Block sums are multiples of 1/64 and thus exact; they are added as integers. The 16 block terms are written
-out instead of a higher-order function, so that the expression stays inside generated code.
+cast back. Block sums are multiples of 1/64 and thus exact; they are added as integers. For one algorithm the
+16 block terms are written out instead of a higher-order function, so that the expression stays inside generated code.
 """
 
 from __future__ import annotations
@@ -27,11 +27,14 @@ def hash_similarity(distance: Column) -> Column:
     return F.when(distance >= HASH_BITS, f32(0.0)).otherwise(f32(f32(1.0) - f32(f32(distance) / f32(float(HASH_BITS)))))
 
 
-def _kept(a: Column, b: Column, threshold: int) -> Column:
+def _kept(a: Column, b: Column, threshold: int, unrolled: bool = True) -> Column:
     """Count of the kept block positions times 65536, plus the sum of their 64 - d: one INT, so that both come from one
-    pass over the blocks. A missing or null block is not kept."""
-    ds = (hamming(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(N_BLOCKS))
-    return reduce(add, (F.when(d <= threshold, F.lit(65536 + HASH_BITS) - d).otherwise(0) for d in ds))
+    pass over the blocks. A missing or null block is not kept. ``unrolled``: 16 terms in generated code, which three
+    algorithms at once would push over the size a method may have."""
+    term = lambda d: F.when(d <= threshold, F.lit(65536 + HASH_BITS) - d).otherwise(0)
+    if unrolled:
+        return reduce(add, (term(hamming(F.get(a, F.lit(i)), F.get(b, F.lit(i)))) for i in range(N_BLOCKS)))
+    return F.aggregate(F.zip_with(a, b, hamming), F.lit(0), lambda s, d: s + term(d))
 
 
 def kept_blocks(a: Column, b: Column, threshold: int = DEFAULT_BLOCK_DISTANCE_THRESHOLD) -> Column:
@@ -39,9 +42,9 @@ def kept_blocks(a: Column, b: Column, threshold: int = DEFAULT_BLOCK_DISTANCE_TH
     return F.shiftright(_kept(a, b, threshold), 16)
 
 
-def block_similarity(a: Column, b: Column, threshold: int = DEFAULT_BLOCK_DISTANCE_THRESHOLD) -> Column:
+def block_similarity(a: Column, b: Column, threshold: int = DEFAULT_BLOCK_DISTANCE_THRESHOLD, unrolled: bool = True) -> Column:
     """Mean of 1 - d / 64 over the positions with d <= threshold; the others leave the mean. 0 if none is left."""
-    kept = _kept(a, b, threshold)
+    kept = _kept(a, b, threshold, unrolled)
     exact = f32(f32(kept.bitwiseAND(F.lit(65535))) / f32(float(HASH_BITS)))
     return f32(exact / f32(F.greatest(F.shiftright(kept, 16), F.lit(1))))
 
@@ -53,10 +56,10 @@ def clamp01(x: Column, weights: tuple[float, ...] = ()) -> Column:
     return F.when(F.isnan(x), x).otherwise(F.greatest(f32(0.0), F.least(f32(1.0), x)))
 
 
-def score_only(a: Column, b: Column, threshold: int = DEFAULT_BLOCK_DISTANCE_THRESHOLD, global_weight: float = DEFAULT_GLOBAL_WEIGHT, block_weight: float = DEFAULT_BLOCK_WEIGHT) -> Column:
+def score_only(a: Column, b: Column, threshold: int = DEFAULT_BLOCK_DISTANCE_THRESHOLD, global_weight: float = DEFAULT_GLOBAL_WEIGHT, block_weight: float = DEFAULT_BLOCK_WEIGHT, unrolled: bool = True) -> Column:
     """Weighted global and block similarity of two ``struct<global_hash, block_hashes>``, clamped."""
     g = hash_similarity(hamming(a["global_hash"], b["global_hash"]))
-    return clamp01(f32(global_weight) * g + f32(block_weight) * block_similarity(a["block_hashes"], b["block_hashes"], threshold), (global_weight, block_weight))
+    return clamp01(f32(global_weight) * g + f32(block_weight) * block_similarity(a["block_hashes"], b["block_hashes"], threshold, unrolled), (global_weight, block_weight))
 
 
 def _result(score: Column, exact: Column, distance: Column) -> Column:
@@ -80,7 +83,7 @@ def compare_multi(a: Column, b: Column, config: MultiHashConfig | None = None) -
     before; the distance is the weighted mean of the global distances, truncated, 0 where the weights add up to 0 or less."""
     c = config or MultiHashConfig()
     algorithms = (HashAlgorithm.AHASH, HashAlgorithm.PHASH, HashAlgorithm.DHASH)
-    scores = [f32(c.weight(x)) * score_only(a[x.field], b[x.field], c.block_distance_threshold, c.global_weight, c.block_weight) for x in algorithms]
+    scores = [f32(c.weight(x)) * score_only(a[x.field], b[x.field], c.block_distance_threshold, c.global_weight, c.block_weight, False) for x in algorithms]
     distances = [f32(c.weight(x)) * f32(hamming(a[x.field]["global_hash"], b[x.field]["global_hash"])) for x in algorithms]
     weights = reduce(lambda x, y: f32(x + y), (f32(c.weight(x)) for x in algorithms))
     mean = f32(reduce(add, distances) / weights)

@@ -1,15 +1,568 @@
-"""Registry of the core queries and of their SQL."""
+"""Queries of the core operators, each over whole tables, and the SQL that must give the same rows.
+
+Hashes leave as hex text, because SQL engines differ in unsigned types; 32-bit scores are rounded to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import embedding as E
+from ..functions import formatting, hashing
+from ..functions import similarity as S
+from ..functions.u64 import coarse_key, hamming, hex64
+from ..operators import search
+from ..operators.fingerprint import fingerprint
+from ..schema import N_BLOCKS, HashAlgorithm, MultiHashConfig
+from ..sources import files
+from . import rasters
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _six(x: Column) -> Column:
+    return F.round(x.cast("double"), 6)
+
+
+# ---------------------------------------------------------------- fingerprints of the tables
+
+_WHOLE = "len({0}.block_hashes) = 16 AND {0}.global_hash IS NOT NULL AND len(list_filter({0}.block_hashes, lambda x: x IS NULL)) = 0"
+
+
+def _whole(h: Column) -> Column:
+    return h["global_hash"].isNotNull() & (F.size(h["block_hashes"]) == N_BLOCKS) & F.forall(h["block_hashes"], lambda b: b.isNotNull())
+
+
+def _singles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, fp) of complete rows, once each."""
+    rows = _read(spark, sf_dir, "fingerprints").where(_whole(F.struct("global_hash", "block_hashes")))
+    return rows.dropDuplicates(["id"]).select("id", F.struct("exact", "global_hash", "block_hashes").alias("fp"))
+
+
+def _multis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "multi_fingerprints")
+    for a in HashAlgorithm:
+        rows = rows.where(F.col(a.field).isNotNull() & _whole(F.col(a.field)))
+    return rows.dropDuplicates(["id"]).select("id", "exact", *(a.field for a in HashAlgorithm))
+
+
+def _single_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with the one of the next id."""
+    rows = _singles(spark, sf_dir)
+    return rows.select("id", F.col("fp").alias("a")).join(rows.select((F.col("id") - 1).alias("id"), F.col("fp").alias("b")), "id")
+
+
+def _multi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _multis(spark, sf_dir).select("id", search.multi().alias("fp"))
+    return rows.select("id", F.col("fp").alias("a")).join(rows.select((F.col("id") - 1).alias("id"), F.col("fp").alias("b")), "id")
+
+
+_SINGLES = f"SELECT DISTINCT ON (id) id, exact, global_hash AS g, block_hashes AS b FROM fingerprints t WHERE {_WHOLE.format('t')}"
+_S_PAIRS = f"WITH s AS ({_SINGLES}), p AS (SELECT x.id, x.exact AS xe, x.g AS xg, x.b AS xb, y.exact AS ye, y.g AS yg, y.b AS yb FROM s x JOIN s y ON y.id = x.id + 1)"
+_ALL_THREE = " AND ".join(_WHOLE.format(a.field) for a in HashAlgorithm)
+_MULTIS = f"SELECT DISTINCT ON (id) id, exact, ahash, phash, dhash FROM multi_fingerprints WHERE {_ALL_THREE}"
+_M_PAIRS = f"WITH m AS ({_MULTIS}), p AS (SELECT x.id, x.exact AS xe, y.exact AS ye, " + ", ".join(f"{s}.{a.field}.global_hash AS {s}g{a.field[0]}, {s}.{a.field}.block_hashes AS {s}b{a.field[0]}" for s in "xy" for a in HashAlgorithm) + " FROM m x JOIN m y ON y.id = x.id + 1)"
+
+
+def _sql_hash_sim(d: str) -> str:
+    return f"(1::FLOAT - (({d})::FLOAT / 64::FLOAT)::FLOAT)::FLOAT"
+
+
+def _sql_block_sim(x: str, y: str, threshold: int) -> str:
+    kept = f"list_filter(list_transform(range(1, 17), lambda i: bit_count(xor({x}[i], {y}[i]))), lambda d: d <= {threshold})"
+    total = f"coalesce(list_sum(list_transform({kept}, lambda d: 64 - d)), 0)"
+    return f"CASE WHEN len({kept}) = 0 THEN 0::FLOAT ELSE (({total}::FLOAT / 64::FLOAT)::FLOAT / len({kept})::FLOAT)::FLOAT END"
+
+
+def _sql_score(x: str, y: str, bx: str, by: str, threshold: int = 32, gw: float = 0.4, bw: float = 0.6) -> str:
+    return f"greatest(0::FLOAT, least(1::FLOAT, ({gw}::FLOAT * {_sql_hash_sim(f'bit_count(xor({x}, {y}))')} + {bw}::FLOAT * ({_sql_block_sim(bx, by, threshold)}))::FLOAT))"
+
+
+def _sql_single(threshold: int = 32, gw: float = 0.4, bw: float = 0.6) -> str:
+    same = "coalesce(xe = ye, false)"
+    return f"""{_S_PAIRS} SELECT id, round((CASE WHEN {same} THEN 1::FLOAT ELSE {_sql_score('xg', 'yg', 'xb', 'yb', threshold, gw, bw)} END)::DOUBLE, 6) AS score,
+        {same} AS exact_match, (CASE WHEN {same} THEN 0 ELSE bit_count(xor(xg, yg)) END)::INTEGER AS perceptual_distance FROM p"""
+
+
+def _sql_multi(c: MultiHashConfig) -> str:
+    same = "coalesce(xe = ye, false)"
+    one = [(a.field[0], c.weight(a)) for a in HashAlgorithm]
+    scores = " + ".join(f"({w}::FLOAT * {_sql_score(f'xg{k}', f'yg{k}', f'xb{k}', f'yb{k}', c.block_distance_threshold, c.global_weight, c.block_weight)})::FLOAT" for k, w in one)
+    distances = " + ".join(f"({w}::FLOAT * bit_count(xor(xg{k}, yg{k}))::FLOAT)::FLOAT" for k, w in one)
+    weights = "(" + " + ".join(f"{w}::FLOAT" for _, w in one) + ")"
+    distance = f"CASE WHEN {weights} > 0 THEN trunc((({distances}) / {weights})::FLOAT) ELSE 0 END"
+    return f"""{_M_PAIRS} SELECT id, round((CASE WHEN {same} THEN 1::FLOAT ELSE greatest(0::FLOAT, least(1::FLOAT, {scores})) END)::DOUBLE, 6) AS score,
+        {same} AS exact_match, (CASE WHEN {same} THEN 0 ELSE {distance} END)::INTEGER AS perceptual_distance FROM p"""
+
+
+def _flat(df: DataFrame, similarity: Column) -> DataFrame:
+    out = df.select("id", similarity.alias("s"))
+    return out.select("id", _six(F.col("s.score")).alias("score"), F.col("s.exact_match").alias("exact_match"), F.col("s.perceptual_distance").alias("perceptual_distance"))
+
+
+@_query("hamming", f"{_S_PAIRS} SELECT id, bit_count(xor(xg, yg))::INTEGER AS distance FROM p")
+def _hamming(spark: SparkSession, d: str) -> DataFrame:
+    return _single_pairs(spark, d).select("id", hamming(F.col("a.global_hash"), F.col("b.global_hash")).alias("distance"))
+
+
+@_query("hash_similarity", f"{_S_PAIRS} SELECT id, round({_sql_hash_sim('bit_count(xor(xg, yg))')}::DOUBLE, 6) AS similarity FROM p")
+def _hash_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return _single_pairs(spark, d).select("id", _six(S.hash_similarity(hamming(F.col("a.global_hash"), F.col("b.global_hash")))).alias("similarity"))
+
+
+def _block_query(name: str, threshold: int) -> None:
+    @_query(name, f"{_S_PAIRS} SELECT id, round(({_sql_block_sim('xb', 'yb', threshold)})::DOUBLE, 6) AS similarity FROM p")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _single_pairs(spark, d).select("id", _six(S.block_similarity(F.col("a.block_hashes"), F.col("b.block_hashes"), threshold)).alias("similarity"))
+
+
+for _name, _t in (("block_similarity", 32), ("block_similarity_t28", 28)):
+    _block_query(_name, _t)
+
+
+def _single_query(name: str, **kw: float) -> None:
+    sql = {"threshold": "threshold", "global_weight": "gw", "block_weight": "bw"}
+
+    @_query(name, _sql_single(**{sql[k]: v for k, v in kw.items()}))
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _flat(_single_pairs(spark, d), S.compare_single(F.col("a"), F.col("b"), **kw))
+
+
+_single_query("compare_single")
+_single_query("compare_single_threshold", threshold=28)
+_single_query("compare_single_weights", global_weight=0.7, block_weight=0.3)
+
+
+def _multi_query(name: str, config: MultiHashConfig) -> None:
+    @_query(name, _sql_multi(config))
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _flat(_multi_pairs(spark, d), S.compare_multi(F.col("a"), F.col("b"), config))
+
+
+for _name, _c in {
+    "compare_multi": MultiHashConfig(),
+    "compare_multi_threshold": MultiHashConfig(block_distance_threshold=28),
+    "compare_multi_config": MultiHashConfig(0.2, 0.5, 0.3, 0.5, 0.5, 30),
+    "compare_multi_phash_only": MultiHashConfig(0.0, 1.0, 0.0),
+    "compare_multi_zero_weights": MultiHashConfig(0.0, 0.0, 0.0),
+    "compare_multi_inflated": MultiHashConfig(1.0, 2.0, 1.5),
+}.items():
+    _multi_query(_name, _c)
+
+
+@_query("is_similar", f"SELECT id, score >= 0.52 AS similar FROM ({_sql_multi(MultiHashConfig())})")
+def _is_similar(spark: SparkSession, d: str) -> DataFrame:
+    # rounded like the other scores, so that both engines compare the same number
+    pairs = _flat(_multi_pairs(spark, d), S.compare_multi(F.col("a"), F.col("b")))
+    return pairs.select("id", (F.col("score") >= 0.52).alias("similar"))
+
+
+@_query("similarity_band", f"SELECT CASE WHEN score > 0.8 THEN 'very similar' WHEN score > 0.5 THEN 'somewhat similar' ELSE 'different' END AS band, count(*) AS pairs FROM ({_sql_multi(MultiHashConfig())}) GROUP BY 1")
+def _similarity_band(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _multi_pairs(spark, d).select(S.compare_multi(F.col("a"), F.col("b"))["score"].alias("score"))
+    return pairs.groupBy(S.band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def _coarse_query(bits: int) -> None:
+    whole = f"SELECT DISTINCT ON (id) id, to_hex(global_hash::BIGINT) AS h FROM fingerprints t WHERE {_WHOLE.format('t')}"
+    padded = "lpad(lower(h), 16, '0')"
+    if bits % 4 == 0:
+        key = f"lpad(substr({padded}, 1, {bits // 4}), 16, '0')" if bits else "'0000000000000000'"
+    else:
+        key = f"lpad(lower(to_hex((('0x' || substr({padded}, 1, 1))::BIGINT >> {4 - bits}))), 16, '0')"
+
+    @_query(f"coarse_key_{bits}", f"SELECT id, {key} AS coarse_key FROM ({whole})")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _singles(spark, d).select("id", hex64(coarse_key(F.col("fp.global_hash"), bits)).alias("coarse_key"))
+
+
+for _bits in (0, 1, 8, 16, 64):
+    _coarse_query(_bits)
+
+
+@_query("coarse_bucket_index", f"SELECT substr(lpad(lower(to_hex(phash.global_hash)), 16, '0'), 1, 4) AS coarse_key, count(*) AS members, min(id) AS first_id FROM ({_MULTIS}) GROUP BY 1")
+def _coarse_bucket_index(spark: SparkSession, d: str) -> DataFrame:
+    index = search.bucket_index(_multis(spark, d), "id", HashAlgorithm.PHASH, 16)
+    return index.select(F.substring(hex64("coarse_key"), 13, 4).alias("coarse_key"), "members", "first_id")
+
+
+_NEAR = f"""WITH m AS ({_MULTIS}), k AS (SELECT *, substr(lpad(to_hex(phash.global_hash), 16, '0'), 1, 4) AS k FROM m {{where}}),
+ p AS (SELECT x.id AS id, y.id AS id_b, x.exact AS xe, y.exact AS ye, {", ".join(f"{s}.{a.field}.global_hash AS {s}g{a.field[0]}, {s}.{a.field}.block_hashes AS {s}b{a.field[0]}" for s in "xy" for a in HashAlgorithm)}
+ FROM k x JOIN k y ON x.k = y.k AND x.id < y.id)"""
+
+
+def _sql_near(where: str, score: float) -> str:
+    body = _sql_multi(MultiHashConfig()).partition(" SELECT id, round(")[2]
+    return f"{_NEAR.format(where=where)} SELECT id AS id_a, id_b, score, exact_match, perceptual_distance FROM (SELECT id, id_b, round({body}) WHERE score >= {score}"
+
+
+def _near_query(name: str, where: str, prepare: Callable[[DataFrame], DataFrame], score: float = 0.9) -> None:
+    @_query(name, _sql_near(where, score))
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        pairs = search.near_duplicates_in_buckets(prepare(_multis(spark, d)), "id", score)
+        return pairs.select("id_a", "id_b", _six(F.col("similarity.score")).alias("score"), F.col("similarity.exact_match").alias("exact_match"), F.col("similarity.perceptual_distance").alias("perceptual_distance"))
+
+
+_near_query("coarse_bucket_join", "", lambda df: df)
+_near_query("near_duplicates_singletons", "WHERE exact IN (SELECT exact FROM m GROUP BY exact HAVING count(*) = 1)", lambda df: search.singletons(df.where("exact is not null")))
+_near_query("near_duplicates_representative", "WHERE (exact, id) IN (SELECT (exact, min(id)) FROM m WHERE exact IS NOT NULL GROUP BY exact)", lambda df: search.representatives(df.where("exact is not null"), "id"))
+
+
+@_query("exact_duplicates", "SELECT lower(hex(exact)) AS exact, count(*) AS members, min(id) AS first_id FROM (SELECT DISTINCT id, exact FROM fingerprints WHERE exact IS NOT NULL) GROUP BY 1 HAVING count(*) > 1")
+def _exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "fingerprints").select("id", "exact").distinct()
+    return search.exact_duplicates(rows, "id").select(formatting.exact_hex(F.col("exact")).alias("exact"), "members", "first_id")
+
+
+@_query("duplicate_members", "WITH f AS (SELECT DISTINCT id, exact FROM fingerprints WHERE exact IS NOT NULL), g AS (SELECT exact, min(id) AS first_id FROM f GROUP BY exact HAVING count(*) > 1) SELECT id, first_id FROM f JOIN g USING (exact)")
+def _duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    return search.duplicate_members(_read(spark, d, "fingerprints").select("id", "exact").distinct(), "id")
+
+
+@_query("full_fingerprint_groups", f"SELECT lower(hex(exact)) AS exact, lpad(lower(to_hex(g)), 16, '0') AS global_hash, count(*) AS members FROM ({_SINGLES}) GROUP BY exact, g, b HAVING count(*) > 1")
+def _full_groups(spark: SparkSession, d: str) -> DataFrame:
+    groups = _singles(spark, d).groupBy("fp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return groups.select(formatting.exact_hex(F.col("fp.exact")).alias("exact"), hex64(F.col("fp.global_hash")).alias("global_hash"), "members")
+
+
+_SEARCH = f"WITH m AS ({_MULTIS}), q AS (SELECT * FROM m ORDER BY id LIMIT 1), p AS (SELECT x.id, x.exact AS xe, y.exact AS ye, " + ", ".join(f"{s}.{a.field}.global_hash AS {s}g{a.field[0]}, {s}.{a.field}.block_hashes AS {s}b{a.field[0]}" for s in "xy" for a in HashAlgorithm) + " FROM m x CROSS JOIN q y)"
+
+
+@_query("similarity_search", f"SELECT id, score, exact_match, perceptual_distance FROM ({_SEARCH} SELECT id, round({_sql_multi(MultiHashConfig()).partition(' SELECT id, round(')[2]}) WHERE score >= 0.54")
+def _similarity_search(spark: SparkSession, d: str) -> DataFrame:
+    rows = _multis(spark, d)
+    found = search.similarity_search(rows, rows.orderBy("id").limit(1), "id", 0.53)
+    return found.select("id", _six(F.col("score")).alias("score"), "exact_match", "perceptual_distance").where("score >= 0.54")
+
+
+# ---------------------------------------------------------------- texts, JSON, records
+
+_HEX_BLOCKS = "array_to_string(list_transform(b, lambda x: lpad(lower(to_hex(x)), 16, '0')), ',')"
+
+
+@_query("exact_hash", "SELECT doc_id, sha256(text) AS exact FROM documents WHERE text IS NOT NULL")
+def _exact_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("exact"))
+
+
+@_query("format_single", f"SELECT id, lower(hex(exact)) || ':' || lpad(lower(to_hex(g)), 16, '0') || ':' || {_HEX_BLOCKS} AS text FROM ({_SINGLES}) WHERE exact IS NOT NULL")
+def _format_single(spark: SparkSession, d: str) -> DataFrame:
+    return _singles(spark, d).where("fp.exact is not null").select("id", formatting.format_single(F.col("fp")).alias("text"))
+
+
+@_query("format_multi", f"SELECT id, lower(hex(exact)) || '|' || lpad(lower(to_hex(ahash.global_hash)), 16, '0') || '|' || lpad(lower(to_hex(phash.global_hash)), 16, '0') || '|' || lpad(lower(to_hex(dhash.global_hash)), 16, '0') AS text FROM ({_MULTIS}) WHERE exact IS NOT NULL")
+def _format_multi(spark: SparkSession, d: str) -> DataFrame:
+    return _multis(spark, d).where("exact is not null").select("id", formatting.format_multi(search.multi()).alias("text"))
+
+
+@_query("json_export", f"SELECT id::VARCHAR AS filename, lower(hex(exact)) AS exact_hash, lpad(lower(to_hex(phash.global_hash)), 16, '0') AS global_hash, lpad(lower(to_hex(dhash.global_hash)), 16, '0') AS global_dhash FROM ({_MULTIS}) WHERE exact IS NOT NULL")
+def _json_export(spark: SparkSession, d: str) -> DataFrame:
+    rows = _multis(spark, d).where("exact is not null")
+    return rows.select(formatting.export_row(F.col("id").cast("string"), search.multi()).alias("x")).select("x.*")
+
+
+_ROUND_TRIP = f"SELECT id, lower(hex(exact)) AS exact, lpad(lower(to_hex(g)), 16, '0') AS global_hash, {_HEX_BLOCKS} AS blocks FROM ({_SINGLES}) WHERE octet_length(exact) = 32"
+
+
+def _shown(df: DataFrame, fp: Column) -> DataFrame:
+    out = df.select("id", fp.alias("y"))
+    return out.select("id", formatting.exact_hex(F.col("y.exact")).alias("exact"), hex64(F.col("y.global_hash")).alias("global_hash"), F.array_join(F.transform("y.block_hashes", hex64), ",").alias("blocks"))
+
+
+@_query("json_roundtrip", _ROUND_TRIP)
+def _json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = _singles(spark, d).where(F.octet_length("fp.exact") == 32).select("id", formatting.json_single(F.col("fp")).alias("j"))
+    return _shown(rows, formatting.parse_json_single(F.col("j")))
+
+
+@_query("pod_roundtrip", _ROUND_TRIP)
+def _pod_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = _singles(spark, d).where(F.octet_length("fp.exact") == 32).select("id", formatting.pack_single(F.col("fp.exact"), F.col("fp")).alias("r"))
+    return _shown(rows, formatting.unpack_single(F.col("r")))
+
+
+@_query("pod_multi_roundtrip", f"SELECT id, lower(hex(exact)) AS exact, lpad(lower(to_hex(dhash.global_hash)), 16, '0') AS global_hash, array_to_string(list_transform(dhash.block_hashes, lambda x: lpad(lower(to_hex(x)), 16, '0')), ',') AS blocks FROM ({_MULTIS}) WHERE octet_length(exact) = 32")
+def _pod_multi_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = _multis(spark, d).where(F.octet_length("exact") == 32).select("id", formatting.pack_multi(search.multi()).alias("r"))
+    back = rows.select("id", formatting.unpack_multi(F.col("r")).alias("m"))
+    return _shown(back, F.struct(F.col("m.exact").alias("exact"), F.col("m.dhash.global_hash").alias("global_hash"), F.col("m.dhash.block_hashes").alias("block_hashes")))
+
+
+@_query("version_gate", "SELECT format_version, count(*) AS n_rows, format_version = 1 AS accepted FROM (SELECT DISTINCT id, format_version FROM fingerprints) GROUP BY 1")
+def _version_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "fingerprints").select("id", "format_version").distinct()
+    return rows.groupBy("format_version").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("accepted", F.col("format_version") == 1)
+
+
+# ---------------------------------------------------------------- pictures
+
+
+@_query("ext_filter", "SELECT image_id, lower(regexp_extract(name, '\\.([^./\\\\]+)$', 1)) AS extension FROM images WHERE lower(regexp_extract(name, '\\.([^./\\\\]+)$', 1)) IN ('jpg','jpeg','png','gif','webp','bmp')")
+def _ext_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "images").where(files.has_picture_ending(F.col("name")))
+    return rows.select("image_id", files.extension(F.col("name")).alias("extension"))
+
+
+@_query(
+    "image_format",
+    """SELECT image_id, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN 'PNG' WHEN starts_with(h, 'FFD8FF') THEN 'JPEG'
+    WHEN starts_with(h, '474946383761') OR starts_with(h, '474946383961') THEN 'GIF' WHEN starts_with(h, '424D') THEN 'BMP'
+    WHEN starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250' THEN 'WebP' END AS format
+    FROM (SELECT image_id, upper(hex(content)) AS h FROM images WHERE content IS NOT NULL)""",
+)
+def _image_format(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "images").where("content is not null").select("image_id", files.format_of(F.col("content")).alias("format"))
+
+
+@_query("byte_guard", "SELECT image_id, CASE WHEN octet_length(content) = 0 THEN 'InvalidImage' END AS kind FROM images WHERE content IS NOT NULL")
+def _byte_guard(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "images").where("content is not null").select("image_id", files.byte_guard(F.col("content"))["kind"].alias("kind"))
+
+
+@_query("fingerprint_errors", "SELECT DISTINCT image_id, sha256(content) AS exact, expected_error AS kind FROM images WHERE content IS NOT NULL")
+def _fingerprint_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Every kept picture decoded and hashed: the kind of error must be the one the table names, for all others there are hashes."""
+    rows = fingerprint(_read(spark, d, "images").where("content is not null").select("image_id", "content"))
+    kind = F.when(F.col("error").isNull() & (F.col("phash").isNull() | F.col("ahash").isNull() | F.col("dhash").isNull()), "no hashes").otherwise(F.col("error.kind"))
+    return rows.select("image_id", formatting.exact_hex(F.col("exact")).alias("exact"), kind.alias("kind")).distinct()
+
+
+@_query("error_kinds", "SELECT coalesce(expected_error, 'ok') AS kind, count(*) AS n_rows FROM images WHERE content IS NOT NULL GROUP BY 1")
+def _error_kinds(spark: SparkSession, d: str) -> DataFrame:
+    rows = fingerprint(_read(spark, d, "images").where("content is not null").select("image_id", "content"), algorithms=(HashAlgorithm.AHASH,))
+    return rows.groupBy(F.coalesce("error.kind", F.lit("ok")).alias("kind")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@_query("image_fingerprints")
+def _image_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    rows = fingerprint(_read(spark, d, "images").where("content is not null").select("image_id", "content"))
+    return rows.select("image_id", formatting.exact_hex(F.col("exact")).alias("exact"), *(hex64(F.col(f"{a.field}.global_hash")).alias(a.field) for a in HashAlgorithm), F.col("error.kind").alias("kind"))
+
+
+# ---------------------------------------------------------------- hash stages on synthetic pictures
+
+
+def _bits(h: Column) -> Column:
+    return F.lpad(F.bin(h), 64, "0")
+
+
+_MEAN_BITS = "array_to_string(list_transform(v, lambda x: CASE WHEN x >= (list_reduce(v, lambda a, z: (a + z)::FLOAT) / 64::FLOAT)::FLOAT THEN '1' ELSE '0' END), '')"
+_GRADIENT_BITS = "array_to_string(list_transform(range(64), lambda i: CASE WHEN v[(i // 8) * 9 + i % 8 + 1] > v[(i // 8) * 9 + i % 8 + 2] THEN '1' ELSE '0' END), '')"
+_BLOCKS = f"(SELECT doc_id, p, q, k::INTEGER AS block FROM {rasters.SQL_DOCUMENTS}, (SELECT unnest(range(16)) AS k))"
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.documents(spark, d).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
+
+
+def _list(r: str, c: str, n: int) -> str:
+    return f"list_transform(range({n}), lambda i: {rasters.sql_pixel(r, c)})"
+
+
+@_query("luma", "SELECT p_partkey, ((77 * (p_partkey % 256) + 150 * (p_size * 5 % 256) + 29 * (p_partkey // 256 % 256)) // 256)::INTEGER AS grey FROM part")
+def _luma(spark: SparkSession, d: str) -> DataFrame:
+    r, g, b = F.col("p_partkey") % 256, F.col("p_size") * 5 % 256, F.floor(F.col("p_partkey") / 256) % 256
+    return _read(spark, d, "part").select("p_partkey", hashing.luma(r, g, b).alias("grey"))
+
+
+@_query("global_region", f"SELECT doc_id, list_sum(v)::BIGINT AS total, list_min(v)::BIGINT AS least, list_max(v)::BIGINT AS most FROM (SELECT doc_id, list_transform(range(1024), lambda i: {rasters.sql_grey('112 + i // 32', '112 + i % 32')}) AS v FROM {rasters.SQL_DOCUMENTS})")
+def _global_region(spark: SparkSession, d: str) -> DataFrame:
+    v = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: rasters.grey(F.floor(i / 32) + 112, i % 32 + 112))
+    rows = rasters.documents(spark, d).select("doc_id", v.alias("v"))
+    return rows.select("doc_id", F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.array_min("v").alias("least"), F.array_max("v").alias("most"))
+
+
+@_query("block_grid", f"SELECT doc_id, block, list_sum(v)::BIGINT AS total FROM (SELECT doc_id, block, list_transform(range(64), lambda i: {rasters.sql_grey('block // 4 * 64 + i', 'block % 4 * 64 + i')}) AS v FROM {_BLOCKS})")
+def _block_grid(spark: SparkSession, d: str) -> DataFrame:
+    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: rasters.grey(F.floor(F.col("block") / 4) * 64 + i, F.col("block") % 4 * 64 + i))
+    return _blocks(spark, d).select("doc_id", "block", F.aggregate(v, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+
+
+@_query("ahash_global", f"SELECT doc_id, {_MEAN_BITS} AS bits FROM (SELECT doc_id, {_list('112 + i // 8 * 4', '112 + i % 8 * 4', 64)} AS v FROM {rasters.SQL_DOCUMENTS})")
+def _ahash_global(spark: SparkSession, d: str) -> DataFrame:
+    v = rasters.pixels(64, lambda i: F.floor(i / 8) * 4 + 112, lambda i: i % 8 * 4 + 112)
+    return rasters.documents(spark, d).select("doc_id", v.alias("v")).select("doc_id", _bits(hashing.mean_threshold(F.col("v"))).alias("bits"))
+
+
+@_query("ahash_blocks", f"SELECT doc_id, block, {_MEAN_BITS} AS bits FROM (SELECT doc_id, block, {_list('block // 4 * 64 + i // 8 * 8', 'block % 4 * 64 + i % 8 * 8', 64)} AS v FROM {_BLOCKS})")
+def _ahash_blocks(spark: SparkSession, d: str) -> DataFrame:
+    v = rasters.pixels(64, lambda i: F.floor(F.col("block") / 4) * 64 + F.floor(i / 8) * 8, lambda i: F.col("block") % 4 * 64 + i % 8 * 8)
+    return _blocks(spark, d).select("doc_id", "block", v.alias("v")).select("doc_id", "block", _bits(hashing.mean_threshold(F.col("v"))).alias("bits"))
+
+
+@_query("dhash_global", f"SELECT doc_id, {_GRADIENT_BITS} AS bits FROM (SELECT doc_id, [{', '.join(rasters.sql_bilinear('112', '112', 32, 9, 8))}] AS v FROM {rasters.SQL_DOCUMENTS})")
+def _dhash_global(spark: SparkSession, d: str) -> DataFrame:
+    v = F.array(*hashing.bilinear(lambda y, x: rasters.pixel(y + 112, x + 112), 32, 9, 8))
+    return rasters.documents(spark, d).select("doc_id", v.alias("v")).select("doc_id", _bits(hashing.gradient(F.col("v"))).alias("bits"))
+
+
+@_query("dhash_blocks", f"SELECT doc_id, block, {_GRADIENT_BITS} AS bits FROM (SELECT doc_id, block, [{', '.join(rasters.sql_bilinear('block // 4 * 64', 'block % 4 * 64', 64, 9, 8))}] AS v FROM {_BLOCKS})")
+def _dhash_blocks(spark: SparkSession, d: str) -> DataFrame:
+    v = F.array(*hashing.bilinear(lambda y, x: rasters.pixel(F.col("r0") + y, F.col("c0") + x), 64, 9, 8))
+    rows = _blocks(spark, d).withColumns({"r0": F.floor(F.col("block") / 4) * 64, "c0": F.col("block") % 4 * 64})
+    return rows.select("doc_id", "block", v.alias("v")).select("doc_id", "block", _bits(hashing.gradient(F.col("v"))).alias("bits"))
+
+
+@_query("bilinear_resample", f"SELECT doc_id, list_transform(v, lambda x: round(x::DOUBLE, 5)) AS v FROM (SELECT doc_id, [{', '.join(rasters.sql_bilinear('112', '112', 32, 9, 8))}] AS v FROM {rasters.SQL_DOCUMENTS})")
+def _bilinear(spark: SparkSession, d: str) -> DataFrame:
+    v = F.array(*hashing.bilinear(lambda y, x: rasters.pixel(y + 112, x + 112), 32, 9, 8))
+    return rasters.documents(spark, d).select("doc_id", F.transform(v, lambda x: F.round(x.cast("double"), 5)).alias("v"))
+
+
+@_query(
+    "box_downsample",
+    f"SELECT doc_id, list_transform(range(1024), lambda k: round((((((v[(k // 32 * 2) * 64 + k % 32 * 2 + 1] + v[(k // 32 * 2) * 64 + k % 32 * 2 + 2])::FLOAT + v[(k // 32 * 2 + 1) * 64 + k % 32 * 2 + 1])::FLOAT + v[(k // 32 * 2 + 1) * 64 + k % 32 * 2 + 2])::FLOAT) * 0.25::FLOAT)::DOUBLE, 5)) AS v FROM (SELECT doc_id, {_list('i // 64', 'i % 64', 4096)} AS v FROM {rasters.SQL_DOCUMENTS})",
+)
+def _box(spark: SparkSession, d: str) -> DataFrame:
+    v = rasters.pixels(4096, lambda i: F.floor(i / 64), lambda i: i % 64)
+    rows = rasters.documents(spark, d).select("doc_id", v.alias("v"))
+    return rows.select("doc_id", F.transform(hashing.box_halved(F.col("v")), lambda x: F.round(x.cast("double"), 5)).alias("v"))
+
+
+@_query("phash_rasters")
+def _phash_rasters(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency hashes of the synthetic pictures by the numpy kernel."""
+    return _kernel_rasters(spark, d)
+
+
+def _kernel_rasters(spark: SparkSession, d: str) -> DataFrame:
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ..operators import kernels
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, c = np.arange(256, dtype=np.int64)[:, None], np.arange(256, dtype=np.int64)[None]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                p, q = (batch.column(n).to_numpy().astype(np.int64)[:, None, None] for n in ("p", "q"))
+                found = kernels.fingerprint(((r * r * p + c * q + r * c) % 256).astype(np.uint8))
+                yield pa.record_batch([batch.column("doc_id"), *(pa.array(found[a.field][0]) for a in HashAlgorithm)], names=["doc_id", *(a.field for a in HashAlgorithm)])
+
+    hashes = rasters.documents(spark, d).mapInArrow(run, "doc_id bigint, ahash bigint, phash bigint, dhash bigint")
+    return hashes.select("doc_id", *(hex64(a.field).alias(a.field) for a in HashAlgorithm))
+
+
+# ---------------------------------------------------------------- embeddings
+
+_FINITE = "len(list_filter({0}, lambda x: x IS NULL OR isnan(x) OR isinf(x)))"
+_EMBEDDING_ERROR = f"CASE WHEN vector IS NULL OR len(vector) = 0 THEN 'vector is empty' WHEN len(vector) > 65536 THEN 'dimension is too large' WHEN {_FINITE.format('vector')} > 0 THEN 'value is not finite' WHEN len(list_filter(vector, lambda x: x <> 0)) = 0 THEN 'all values are zero' END"
+
+
+@_query("embedding_validate", f"SELECT id, {_EMBEDDING_ERROR} AS error FROM embeddings_in")
+def _embedding_validate(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings_in").select("id", E.embedding_error(F.col("vector")).alias("error"))
+
+
+@_query("embedding_dimension", "SELECT id, model_id, len(vector)::INTEGER AS dimension FROM embeddings_in")
+def _embedding_dimension(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings_in").select("id", "model_id", E.dimension(F.col("vector")).alias("dimension"))
+
+
+@_query(
+    "cosine_errors",
+    f"""WITH e AS (SELECT DISTINCT ON (id) id, vector, model_id FROM embeddings_in WHERE {_EMBEDDING_ERROR.replace('CASE', '(CASE', 1)}) IS NULL)
+    SELECT CASE WHEN a.model_id <> b.model_id THEN 'InvalidEmbedding' WHEN len(a.vector) <> len(b.vector) THEN 'EmbeddingDimensionMismatch' ELSE 'ok' END AS kind, count(*) AS pairs
+    FROM e a JOIN e b ON b.id = a.id + 1 GROUP BY 1""",
+)
+def _cosine_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "embeddings_in").where(E.usable(F.col("vector"))).dropDuplicates(["id"]).select("id", F.struct("vector", "model_id").alias("e"))
+    pairs = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("e").alias("f")), "id")
+    return pairs.groupBy(F.coalesce(E.cosine_error(F.col("e"), F.col("f")), F.lit("ok")).alias("kind")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.struct(F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("model_id")).alias("embedding"))
+
+
+@_query("cosine_pairs", "SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0")
+def _cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all."""
+    rows = _vectors(spark, d)
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding.vector").alias("q"))
+    return asked.join(rows).select("query_id", "id", F.round(E.cosine64(F.col("q"), F.col("embedding.vector")), 6).alias("score"))
+
+
+_TO_FIRST = "SELECT b.vec_id AS id, round(list_cosine_similarity(a.embedding, b.embedding)::DOUBLE, 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id = 0"
+
+
+def _to_first(spark: SparkSession, d: str, score: float | None) -> DataFrame:
+    rows = _vectors(spark, d)
+    return search.semantic_search(rows, rows.where("id = 0"), score)
+
+
+@_query("semantic_search", f"SELECT id, score FROM ({_TO_FIRST}) WHERE score >= 0.25")
+def _semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors most similar to vector 0, best first."""
+    found = _to_first(spark, d, 0.2).select("id", F.round(F.col("score").cast("double"), 4).alias("score")).where("score >= 0.25")
+    return found.orderBy(F.desc("score"), "id")
+
+
+@_query("semantic_search_085", f"SELECT id, score FROM ({_TO_FIRST}) WHERE score >= 0.85")
+def _semantic_search_085(spark: SparkSession, d: str) -> DataFrame:
+    return _to_first(spark, d, 0.85).select("id", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@_query("semantic_topk", f"SELECT id, score FROM ({_TO_FIRST}) ORDER BY score DESC, id LIMIT 10")
+def _semantic_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _to_first(spark, d, None).select("id", F.round(F.col("score").cast("double"), 4).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+
+
+@_query("semantic_topk_all", "SELECT query_id, id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE k <= 5")
+def _semantic_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    scored = _cosine_pairs(spark, d).where("query_id <> id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("k", rank).where("k <= 5").select("query_id", "id", "score")
+
+
+@_query("semantic_bar", f"SELECT id, repeat('█', s) || repeat('░', 10 - s) AS bar, CASE WHEN score >= 0.95 THEN '★' ELSE '' END AS star FROM (SELECT id, score, greatest(0, least(10, trunc(score * 10)))::BIGINT AS s FROM ({_TO_FIRST}))")
+def _semantic_bar(spark: SparkSession, d: str) -> DataFrame:
+    rows = _to_first(spark, d, None).select("id", F.round(F.col("score").cast("double"), 4).alias("score"))
+    return rows.select("id", E.similarity_bar(F.col("score")).alias("bar"), E.star(F.col("score")).alias("star"))
+
+
+@_query("l2_normalize", "SELECT vec_id AS id, round((embedding[1] * 3 / sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) * (x::DOUBLE * 3)))))::DOUBLE, 4) AS first_value, 1.0::DOUBLE AS norm FROM embeddings")
+def _l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    tripled = F.transform("embedding", lambda x: (x * F.lit(3).cast("float")).cast("float"))
+    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), E.l2_normalize(tripled).alias("v"))
+    return rows.select("id", F.round(F.col("v")[0].cast("double"), 4).alias("first_value"), F.round(F.sqrt(E.dot64(F.col("v"), F.col("v"))), 4).alias("norm"))
+
+
+@_query("mean_threshold_hash", f"SELECT id, {_MEAN_BITS} AS bits FROM (SELECT vec_id AS id, embedding AS v FROM embeddings)")
+def _mean_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), _bits(hashing.mean_threshold(F.col("embedding"))).alias("bits"))
+
+
+@_query("median_threshold_hash", "SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= list_sort(embedding)[33] THEN '1' ELSE '0' END), '') AS bits FROM embeddings")
+def _median_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), _bits(hashing.median_threshold(F.col("embedding"))).alias("bits"))
