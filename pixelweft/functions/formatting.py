@@ -52,15 +52,19 @@ def parse_json_single(text: Column) -> Column:
     return F.when(ok, F.struct(exact.alias("exact"), word(parsed["global_hash"]).alias("global_hash"), F.transform(parsed["block_hashes"], word).alias("block_hashes")))
 
 
-def _little(h: Column) -> Column:
-    """8 bytes, the least significant first."""
-    text = F.lpad(F.hex(h), 16, "0")
-    return F.unhex(F.concat(*(F.substring(text, 15 - 2 * i, 2) for i in range(8))))
+def _turned(text: Column) -> Column:
+    """16 hex digits with their bytes in reverse order."""
+    return F.concat(*(F.substring(text, 15 - 2 * i, 2) for i in range(8)))
 
 
-def _word_at(record: Column, offset: int) -> Column:
-    text = F.hex(F.substring(record, offset + 1, 8))
-    return from_hex(F.concat(*(F.substring(text, 15 - 2 * i, 2) for i in range(8))))
+def _little_hex(h: Column) -> Column:
+    """Hex text of 8 bytes, the least significant first."""
+    return _turned(F.lpad(F.hex(h), 16, "0"))
+
+
+def _word_at(record: Column, offset: int | Column) -> Column:
+    at = offset if isinstance(offset, Column) else F.lit(offset)
+    return from_hex(_turned(F.hex(F.substring(record, at + 1, F.lit(8)))))
 
 
 #: Bytes of a single record: exact hash, global hash, block hashes.
@@ -70,9 +74,9 @@ MULTI_BYTES = 32 + 3 * SINGLE_BYTES
 
 def pack_single(exact: Column, hashes: Column) -> Column:
     """168-byte record, little-endian. Null unless there are 32 exact bytes and 16 blocks, none of them null."""
-    blocks = [_little(F.get(hashes["block_hashes"], F.lit(i))) for i in range(N_BLOCKS)]
-    ok = (F.octet_length(exact) == 32) & (F.size(hashes["block_hashes"]) == N_BLOCKS)
-    return F.when(ok, F.concat(exact, _little(hashes["global_hash"]), *blocks))
+    ok = (F.octet_length(exact) == 32) & (F.size(hashes["block_hashes"]) == N_BLOCKS) & F.forall(hashes["block_hashes"], lambda b: b.isNotNull())
+    blocks = F.array_join(F.transform(hashes["block_hashes"], _little_hex), "")
+    return F.when(ok, F.unhex(F.concat(F.hex(exact), _little_hex(hashes["global_hash"]), blocks)))
 
 
 def pack_multi(fp: Column) -> Column:
@@ -82,8 +86,8 @@ def pack_multi(fp: Column) -> Column:
 
 def unpack_single(record: Column, offset: int = 0) -> Column:
     """The fingerprint in a record; null for a record that is too short."""
-    words = [_word_at(record, offset + 32 + 8 * i) for i in range(1 + N_BLOCKS)]
-    fp = F.struct(F.substring(record, offset + 1, 32).alias("exact"), words[0].alias("global_hash"), F.array(*words[1:]).alias("block_hashes"))
+    blocks = F.transform(F.sequence(F.lit(1), F.lit(N_BLOCKS)), lambda i: _word_at(record, i * 8 + offset + 32))
+    fp = F.struct(F.substring(record, offset + 1, 32).alias("exact"), _word_at(record, offset + 32).alias("global_hash"), blocks.alias("block_hashes"))
     return F.when(F.octet_length(record) >= offset + SINGLE_BYTES, fp)
 
 

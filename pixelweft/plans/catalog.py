@@ -17,6 +17,7 @@ from ..functions.u64 import coarse_key, hamming, hex64
 from ..operators import search
 from ..operators.fingerprint import fingerprint
 from ..schema import N_BLOCKS, HashAlgorithm, MultiHashConfig
+from ..session import read_spread
 from ..sources import files
 from . import rasters
 
@@ -47,6 +48,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return read_spread(spark, f"{sf_dir}/{table}.parquet")
+
+
 def _six(x: Column) -> Column:
     return F.round(x.cast("double"), 6)
 
@@ -349,20 +354,20 @@ def _byte_guard(spark: SparkSession, d: str) -> DataFrame:
 @_query("fingerprint_errors", "SELECT DISTINCT image_id, sha256(content) AS exact, expected_error AS kind FROM images WHERE content IS NOT NULL")
 def _fingerprint_errors(spark: SparkSession, d: str) -> DataFrame:
     """Every kept picture decoded and hashed: the kind of error must be the one the table names, for all others there are hashes."""
-    rows = fingerprint(_read(spark, d, "images").where("content is not null").select("image_id", "content"))
+    rows = fingerprint(_spread(spark, d, "images").where("content is not null").select("image_id", "content"))
     kind = F.when(F.col("error").isNull() & (F.col("phash").isNull() | F.col("ahash").isNull() | F.col("dhash").isNull()), "no hashes").otherwise(F.col("error.kind"))
     return rows.select("image_id", formatting.exact_hex(F.col("exact")).alias("exact"), kind.alias("kind")).distinct()
 
 
 @_query("error_kinds", "SELECT coalesce(expected_error, 'ok') AS kind, count(*) AS n_rows FROM images WHERE content IS NOT NULL GROUP BY 1")
 def _error_kinds(spark: SparkSession, d: str) -> DataFrame:
-    rows = fingerprint(_read(spark, d, "images").where("content is not null").select("image_id", "content"), algorithms=(HashAlgorithm.AHASH,))
+    rows = fingerprint(_spread(spark, d, "images").where("content is not null").select("image_id", "content"), algorithms=(HashAlgorithm.AHASH,))
     return rows.groupBy(F.coalesce("error.kind", F.lit("ok")).alias("kind")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @_query("image_fingerprints")
 def _image_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    rows = fingerprint(_read(spark, d, "images").where("content is not null").select("image_id", "content"))
+    rows = fingerprint(_spread(spark, d, "images").where("content is not null").select("image_id", "content"))
     return rows.select("image_id", formatting.exact_hex(F.col("exact")).alias("exact"), *(hex64(F.col(f"{a.field}.global_hash")).alias(a.field) for a in HashAlgorithm), F.col("error.kind").alias("kind"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import scaled, taps
+from ..session import read_spread
 
 P = "(doc_id % 251 + 1)"
 Q = "(coalesce(n_chars, 0) % 241 + 1)"
@@ -15,7 +16,7 @@ INV = "(1.0::FLOAT / 255.0::FLOAT)::FLOAT"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(P).alias("p"), F.expr(Q).alias("q"))
+    return read_spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.expr(P).alias("p"), F.expr(Q).alias("q"))
 
 
 def grey(r: Column | int, c: Column | int) -> Column:

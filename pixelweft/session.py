@@ -41,6 +41,14 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, spread over all cores if its files give fewer partitions than there are: one small file would
+    keep a costly kernel on one core. Large tables are read as they are, without a shuffle."""
+    df = spark.read.parquet(path)
+    want = spark.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= want else df.repartition(want)
+
+
 class Scratch:
     """Tables that cut lineage: each is written as Parquet to the shared folder, so that a lost executor costs a
     re-read and not a recomputation. ``drop`` frees one that no later step reads; the rest goes when Python ends."""
