@@ -50,18 +50,21 @@ class HistoryIndex:
         return exploded.select("global_hash", "key", self._part(F.col("key")).alias("part"))
 
     def append(self, accepted: DataFrame) -> None:
-        """Index accepted (exact, global_hash) rows; either may be null."""
+        """Index accepted (batch_no, arrival_id, exact, global_hash) rows; either hash may be null."""
         hashes = accepted.where("global_hash is not null").select("global_hash").distinct()
         keyed = self.keys(hashes)
         keyed.repartition("part").sortWithinPartitions("part", "key").write.mode("append").partitionBy("part").parquet(f"{self.path}/bands")
-        exact = accepted.where("exact is not null").select("exact").distinct().withColumn("part", self._part(F.xxhash64("exact")))
+        first = accepted.where("exact is not null").groupBy("exact").agg(F.min(F.struct("batch_no", "arrival_id")).alias("at"))
+        exact = first.select("exact", "at.batch_no", "at.arrival_id", self._part(F.xxhash64("exact")).alias("part"))
         exact.repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/exact")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
 
     def exact(self) -> DataFrame:
-        return self._read("exact", "exact binary, part int").select("exact")
+        """(exact, at) of accepted exact hashes, with the order of the first row that has it."""
+        rows = self._read("exact", "exact binary, batch_no int, arrival_id bigint, part int")
+        return rows.groupBy("exact").agg(F.min(F.struct("batch_no", "arrival_id")).alias("at"))
 
     def near(self, hashes: DataFrame) -> DataFrame:
         """Those of distinct ``global_hash`` rows that lie within the radius of an accepted hash."""
@@ -79,7 +82,7 @@ def arrivals(batches: DataFrame) -> DataFrame:
     return rows.where(ok).dropDuplicates(["arrival_id"])
 
 
-def judge(batches: DataFrame, radius: int = 3, parts: int | None = None, most: int = 4096) -> DataFrame:
+def judge(batches: DataFrame, radius: int = 3, parts: int | None = None, most: int = 4096, index_path: str | None = None) -> DataFrame:
     """Verdicts (arrival_id, batch_no, verdict) on every counted row of batches 1 and later: ``accepted``; ``exact``, if
     its exact equals one accepted before; else ``near``, if its global hash lies within ``radius`` bits of one accepted
     before. Rows come in order of (batch_no, arrival_id); all of batch 0 is accepted; cases never are.
@@ -88,7 +91,8 @@ def judge(batches: DataFrame, radius: int = 3, parts: int | None = None, most: i
     often costs one row. What the history index doesn't already decide is settled in rounds: an undecided class with the
     smallest order among its exact and among all hashes near its own is accepted, and those it blocks are cases. The
     minima are taken per exact and per hash, so no group is ever expanded to pairs of its rows. At last the accepted rows
-    are appended to the index.
+    are appended to the index. All waiting batches are judged together, so the index is read once for them. ``index_path``
+    keeps it for later calls, whose tables then hold new batches only, of higher batch numbers.
 
     Null or malformed hashes: see ``arrivals``. Repeated rows of an id count once, extra columns are ignored, empty
     tables give no rows.
@@ -97,13 +101,15 @@ def judge(batches: DataFrame, radius: int = 3, parts: int | None = None, most: i
     scratch = Scratch(spark, "history")
     rows = scratch.table(arrivals(batches), "rows")
     n = rows.count()
-    index = HistoryIndex(spark, scratch.path("index"), chunk_masks(n, radius), parts or max(4, n // 1_000_000), radius)
+    # a kept index must keep its bands, so they don't follow the size of one call
+    masks, parts = (chunk_masks(1 << 32, radius), parts or 64) if index_path else (chunk_masks(n, radius), parts or max(4, n // 1_000_000))
+    index = HistoryIndex(spark, index_path or scratch.path("index"), masks, parts, radius)
     index.append(rows.where("batch_no = 0"))
     order = F.struct("batch_no", "arrival_id")
     new = rows.where("batch_no > 0")
     classes = scratch.table(new.groupBy("exact", "global_hash").agg(F.min(order).alias("ord")), "classes")
     hashes = classes.where("global_hash is not null").select("global_hash").distinct()
-    open_rows = classes.join(index.exact(), "exact", "left_anti").join(index.near(hashes), "global_hash", "left_anti").select("exact", "global_hash", "ord")
+    open_rows = classes.join(index.exact().select("exact"), "exact", "left_anti").join(index.near(hashes), "global_hash", "left_anti").select("exact", "global_hash", "ord")
     undecided = scratch.table(open_rows, "undecided")
 
     values = undecided.where("global_hash is not null").select("global_hash").distinct()
@@ -132,10 +138,8 @@ def judge(batches: DataFrame, radius: int = 3, parts: int | None = None, most: i
         scratch.drop(undecided)
         undecided = left
         accepted = now if accepted is None else accepted.unionByName(now)
-    index.append(accepted.select("exact", "global_hash"))
-
-    known = rows.where("batch_no = 0 and exact is not null").select("exact").distinct().withColumn("at", F.struct(F.lit(0).alias("batch_no"), F.lit(None).cast("bigint").alias("arrival_id")))
-    known = known.unionByName(accepted.where("exact is not null").select("exact", F.col("ord").alias("at")))
+    index.append(accepted.select("ord.*", "exact", "global_hash"))
+    known = index.exact()
     same = (F.col("at.batch_no") == F.col("batch_no")) & F.col("at.arrival_id").eqNullSafe(F.col("arrival_id"))
     # of an exact at most one new row is accepted, and none if batch 0 has it
     judged = new.join(known, "exact", "left").join(accepted.select(F.col("ord.arrival_id").alias("arrival_id"), F.lit(True).alias("in")), "arrival_id", "left")

@@ -108,10 +108,10 @@ def _fit(rows: DataFrame, search: Search) -> dict[int, CentroidGraph]:
     for dim, n in rows.groupBy("dim").agg(F.count(F.lit(1))).collect():
         k = max(1, min(MOST_LISTS, math.ceil(n / search.list_size)))
         share = min(1.0, 1.25 * SAMPLE / n)
-        drawn = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))).select("vector").limit(2 * SAMPLE).toArrow()
+        drawn = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))).select("cid", "vector").limit(2 * SAMPLE).toArrow()
         if not len(drawn):
-            drawn = rows.where(F.col("dim") == dim).select("vector").limit(SAMPLE).toArrow()
-        graphs[dim] = CentroidGraph(kmeans(vectors.matrix(drawn["vector"])[:SAMPLE], k, 6, dim))
+            drawn = rows.where(F.col("dim") == dim).select("cid", "vector").limit(SAMPLE).toArrow()
+        graphs[dim] = CentroidGraph(kmeans(vectors.matrix(drawn.sort_by("cid")["vector"])[:SAMPLE], k, 6, dim))
     return graphs
 
 

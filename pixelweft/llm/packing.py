@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, read_spread
 from . import tokens
 
 SCHEMA = "container_type int, container_id bigint, doc_id bigint, piece_no int, token_start bigint, n_tokens bigint"
+#: Container types of one job; each is packed on its own.
+MOST_TYPES = 1000
 _PIECE = ["doc_id", "piece_no", "token_start", "n_tokens"]
 
 
@@ -68,9 +70,11 @@ def pack(sizes: DataFrame, capacities: DataFrame, open_windows: int = 256, per_g
     table = scratch.table(sizes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce("n_tokens", F.lit(0))).cast("bigint").alias("n_tokens")), "sizes")
     n = table.count()
     groups = max(1, math.ceil(n / per_group))
-    # the table of capacities is a parameter of the job, a few rows
-    types = capacities.where("container_type is not null and capacity_tokens > 0").groupBy("container_type").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
-    rows = table.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).crossJoin(F.broadcast(types))
+    types = capacities.where("container_type is not null and capacity_tokens > 0").groupBy("container_type").agg(F.max("capacity_tokens").alias("capacity")).limit(MOST_TYPES + 1).collect()
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"at most {MOST_TYPES} container types")
+    kinds = F.array(*(F.struct(F.lit(t["container_type"]).cast("int").alias("container_type"), F.lit(t["capacity"]).cast("bigint").alias("capacity")) for t in types)).cast("array<struct<container_type:int,capacity:bigint>>")
+    rows = table.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).withColumn("t", F.explode(kinds)).select("doc_id", "n_tokens", "grp", "t.*")
     schema = SCHEMA.replace("container_id bigint", "grp int, is_open boolean, container_id bigint, capacity bigint")
 
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,7 +121,7 @@ def _packed(items: pd.DataFrame, kind: int, group: int, capacity: int, windows:
 
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in containers of each capacity."""
-    sizes = tokens.count(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    sizes = tokens.count(read_spread(spark, f"{sf_dir}/documents.parquet"))
     return pack(sizes, spark.read.parquet(f"{sf_dir}/container_sizes.parquet"))
 
 
@@ -126,4 +130,4 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = spark.read.parquet(f"{sf_dir}/container_sizes.parquet")
     used = p9_packed(spark, sf_dir).groupBy("container_type").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
     share = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
-    return used.join(F.broadcast(sizes), "container_type").select("container_type", "containers", "tokens", share.alias("fill"))
+    return used.join(sizes, "container_type").select("container_type", "containers", "tokens", share.alias("fill"))

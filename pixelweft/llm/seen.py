@@ -150,8 +150,8 @@ class SeenKeys:
             new = new.sort_values(["batch", "first"], kind="stable")
             batch, value, first = (new[c].to_numpy(np.int64) for c in ("batch", "value", "first"))
             fresh: list[np.ndarray] = []
-            starts = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]]) if len(batch) else np.empty(0, np.int64)
-            for lo, hi in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
+            cuts = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1), len(batch)] if len(batch) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 v, at = np.unique(value[lo:hi], return_index=True)
                 ok = ~seen.contains(v)
                 if ok.any():
@@ -211,10 +211,13 @@ def error_rate(sightings: DataFrame, known: DataFrame, hash_bits: int = 64) -> D
     listed = known.where(F.octet_length("exact") == 32).select("exact").distinct()
     # only the first sighting of a key can be answered wrongly: all later ones were seen
     firsts = rows.groupBy("exact").agg(F.min("sighting_id").alias("sighting_id")).join(listed, "exact", "left_anti").select("sighting_id")
-    wrong = firsts.join(answered, "sighting_id", "left").agg(F.count_if("seen").alias("wrong_answers"), F.count(F.lit(1)).alias("new_keys"))
-    totals = rows.agg(F.count(F.lit(1)).alias("answers"))
-    said = answered.agg(F.count(F.lit(1)).alias("seen_answers"))
-    out = totals.crossJoin(said).crossJoin(wrong).crossJoin(listed.agg(F.count(F.lit(1)).alias("known_keys")))
+    wrong = firsts.join(answered, "sighting_id", "left")
+    named = lambda df, name, value: df.agg(value.alias("v")).select(F.lit(name).alias("k"), "v")
+    every = F.count(F.lit(1))
+    figures = named(rows, "answers", every).unionByName(named(answered, "seen_answers", every)).unionByName(named(listed, "known_keys", every))
+    figures = figures.unionByName(named(wrong, "wrong_answers", F.count_if(F.col("seen")))).unionByName(named(wrong, "new_keys", every))
+    of = lambda name: F.max(F.when(F.col("k") == name, F.col("v")))
+    out = figures.agg(*(of(name).alias(name) for name in ("answers", "seen_answers", "wrong_answers", "new_keys", "known_keys")))
     return out.select("answers", "seen_answers", "wrong_answers", (F.col("wrong_answers") / F.greatest(F.col("answers"), F.lit(1))).alias("wrong_rate"), ((F.col("new_keys") + F.col("known_keys")) / F.lit(2.0**hash_bits)).alias("expected_rate"))
 
 

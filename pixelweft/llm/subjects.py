@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, read_spread
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])")
@@ -139,11 +139,11 @@ def assign_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, r
     words = scratch.table(flat.join(frequency.select("w"), "w"), "flat")
     scratch.drop(table)
 
-    given = labels.join(F.broadcast(areas.select("subject").distinct()), "subject").where("doc_id is not null").select("doc_id", "subject").distinct()
+    given = labels.join(areas.select("subject").distinct(), "subject").where("doc_id is not null").select("doc_id", "subject").distinct()
     per = given.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
     seeds = given.join(per, "doc_id").select("doc_id", "subject", (1.0 / F.col("k")).alias("belief"))
     rate = given.select("doc_id").distinct().count() / max(1, n)
-    seeded = words.join(F.broadcast(per.select("doc_id")) if rate * n < 200_000 else per.select("doc_id"), "doc_id")
+    seeded = words.join(per.select("doc_id"), "doc_id")
     lexicon = scratch.table(_lexicon(seeded, seeds, frequency, 0.55, 2, 0.3 * rate), "lexicon")
     trusted = scratch.table(_mentions(seeded, lexicon, least).join(given, ["doc_id", "subject"]).select("doc_id", "subject", "mentions"), "trusted")
     lexicon = scratch.table(_lexicon(seeded, _beliefs(trusted), frequency, 0.65, 2, 0.3 * rate), "lexicon")
@@ -159,7 +159,7 @@ def assign_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, r
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return assign_subjects(read("documents"), read("subject_areas"), read("subject_labels"))
+    return assign_subjects(read_spread(spark, f"{sf_dir}/documents.parquet"), read("subject_areas"), read("subject_labels"))
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +167,6 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = p10_found(spark, sf_dir)
     areas = spark.read.parquet(f"{sf_dir}/subject_areas.parquet").select("subject").distinct()
     counts = found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
-    all_rows = counts.agg(F.sum("documents").alias("total"))
-    out = areas.join(counts, "subject", "left").crossJoin(F.broadcast(all_rows))
-    return out.select("subject", F.coalesce("documents", F.lit(0)).alias("documents"), F.round(F.coalesce("documents", F.lit(0)) / F.col("total"), 6).alias("share"))
+    out = areas.join(counts, "subject", "left").select("subject", F.coalesce("documents", F.lit(0)).alias("documents"))
+    total = F.sum("documents").over(Window.partitionBy(F.lit(1)))
+    return out.select("subject", "documents", F.round(F.col("documents") / F.greatest(total, F.lit(1)), 6).alias("share"))

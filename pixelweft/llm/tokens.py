@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import read_spread
+
 #: Folder of the vocabularies; a parameter of every operator, with this default.
 VOCABULARIES = os.environ.get("PIXELWEFT_TOKENIZERS", "/opt/tokenizers")
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -188,4 +190,4 @@ def count(documents: DataFrame, ident: str = "doc_id", text: str = "text", folde
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode(read_spread(spark, f"{sf_dir}/documents.parquet"))

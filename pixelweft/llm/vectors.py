@@ -13,9 +13,8 @@ from ..functions.embedding import usable as well_formed
 def usable(embeddings: DataFrame, models: DataFrame) -> DataFrame:
     """(id, model_id, dim, vector) of usable vectors: finite, not all zero, and of their model's dimension; without a
     model_id, of any model's dimension. A model that ``models`` doesn't list has no dimension. Null ids are left out."""
-    # the table of models is a parameter of the job, a few rows
-    sizes = F.broadcast(models.where("model_id is not null").groupBy("model_id").agg(F.max("dimension").alias("_own")))
-    any_size = F.broadcast(models.where("dimension is not null").select(F.col("dimension").alias("_any")).distinct())
+    sizes = models.where("model_id is not null").groupBy("model_id").agg(F.max("dimension").alias("_own"))
+    any_size = models.where("dimension is not null").select(F.col("dimension").alias("_any")).distinct()
     rows = embeddings.where("id is not null").select("id", "model_id", F.size("vector").alias("dim"), "vector").where(well_formed(F.col("vector")))
     named = rows.join(sizes, "model_id").where("dim = _own").select("id", "model_id", "dim", "vector")
     free = rows.where("model_id is null").join(any_size, F.col("dim") == F.col("_any"), "left_semi")
