@@ -57,9 +57,14 @@ def clamp01(x: Column, weights: tuple[float, ...] = ()) -> Column:
 
 
 def score_only(a: Column, b: Column, threshold: int = DEFAULT_BLOCK_DISTANCE_THRESHOLD, global_weight: float = DEFAULT_GLOBAL_WEIGHT, block_weight: float = DEFAULT_BLOCK_WEIGHT, unrolled: bool = True) -> Column:
-    """Weighted global and block similarity of two ``struct<global_hash, block_hashes>``, clamped."""
+    """Weighted global and block similarity of two ``struct<global_hash, block_hashes>``, clamped; null without a global hash."""
     g = hash_similarity(hamming(a["global_hash"], b["global_hash"]))
-    return clamp01(f32(global_weight) * g + f32(block_weight) * block_similarity(a["block_hashes"], b["block_hashes"], threshold, unrolled), (global_weight, block_weight))
+    blend = f32(global_weight) * g + f32(block_weight) * block_similarity(a["block_hashes"], b["block_hashes"], threshold, unrolled)
+    return F.when(_hashed(a, b), clamp01(blend, (global_weight, block_weight)))
+
+
+def _hashed(a: Column, b: Column) -> Column:
+    return a["global_hash"].isNotNull() & b["global_hash"].isNotNull()
 
 
 def _result(score: Column, exact: Column, distance: Column) -> Column:
@@ -80,7 +85,8 @@ def compare_single(a: Column, b: Column, threshold: int = DEFAULT_BLOCK_DISTANCE
 
 def compare_multi(a: Column, b: Column, config: MultiHashConfig | None = None) -> Column:
     """Similarity of two ``struct<exact, ahash, phash, dhash>``: clamped weighted sum of the three scores, each clamped
-    before; the distance is the weighted mean of the global distances, truncated, 0 where the weights add up to 0 or less."""
+    before; the distance is the weighted mean of the global distances, truncated, 0 where the weights add up to 0 or less.
+    Score and distance are null where a global hash is missing, unless the exact hashes are equal."""
     c = config or MultiHashConfig()
     algorithms = (HashAlgorithm.AHASH, HashAlgorithm.PHASH, HashAlgorithm.DHASH)
     scores = [f32(c.weight(x)) * score_only(a[x.field], b[x.field], c.block_distance_threshold, c.global_weight, c.block_weight, False) for x in algorithms]
@@ -88,7 +94,9 @@ def compare_multi(a: Column, b: Column, config: MultiHashConfig | None = None) -
     weights = reduce(lambda x, y: f32(x + y), (f32(c.weight(x)) for x in algorithms))
     mean = f32(reduce(add, distances) / weights)
     distance = F.when(weights > f32(0.0), mean.cast("int")).otherwise(0)
-    return _result(clamp01(reduce(add, scores), (c.ahash_weight, c.phash_weight, c.dhash_weight, c.global_weight, c.block_weight)), a["exact"] == b["exact"], distance)
+    whole = reduce(lambda x, y: x & y, (_hashed(a[x.field], b[x.field]) for x in algorithms))
+    score = F.when(whole, clamp01(reduce(add, scores), (c.ahash_weight, c.phash_weight, c.dhash_weight, c.global_weight, c.block_weight)))
+    return _result(score, a["exact"] == b["exact"], distance)
 
 
 def is_similar(similarity: Column, threshold: float, strict: bool = True) -> Column:

@@ -134,13 +134,14 @@ def median_bits(coefficients: np.ndarray) -> np.ndarray:
 
 
 def phash(x: np.ndarray) -> np.ndarray:
-    """Frequency hash of (…, 32, 32) pixels; 64 x 64 ones are halved first."""
+    """Frequency hash of (…, 32, 32) pixels; 64 x 64 ones are halved first. A pixel that isn't finite gives 0."""
+    finite = np.isfinite(x).all(axis=(-2, -1))
     if x.shape[-1] == BLOCK:
         x = box_halved(x)
     with np.errstate(invalid="ignore", over="ignore"):
         rows = dct_low(x)  # (…, 32, 8)
         low = dct_low(rows.swapaxes(-1, -2))  # (…, column 8, row 8)
-    return median_bits(low.swapaxes(-1, -2).reshape(*x.shape[:-2], 64))
+    return np.where(finite, median_bits(low.swapaxes(-1, -2).reshape(*x.shape[:-2], 64)), 0)
 
 
 HASHES = {"ahash": ahash, "phash": phash, "dhash": dhash}

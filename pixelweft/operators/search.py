@@ -89,3 +89,61 @@ def semantic_search(df: DataFrame, query: DataFrame, score: float | None = 0.85,
     pairs = df.select(F.col(ident).alias("id"), F.col("embedding").alias("e")).join(asked)
     out = pairs.select("query_id", "id", E.cosine(F.col("q"), F.col("e")).alias("score"), E.cosine_error(F.col("q"), F.col("e")).alias("error"))
     return out if score is None else out.where(F.col("score") >= f32(score))
+
+
+def cosine_blocks(rows: DataFrame, queries: DataFrame, floor: float = -1.0, k: int | None = None, block: int = 8192) -> DataFrame:
+    """(query_id, id, score) of a query set of any size against all rows, in blocks: both sides (id, vector array) are cut
+    by a hash of their id into blocks of about ``block`` rows, and each pair of blocks is one matrix product. Cosines in
+    DOUBLE, rounded to six places, of at least ``floor``; with ``k`` the best k of each query, ties to the smaller id. Null
+    vectors, zero vectors and vectors of another length than the query have no score and give no row."""
+    import math
+
+    def counted(df: DataFrame) -> int:
+        return max(1, math.ceil(df.count() / block))
+
+    nr, nq = counted(rows), counted(queries)
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    good = lambda df, ident: df.where(E.usable(F.col("vector"))).select(F.col(ident).alias("id"), "vector", F.size("vector").alias("dim"))
+    left = good(rows, "id").select("dim", part(nr).alias("r"), every(nq).alias("q"), "id", "vector")
+    right = good(queries, "id").select("dim", every(nr).alias("r"), part(nq).alias("q"), "id", "vector")
+    right = right.toDF(*(f"_{c}" for c in right.columns)).toDF(*right.columns)
+    keys = ["dim", "r", "q"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_product(round(floor * 1e6), k), "query_id bigint, id bigint, micro int")
+    if k is not None and nr > 1:
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("micro")).alias("less"), "id"))), 1, k)
+        met = met.groupBy("query_id").agg(best.alias("b")).select("query_id", F.explode("b").alias("x")).select("query_id", F.col("x.id").alias("id"), (-F.col("x.less")).alias("micro"))
+    return met.select("query_id", "id", (F.col("micro") / 1e6).alias("score"))
+
+
+def _product(limit: int, k: int | None):  # noqa: ANN202
+    import numpy as np
+    import pyarrow as pa
+
+    def unit(t: pa.Table) -> np.ndarray:
+        x = t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("micro", pa.int32())])
+        if not rows.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        rows = rows.sort_by("id")
+        ids, names = rows["id"].to_numpy(), asked["id"].to_numpy()
+        x, y = unit(rows), unit(asked)
+        found = []
+        for at in range(0, len(y), 256):
+            micro = np.rint((y[at : at + 256] @ x.T) * 1e6).astype(np.int64)
+            ok = micro >= limit
+            if k is not None and k < len(ids):
+                rank = np.where(ok, (micro + 2_000_000) * len(ids) + np.arange(len(ids))[::-1], -1)
+                keep = np.argpartition(-rank, k - 1, axis=1)[:, :k]
+                only = np.zeros_like(ok)
+                np.put_along_axis(only, keep, True, 1)
+                ok &= only
+            i, j = np.nonzero(ok)
+            found.append((names[at + i], ids[j], micro[i, j].astype(np.int32)))
+        return pa.table([np.concatenate(f) for f in zip(*found, strict=True)], schema=schema)
+
+    return run

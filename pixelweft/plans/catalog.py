@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import embedding as E
@@ -510,12 +510,15 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.struct(F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("model_id")).alias("embedding"))
 
 
-@_query("cosine_pairs", "SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0")
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 50."""
+    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rows, rows.where("id % 50 = 0")
+
+
+@_query("cosine_pairs", "SELECT query_id, id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0) WHERE score >= 0.2")
 def _cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 50 against all."""
-    rows = _vectors(spark, d)
-    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding.vector").alias("q"))
-    return asked.join(rows).select("query_id", "id", F.round(E.cosine64(F.col("q"), F.col("embedding.vector")), 6).alias("score"))
+    return search.cosine_blocks(*_asked(spark, d), floor=0.2)
 
 
 _TO_FIRST = "SELECT b.vec_id AS id, round(list_cosine_similarity(a.embedding, b.embedding)::DOUBLE, 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id = 0"
@@ -545,9 +548,8 @@ def _semantic_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("semantic_topk_all", "SELECT query_id, id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE k <= 5")
 def _semantic_topk_all(spark: SparkSession, d: str) -> DataFrame:
-    scored = _cosine_pairs(spark, d).where("query_id <> id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("k", rank).where("k <= 5").select("query_id", "id", "score")
+    # a vector is its own best match, so six are asked for
+    return search.cosine_blocks(*_asked(spark, d), k=6).where("query_id <> id")
 
 
 @_query("semantic_bar", f"SELECT id, repeat('█', s) || repeat('░', 10 - s) AS bar, CASE WHEN score >= 0.95 THEN '★' ELSE '' END AS star FROM (SELECT id, score, greatest(0, least(10, trunc(score * 10)))::BIGINT AS s FROM ({_TO_FIRST}))")
