@@ -32,24 +32,64 @@ def _byte_numbers(b: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.octet_length(b)), lambda i: F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 10).cast("int"))
 
 
-def json_single(fp: Column) -> Column:
-    """JSON with the exact hash as an array of byte values and hashes as unsigned numbers, which may exceed 2^53."""
-    numbers = lambda a: F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
+def _numbers(a: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
+
+
+def _json(exact: Column, hashes: Column) -> Column:
     return F.concat(
-        F.lit('{"exact":'), numbers(_byte_numbers(fp["exact"]).cast("array<string>")),
-        F.lit(',"global_hash":'), unsigned_text(fp["global_hash"]),
-        F.lit(',"block_hashes":'), numbers(F.transform(fp["block_hashes"], unsigned_text)), F.lit("}"),
+        F.lit('{"exact":'), _numbers(_byte_numbers(exact).cast("array<string>")),
+        F.lit(',"global_hash":'), unsigned_text(hashes["global_hash"]),
+        F.lit(',"block_hashes":'), _numbers(F.transform(hashes["block_hashes"], unsigned_text)), F.lit("}"),
     )
 
 
+def json_single(fp: Column) -> Column:
+    """JSON with the exact hash as an array of byte values and hashes as unsigned numbers, which may exceed 2^53."""
+    return _json(fp["exact"], fp)
+
+
+def json_multi(fp: Column) -> Column:
+    """JSON of a multi fingerprint; each algorithm repeats the exact hash."""
+    parts = [F.concat(F.lit(f',"{a.field}":'), _json(fp["exact"], fp[a.field])) for a in HashAlgorithm]
+    return F.concat(F.lit('{"exact":'), _numbers(_byte_numbers(fp["exact"]).cast("array<string>")), *parts, F.lit("}"))
+
+
+_SINGLE_JSON = "exact array<int>, global_hash decimal(20,0), block_hashes array<decimal(20,0)>"
+
+
+def _bytes_of(numbers: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")), ""))
+
+
+def _signed(d: Column) -> Column:
+    return F.conv(F.conv(d.cast("string"), 10, 16), 16, -10).cast("bigint")
+
+
+def _fields_are(text: Column, names: tuple[str, ...]) -> Column:
+    return F.array_sort(F.json_object_keys(text)) == F.array(*(F.lit(n) for n in sorted(names)))
+
+
+def _sizes_fit(x: Column) -> Column:
+    return (F.size(x["exact"]) == 32) & (F.size(x["block_hashes"]) == N_BLOCKS)
+
+
 def parse_json_single(text: Column) -> Column:
     """The fingerprint of ``json_single``. Null where fields are missing or unknown or sizes are wrong."""
-    parsed = F.from_json(text, "exact array<int>, global_hash decimal(20,0), block_hashes array<decimal(20,0)>")
-    word = lambda d: F.conv(F.conv(d.cast("string"), 10, 16), 16, -10).cast("bigint")
-    exact = F.unhex(F.array_join(F.transform(parsed["exact"], lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")), ""))
-    names = F.array_sort(F.json_object_keys(text))
-    ok = (names == F.array(F.lit("block_hashes"), F.lit("exact"), F.lit("global_hash"))) & (F.size(parsed["exact"]) == 32) & (F.size(parsed["block_hashes"]) == N_BLOCKS)
-    return F.when(ok, F.struct(exact.alias("exact"), word(parsed["global_hash"]).alias("global_hash"), F.transform(parsed["block_hashes"], word).alias("block_hashes")))
+    x = F.from_json(text, _SINGLE_JSON)
+    fp = F.struct(_bytes_of(x["exact"]).alias("exact"), _signed(x["global_hash"]).alias("global_hash"), F.transform(x["block_hashes"], _signed).alias("block_hashes"))
+    return F.when(_fields_are(text, ("exact", "global_hash", "block_hashes")) & _sizes_fit(x), fp)
+
+
+def parse_json_multi(text: Column) -> Column:
+    """The multi fingerprint of ``json_multi``. Null where fields are missing or unknown or sizes are wrong."""
+    names = [a.field for a in HashAlgorithm]
+    x = F.from_json(text, "exact array<int>, " + ", ".join(f"{n} struct<{_SINGLE_JSON.replace(' array', ':array').replace(' decimal', ':decimal')}>" for n in names))
+    ok = _fields_are(text, ("exact", *names)) & (F.size(x["exact"]) == 32)
+    for n in names:
+        ok = ok & _sizes_fit(x[n]) & _fields_are(F.get_json_object(text, f"$.{n}"), ("exact", "global_hash", "block_hashes"))
+    hashes = [F.struct(_signed(x[n]["global_hash"]).alias("global_hash"), F.transform(x[n]["block_hashes"], _signed).alias("block_hashes")).alias(n) for n in names]
+    return F.when(ok, F.struct(_bytes_of(x["exact"]).alias("exact"), *hashes))
 
 
 def _turned(text: Column) -> Column:

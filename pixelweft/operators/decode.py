@@ -1,7 +1,7 @@
 """Decoding of encoded pictures: format by magic bytes, guards in a fixed order, pixels, orientation.
 
-PNG, BMP and GIF (first frame) are decoded here. JPEG and WebP need Pillow where it is installed; without it, JPEG files can
-be read by Spark's ``image`` source (``sources.files.decoded_images``), and their bytes give UnsupportedFormat.
+PNG, BMP, GIF (first frame) and JPEG (``jpeg``) are decoded by the library. Pillow is used for JPEG and WebP where it is
+installed; without it, WebP bytes give UnsupportedFormat.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 
 from ..errors import ImageError
 from ..schema import PreprocessConfig
+from .jpeg import decode_jpeg
 
 try:
     from PIL import Image
@@ -400,6 +401,8 @@ def decode_pixels(data: bytes, config: PreprocessConfig) -> np.ndarray:
     kind = sniff(data)
     if kind is None:
         raise ImageError("UnsupportedFormat", "the format isn't known")
+    if kind == "JPEG" and Image is None:
+        return decode_jpeg(data, limit)
     if kind in ("JPEG", "WebP"):
         if Image is None:
             raise ImageError("UnsupportedFormat", f"no {kind} decoder is installed")

@@ -28,6 +28,11 @@ def duplicate_members(df: DataFrame, ident: str, key: str = "exact") -> DataFram
     return df.select(ident, key).join(exact_duplicates(df, ident, key).select(key, "first_id"), key).select(ident, "first_id")
 
 
+def best_first(df: DataFrame, ident: str = "id", score: str = "score") -> DataFrame:
+    """By falling score; ties by id, so that the order is the same on every run."""
+    return df.orderBy(F.desc(score), ident)
+
+
 def singletons(df: DataFrame, key: str = "exact") -> DataFrame:
     """Rows whose key stands in no other row."""
     alone = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(key)

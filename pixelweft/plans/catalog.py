@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import embedding as E
 from ..functions import formatting, hashing
 from ..functions import similarity as S
-from ..functions.u64 import coarse_key, hamming, hex64
+from ..functions.u64 import coarse_key, hamming, hex64, pick
 from ..operators import search
-from ..operators.fingerprint import fingerprint
+from ..operators.fingerprint import fingerprint, single
 from ..schema import N_BLOCKS, HashAlgorithm, MultiHashConfig
 from ..session import read_spread
 from ..sources import files
@@ -320,6 +320,28 @@ def _pod_multi_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _shown(back, F.struct(F.col("m.exact").alias("exact"), F.col("m.dhash.global_hash").alias("global_hash"), F.col("m.dhash.block_hashes").alias("block_hashes")))
 
 
+@_query("json_multi_roundtrip", _SQL["pod_multi_roundtrip"])
+def _json_multi_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = _multis(spark, d).where(F.octet_length("exact") == 32).select("id", formatting.json_multi(search.multi()).alias("j"))
+    back = rows.select("id", formatting.parse_json_multi(F.col("j")).alias("m"))
+    return _shown(back, F.struct(F.col("m.exact").alias("exact"), F.col("m.dhash.global_hash").alias("global_hash"), F.col("m.dhash.block_hashes").alias("block_hashes")))
+
+
+@_query("pick_algorithm", f"SELECT id, lpad(lower(to_hex(CASE id % 3 WHEN 0 THEN ahash.global_hash WHEN 1 THEN phash.global_hash ELSE dhash.global_hash END)), 16, '0') AS global_hash FROM ({_MULTIS})")
+def _pick_algorithm(spark: SparkSession, d: str) -> DataFrame:
+    """The hashes of an algorithm that differs by row."""
+    which = F.element_at(F.array(*(F.lit(a.value) for a in HashAlgorithm)), (F.col("id") % 3).cast("int") + 1)
+    return _multis(spark, d).select("id", hex64(pick(search.multi(), which)["global_hash"]).alias("global_hash"))
+
+
+@_query("single_algorithms", f"SELECT id, a AS algorithm, lpad(lower(to_hex(CASE a WHEN 'AHash' THEN ahash.global_hash WHEN 'PHash' THEN phash.global_hash ELSE dhash.global_hash END)), 16, '0') AS global_hash FROM ({_MULTIS}), (SELECT unnest(['AHash', 'PHash', 'DHash']) AS a)")
+def _single_algorithms(spark: SparkSession, d: str) -> DataFrame:
+    """Multi fingerprints as three single ones."""
+    rows = _multis(spark, d)
+    parts = [single(rows, a).select("id", "algorithm", hex64("global_hash").alias("global_hash")) for a in HashAlgorithm]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @_query("version_gate", "SELECT format_version, count(*) AS n_rows, format_version = 1 AS accepted FROM (SELECT DISTINCT id, format_version FROM fingerprints) GROUP BY 1")
 def _version_gate(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "fingerprints").select("id", "format_version").distinct()
@@ -533,7 +555,7 @@ def _to_first(spark: SparkSession, d: str, score: float | None) -> DataFrame:
 def _semantic_search(spark: SparkSession, d: str) -> DataFrame:
     """The vectors most similar to vector 0, best first."""
     found = _to_first(spark, d, 0.2).select("id", F.round(F.col("score").cast("double"), 4).alias("score")).where("score >= 0.25")
-    return found.orderBy(F.desc("score"), "id")
+    return search.best_first(found)
 
 
 @_query("semantic_search_085", f"SELECT id, score FROM ({_TO_FIRST}) WHERE score >= 0.85")

@@ -106,3 +106,40 @@ def test_blake3_vectors():
     data = bytes(i % 251 for i in range(31744))
     for n, start in ((0, "af1349b9f5f9a1a6a0404dea36dcc949"), (1, "2d3adedff11b61f14c886e35afa03673"), (1023, "10108970eeda3eb932baac1428c7a216"), (1024, "42214739f095a406f3fc83deb889744a"), (1025, "d00278ae47eb27b34faecf67b4fe263f"), (2048, "e776b6028c7cd22a4d0ba182a8bf6220"), (2049, "5f4d72f40d7a5f82b15ca2b2e44b1de3"), (3072, "b98cb0ff3623be03326b373de6b90952"), (31744, "62b6960e1a44bcc1eb1a611a8d6235b6")):
         assert blake3(data[:n]).hex()[:32] == start
+
+
+def jpeg(spark, rgb, progressive):
+    """Encoded by the JVM."""
+    jvm = spark.sparkContext._jvm
+    h, w = rgb.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(w, h, 5 if rgb.ndim == 3 else 10)
+    values = spark.sparkContext._gateway.new_array(jvm.int, rgb.size)
+    for i, v in enumerate(rgb.ravel().tolist()):
+        values[i] = v
+    image.getRaster().setPixels(0, 0, w, h, values)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setProgressiveMode(1 if progressive else 0)
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    stream.flush()
+    return bytes(out.toByteArray())
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+def test_jpeg(spark, tmp_path, progressive):
+    y, x = np.mgrid[0:45, 0:61]
+    colour = np.stack([x * 4 % 256, y * 5 % 256, (x + y) * 2 % 256], -1).astype(np.uint8)
+    blocks = np.kron(np.random.default_rng(0).integers(0, 256, (6, 8, 3)), np.ones((8, 8, 1))).astype(np.uint8)
+    for i, rgb in enumerate((colour, colour[..., 0], blocks)):
+        data = jpeg(spark, rgb, progressive)
+        got = decode.decode(data).astype(int)
+        (tmp_path / f"{i}.jpg").write_bytes(data)
+        r = spark.read.format("image").load(f"file://{tmp_path}/{i}.jpg").select("image.*").first()
+        want = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])[..., ::-1].astype(int)
+        assert got.shape[:2] == rgb.shape[:2] and np.abs(got - want).mean() < 1.5 and np.abs(got - want).max() < 40
+        for cut in (20, len(data) // 3):
+            assert kind(data[:cut]) is not None or cut > 200
+        assert kind(data[: len(data) // 2] + b"\xff\xd9") in (None, "DecodeError")
