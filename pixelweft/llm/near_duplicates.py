@@ -47,7 +47,7 @@ def _coded(bands: DataFrame) -> DataFrame:
     return bands.select("key", (F.col("kind") + F.col("slot") * 2).cast("tinyint").alias("kind"), "id", "value")
 
 
-def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: int = 8, block_threshold: int = 32, target_recall: float = 0.99, crowd: float = 16) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: int = 8, block_threshold: int = 32, target_recall: float = 0.99, crowd: float = 16, copies: int = 1000) -> DataFrame:
     """Pairs (kind, id_a < id_b) of ``fingerprint_records`` rows of one space whose similarity is at least ``score`` and
     that have at least ``min_blocks`` block positions within ``block_threshold``.
 
@@ -56,7 +56,9 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     only pairs with a global distance that can reach the score leave the bands. A group of one band value that would give
     more than ``crowd`` candidates a row (flat pictures share hash values) is banded again by all other hashes, and what
     is still large then is compared in blocks of fixed size, so nothing is dropped. Candidates are verified on the full hashes.
-    Records of equal exact hash have the score 1 and meet in a band of their own. Finally classes are expanded to rows.
+    Records of equal exact hash have the score 1 and meet by it. Finally classes are expanded to rows; of more than
+    ``copies`` exact copies (equal content, or equal bytes) each is paired with the one of the smallest id only, which also
+    stands for them in pairs with others, since all pairs of a crowd of copies say no more than that.
 
     Null, empty or malformed hashes: see ``comparable``. Repeated rows of one id, with equal values, count once. Empty
     tables give an empty result. Extra columns are ignored.
@@ -92,25 +94,30 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
         .where(kept_blocks(F.col("ha")["blocks"], F.col("hb")["blocks"], block_threshold) >= min_blocks)
         .select("kind", F.col("a").alias("cid_a"), F.col("b").alias("cid_b"))
     )
-    members = scratch.table(records.join(classes, content).select("kind", "space", "id", "exact", "cid").distinct(), "members")
-    of = lambda s: members.select("kind", F.col("cid").alias(f"cid_{s}"), F.col("id").alias(f"id_{s}"))
+    members = records.join(classes, content).select("kind", "space", "id", "exact", "cid").distinct()
+    sizes = members.groupBy("kind", "cid").agg(F.count(F.lit(1)).alias("n"))
+    members = scratch.table(members.join(sizes, ["kind", "cid"]), "members")
+    # of a crowd of copies only the representative stands for it
+    shown = members.where((F.col("n") <= copies) | (F.col("id") == F.col("cid")))
+    of = lambda s: shown.select("kind", F.col("cid").alias(f"cid_{s}"), F.col("id").alias(f"id_{s}"))
     across = verified.join(of("a"), ["kind", "cid_a"]).join(of("b"), ["kind", "cid_b"]).select("kind", "id_a", "id_b")
-
-    several = members.groupBy("kind", "cid").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("kind", "cid")
-    copies = members.join(several, ["kind", "cid"], "left_semi")
-    within = copies.select("kind", "cid", F.col("id").alias("id_a")).join(copies.select("kind", "cid", F.col("id").alias("id_b")), ["kind", "cid"]).where("id_a < id_b").select("kind", "id_a", "id_b")
+    several = members.where((F.col("n") > 1) & (F.col("n") <= copies))
+    within = several.select("kind", "cid", F.col("id").alias("id_a")).join(several.select("kind", "cid", F.col("id").alias("id_b")), ["kind", "cid"]).where("id_a < id_b").select("kind", "id_a", "id_b")
+    crowds = members.where((F.col("n") > copies) & (F.col("id") != F.col("cid"))).select("kind", F.col("cid").alias("id_a"), F.col("id").alias("id_b"))
 
     same = ["kind", "space", "exact"]
-    mixed = members.where("exact is not null").groupBy(*same).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select(*same)
-    twins = members.join(mixed, same, "left_semi").join(hashes, ["kind", "cid"]).select(*same, "id", "cid", "h")
-    left, right = (twins.select(*same, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cid", "h"))) for s in "ab")
+    mixed = members.where("exact is not null").groupBy(*same).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("twins"), F.min("id").alias("lead")).where("lo < hi").select(*same, "twins", "lead")
+    twins = members.join(mixed, same).join(hashes, ["kind", "cid"]).select(*same, "id", "cid", "h", "twins", (F.col("id") == F.col("lead")).alias("first"))
+    left, right = (twins.select(*same, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cid", "h", "twins", "first"))) for s in "ab")
     equal = (
-        left.join(right, same)
+        left.where((F.col("twins_a") <= copies) | F.col("first_a"))
+        .join(right, same)
         .where("id_a < id_b and cid_a <> cid_b")
         .where(kept_blocks(F.col("h_a")["blocks"], F.col("h_b")["blocks"], block_threshold) >= min_blocks)
         .select("kind", "id_a", "id_b")
     )
-    return across.unionByName(within).unionByName(equal).where("id_a <> id_b").select("kind", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    found = across.unionByName(within).unionByName(crowds).unionByName(equal).where("id_a <> id_b")
+    return found.select("kind", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,16 @@ def test_copies_repeats_and_equal_bytes(spark):
     assert sorted(found(spark, rows)) == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (3, 5), (4, 5), (4, 6)]
 
 
+def test_crowds_of_copies_are_stars(spark):
+    g, b = np.uint64(3), [np.uint64(2**63 + k) for k in range(16)]
+    near = [b[0] ^ np.uint64(1), *b[1:]]
+    rows = [row(i, g, b) for i in range(10, 40)] + [row(50, g, near), row(51, g, near)]
+    got = found(spark, rows, copies=5)
+    assert sorted(got) == sorted([(10, i) for i in range(11, 40)] + [(10, 50), (10, 51), (50, 51)])
+    alike = [row(i, np.uint64(i), [x ^ np.uint64(2**i) for x in b], b"e" * 32) for i in range(12)]
+    assert {(0, i) for i in range(1, 12)} <= set(found(spark, alike, copies=5))
+
+
 def test_crowded_values_lose_nothing(spark):
     rng = np.random.default_rng(6)
     rows = []
