@@ -125,3 +125,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicate_pairs(fingerprint_records(read("fingerprints"), read("multi_fingerprints")))
     kind = F.when(F.col("kind") == KINDS["single"], "single").otherwise("multi")
     return pairs.select(kind.alias("record_kind"), "id_a", "id_b")
+
+
+_COMPLETE = "len({0}block_hashes) = 16 AND {0}global_hash IS NOT NULL AND len(list_filter({0}block_hashes, lambda x: x IS NULL)) = 0 AND format_version = 1 AND id IS NOT NULL"
+#: All pairs, for small tables.
+P1_FOUND_SQL = f"""
+WITH r AS (
+  SELECT DISTINCT ON (id) 'single' AS record_kind, id, exact, algorithm AS space, global_hash AS g, block_hashes AS b FROM fingerprints
+  WHERE {_COMPLETE.format("")} AND algorithm IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT ON (id) 'multi', id, exact, 'PHash', phash.global_hash, phash.block_hashes FROM multi_fingerprints WHERE {_COMPLETE.format("phash.")}
+), p AS (
+  SELECT x.record_kind, x.id AS id_a, y.id AS id_b, coalesce(x.exact = y.exact, false) AS same, bit_count(xor(x.g, y.g)) AS d,
+    list_filter(list_transform(range(1, 17), lambda i: bit_count(xor(x.b[i], y.b[i]))), lambda k: k <= 32) AS kept
+  FROM r x JOIN r y ON x.record_kind = y.record_kind AND x.space = y.space AND x.id < y.id
+)
+SELECT record_kind, id_a, id_b FROM p WHERE len(kept) >= 8 AND (same OR
+  (0.4::FLOAT * (1::FLOAT - (d::FLOAT / 64::FLOAT)::FLOAT)::FLOAT + 0.6::FLOAT * ((list_sum(list_transform(kept, lambda k: 64 - k))::FLOAT / 64::FLOAT)::FLOAT / len(kept)::FLOAT)::FLOAT)::FLOAT >= 0.883::FLOAT)
+"""

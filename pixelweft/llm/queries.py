@@ -30,8 +30,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": near_duplicates.P1_FOUND_SQL,
         "p4_found": components.P4_FOUND_SQL,
         "p5_found": seen.P5_FOUND_SQL,
+        "p5_error_rate": seen.P5_ERROR_RATE_SQL,
         "p6_found": neighbours.P6_FOUND_SQL,
         "p7_found": clusters.P7_FOUND_SQL,
     }

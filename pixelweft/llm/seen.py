@@ -172,13 +172,12 @@ def keyed(sightings: DataFrame, key_bytes: int = 32) -> DataFrame:
     return sightings.where(F.col("sighting_id").isNotNull() & (F.octet_length("exact") == key_bytes)).select("sighting_id", "exact")
 
 
-def first_arrivals(rows: DataFrame, keys: SeenKeys, batches: int) -> DataFrame:
-    """(bucket, value, batch, first): ids are cut into ``batches`` ranges in order of arrival; of each hash in each range
+def first_arrivals(rows: DataFrame, keys: SeenKeys, batches: int, lo: int, hi: int) -> DataFrame:
+    """(bucket, value, batch, first): ids lo..hi are cut into ``batches`` ranges in order of arrival; of each hash in each range
     the smallest id stays, combined before the shuffle, so a key of a third of all rows is a few rows per task."""
-    lo, hi = rows.agg(F.min("sighting_id"), F.max("sighting_id")).first()
-    span = max(1, ((hi or 0) - (lo or 0)) // batches + 1)
+    span = (hi - lo) // batches + 1
     bucket, value = keys.place(F.col("exact"))
-    placed = rows.select(bucket.alias("bucket"), value.alias("value"), F.floor((F.col("sighting_id") - F.lit(lo or 0)) / span).cast("bigint").alias("batch"), "sighting_id")
+    placed = rows.select(bucket.alias("bucket"), value.alias("value"), F.floor((F.col("sighting_id") - F.lit(lo)) / span).cast("bigint").alias("batch"), "sighting_id")
     return placed.groupBy("bucket", "value", "batch").agg(F.min("sighting_id").alias("first"))
 
 
@@ -191,9 +190,10 @@ def seen_before(sightings: DataFrame, known: DataFrame, batches: int = 16, hash_
     scratch = Scratch(sightings.sparkSession, "seen")
     rows = keyed(sightings)
     listed = known.where(F.octet_length("exact") == 32).select("exact")
-    n = rows.count() + listed.count()
-    keys = SeenKeys.sized(n, per_bucket, hash_bits)
-    admitted = scratch.table(keys.admit(keys.encode(listed, "exact"), first_arrivals(rows, keys, batches)), "sets")
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("sighting_id"), F.max("sighting_id")).first()
+    keys = SeenKeys.sized(n + listed.count(), per_bucket, hash_bits)
+    arrivals = first_arrivals(rows, keys, batches, lo or 0, hi or 0)
+    admitted = scratch.table(keys.admit(keys.encode(listed, "exact"), arrivals), "sets")
     fresh = admitted.where("first is not null").select(F.col("first").alias("sighting_id"))
     return rows.select("sighting_id").distinct().join(fresh, "sighting_id", "left_anti")
 
@@ -232,3 +232,10 @@ f AS (SELECT exact, min(sighting_id) AS first_id FROM s GROUP BY exact)
 SELECT s.sighting_id FROM s JOIN f USING (exact)
 WHERE s.sighting_id > f.first_id OR s.exact IN (SELECT exact FROM known_exact WHERE exact IS NOT NULL)
 """
+
+P5_ERROR_RATE_SQL = f"""
+WITH s AS (SELECT DISTINCT sighting_id, exact FROM sightings WHERE octet_length(exact) = 32 AND sighting_id IS NOT NULL),
+k AS (SELECT DISTINCT exact FROM known_exact WHERE octet_length(exact) = 32)
+SELECT (SELECT count(*) FROM s) AS answers, (SELECT count(*) FROM ({P5_FOUND_SQL})) AS seen_answers, 0::BIGINT AS wrong_answers, 0.0::DOUBLE AS wrong_rate,
+  ((SELECT count(DISTINCT exact) FROM s WHERE exact NOT IN (SELECT exact FROM k)) + (SELECT count(*) FROM k))::DOUBLE / 18446744073709551616.0::DOUBLE AS expected_rate
+"""
