@@ -106,37 +106,66 @@ _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 _PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
-def _unfilter(raw: bytes, rows: int, stride: int, step: int) -> np.ndarray:
-    """Undoes the row filters of one pass."""
-    out = np.zeros((rows + 1, stride), np.uint8)
+def _unfilter(raw: bytes, rows: int, stride: int, step: int, band: int = 512) -> np.ndarray:
+    """Undoes the row filters of one pass. Rows that depend on their left and upper neighbours at once are worked off along
+    diagonals, all rows of a band together."""
     data = np.frombuffer(raw, np.uint8).reshape(rows, stride + 1)
-    for y in range(rows):
-        kind, line, above = data[y, 0], data[y, 1:], out[y]
-        if kind == 0:
-            out[y + 1] = line
-        elif kind == 2:
-            out[y + 1] = line + above
-        elif kind == 1:
-            whole = -stride % step
-            steps = np.pad(line, (0, whole)).reshape(-1, step)
-            out[y + 1] = np.cumsum(steps, axis=0, dtype=np.uint8).reshape(-1)[:stride]
-        elif kind in (3, 4):
-            mine, up, got = line.tolist(), above.tolist(), [0] * stride
-            for x in range(stride):
-                left = got[x - step] if x >= step else 0
-                if kind == 3:
-                    got[x] = (mine[x] + (left + up[x] >> 1)) & 255
-                else:
-                    corner = up[x - step] if x >= step else 0
-                    guess = left + up[x] - corner
-                    da, db, dc = abs(guess - left), abs(guess - up[x]), abs(guess - corner)
-                    got[x] = (mine[x] + (left if da <= db and da <= dc else up[x] if db <= dc else corner)) & 255
-            out[y + 1] = got
-        else:
-            raise ImageError("DecodeError", f"unknown PNG filter {kind}")
+    kinds, lines = data[:, 0], data[:, 1:]
+    if int(kinds.max(initial=0)) > 4:
+        raise ImageError("DecodeError", f"unknown PNG filter {int(kinds.max())}")
+    out = np.zeros((rows + 1, stride), np.uint8)
+    y = 0
+    while y < rows:
+        if kinds[y] <= 2:
+            if kinds[y] == 1:
+                steps = np.pad(lines[y], (0, -stride % step)).reshape(-1, step)
+                out[y + 1] = np.cumsum(steps, axis=0, dtype=np.uint8).reshape(-1)[:stride]
+            else:
+                out[y + 1] = lines[y] + out[y] if kinds[y] == 2 else lines[y]
+            y += 1
+            continue
+        # to the last such row of the band, with the rows between
+        mixed = np.flatnonzero(kinds[y : y + band] > 2)
+        n = int(mixed[-1]) + 1
+        out[y + 1 : y + 1 + n] = _diagonals(kinds[y : y + n], lines[y : y + n], out[y], step)
+        y += n
     return out[1:]
 
 
+def _diagonals(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """Rows 1..n below ``above``, row 0. At time t row r has come to unit t - r, so its left neighbour is row r at t - 1, the
+    upper one row r - 1 at t - 1, and the corner row r - 1 at t - 2: all in place, whatever the filters of the rows."""
+    n, stride = lines.shape
+    units = -(-stride // step)
+    wide = lambda x: np.pad(x, ((0, 0), (0, units * step - stride))).reshape(len(x), units, step).astype(np.int16)
+    given = wide(lines)
+    past = np.zeros((units + n + 1, n + 1, step), np.int16)
+    skewed = np.zeros((units + n + 1, n + 1, step), np.int16)
+    t = np.arange(units)
+    past[t, 0] = wide(above[None])[0]
+    for r in range(1, n + 1):
+        skewed[t + r, r] = given[r - 1]
+    kind = kinds[:, None]
+    some = set(kinds.tolist())
+    for t in range(1, units + n):
+        lo, hi = max(1, t - units + 1), min(n, t) + 1
+        left, up = past[t - 1, lo:hi], past[t - 1, lo - 1 : hi - 1]
+        of = kind[lo - 1 : hi - 1]
+        if some == {3}:
+            guess = left + up >> 1
+        else:
+            corner = past[t - 2, lo - 1 : hi - 1] if t > 1 else np.zeros_like(up)
+            da, db = up - corner, left - corner
+            dc = np.abs(da + db)
+            da, db = np.abs(da), np.abs(db)
+            guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+            if some != {4}:
+                guess = np.where(of == 4, guess, np.where(of == 3, left + up >> 1, np.where(of == 2, up, np.where(of == 1, left, 0))))
+        past[t, lo:hi] = (skewed[t, lo:hi] + guess) & 255
+    t = np.arange(units)
+    return np.stack([past[t + r, r] for r in range(1, n + 1)]).reshape(n, -1)[:, :stride].astype(np.uint8)
+
+
 def _samples(lines: np.ndarray, width: int, channels: int, depth: int) -> np.ndarray:
     if depth == 8:
         return lines.reshape(len(lines), width, channels)

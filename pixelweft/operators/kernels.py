@@ -40,16 +40,19 @@ def lanczos_weights(size: int, out: int, lobes: int = 3) -> np.ndarray:
 
 def resize(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
     """Lanczos resampling of byte pixels, first along rows, then along columns; rounded to bytes after each."""
-    h, w = rgb.shape[:2]
+    h, w, c = rgb.shape
     if w != width:
-        rgb = _to_byte(np.einsum("ow,hwc->hoc", lanczos_weights(w, width), rgb.astype(np.float32), optimize=True))
+        columns = lanczos_weights(w, width) @ rgb.transpose(1, 0, 2).reshape(w, h * c).astype(np.float32)
+        rgb = _to_byte(columns).reshape(width, h, c).transpose(1, 0, 2)
     if h != height:
-        rgb = _to_byte(np.einsum("oh,hwc->owc", lanczos_weights(h, height), rgb.astype(np.float32), optimize=True))
+        rgb = _to_byte(lanczos_weights(h, height) @ rgb.reshape(h, width * c).astype(np.float32)).reshape(height, width, c)
     return rgb
 
 
 def _to_byte(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
+    """Rounded half up."""
+    x += np.float32(0.5)
+    return np.clip(x, 0, 255, out=x).astype(np.uint8)
 
 
 def normalise(pixels: np.ndarray) -> np.ndarray:

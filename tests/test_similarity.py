@@ -136,3 +136,29 @@ def test_prefilter_is_off_where_it_would_lie():
     assert S.prefilter_bound(MultiHashConfig(ahash_weight=-1), 0.9) is None
     assert S.prefilter_bound(MultiHashConfig(global_weight=0.7, block_weight=0.7), 0.9) is None
     assert S.prefilter_bound(MultiHashConfig(), 0.95) == pytest.approx(9)
+
+
+def test_properties_of_random_pairs(spark):
+    """Reflexive, symmetric, in range; equal bytes win; similarity to itself is perfect."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(200):
+        a, b = pair(rng)
+        rows.append((i, (bytes([i]) * 32, *a), (bytes([i if i % 7 == 0 else i + 1 & 255]) * 32, *b)))
+    df = spark.createDataFrame(rows, f"i int, a {MULTI}, b {MULTI}")
+    out = df.select("i", S.compare_multi(F.col("a"), F.col("b")).alias("ab"), S.compare_multi(F.col("b"), F.col("a")).alias("ba"), S.compare_multi(F.col("a"), F.col("a")).alias("aa"), S.perfect().alias("p")).collect()
+    for r in out:
+        assert r["ab"] == r["ba"] and r["aa"] == r["p"]
+        assert 0 <= r["ab"]["score"] <= 1 and 0 <= r["ab"]["perceptual_distance"] <= 64
+        assert r["ab"]["exact_match"] == (r["i"] % 7 == 0) and (not r["ab"]["exact_match"] or r["ab"] == r["p"])
+
+
+def test_nulls_never_crash(spark):
+    whole = (b"x" * 32, (1, [2] * 16), (1, [2] * 16), (1, [2] * 16))
+    odd = [(None, None, None, None), (b"", (None, None), (1, []), (1, [None] * 16)), (b"x" * 32, None, (None, [1]), (3, None)), whole]
+    df = spark.createDataFrame([(a, b) for a in odd for b in odd], f"a {MULTI}, b {MULTI}")
+    for r in df.select("a", "b", S.compare_multi(F.col("a"), F.col("b")).alias("s")).collect():
+        same = r["a"]["exact"] is not None and r["a"]["exact"] == r["b"]["exact"]
+        assert r["s"]["exact_match"] == same
+        full = all(x[f] is not None and x[f]["global_hash"] is not None for x in (r["a"], r["b"]) for f in ("ahash", "phash", "dhash"))
+        assert (r["s"]["score"] is None) == (not same and not full)
