@@ -95,7 +95,7 @@ class Search:
 
     k: int = 5
     floor: float = 0.80
-    list_size: int = 256
+    list_size: int = 512
     replica_ratio: float = 1.05
     probe_ratio: float = 1.15
     chunk: int = 2048
@@ -132,7 +132,8 @@ def _placed(rows: DataFrame, shared: object, search: Search) -> DataFrame:
             dims = table["dim"].to_numpy()
             for dim in np.unique(dims):
                 own = table.filter(pa.array(dims == dim))
-                for part in own.to_batches(max_chunksize=1024):
+                # cosines to all centroids are held for one part: 16 MB at most
+                for part in own.to_batches(max_chunksize=max(64, min(1024, 2_000_000 // len(shared.value[int(dim)].centroids)))):
                     yield from place(int(dim), part)
 
     def place(dim: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
