@@ -26,7 +26,7 @@ _BETWEEN = frozenset(("of", "the", "a", "an", "de", "del", "la", "le", "du", "de
 
 def lines_of(text: str) -> list[str]:
     """Lines that carry content. A JSON export is read as the text it quotes; headers and hunk marks are left out."""
-    if text.lstrip("﻿​\x0c ").startswith('{"'):
+    if text.lstrip("\ufeff\u200b\x0c ").startswith('{"'):
         text = text.replace("\\r", "").replace("\\n", "\n").replace("\\t", "\t").replace('\\"', '"')
         text = re.sub(r'"(commit|author)":"[^"]*",?', "", text)
     out = []

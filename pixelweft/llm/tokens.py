@@ -24,7 +24,7 @@ VOCABULARIES = os.environ.get("PIXELWEFT_TOKENIZERS", "/opt/tokenizers")
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 # White space as Unicode defines it, and the pattern that splits text into pieces before byte pairs merge.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
