@@ -473,13 +473,9 @@ def _box(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.transform(hashing.box_halved(F.col("v")), lambda x: F.round(x.cast("double"), 5)).alias("v"))
 
 
-@_query("phash_rasters")
-def _phash_rasters(spark: SparkSession, d: str) -> DataFrame:
-    """Frequency hashes of the synthetic pictures by the numpy kernel."""
-    return _kernel_rasters(spark, d)
-
-
 def _kernel_rasters(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, hashes of the centre, gap): the numpy kernels on the synthetic pictures. ``gap`` is the distance of the
+    median coefficient, in DOUBLE, to the next ones: below the rounding of 32 bits it says that a bit is a toss-up."""
     from collections.abc import Iterator
 
     import numpy as np
@@ -487,17 +483,51 @@ def _kernel_rasters(spark: SparkSession, d: str) -> DataFrame:
 
     from ..operators import kernels
 
+    fields = [a.field for a in HashAlgorithm]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, c = np.arange(256, dtype=np.int64)[:, None], np.arange(256, dtype=np.int64)[None]
+        basis = np.cos(np.pi * (2 * np.arange(32)[None] + 1) * np.arange(8)[:, None] / 64)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 p, q = (batch.column(n).to_numpy().astype(np.int64)[:, None, None] for n in ("p", "q"))
-                found = kernels.fingerprint(((r * r * p + c * q + r * c) % 256).astype(np.uint8))
-                yield pa.record_batch([batch.column("doc_id"), *(pa.array(found[a.field][0]) for a in HashAlgorithm)], names=["doc_id", *(a.field for a in HashAlgorithm)])
+                grey = ((r * r * p + c * q + r * c) % 256).astype(np.uint8)
+                found = kernels.fingerprint(grey)
+                low = np.sort((basis @ kernels.global_region(grey).astype(np.float64) @ basis.T / 256).reshape(len(grey), 64), axis=1)
+                gap = np.minimum(low[:, 32] - low[:, 31], low[:, 33] - low[:, 32])
+                yield pa.record_batch([batch.column("doc_id"), *(pa.array(found[f][0]) for f in fields), pa.array(gap)], names=["doc_id", *fields, "gap"])
+
+    return rasters.documents(spark, d).mapInArrow(run, "doc_id bigint, ahash bigint, phash bigint, dhash bigint, gap double")
+
+
+@_query("phash_rasters")
+def _phash_rasters(spark: SparkSession, d: str) -> DataFrame:
+    return _kernel_rasters(spark, d).select("doc_id", *(hex64(a.field).alias(a.field) for a in HashAlgorithm))
+
+
+@_query(
+    "phash_global",
+    f"""WITH x AS (SELECT doc_id, list_transform({_list('112 + i // 32', '112 + i % 32', 1024)}, lambda y: y::DOUBLE) AS x FROM {rasters.SQL_DOCUMENTS}),
+    t AS (SELECT doc_id, list_transform(range(256), lambda k: list_sum(list_transform(range(32), lambda c: x[(k // 8) * 32 + c + 1] * cos((2 * c + 1) * (k % 8) * pi() / 64)))) AS t FROM x),
+    f AS (SELECT doc_id, list_transform(range(64), lambda k: list_sum(list_transform(range(32), lambda r: t[r * 8 + k % 8 + 1] * cos((2 * r + 1) * (k // 8) * pi() / 64))) / 256) AS c FROM t),
+    m AS (SELECT doc_id, c, list_sort(c) AS s FROM f)
+    SELECT doc_id, array_to_string(list_transform(c, lambda v: CASE WHEN v >= s[33] THEN '1' ELSE '0' END), '') AS bits FROM m WHERE least(s[33] - s[32], s[34] - s[33]) >= 1e-6""",
+)
+def _phash_global(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency hashes, where the median isn't a toss-up in 32 bits."""
+    return _kernel_rasters(spark, d).where("gap >= 1e-6").select("doc_id", _bits(F.col("phash")).alias("bits"))
+
+
+@_query("kernel_ahash", _SQL["ahash_global"])
+def _kernel_ahash(spark: SparkSession, d: str) -> DataFrame:
+    """The kernel must give the bits of the native stages."""
+    return _kernel_rasters(spark, d).select("doc_id", _bits(F.col("ahash")).alias("bits"))
+
 
-    hashes = rasters.documents(spark, d).mapInArrow(run, "doc_id bigint, ahash bigint, phash bigint, dhash bigint")
-    return hashes.select("doc_id", *(hex64(a.field).alias(a.field) for a in HashAlgorithm))
+@_query("kernel_dhash", _SQL["dhash_global"])
+def _kernel_dhash(spark: SparkSession, d: str) -> DataFrame:
+    return _kernel_rasters(spark, d).select("doc_id", _bits(F.col("dhash")).alias("bits"))
 
 
 # ---------------------------------------------------------------- embeddings
