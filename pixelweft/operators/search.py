@@ -9,6 +9,8 @@ from ..functions import embedding as E
 from ..functions.similarity import compare_multi, f32, prefilter_bound
 from ..functions.u64 import coarse_key, hamming
 from ..schema import HashAlgorithm, MultiHashConfig, checked_threshold
+from ..session import Scratch
+from . import pairwise
 
 
 def multi(prefix: str = "") -> Column:
@@ -61,6 +63,27 @@ def near_duplicates_in_buckets(df: DataFrame, ident: str, score: float = 0.95, a
     return scored(pairs, t, config).select("id_a", "id_b", "similarity")
 
 
+def _packed(df: DataFrame, ident: str, blocks: bool = True) -> DataFrame:
+    return df.select(F.col(ident).alias("id"), pairwise.packed(*(F.col(a.field) for a in HashAlgorithm), blocks=blocks).alias("h"))
+
+
+def near_duplicates(df: DataFrame, ident: str, score: float = 0.95, config: MultiHashConfig | None = None, block: int = 16384) -> DataFrame:
+    """All pairs (id_a < id_b, similarity) with at least the score, as comparing each row with each other gives them. Rows
+    are compared in blocks (``pairwise``), so the work grows as the square of the rows; rows of equal exact hash meet by
+    it. A repeated id counts once."""
+    config = config or MultiHashConfig()
+    t = checked_threshold(score)
+    rows = Scratch(df.sparkSession, "pairs").table(df.where(F.col(ident).isNotNull()).dropDuplicates([ident]).select(ident, "exact", *(a.field for a in HashAlgorithm)), "rows")
+    # of unrelated pairs hardly any is below 20, so blocks needn't go along
+    bound = prefilter_bound(config, t)
+    close = pairwise.close_pairs(_packed(rows, ident, bound is None or bound > 20), t, pairwise.multi_weights(config), config, block=block)
+    copies = rows.where(F.col("exact").isNotNull()).select("exact", F.col(ident).alias("a"))
+    met = close.unionByName(copies.join(copies.withColumnRenamed("a", "b"), "exact").where("a < b").select("a", "b"))
+    met = met.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+    side = lambda s: rows.select(F.col(ident).alias(f"id_{s}"), multi().alias(f"f{s}"))
+    return scored(met.join(side("a"), "id_a").join(side("b"), "id_b"), t, config).select("id_a", "id_b", "similarity")
+
+
 def scored(pairs: DataFrame, score: float, config: MultiHashConfig | None = None) -> DataFrame:
     """Adds similarity to pairs (fa, fb) and keeps those with at least the score. A pair whose global distances rule the
     score out isn't compared block by block."""

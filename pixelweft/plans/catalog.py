@@ -240,6 +240,19 @@ _near_query("near_duplicates_singletons", "WHERE exact IN (SELECT exact FROM m G
 _near_query("near_duplicates_representative", "WHERE (exact, id) IN (SELECT (exact, min(id)) FROM m WHERE exact IS NOT NULL GROUP BY exact)", lambda df: search.representatives(df.where("exact is not null"), "id"))
 
 
+def _near_all_query(name: str, where: str, prepare: Callable[[DataFrame], DataFrame], score: float = 0.9) -> None:
+    """All pairs, without the bucket; the SQL compares every row with every other."""
+
+    @_query(name, _sql_near(where, score).replace("x.k = y.k AND ", ""))
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        pairs = search.near_duplicates(prepare(_multis(spark, d)), "id", score)
+        return pairs.select("id_a", "id_b", _six(F.col("similarity.score")).alias("score"), F.col("similarity.exact_match").alias("exact_match"), F.col("similarity.perceptual_distance").alias("perceptual_distance"))
+
+
+_near_all_query("near_duplicates_singletons_all", "WHERE exact IN (SELECT exact FROM m GROUP BY exact HAVING count(*) = 1)", lambda df: search.singletons(df.where("exact is not null")))
+_near_all_query("near_duplicates_representative_all", "WHERE (exact, id) IN (SELECT (exact, min(id)) FROM m WHERE exact IS NOT NULL GROUP BY exact)", lambda df: search.representatives(df.where("exact is not null"), "id"))
+
+
 @_query("exact_duplicates", "SELECT lower(hex(exact)) AS exact, count(*) AS members, min(id) AS first_id FROM (SELECT DISTINCT id, exact FROM fingerprints WHERE exact IS NOT NULL) GROUP BY 1 HAVING count(*) > 1")
 def _exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "fingerprints").select("id", "exact").distinct()

@@ -143,6 +143,42 @@ def test_duplicates(spark, prints):
     assert search.scored(pairs, 0.75, MultiHashConfig(global_weight=0.9, block_weight=0.9)).count() >= plain
 
 
+def prints_of(rng, n):
+    """Rows (id text, exact, three algorithms): families of alike pictures, some with a null block or without a hash."""
+    rows = []
+    for k in range(n):
+        base = rng.integers(-(2**63), 2**63, (3, 17))
+        for m in range(3):
+            h = base.copy()
+            for x in h.reshape(-1)[:, None]:
+                for b in rng.integers(0, 64, rng.integers(0, 7)):
+                    x[0] ^= np.int64(np.uint64(1) << np.uint64(b))
+            if m == 1:
+                h[:, 0] ^= np.int64(-(2**63))  # unlike in the top bit
+            parts = [(int(a[0]), [int(v) for v in a[1:]]) for a in h]
+            if k % 9 == 0:
+                parts[0][1][3] = None
+            if k % 11 == 0 and m == 2:
+                parts[1] = (None, parts[1][1])
+            rows.append((f"p{3 * k + m:04d}", bytes([k % 250, m if k % 5 else 0]), *parts))
+    hashes = "struct<global_hash:bigint,block_hashes:array<bigint>>"
+    return rows, f"id string, exact binary, ahash {hashes}, phash {hashes}, dhash {hashes}"
+
+
+def test_near_duplicates_of_all_pairs(spark):
+    df = spark.createDataFrame(*prints_of(np.random.default_rng(3), 40)).repartition(3).cache()
+    side = lambda s: df.select(F.col("id").alias(f"id_{s}"), search.multi().alias(f"f{s}"))
+    every = side("a").join(side("b")).where("id_a < id_b").withColumn("s", search.compare_multi(F.col("fa"), F.col("fb"))).cache()
+    for config, score, block in ((None, 0.9, 16), (None, 0.8, 4096), (None, 0.53, 16), (MultiHashConfig(0.1, 0.6, 0.3, 0.9, 0.9), 0.9, 16)):
+        plain = every if config is None else every.withColumn("s", search.compare_multi(F.col("fa"), F.col("fb"), config))
+        want = {tuple(r) for r in plain.where(F.col("s.score") >= F.lit(score).cast("float")).select("id_a", "id_b").collect()}
+        got = [(r["id_a"], r["id_b"]) for r in search.near_duplicates(df, "id", score, config, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    lossy = search.near_duplicates_in_buckets(df, "id", 0.9).count()
+    assert lossy < search.near_duplicates(df, "id", 0.9).count()
+    assert search.near_duplicates(df.limit(0), "id").collect() == []
+
+
 def test_streams(spark, pictures, tmp_path):
     inbox, out, marks = (tmp_path / x for x in ("in", "out", "marks"))
     inbox.mkdir()
