@@ -126,6 +126,55 @@ def _linker(limit: int, chunk: int, carried: int):  # noqa: ANN202
     return run
 
 
+def _across(limit: int):  # noqa: ANN202
+    """Of the rows of two blocks, the pairs of unlike labels that a similar pair of rows joins."""
+
+    def within(own: pa.Table) -> pa.Table:
+        x, label, name = vectors.matrix(own["vector"]), own["label"].to_numpy(), np.array(own["name"].to_pylist())
+        first, second = (np.flatnonzero(name == own[c][0].as_py()) for c in ("p", "q"))
+        rough = x.astype(np.float32)
+        # single precision finds candidates, with room for its rounding; DOUBLE decides
+        least = np.float32((limit - 0.5) / 1e6 - max(1e-4, 1.2e-7 * x.shape[1]))
+        found = [np.empty((0, 2), np.int64)]
+        for at in range(0, len(first), 512):
+            rows = first[at : at + 512]
+            i, j = np.nonzero(rough[rows] @ rough[second].T >= least)
+            i, j = rows[i], second[j]
+            unlike = label[i] != label[j]
+            i, j = i[unlike], j[unlike]
+            for lo in range(0, len(i), 16384):
+                a, b = i[lo : lo + 16384], j[lo : lo + 16384]
+                ok = np.rint(np.einsum("ij,ij->i", x[a], x[b]) * 1e6) >= limit
+                ends = np.stack([label[a[ok]], label[b[ok]]], axis=1)
+                found.append(np.unique(np.sort(ends, axis=1), axis=0))
+        ends = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"u": ends[:, 1], "v": ends[:, 0]})
+
+    return within
+
+
+def unlike_links(rows: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float, block: int = 16384) -> DataFrame:
+    """(u, v) of all labels (cid, label) that two similar rows (cid, model_id, dim, vector) join, exactly: the rows of a
+    model are cut into blocks, of at most ``block`` rows and about 32 MB on average, and each pair of blocks is one unit of
+    work. A label with enough rows has blocks of its own, so that pairs of blocks of one label are left out."""
+    space = ["model_id", "dim"]
+    most = F.greatest(F.lit(256), F.least(F.lit(block), F.floor(F.lit(8_388_608) / F.col("dim")))) if block > 256 else F.lit(block)
+    known = rows.select("cid", *space).join(labels, "cid")
+    sizes = known.groupBy(*space, "label").agg(F.count(F.lit(1)).alias("n")).withColumn("own", F.when(F.col("n") >= most, F.col("label").cast("string")).otherwise("-"))
+    sizes = scratch.table(sizes, "sizes")
+    blocks = sizes.groupBy(*space, "own").agg(F.ceil(F.sum("n") / F.first(most)).cast("int").alias("blocks"))
+    own = known.join(sizes.drop("n"), [*space, "label"]).join(blocks, [*space, "own"])
+    placed = scratch.table(own.select("cid", *space, "label", F.concat("own", F.lit("/"), F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("string")).alias("name")), "placed")
+    names = scratch.table(placed.groupBy(*space, "name").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "names")
+    end = lambda s: names.select(*space, F.col("name").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+    units = end("p").join(end("q"), space).where("p <= q and least(lo_p, lo_q) < greatest(hi_p, hi_q)").select(*space, "p", "q")
+    units = scratch.table(units, "units")
+    of = units.select(*space, F.explode(F.array_distinct(F.array("p", "q"))).alias("name"), "p", "q")
+    spread = placed.join(rows.select("cid", "vector"), "cid").join(of, [*space, "name"])
+    met = spread.select(*space, "p", "q", "name", "label", "vector").groupBy(*space, "p", "q").applyInArrow(_across(round(similarity * 1e6)), "u bigint, v bigint")
+    return scratch.table(met.distinct(), "links")
+
+
 def propagate(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of each node of edges (u, v): the smallest node it is linked to, directly or through others. Labels
     are the smallest of the neighbours' and then of the label's own label, again and again, until none changes."""
@@ -142,37 +191,42 @@ def propagate(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return moved.select("node", "label")
 
 
-def grid_clusters(rows: DataFrame, scratch: Scratch, similarity: float = 0.80, waves: tuple[int, ...] = WAVES, chunk: int = 4096) -> DataFrame:
+def grid_clusters(rows: DataFrame, scratch: Scratch, similarity: float = 0.80, waves: tuple[int, ...] = WAVES, chunk: int = 4096, block: int = 16384) -> DataFrame:
     """(cid, label) of distinct vectors (cid, model_id, dim, vector): vectors of one model with a cosine of at least
     ``similarity`` share a label, directly or through others.
 
     Each wave counts the cells of some grids. Dense cells (two rows or more) whose rows, adjacent ones included, don't all
-    share a label yet are searched for similar pairs, exactly; the pairs join labels, and the least label is propagated to
-    convergence. A cell of more than ``chunk`` rows is searched chunk by chunk, each with a quarter chunk of the rows
-    before; as every grid cuts a crowd differently, chunks of a crowd meet in others.
+    share a label yet are searched for similar pairs; the pairs join labels, and the least label is propagated to
+    convergence. A cell of more than ``chunk`` rows is searched chunk by chunk, in order of cid, each with a quarter chunk
+    of the cell's first rows. What cells and chunks miss is found at the end, when most rows of clusters share a label:
+    all pairs of rows whose labels differ are compared (``unlike_links``), so the result is exact.
     """
     spark = rows.sparkSession
     place = ["grid", "dim", "model_id", "cell"]
     limit = round(similarity * 1e6)
     labels = scratch.table(rows.select("cid", F.col("cid").alias("label")), "label")
     done = 0
+
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        renamed = propagate(links, scratch).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        after = scratch.table(labels.join(renamed, "label", "left").select("cid", F.coalesce("least", "label").alias("label")), "label")
+        scratch.drop(labels)
+        return after
+
     for count in waves:
         quantised = cells(rows, done, count).drop("home").join(labels, "cid")
         quantised = scratch.table(quantised, "cells")
         mixed = quantised.groupBy(*place).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*place)
         active = quantised.join(mixed, place, "left_semi").join(rows.select("cid", "vector"), "cid")
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = active.select(*place, "label", "vector").repartition(partitions, *place).sortWithinPartitions(*place)
+        ordered = active.select(*place, "cid", "label", "vector").repartition(partitions, *place).sortWithinPartitions(*place, "cid")
         links = scratch.table(ordered.mapInArrow(_linker(limit, chunk, chunk // 4), "u bigint, v bigint").distinct(), "links")
         scratch.drop(quantised)
         done += count
-        if links.isEmpty():
-            continue
-        renamed = propagate(links, scratch).select(F.col("node").alias("label"), F.col("label").alias("least"))
-        after = scratch.table(labels.join(renamed, "label", "left").select("cid", F.coalesce("least", "label").alias("label")), "label")
-        scratch.drop(labels)
-        labels = after
-    return labels
+        if not links.isEmpty():
+            labels = joined(labels, links)
+    links = unlike_links(rows, labels, scratch, similarity, block)
+    return labels if links.isEmpty() else joined(labels, links)
 
 
 def _prepared(embeddings: DataFrame, models: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

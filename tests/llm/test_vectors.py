@@ -142,6 +142,24 @@ def test_crowded_cells_in_chunks(spark):
     assert labels == {0}
 
 
+def labelled(spark, x, **kw):
+    rows = [(i, [float(v) for v in r], "m", "t", "c", 1, "d") for i, r in enumerate(x)]
+    e, m = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("m", x.shape[1])], "model_id string, dimension int")
+    scratch = Scratch(spark, "test")
+    return {r["cid"]: r["label"] for r in clusters.grid_clusters(clusters._prepared(e, m, scratch)[1], scratch, **kw).collect()}
+
+
+def test_crowds_joined_by_one_link(spark):
+    rng = np.random.default_rng(2)
+    crowds = []
+    for _ in range(3):  # two crowds, 37 degrees apart but for the rows at 0 and 36 degrees
+        angle = np.radians(rng.permutation(np.concatenate([rng.uniform(-20, -1, 1500), [0, 36], rng.uniform(37, 56, 1500)])))
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        crowds.append(np.cos(angle)[:, None] * a + np.sin(angle)[:, None] * b)
+    got = labelled(spark, np.concatenate(crowds), chunk=16)
+    assert got == {k: k // 3002 * 3002 for k in range(9006)}
+
+
 def test_subsets(spark):
     rows = make(5)
     good = usable(rows)
