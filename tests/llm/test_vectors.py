@@ -160,6 +160,16 @@ def test_crowds_joined_by_one_link(spark):
     assert got == {k: k // 3002 * 3002 for k in range(9006)}
 
 
+def test_links_at_the_limit_in_many_dimensions(spark):
+    rng = np.random.default_rng(3)
+    x = np.stack([unit(rng, 768) for _ in range(40)])
+    other = rng.standard_normal(x.shape)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    got = labelled(spark, np.concatenate([x, 0.8001 * x + np.sqrt(1 - 0.8001**2) * other, 0.7999 * x - np.sqrt(1 - 0.7999**2) * other]))
+    assert all(got[k] == got[40 + k] == k for k in range(40)) and all(got[k] == k for k in range(80, 120))
+
+
 def test_subsets(spark):
     rows = make(5)
     good = usable(rows)
