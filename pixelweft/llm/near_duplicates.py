@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.similarity import compare_single, f32, kept_blocks
-from ..schema import FORMAT_VERSION, N_BLOCKS, HashAlgorithm
+from ..operators import pairwise
+from ..schema import FORMAT_VERSION, N_BLOCKS, HashAlgorithm, MultiHashConfig
 from ..session import Scratch
 from . import banding
 
@@ -54,8 +55,8 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     Rows of equal content are one class (its smallest id stands for it), so copies aren't banded again. Classes meet in
     min-wise bands (``banding``); a band row carries the global hash, and since the blocks can add at most their weight,
     only pairs with a global distance that can reach the score leave the bands. A group of one band value that would give
-    more than ``crowd`` candidates a row (flat pictures share hash values) is banded again by all other hashes, and what
-    is still large then is compared in blocks of fixed size, so nothing is dropped. Candidates are verified on the full hashes.
+    more than ``crowd`` candidates a row (flat pictures share hash values), or that is large, is compared whole, in blocks of
+    fixed size and by the full score, so no pair that meets in a band is dropped. Candidates are verified on the full hashes.
     Records of equal exact hash have the score 1 and meet by it. Finally classes are expanded to rows; of more than
     ``copies`` exact copies (equal content, or equal bytes) each is paired with the one of the smallest id only, which also
     stands for them in pairs with others, since all pairs of a crowd of copies say no more than that.
@@ -68,7 +69,7 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     content = ["kind", "space", "g", "blocks"]
     classes = scratch.table(records.groupBy(*content).agg(F.min("id").alias("cid")), "classes")
     n = classes.count()
-    plan = banding.plan_bands(n, target_recall)
+    plan = banding.plan_bands(n, target_recall, n_blocks=min_blocks)
     limit = int((1.0 - score) * 64 / 0.4 + 1e-6)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
     kind = F.pmod("kind", F.lit(2)).cast("tinyint").alias("kind")
@@ -76,13 +77,15 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     met = scratch.table(banding.band_pairs(banded, partitions, limit, BLOCK, crowd), "met")
     pairs = met.where("not hot").select(kind, "a", "b")
     if not (hot := met.where("hot")).isEmpty():
-        # among rows that share a hash, shorter bands of the others do: 97.5 % of pairs at 12.5 bits a block meet
-        rows = hot.select(kind, F.shiftright("kind", 1).alias("slot"), F.col("a").alias("cid")).distinct().join(classes, ["kind", "cid"])
-        inner = _banded(rows, 6, 3, 12, 2, F.concat("space", F.lit("/"), F.col("slot").cast("string"))).where("slot <> _out")
-        finer = scratch.table(banding.band_pairs(_coded(inner), partitions, limit, BLOCK), "met")
-        pairs = pairs.unionByName(finer.where("not hot").select(kind, "a", "b"))
-        if not (still := finer.where("hot")).isEmpty():
-            pairs = pairs.unionByName(banding.blocked_pairs(still.select("key", kind, F.col("a").alias("id"), F.col("b").alias("value")), limit, BLOCK))
+        # all pairs of a hot group, by full score; groups of the same rows (crowds sharing several bands) once
+        rows = scratch.table(hot.select("key", kind, F.col("a").alias("cid")).distinct(), "hot")
+        groups = rows.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.bit_xor(F.xxhash64("cid")).alias("x"))
+        once = groups.groupBy("kind", "n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "kind")
+        hashed = classes.select("kind", "cid", pairwise.packed(F.struct(F.col("g").alias("global_hash"), F.col("blocks").alias("block_hashes"))).alias("h"))
+        crowded = rows.join(once, ["key", "kind"], "left_semi").join(hashed, ["kind", "cid"]).select("key", "kind", F.col("cid").alias("id"), "h")
+        config = MultiHashConfig(block_distance_threshold=block_threshold)
+        close = pairwise.close_pairs(crowded, score, [1.0], config, keys=("key", "kind"), block=BLOCK)
+        pairs = pairs.unionByName(close.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
     hashes = classes.select("kind", "cid", F.struct("g", "blocks").alias("h"))
     full = lambda side: F.struct(F.lit(None).cast("binary").alias("exact"), F.col(side)["g"].alias("global_hash"), F.col(side)["blocks"].alias("block_hashes"))

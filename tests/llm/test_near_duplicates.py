@@ -107,6 +107,16 @@ def test_crowded_values_lose_nothing(spark):
     assert len(want) >= 150
 
 
+def test_crowd_of_one_global_hash_is_compared_whole(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(0, 800, 2):  # eight blocks are near, at the limit of the score; the others leave the mean
+        blocks = rng.integers(0, 2**64, 16, dtype=np.uint64)
+        rows += [row(i, np.uint64(0), blocks), row(i + 1, np.uint64(0), [*(flip(rng, b, 12) for b in blocks[:8]), *(np.uint64(2**64 - 1) ^ b for b in blocks[8:])])]
+    want = brute(rows)
+    assert set(found(spark, rows, crowd=1)) == want and len(want) == 400
+
+
 def test_hot_groups_in_blocks(spark):
     rng = np.random.default_rng(7)
     values = rng.integers(0, 2**63, 50)
