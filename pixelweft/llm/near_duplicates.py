@@ -58,8 +58,9 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     more than ``crowd`` candidates a row (flat pictures share hash values), or that is large, is compared whole, in blocks of
     fixed size and by the full score, so no pair that meets in a band is dropped. Candidates are verified on the full hashes.
     Records of equal exact hash have the score 1 and meet by it. Finally classes are expanded to rows; of more than
-    ``copies`` exact copies (equal content, or equal bytes) each is paired with the one of the smallest id only, which also
-    stands for them in pairs with others, since all pairs of a crowd of copies say no more than that.
+    ``copies`` exact copies (equal content) each is paired with the one of the smallest id only, which also stands for them in
+    pairs with others, since all pairs of a crowd of copies say no more than that. Of more than ``copies`` rows of equal
+    bytes the smallest id of each content stands for it.
 
     Null, empty or malformed hashes: see ``comparable``. Repeated rows of one id, with equal values, count once. Empty
     tables give an empty result. Extra columns are ignored.
@@ -109,12 +110,13 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     crowds = members.where((F.col("n") > copies) & (F.col("id") != F.col("cid"))).select("kind", F.col("cid").alias("id_a"), F.col("id").alias("id_b"))
 
     same = ["kind", "space", "exact"]
-    mixed = members.where("exact is not null").groupBy(*same).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("twins"), F.min("id").alias("lead")).where("lo < hi").select(*same, "twins", "lead")
-    twins = members.join(mixed, same).join(hashes, ["kind", "cid"]).select(*same, "id", "cid", "h", "twins", (F.col("id") == F.col("lead")).alias("first"))
-    left, right = (twins.select(*same, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cid", "h", "twins", "first"))) for s in "ab")
+    mixed = members.where("exact is not null").groupBy(*same).agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("twins")).where("lo < hi").select(*same, "twins")
+    # of a crowd of equal bytes the smallest id of each class stands for it; the class holds the others
+    leads = members.where("exact is not null").groupBy(*same, "cid").agg(F.min("id").alias("lead"))
+    twins = members.join(mixed, same).join(leads, [*same, "cid"]).where((F.col("twins") <= copies) | (F.col("id") == F.col("lead"))).join(hashes, ["kind", "cid"]).select(*same, "id", "cid", "h")
+    left, right = (twins.select(*same, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cid", "h"))) for s in "ab")
     equal = (
-        left.where((F.col("twins_a") <= copies) | F.col("first_a"))
-        .join(right, same)
+        left.join(right, same)
         .where("id_a < id_b and cid_a <> cid_b")
         .where(kept_blocks(F.col("h_a")["blocks"], F.col("h_b")["blocks"], block_threshold) >= min_blocks)
         .select("kind", "id_a", "id_b")

@@ -96,6 +96,16 @@ def test_crowds_of_copies_are_stars(spark):
     assert {(0, i) for i in range(1, 12)} <= set(found(spark, alike, copies=5))
 
 
+def test_crowd_of_equal_bytes_keeps_links_between_contents(spark):
+    rng = np.random.default_rng(10)
+    b = rng.integers(0, 2**64, 16, dtype=np.uint64)
+    # the smallest id is unlike all others, which have eight near blocks in common
+    rows = [row(0, np.uint64(2**64 - 1), [np.uint64(2**64 - 1) ^ x for x in b], b"e" * 32)]
+    rows += [row(i, rng.integers(0, 2**64, dtype=np.uint64), [*b[:8], *rng.integers(0, 2**64, 8, dtype=np.uint64)], b"e" * 32) for i in range(1, 9)]
+    assert {p for p in brute(rows) if p[0] > 0} == {(i, j) for i in range(1, 9) for j in range(i + 1, 9)}
+    assert set(found(spark, rows, copies=5)) == brute(rows)
+
+
 def test_crowded_values_lose_nothing(spark):
     rng = np.random.default_rng(6)
     rows = []
