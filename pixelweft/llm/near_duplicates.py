@@ -10,6 +10,7 @@ from ..operators import pairwise
 from ..schema import FORMAT_VERSION, N_BLOCKS, HashAlgorithm, MultiHashConfig
 from ..session import Scratch
 from . import banding
+from .components import components
 
 #: Code of a record kind within the operator.
 KINDS = {"single": 0, "multi": 1}
@@ -125,6 +126,25 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     return found.select("kind", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
+def near_duplicate_groups(records: DataFrame, **limits: float) -> DataFrame:
+    """(kind, id, group_id) of each comparable record of ``fingerprint_records``: group_id is the smallest id of its kind
+    linked to it by pairs of ``near_duplicate_pairs`` (same ``limits``), directly or through others; its own if none is."""
+    pairs = Scratch(records.sparkSession, "neargroups").table(near_duplicate_pairs(records, **limits), "pairs")
+    every = records.select("kind", "id").distinct()
+    parts = []
+    for kind in KINDS.values():
+        groups = components(pairs.where(F.col("kind") == kind), "id_a", "id_b")
+        parts.append(every.where(F.col("kind") == kind).join(groups, "id", "left").select("kind", "id", F.coalesce("group_id", "id").alias("group_id")))
+    return parts[0].unionByName(parts[1])
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    groups = near_duplicate_groups(fingerprint_records(read("fingerprints"), read("multi_fingerprints")))
+    kind = F.when(F.col("kind") == KINDS["single"], "single").otherwise("multi")
+    return groups.select(kind.alias("record_kind"), "id", "group_id")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     pairs = near_duplicate_pairs(fingerprint_records(read("fingerprints"), read("multi_fingerprints")))

@@ -12,6 +12,7 @@ from . import clusters, components, history, near_duplicates, neighbours, packin
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": near_duplicates.p1_found,
+        "p1_groups": near_duplicates.p1_groups,
         "p2_subset": subset.p2_subset,
         "p3_found": history.p3_found,
         "p4_found": components.p4_found,

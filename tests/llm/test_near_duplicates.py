@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelweft.llm import banding
 from pixelweft.llm import near_duplicates as nd
@@ -70,6 +71,18 @@ def test_equals_brute_force(spark, pictures):
     assert len(set(got) & want) >= 0.97 * len(want) > 10  # many of these pairs lie at the limit
 
 
+def test_groups(spark):
+    g, b = np.uint64(3), [np.uint64(2**63 + k) for k in range(16)]
+    step = lambda n: [x ^ np.uint64((1 << n) - 1) for x in b]
+    # 1 - 2 - 3 is a chain whose ends are unlike; 4 is alone, 5 can't be compared, 6 and 7 are of the other algorithm
+    rows = [row(1, g, step(0)), row(2, g, step(10)), row(3, g, step(20)), row(4, ~g, step(60)), row(5, g, b[:15]), row(6, g, step(0), algorithm="AHash"), row(7, g, step(0), algorithm="AHash")]
+    assert brute(rows) == {(1, 2), (2, 3), (6, 7)}
+    singles = nd.fingerprint_records(spark.createDataFrame(rows, SCHEMA))
+    other = singles.withColumn("kind", F.lit(1).cast("tinyint")).where("id in (2, 3, 4)")
+    got = nd.near_duplicate_groups(singles.unionByName(other)).collect()
+    assert sorted((r["kind"], r["id"], r["group_id"]) for r in got) == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 4), (0, 6, 6), (0, 7, 6), (1, 2, 2), (1, 3, 2), (1, 4, 4)]
+
+
 def test_dirt_takes_no_part(spark, pictures):
     g, b = np.uint64(3), [np.uint64(9)] * 16
     dirt = [row(9001, None, b), row(9002, g, None), row(9003, g, b[:15]), row(9004, g, [*b[:15], None]), row(9005, g, b, version=2), row(9006, g, []), (None, None, "PHash", 3, [9] * 16, 1, "", "", 0), row(9007, g, b, algorithm=None)]
