@@ -203,6 +203,29 @@ def test_flow_is_balanced():
     assert lots.sum() == 90_000 and lots.max() - lots.min() <= 100
 
 
+def test_flow_of_lots_takes_rare_combinations():
+    rng = np.random.default_rng(6)
+    for shape, rare, size in (((12, 12), 1, 8192), ((10, 14), 23, 100_000)):
+        counts = np.where(rng.random(shape) < 0.3, rare, rng.integers(20_000, 90_000, shape))
+        counts[rng.random(shape) < 0.1] = 0
+        used = subset.flow_quotas(counts, size)
+        assert used.sum() == size and (used >= 0).all() and (used <= counts).all()
+        assert (used[counts == rare] == rare).all()
+        # no single unit is better placed elsewhere
+        t = [size / np.count_nonzero(counts.sum(axis=1 - k)) for k in (0, 1)]
+        each = size / np.count_nonzero(counts)
+        bonus = np.log1p(counts) / np.log1p(counts.max()) / each
+        more = (2 * used.sum(axis=1)[:, None] + 1) / t[0] + (2 * used.sum(axis=0) + 1) / t[1] + (2 * used + 1) / each - bonus
+        less = more - 2 / t[0] - 2 / t[1] - 2 / each
+        room, some = used < counts, used > 0
+        for a, b in zip(*np.nonzero(some), strict=True):
+            change = more - less[a, b]
+            change[a] -= 2 / t[0]
+            change[:, b] -= 2 / t[1]
+            change[a, b] = 0
+            assert change[room].min() >= -1e-6
+
+
 def test_flow_is_cheapest():
     import itertools
 
