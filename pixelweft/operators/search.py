@@ -96,16 +96,28 @@ def scored(pairs: DataFrame, score: float, config: MultiHashConfig | None = None
 
 
 def similarity_search(df: DataFrame, query: DataFrame, ident: str, score: float = 0.7, config: MultiHashConfig | None = None) -> DataFrame:
-    """(query_id, id, score, exact_match, perceptual_distance) of all rows with at least the score to one of a few query
-    fingerprints. ``query``: at most 1000 rows, checked; they are sent to all workers."""
+    """(query_id, id, score, exact_match, perceptual_distance) of all rows with at least the score to one of the query
+    fingerprints. ``query``: up to 1000 rows are sent to all workers; more go by ``similarity_blocks``."""
     few = query.select(F.col(ident).alias("query_id"), multi().alias("fb")).limit(1001).collect()
     if len(few) > 1000:
-        raise ValueError("similarity_search takes at most 1000 queries; join by bands for more")
+        return similarity_blocks(df, query, ident, score, config)
     asked = F.broadcast(df.sparkSession.createDataFrame(few, query.select(F.col(ident).alias("query_id"), multi().alias("fb")).schema))
     pairs = df.select(F.col(ident).alias("id"), multi().alias("fa")).join(asked)
     return scored(pairs, score, config).select("query_id", "id", "similarity.*")
 
 
+def similarity_blocks(df: DataFrame, query: DataFrame, ident: str, score: float = 0.7, config: MultiHashConfig | None = None, block: int = 4096) -> DataFrame:
+    """``similarity_search`` for a query set of any size: blocks of rows against blocks of queries (``pairwise``), then rows
+    of equal exact hash. Ids must be unique within rows and within queries."""
+    config = config or MultiHashConfig()
+    close = pairwise.close_pairs(_packed(df, ident), score, pairwise.multi_weights(config), config, _packed(query, ident), block=block)
+    copies = lambda x, name: x.where(F.col("exact").isNotNull()).select("exact", F.col(ident).alias(name))
+    met = close.unionByName(copies(df, "a").join(copies(query, "b"), "exact").select("a", "b")).distinct()
+    side = lambda x, name, f: x.select(F.col(ident).alias(name), multi().alias(f))
+    pairs = met.join(side(df, "a", "fa"), "a").join(side(query, "b", "fb"), "b").select(F.col("b").alias("query_id"), F.col("a").alias("id"), "fa", "fb")
+    return scored(pairs, score, config).select("query_id", "id", "similarity.*")
+
+
 def semantic_search(df: DataFrame, query: DataFrame, score: float | None = 0.85, ident: str = "id") -> DataFrame:
     """(query_id, id, score, error) of an embedding STRUCT column against a few queries (at most 1000, checked). Rows that
     can't be compared carry the kind of error if ``score`` is None, else they are left out with those below it."""

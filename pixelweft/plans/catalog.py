@@ -17,7 +17,7 @@ from ..functions.u64 import coarse_key, hamming, hex64, pick
 from ..operators import search
 from ..operators.fingerprint import fingerprint, single
 from ..schema import N_BLOCKS, HashAlgorithm, MultiHashConfig
-from ..session import read_spread
+from ..session import Scratch, read_spread
 from ..sources import files
 from . import rasters
 
@@ -280,6 +280,17 @@ def _similarity_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", _six(F.col("score")).alias("score"), "exact_match", "perceptual_distance").where("score >= 0.54")
 
 
+_SEARCH_ALL = _SEARCH.replace("FROM m ORDER BY id LIMIT 1", "FROM m WHERE id % 50 = 0").replace("p AS (SELECT x.id,", "p AS (SELECT y.id AS query_id, x.id,")
+
+
+@_query("similarity_search_all", f"SELECT query_id, id, score, exact_match, perceptual_distance FROM ({_SEARCH_ALL} SELECT query_id, id, round({_sql_multi(MultiHashConfig()).partition(' SELECT id, round(')[2]}) WHERE score >= 0.54")
+def _similarity_search_all(spark: SparkSession, d: str) -> DataFrame:
+    """As queries all rows whose id is divisible by 50."""
+    rows = Scratch(spark, "search").table(_multis(spark, d), "rows")
+    found = search.similarity_blocks(rows, rows.where("id % 50 = 0"), "id", 0.53)
+    return found.select("query_id", "id", _six(F.col("score")).alias("score"), "exact_match", "perceptual_distance").where("score >= 0.54")
+
+
 # ---------------------------------------------------------------- texts, JSON, records
 
 _HEX_BLOCKS = "array_to_string(list_transform(b, lambda x: lpad(lower(to_hex(x)), 16, '0')), ',')"

@@ -179,6 +179,15 @@ def test_near_duplicates_of_all_pairs(spark):
     assert search.near_duplicates(df.limit(0), "id").collect() == []
 
 
+def test_similarity_search_of_many_queries(spark):
+    df = spark.createDataFrame(*prints_of(np.random.default_rng(4), 30)).cache()
+    plain = {(r["query_id"], r["id"], r["score"]) for r in search.similarity_search(df, df, "id", 0.54).collect()}
+    blocks = [(r["query_id"], r["id"], r["score"]) for r in search.similarity_blocks(df, df, "id", 0.54, block=32).collect()]
+    assert len(blocks) == len(set(blocks)) and set(blocks) == plain and len(plain) > 90
+    many = df.crossJoin(spark.range(12).toDF("copy")).withColumn("id", F.concat("id", F.lit("-"), F.col("copy").cast("string"))).drop("copy")
+    assert many.count() > 1000 and search.similarity_search(df.where("id = 'p0003'"), many, "id", 0.99).count() >= 12
+
+
 def test_streams(spark, pictures, tmp_path):
     inbox, out, marks = (tmp_path / x for x in ("in", "out", "marks"))
     inbox.mkdir()
