@@ -17,6 +17,8 @@ from . import tokens
 SCHEMA = "container_type int, container_id bigint, doc_id bigint, piece_no int, token_start bigint, n_tokens bigint"
 #: Container types of one job; each is packed on its own.
 MOST_TYPES = 1000
+#: Pieces of a container that may go on to the next merge; one of more (thousands of empty texts) is closed as it is.
+MOST_PIECES = 1024
 _PIECE = ["doc_id", "piece_no", "token_start", "n_tokens"]
 
 
@@ -57,9 +59,11 @@ def pack(sizes: DataFrame, capacities: DataFrame, open_windows: int = 256, per_g
 
     A text is one piece unless it exceeds the capacity; then it is cut into full pieces and a rest. Documents are spread
     over groups of about ``per_group`` by a hash of their id. Each group packs its pieces in order of doc_id into
-    ``open_windows`` open containers (best fit; the fullest closes when none fits). What stays open at the end, at most
-    ``open_windows`` containers a group whatever its size, is taken apart and merged over ``fan_in`` groups at a time,
-    largest pieces first, until one group is left. Same input, same containers, on any number of executors.
+    ``open_windows`` open containers (best fit; the fullest closes when none fits). What stays open at the end is taken
+    apart and merged over ``fan_in`` groups at a time, largest pieces first, until one group is left; of each merge again
+    only the ``open_windows`` emptiest containers stay open. So a merge never gets more than ``fan_in * open_windows``
+    containers, of ``MOST_PIECES`` pieces at most, whatever the size of the corpus. Same input, same containers, on any
+    number of executors.
 
     Texts of no tokens are pieces of size 0 and share a container with others. Null doc_ids are no texts and repeated rows
     of a doc_id count once (the largest size); null or non-positive capacities hold nothing and give no rows. Empty tables
@@ -81,7 +85,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, open_windows: int = 256, per_g
         kind, group, capacity = int(key[0]), int(key[1]), int(key[2])
         pdf = pdf.sort_values("doc_id")
         items = _pieces(pdf["doc_id"].to_numpy(), pdf["n_tokens"].to_numpy(), capacity)
-        return _packed(items, kind, group, capacity, OpenWindows(capacity, open_windows), 0)
+        return _packed(items, kind, group, capacity, OpenWindows(capacity, open_windows), 0, open_windows)
 
     packed = scratch.table(rows.groupBy("container_type", "grp", "capacity").applyInPandas(first, schema), "packed")
     closed = packed.where("not is_open")
@@ -91,31 +95,31 @@ def pack(sizes: DataFrame, capacities: DataFrame, open_windows: int = 256, per_g
         last = groups <= fan_in
         groups = math.ceil(groups / fan_in)
         opened = packed.where("is_open").withColumn("grp", (F.col("grp") / fan_in).cast("int"))
-        packed = scratch.table(opened.groupBy("container_type", "grp", "capacity").applyInPandas(_merger(level, last), schema), "packed")
+        packed = scratch.table(opened.groupBy("container_type", "grp", "capacity").applyInPandas(merger(level, 0 if last else open_windows), schema), "packed")
         closed = closed.unionByName(packed.where("not is_open"))
         if last:
             break
     return closed.select("container_type", "container_id", *_PIECE)
 
 
-def _merger(level: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Repacks what other groups left open; of the result, nearly full containers need no further merging."""
+def merger(level: int, stay_open: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Repacks what other groups left open, a bounded number of containers; of the result at most ``stay_open`` stay open."""
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, group, capacity = int(key[0]), int(key[1]), int(key[2])
         items = pdf.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True])[_PIECE]
-        out = _packed(items, kind, group, capacity, OpenWindows(capacity, 1 << 60), level)
-        fill = out.groupby("container_id")["n_tokens"].transform("sum")
-        out["is_open"] = out["is_open"] & (fill < 0.98 * capacity) & (not last)
-        return out
+        return _packed(items, kind, group, capacity, OpenWindows(capacity, len(items) + 1), level, stay_open)
 
     return merge
 
 
-def _packed(items: pd.DataFrame, kind: int, group: int, capacity: int, windows: OpenWindows, level: int) -> pd.DataFrame:
+def _packed(items: pd.DataFrame, kind: int, group: int, capacity: int, windows: OpenWindows, level: int, stay_open: int) -> pd.DataFrame:
     place = windows.place
     local = np.fromiter((place(s) for s in items["n_tokens"].tolist()), np.int64, len(items))
-    still = np.isin(local, [c for _, c in windows.free])
+    pieces = np.bincount(local, minlength=windows.next)
+    # nearly full containers and those of very many pieces need no merging; of the others the emptiest stay open
+    room = [(free, c) for free, c in windows.free if (free > 0.02 * capacity or not level) and pieces[c] <= MOST_PIECES]
+    still = np.isin(local, [c for _, c in room[len(room) - min(stay_open, len(room)) :]])
     return pd.DataFrame({"container_type": kind, "grp": group, "is_open": still, "container_id": (level << 56) | (group << 32) | local, "capacity": capacity, **{c: items[c].to_numpy() for c in _PIECE}})
 
 
@@ -131,3 +135,33 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = p9_packed(spark, sf_dir).groupBy("container_type").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
     share = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
     return used.join(sizes, "container_type").select("container_type", "containers", "tokens", share.alias("fill"))
+
+
+def violations(packed: DataFrame, sizes: DataFrame, capacities: DataFrame) -> DataFrame:
+    """(rule, container_type, id, found, expected): what breaks the rules of ``pack``. ``capacity``: a container that holds
+    more than its capacity; ``coverage``: a document whose pieces don't cover it exactly once; ``split``: a document in
+    more pieces than its size asks for. No rows if all is well."""
+    known = capacities.where("container_type is not null and capacity_tokens > 0").groupBy("container_type").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
+    held = packed.groupBy("container_type", "container_id").agg(F.sum("n_tokens").alias("found")).join(known, "container_type")
+    over = held.where("found > capacity").select(F.lit("capacity").alias("rule"), "container_type", F.col("container_id").alias("id"), "found", F.col("capacity").alias("expected"))
+    texts = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce("n_tokens", F.lit(0))).cast("bigint").alias("size")).join(F.broadcast(known))
+    # of gapless pieces the k-th starts where k full ones end
+    straight = (F.col("token_start") == F.col("piece_no") * F.col("capacity")) & (F.col("n_tokens") <= F.col("capacity"))
+    pieces = packed.join(known, "container_type").groupBy("container_type", "doc_id").agg(F.sum(F.when(straight, F.col("n_tokens")).otherwise(0)).alias("tokens"), F.count(F.lit(1)).alias("n"), F.count_distinct("piece_no").alias("numbers"))
+    both = texts.join(pieces, ["container_type", "doc_id"], "full")
+    need = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity")))
+    whole = F.coalesce((F.col("tokens") == F.col("size")) & (F.col("n") == F.col("numbers")), F.lit(False))
+    torn = both.where(~whole).select(F.lit("coverage").alias("rule"), "container_type", F.col("doc_id").alias("id"), F.col("tokens").alias("found"), F.col("size").alias("expected"))
+    split = both.where(F.col("n") != need).select(F.lit("split").alias("rule"), "container_type", F.col("doc_id").alias("id"), F.col("n").alias("found"), need.alias("expected"))
+    return over.unionByName(torn).unionByName(split)
+
+
+def p9_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of packing, checked on the whole corpus: no rows."""
+    sizes = Scratch(spark, "violations").table(tokens.count(read_spread(spark, f"{sf_dir}/documents.parquet")), "sizes")
+    capacities = spark.read.parquet(f"{sf_dir}/container_sizes.parquet")
+    return violations(pack(sizes, capacities), sizes, capacities)
+
+
+#: What must come out: nothing, with the columns of ``violations``.
+P9_VIOLATIONS_SQL = "SELECT 'none' AS rule, container_type, 0::BIGINT AS id, 0::BIGINT AS found, 0::BIGINT AS expected FROM container_sizes WHERE false"

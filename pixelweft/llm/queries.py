@@ -18,12 +18,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": components.p4_found,
         "p5_found": seen.p5_found,
         "p5_error_rate": seen.p5_error_rate,
+        "p5_error_rate_24": seen.p5_error_rate_24,
         "p6_found": neighbours.p6_found,
         "p7_found": clusters.p7_found,
         "p7_clusters": clusters.p7_clusters,
         "p8_ids": tokens.p8_ids,
         "p9_packed": packing.p9_packed,
         "p9_fill": packing.p9_fill,
+        "p9_violations": packing.p9_violations,
         "p10_found": subjects.p10_found,
         "p10_shares": subjects.p10_shares,
     }
@@ -32,9 +34,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": near_duplicates.P1_FOUND_SQL,
+        "p3_found": history.P3_FOUND_SQL,
         "p4_found": components.P4_FOUND_SQL,
         "p5_found": seen.P5_FOUND_SQL,
         "p5_error_rate": seen.P5_ERROR_RATE_SQL,
+        "p5_error_rate_24": seen.P5_ERROR_RATE_24_SQL,
         "p6_found": neighbours.P6_FOUND_SQL,
         "p7_found": clusters.P7_FOUND_SQL,
+        "p9_violations": packing.P9_VIOLATIONS_SQL,
     }

@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..functions.u64 import from_hex
+from ..session import Scratch, delete
 
 #: For each byte and k, where its k-th zero bit lies (least significant bit first).
 _ZERO_AT = np.array([([b for b in range(8) if not v >> b & 1] + [8] * 8)[:8] for v in range(256)], dtype=np.int64)
@@ -85,8 +86,15 @@ class EliasFano:
         return ((ones - i).astype(np.int64) << self.low_bits) | self._low_of(i)
 
     def merged(self, values: np.ndarray) -> EliasFano:
-        """With more members: both sides are sorted, so this is a sequential merge."""
-        return EliasFano.encode(np.union1d(self.decode(), values), self.width)
+        """With more members (sorted, distinct): one sequential merge of both sides."""
+        old = self.decode()
+        values = values[~self.contains(values)]
+        both = np.empty(len(old) + len(values), np.int64)
+        new_at = np.searchsorted(old, values) + np.arange(len(values))
+        is_old = np.ones(len(both), bool)
+        is_old[new_at] = False
+        both[new_at], both[is_old] = values, old
+        return EliasFano.encode(both, self.width)
 
 
 SET_SCHEMA = "bucket bigint, n bigint, width int, low_bits int, high binary, low binary"
@@ -108,22 +116,24 @@ class SeenKeys:
     """A set of keys as Elias-Fano sequences of 64-bit key hashes, one for each of 2**bucket_bits hash partitions.
 
     A key that isn't in the set is answered "seen" only if its hash equals that of a member: with n members at most
-    n / 2**hash_bits of such answers are wrong. "Not seen" is never wrong.
+    n / 2**hash_bits of such answers are wrong. "Not seen" is never wrong. ``leading`` takes the first bits of the key
+    itself for its hash: for keys that are digests already, and so that other engines can follow the answers.
     """
 
-    def __init__(self, bucket_bits: int, hash_bits: int = 64):
+    def __init__(self, bucket_bits: int, hash_bits: int = 64, leading: bool = False):
         if not 1 <= bucket_bits < hash_bits <= 64:
             raise ValueError("1 <= bucket_bits < hash_bits <= 64")
-        self.bucket_bits, self.hash_bits, self.width = bucket_bits, hash_bits, hash_bits - bucket_bits
+        self.bucket_bits, self.hash_bits, self.width, self.leading = bucket_bits, hash_bits, hash_bits - bucket_bits, leading
 
     @classmethod
-    def sized(cls, n: int, per_bucket: int = 32768, hash_bits: int = 64) -> SeenKeys:
+    def sized(cls, n: int, per_bucket: int = 32768, hash_bits: int = 64, leading: bool = False) -> SeenKeys:
         """Buckets for about ``per_bucket`` of ``n`` keys."""
-        return cls(min(hash_bits - 1, max(1, math.ceil(math.log2(max(1, n) / per_bucket)) if n > per_bucket else 1)), hash_bits)
+        return cls(min(hash_bits - 1, max(1, math.ceil(math.log2(max(1, n) / per_bucket)) if n > per_bucket else 1)), hash_bits, leading)
 
     def place(self, key: Column) -> tuple[Column, Column]:
         """Bucket and value within it, of a key."""
-        h = F.shiftrightunsigned(F.xxhash64(key), 64 - self.hash_bits) if self.hash_bits < 64 else F.xxhash64(key)
+        h = from_hex(F.hex(F.substring(key, 1, 8))) if self.leading else F.xxhash64(key)
+        h = F.shiftrightunsigned(h, 64 - self.hash_bits) if self.hash_bits < 64 else h
         return F.shiftrightunsigned(h, self.width), h.bitwiseAND(F.lit((1 << self.width) - 1))
 
     def encode(self, keys: DataFrame, key: str) -> DataFrame:
@@ -181,33 +191,55 @@ def first_arrivals(rows: DataFrame, keys: SeenKeys, batches: int, lo: int, hi: i
     return placed.groupBy("bucket", "value", "batch").agg(F.min("sighting_id").alias("first"))
 
 
-def seen_before(sightings: DataFrame, known: DataFrame, batches: int = 16, hash_bits: int = 64, per_bucket: int = 32768) -> DataFrame:
+def seen_before(sightings: DataFrame, known: DataFrame, batches: int = 16, hash_bits: int = 64, per_bucket: int = 32768, kept: str | None = None, expected: int = 0, leading: bool = False) -> DataFrame:
     """The ids of sightings whose key stands in ``known`` or came with a smaller sighting_id, once each.
 
     Keys of another length than 32 bytes, null keys and null ids take no part. A repeated id counts once. Empty tables
-    give no rows; extra columns are ignored. See ``SeenKeys`` for the rate of wrong answers.
+    give no rows; extra columns are ignored. See ``SeenKeys`` for the rate of wrong answers and for ``leading``. ``kept``
+    names a folder for the sets: a later call with it takes up where this one ended, reads no earlier key, and ``known``
+    counts in the first call only; ``expected`` keys then decide the number of partitions.
     """
-    scratch = Scratch(sightings.sparkSession, "seen")
+    spark = sightings.sparkSession
+    scratch = Scratch(spark, "seen")
     rows = keyed(sightings)
     listed = known.where(F.octet_length("exact") == 32).select("exact")
     n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("sighting_id"), F.max("sighting_id")).first()
-    keys = SeenKeys.sized(n + listed.count(), per_bucket, hash_bits)
+    made = _made(spark, kept) if kept else None
+    if made is not None:
+        keys = SeenKeys(made["bucket_bits"], made["hash_bits"], made["leading"])
+        before = spark.read.schema(SET_SCHEMA).parquet(f"{kept}/{made['version']}")
+    else:
+        keys = SeenKeys.sized(max(expected, n + listed.count()), per_bucket, hash_bits, leading)
+        before = keys.encode(listed, "exact")
     arrivals = first_arrivals(rows, keys, batches, lo or 0, hi or 0)
-    admitted = scratch.table(keys.admit(keys.encode(listed, "exact"), arrivals), "sets")
+    admitted = scratch.table(keys.admit(before, arrivals), "sets")
+    if kept:
+        version = f"v{int(made['version'][1:]) + 1 if made is not None else 0}"
+        admitted.where("first is null").select("bucket", *_SET).write.parquet(f"{kept}/{version}")
+        row = (version, keys.bucket_bits, keys.hash_bits, keys.leading)
+        spark.createDataFrame([row], "version string, bucket_bits int, hash_bits int, leading boolean").coalesce(1).write.mode("overwrite").parquet(f"{kept}/made")
+        if made is not None:
+            delete(spark, f"{kept}/{made['version']}")
     fresh = admitted.where("first is not null").select(F.col("first").alias("sighting_id"))
     return rows.select("sighting_id").distinct().join(fresh, "sighting_id", "left_anti")
 
 
+def _made(spark: SparkSession, kept: str) -> Row | None:
+    """How the kept sets were made; None if there are none yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{kept}/made")
+    return spark.read.parquet(f"{kept}/made").first() if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return seen_before(read("sightings"), read("known_exact"))
 
 
-def error_rate(sightings: DataFrame, known: DataFrame, hash_bits: int = 64) -> DataFrame:
+def error_rate(sightings: DataFrame, known: DataFrame, hash_bits: int = 64, leading: bool = False) -> DataFrame:
     """One row: answers given, answers "seen", wrong ones among them, measured against the keys themselves, and the
     expected bound on the share of wrong answers, members / 2**hash_bits."""
     rows = keyed(sightings).distinct()
-    answered = seen_before(sightings, known, hash_bits=hash_bits).select("sighting_id", F.lit(True).alias("seen"))
+    answered = seen_before(sightings, known, hash_bits=hash_bits, leading=leading).select("sighting_id", F.lit(True).alias("seen"))
     listed = known.where(F.octet_length("exact") == 32).select("exact").distinct()
     # only the first sighting of a key can be answered wrongly: all later ones were seen
     firsts = rows.groupBy("exact").agg(F.min("sighting_id").alias("sighting_id")).join(listed, "exact", "left_anti").select("sighting_id")
@@ -226,6 +258,12 @@ def p5_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_rate(read("sightings"), read("known_exact"))
 
 
+def p5_error_rate_24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measured rate with hashes of 24 bits, the leading ones of the keys: there are wrong answers to count."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return error_rate(read("sightings"), read("known_exact"), hash_bits=24, leading=True)
+
+
 P5_FOUND_SQL = """
 WITH s AS (SELECT DISTINCT sighting_id, exact FROM sightings WHERE octet_length(exact) = 32 AND sighting_id IS NOT NULL),
 f AS (SELECT exact, min(sighting_id) AS first_id FROM s GROUP BY exact)
@@ -239,3 +277,16 @@ k AS (SELECT DISTINCT exact FROM known_exact WHERE octet_length(exact) = 32)
 SELECT (SELECT count(*) FROM s) AS answers, (SELECT count(*) FROM ({P5_FOUND_SQL})) AS seen_answers, 0::BIGINT AS wrong_answers, 0.0::DOUBLE AS wrong_rate,
   ((SELECT count(DISTINCT exact) FROM s WHERE exact NOT IN (SELECT exact FROM k)) + (SELECT count(*) FROM k))::DOUBLE / 18446744073709551616.0::DOUBLE AS expected_rate
 """
+
+#: Wrong answers by definition: a key seen for the first time whose first three bytes stand in ``known_exact`` or came before.
+P5_ERROR_RATE_24_SQL = """
+WITH s AS (SELECT DISTINCT sighting_id, hex(exact) AS e FROM sightings WHERE octet_length(exact) = 32 AND sighting_id IS NOT NULL),
+k AS (SELECT DISTINCT hex(exact) AS e FROM known_exact WHERE octet_length(exact) = 32),
+f AS (SELECT e, substr(e, 1, 6) AS p, min(sighting_id) AS first_id FROM s GROUP BY e),
+n AS (SELECT * FROM f WHERE e NOT IN (SELECT e FROM k)),
+earliest AS (SELECT p, min(first_id) AS since FROM (SELECT p, first_id FROM f UNION ALL SELECT substr(e, 1, 6), -1 FROM k) GROUP BY p),
+w AS (SELECT count(*) AS wrong FROM n JOIN earliest USING (p) WHERE since < first_id)
+SELECT (SELECT count(*) FROM s) AS answers, (SELECT count(*) FROM s) - (SELECT count(*) FROM n) + wrong AS seen_answers, wrong AS wrong_answers,
+  wrong::DOUBLE / (SELECT greatest(1, count(*)) FROM s) AS wrong_rate, ((SELECT count(*) FROM n) + (SELECT count(*) FROM k))::DOUBLE / 16777216.0::DOUBLE AS expected_rate
+FROM w
+"""

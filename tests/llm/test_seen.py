@@ -70,3 +70,13 @@ def test_short_hashes_err_one_way_and_are_measured(spark):
     assert r["wrong_answers"] == len(said - truth) > 0 and r["seen_answers"] == len(said) and r["answers"] == 3000
     assert 0.2 < r["wrong_answers"] / (0.5 * r["expected_rate"] * 1450) < 2
     assert seen.error_rate(df, listed).first()["wrong_answers"] == 0
+
+
+def test_kept_sets_take_up_where_the_last_call_ended(spark, tmp_path):
+    rows, known = rows_of(4, 1200)
+    rows = [r for r in rows if r[0] is not None]
+    kept = f"file://{tmp_path}/sets"
+    got = run(spark, [r for r in rows if r[0] < 500], known, kept=kept, expected=100_000)
+    got |= run(spark, [r for r in rows if 500 <= r[0] < 900], [], kept=kept)
+    got |= run(spark, [r for r in rows if r[0] >= 900], [], kept=kept)
+    assert got == brute(rows, known)

@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 
 from pixelweft.llm import packing, subjects, tokens
@@ -159,3 +160,23 @@ def test_words_of_commits():
     assert not {w for w, _ in found} & {"body", "author", "commit"}
     quoted = '{"commit":"ab","author":"nobody","message":"tax\\nbracket","diff":"+yield\\n"}'
     assert {"tax", "bracket", "yield"} <= {w for w, _ in subjects.word_pairs(quoted)} and "nobody" not in {w for w, _ in subjects.word_pairs(quoted)}
+
+
+def test_merging_keeps_few_containers_open():
+    capacity = 1000
+    pieces = pd.DataFrame({"doc_id": range(4096), "piece_no": 0, "token_start": 0, "n_tokens": 600})
+    left = packing.merger(1, 256)((1, 0, capacity), pieces)
+    assert len(left) == 4096 and left.loc[left["is_open"], "container_id"].nunique() == 256
+    assert not packing.merger(2, 0)((1, 0, capacity), pieces)["is_open"].any()
+    # thousands of empty texts share a container, which goes no further
+    empty = packing.merger(1, 256)((1, 0, capacity), pieces.assign(n_tokens=0))
+    assert empty["container_id"].nunique() == 1 and not empty["is_open"].any()
+
+
+def test_violations_are_found(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 25), (3, 0), (4, 8)], "doc_id bigint, n_tokens int")
+    capacities = spark.createDataFrame([(7, 10)], "container_type int, capacity_tokens int")
+    assert packing.violations(packing.pack(sizes, capacities), sizes, capacities).count() == 0
+    bad = [(7, 1, 1, 0, 0, 5), (7, 1, 4, 0, 0, 8), (7, 2, 2, 0, 0, 10), (7, 3, 2, 1, 10, 10), (7, 4, 3, 0, 0, 0)]
+    rows = packing.violations(spark.createDataFrame(bad, packing.SCHEMA), sizes, capacities).collect()
+    assert {(r["rule"], r["id"]) for r in rows} == {("capacity", 1), ("coverage", 2), ("split", 2)}
