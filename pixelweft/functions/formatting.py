@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,3 +139,66 @@ def unpack_multi(record: Column) -> Column:
     parts = [unpack_single(record, 32 + i * SINGLE_BYTES) for i in range(3)]
     hashes = [F.struct(p["global_hash"].alias("global_hash"), p["block_hashes"].alias("block_hashes")).alias(a.field) for p, a in zip(parts, HashAlgorithm, strict=True)]
     return F.when(F.octet_length(record) == MULTI_BYTES, F.struct(F.substring(record, 1, 32).alias("exact"), *hashes))
+
+
+def bincode_single(exact: Column, hashes: Column) -> Column:
+    """The compact binary coding of a single fingerprint: fixed arrays without lengths, fixed little-endian numbers. For
+    fingerprints these are the bytes of the plain record."""
+    return pack_single(exact, hashes)
+
+
+def bincode_multi(fp: Column) -> Column:
+    return pack_multi(fp)
+
+
+def from_bincode_single(record: Column) -> Column:
+    """The fingerprint in ``bincode_single``; null for any other length."""
+    return F.when(F.octet_length(record) == SINGLE_BYTES, unpack_single(record))
+
+
+def from_bincode_multi(record: Column) -> Column:
+    return unpack_multi(record)
+
+
+def _text(x: Column) -> Column:
+    return F.coalesce(x.cast("string"), F.lit("null"))
+
+
+def json_similarity(similarity: Column) -> Column:
+    """JSON of a similarity; missing parts are null."""
+    return F.concat(F.lit('{"score":'), _text(similarity["score"]), F.lit(',"exact_match":'), _text(similarity["exact_match"]), F.lit(',"perceptual_distance":'), _text(similarity["perceptual_distance"]), F.lit("}"))
+
+
+def parse_json_similarity(text: Column) -> Column:
+    """The similarity of ``json_similarity``. Unknown fields are allowed here."""
+    return F.from_json(text, "score float, exact_match boolean, perceptual_distance int")
+
+
+def json_embedding(embedding: Column) -> Column:
+    """JSON of an embedding; a missing model_id is null."""
+    return F.to_json(F.struct(embedding["vector"].alias("vector"), embedding["model_id"].alias("model_id")), {"ignoreNullFields": "false"})
+
+
+def parse_json_embedding(text: Column) -> Column:
+    """The embedding of ``json_embedding``. Null where the vector is missing or there are unknown fields."""
+    x = F.from_json(text, "vector array<float>, model_id string")
+    known = F.forall(F.json_object_keys(text), lambda k: k.isin("vector", "model_id"))
+    return F.when(known & x["vector"].isNotNull(), x)
+
+
+def json_error(error: Column) -> Column:
+    """JSON of an error: its kind as the only field, with the message."""
+    return F.when(error.isNotNull(), F.to_json(F.create_map(error["kind"], error["message"])))
+
+
+def json_config(config: object) -> str:
+    """JSON of a configuration (a dataclass of numbers), in the order of its fields."""
+    return json.dumps(dataclasses.asdict(config), separators=(",", ":"))
+
+
+def parse_json_config(text: str, kind: type) -> object:
+    """The configuration of ``json_config``; unknown fields raise."""
+    found = json.loads(text)
+    if unknown := set(found) - {f.name for f in dataclasses.fields(kind)}:
+        raise ValueError(f"unknown fields: {sorted(unknown)}")
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})

@@ -14,6 +14,11 @@ from .similarity import f32
 from .u64 import bits_to_u64
 
 
+def exact_sha256(content: Column) -> Column:
+    """32-byte exact hash of BINARY content; null of null."""
+    return F.unhex(F.sha2(content, 256))
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     """Grey level of 8-bit red, green and blue, in whole numbers."""
     return F.shiftright(r.cast("int") * 77 + g.cast("int") * 150 + b.cast("int") * 29, 8)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ImageError
+from ..functions.hashing import exact_sha256
 from ..schema import ERROR, FORMAT_VERSION, HASHES, HashAlgorithm, ModelInputConfig, PreprocessConfig
 from . import decode, kernels
 from .exact import blake3
@@ -36,6 +37,18 @@ def _columns(greys: list[np.ndarray | None], errors: list[ImageError | None], fi
     return out
 
 
+def read_grey(data: bytes | None, config: PreprocessConfig) -> tuple[np.ndarray | None, ImageError | None]:
+    """The normalised picture or its error; whatever else a picture may cause is its own error, not the job's."""
+    if data is None:
+        return None, None
+    try:
+        return kernels.normalise(decode.decode(data, config)), None
+    except ImageError as e:
+        return None, e
+    except Exception as e:  # noqa: BLE001
+        return None, ImageError("ProcessingError", f"{type(e).__name__}: {e}")
+
+
 def fingerprint(df: DataFrame, content: str = "content", algorithms: tuple[HashAlgorithm, ...] = tuple(HashAlgorithm), config: PreprocessConfig | None = None, exact: str = "sha256", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Adds exact, a struct of hashes for each algorithm, error and format_version to the ``keep`` columns (all but the
     content, if not given). A row has hashes or an error, never both, and errors touch no other row; null content gives
@@ -47,7 +60,7 @@ def fingerprint(df: DataFrame, content: str = "content", algorithms: tuple[HashA
     fields = tuple(a.field for a in algorithms)
     kept = [c for c in (keep if keep is not None else df.columns) if c != content]
     rows = df.select(*kept, F.col(content).alias("_content"))
-    rows = rows.withColumn("exact", F.unhex(F.sha2("_content", 256)) if exact == "sha256" else F.lit(None).cast("binary"))
+    rows = rows.withColumn("exact", exact_sha256(F.col("_content")) if exact == "sha256" else F.lit(None).cast("binary"))
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("exact", T.BinaryType()), *(T.StructField(f, HASHES) for f in fields), T.StructField("error", ERROR)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,12 +71,7 @@ def fingerprint(df: DataFrame, content: str = "content", algorithms: tuple[HashA
                 greys: list[np.ndarray | None] = []
                 errors: list[ImageError | None] = []
                 for d in data:
-                    grey, bad = None, None
-                    if d is not None:
-                        try:
-                            grey = kernels.normalise(decode.decode(d, config))
-                        except ImageError as e:
-                            bad = e
+                    grey, bad = read_grey(d, config)
                     greys.append(grey)
                     errors.append(bad)
                 key = batch.column("exact") if exact == "sha256" else pa.array([None if d is None else blake3(d) for d in data], pa.binary())
@@ -97,7 +105,7 @@ def fingerprint_decoded(images: DataFrame, keep: tuple[str, ...] = (), image: st
                     errors.append(None)
                 yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(raw, pa.binary()), *_columns(greys, errors, fields)], names=[*keep, "_rgb", *fields, "error"])
 
-    return flat.mapInArrow(run, schema).select(*keep, F.unhex(F.sha2("_rgb", 256)).alias("exact"), *fields, "error", F.lit(FORMAT_VERSION).alias("format_version"))
+    return flat.mapInArrow(run, schema).select(*keep, exact_sha256(F.col("_rgb")).alias("exact"), *fields, "error", F.lit(FORMAT_VERSION).alias("format_version"))
 
 
 def single(df: DataFrame, algorithm: HashAlgorithm) -> DataFrame:

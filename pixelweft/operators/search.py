@@ -30,6 +30,11 @@ def duplicate_members(df: DataFrame, ident: str, key: str = "exact") -> DataFram
     return df.select(ident, key).join(exact_duplicates(df, ident, key).select(key, "first_id"), key).select(ident, "first_id")
 
 
+def full_duplicates(df: DataFrame, fp: str = "fp") -> DataFrame:
+    """(fp, members) of whole fingerprints, all hashes equal, that stand in two rows or more."""
+    return df.groupBy(fp).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+
+
 def best_first(df: DataFrame, ident: str = "id", score: str = "score") -> DataFrame:
     """By falling score; ties by id, so that the order is the same on every run."""
     return df.orderBy(F.desc(score), ident)
@@ -131,11 +136,11 @@ def semantic_search(df: DataFrame, query: DataFrame, score: float | None = 0.85,
     return out if score is None else out.where(F.col("score") >= f32(score))
 
 
-def cosine_blocks(rows: DataFrame, queries: DataFrame, floor: float = -1.0, k: int | None = None, block: int = 8192) -> DataFrame:
+def cosine_blocks(rows: DataFrame, queries: DataFrame, floor: float = -1.0, k: int | None = None, block: int = 8192, others: bool = False) -> DataFrame:
     """(query_id, id, score) of a query set of any size against all rows, in blocks: both sides (id, vector array) are cut
     by a hash of their id into blocks of about ``block`` rows, and each pair of blocks is one matrix product. Cosines in
-    DOUBLE, rounded to six places, of at least ``floor``; with ``k`` the best k of each query, ties to the smaller id. Null
-    vectors, zero vectors and vectors of another length than the query have no score and give no row."""
+    DOUBLE, rounded to six places, of at least ``floor``; with ``k`` the best k of each query, ties to the smaller id. ``others`` leaves out the row of
+    the query's own id. Null vectors, zero vectors and vectors of another length than the query have no score and give no row."""
     import math
 
     def counted(df: DataFrame) -> int:
@@ -149,14 +154,14 @@ def cosine_blocks(rows: DataFrame, queries: DataFrame, floor: float = -1.0, k: i
     right = good(queries, "id").select("dim", every(nr).alias("r"), part(nq).alias("q"), "id", "vector")
     right = right.toDF(*(f"_{c}" for c in right.columns)).toDF(*right.columns)
     keys = ["dim", "r", "q"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_product(round(floor * 1e6), k), "query_id bigint, id bigint, micro int")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_product(round(floor * 1e6), k, others), "query_id bigint, id bigint, micro int")
     if k is not None and nr > 1:
         best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("micro")).alias("less"), "id"))), 1, k)
         met = met.groupBy("query_id").agg(best.alias("b")).select("query_id", F.explode("b").alias("x")).select("query_id", F.col("x.id").alias("id"), (-F.col("x.less")).alias("micro"))
     return met.select("query_id", "id", (F.col("micro") / 1e6).alias("score"))
 
 
-def _product(limit: int, k: int | None):  # noqa: ANN202
+def _product(limit: int, k: int | None, others: bool = False):  # noqa: ANN202
     import numpy as np
     import pyarrow as pa
 
@@ -176,6 +181,8 @@ def _product(limit: int, k: int | None):  # noqa: ANN202
         for at in range(0, len(y), 256):
             micro = np.rint((y[at : at + 256] @ x.T) * 1e6).astype(np.int64)
             ok = micro >= limit
+            if others:
+                ok &= names[at : at + 256, None] != ids[None]
             if k is not None and k < len(ids):
                 rank = np.where(ok, (micro + 2_000_000) * len(ids) + np.arange(len(ids))[::-1], -1)
                 keep = np.argpartition(-rank, k - 1, axis=1)[:, :k]

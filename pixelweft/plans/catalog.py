@@ -5,6 +5,7 @@ Hashes leave as hex text, because SQL engines differ in unsigned types; 32-bit s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from ..operators import search
 from ..operators.fingerprint import fingerprint, single
 from ..schema import N_BLOCKS, HashAlgorithm, MultiHashConfig
 from ..session import Scratch, read_spread
-from ..sources import files
+from ..sources import files, store
 from . import rasters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,11 +183,10 @@ for _name, _c in {
     _multi_query(_name, _c)
 
 
-@_query("is_similar", f"SELECT id, score >= 0.52 AS similar FROM ({_sql_multi(MultiHashConfig())})")
+@_query("is_similar", f"SELECT id, score >= 0.52::FLOAT AS similar FROM ({_sql_multi(MultiHashConfig()).replace(')::DOUBLE, 6) AS score', ')::DOUBLE, 9)::FLOAT AS score')})")
 def _is_similar(spark: SparkSession, d: str) -> DataFrame:
-    # rounded like the other scores, so that both engines compare the same number
-    pairs = _flat(_multi_pairs(spark, d), S.compare_multi(F.col("a"), F.col("b")))
-    return pairs.select("id", (F.col("score") >= 0.52).alias("similar"))
+    pairs = _multi_pairs(spark, d).select("id", S.compare_multi(F.col("a"), F.col("b")).alias("s"))
+    return pairs.select("id", S.is_similar(F.col("s"), 0.52).alias("similar"))
 
 
 @_query("similarity_band", f"SELECT CASE WHEN score > 0.8 THEN 'very similar' WHEN score > 0.5 THEN 'somewhat similar' ELSE 'different' END AS band, count(*) AS pairs FROM ({_sql_multi(MultiHashConfig())}) GROUP BY 1")
@@ -220,37 +220,34 @@ def _coarse_bucket_index(spark: SparkSession, d: str) -> DataFrame:
 
 _NEAR = f"""WITH m AS ({_MULTIS}), k AS (SELECT *, substr(lpad(to_hex(phash.global_hash), 16, '0'), 1, 4) AS k FROM m {{where}}),
  p AS (SELECT x.id AS id, y.id AS id_b, x.exact AS xe, y.exact AS ye, {", ".join(f"{s}.{a.field}.global_hash AS {s}g{a.field[0]}, {s}.{a.field}.block_hashes AS {s}b{a.field[0]}" for s in "xy" for a in HashAlgorithm)}
- FROM k x JOIN k y ON x.k = y.k AND x.id < y.id)"""
+ FROM k x JOIN k y ON {{on}} x.id < y.id)"""
 
 
-def _sql_near(where: str, score: float) -> str:
+def _sql_near(where: str, score: float, on: str = "") -> str:
     body = _sql_multi(MultiHashConfig()).partition(" SELECT id, round(")[2]
-    return f"{_NEAR.format(where=where)} SELECT id AS id_a, id_b, score, exact_match, perceptual_distance FROM (SELECT id, id_b, round({body}) WHERE score >= {score}"
+    return f"{_NEAR.format(where=where, on=on)} SELECT id AS id_a, id_b, score, exact_match, perceptual_distance FROM (SELECT id, id_b, round({body}) WHERE score >= {score}"
 
 
-def _near_query(name: str, where: str, prepare: Callable[[DataFrame], DataFrame], score: float = 0.9) -> None:
-    @_query(name, _sql_near(where, score))
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        pairs = search.near_duplicates_in_buckets(prepare(_multis(spark, d)), "id", score)
-        return pairs.select("id_a", "id_b", _six(F.col("similarity.score")).alias("score"), F.col("similarity.exact_match").alias("exact_match"), F.col("similarity.perceptual_distance").alias("perceptual_distance"))
-
+def _shown_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select("id_a", "id_b", _six(F.col("similarity.score")).alias("score"), F.col("similarity.exact_match").alias("exact_match"), F.col("similarity.perceptual_distance").alias("perceptual_distance"))
 
-_near_query("coarse_bucket_join", "", lambda df: df)
-_near_query("near_duplicates_singletons", "WHERE exact IN (SELECT exact FROM m GROUP BY exact HAVING count(*) = 1)", lambda df: search.singletons(df.where("exact is not null")))
-_near_query("near_duplicates_representative", "WHERE (exact, id) IN (SELECT (exact, min(id)) FROM m WHERE exact IS NOT NULL GROUP BY exact)", lambda df: search.representatives(df.where("exact is not null"), "id"))
 
+@_query("coarse_bucket_join", _sql_near("", 0.9, "x.k = y.k AND"))
+def _coarse_bucket_join(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs within buckets: lossy by contract, and so is its SQL. The queries below compare all pairs."""
+    return _shown_pairs(search.near_duplicates_in_buckets(_multis(spark, d), "id", 0.9))
 
-def _near_all_query(name: str, where: str, prepare: Callable[[DataFrame], DataFrame], score: float = 0.9) -> None:
-    """All pairs, without the bucket; the SQL compares every row with every other."""
 
-    @_query(name, _sql_near(where, score).replace("x.k = y.k AND ", ""))
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        pairs = search.near_duplicates(prepare(_multis(spark, d)), "id", score)
-        return pairs.select("id_a", "id_b", _six(F.col("similarity.score")).alias("score"), F.col("similarity.exact_match").alias("exact_match"), F.col("similarity.perceptual_distance").alias("perceptual_distance"))
+@_query("near_duplicates_singletons", _sql_near("WHERE exact IN (SELECT exact FROM m GROUP BY exact HAVING count(*) = 1)", 0.9))
+def _near_singletons(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of the pictures whose bytes came once."""
+    return _shown_pairs(search.near_duplicates(search.singletons(_multis(spark, d).where("exact is not null")), "id", 0.9))
 
 
-_near_all_query("near_duplicates_singletons_all", "WHERE exact IN (SELECT exact FROM m GROUP BY exact HAVING count(*) = 1)", lambda df: search.singletons(df.where("exact is not null")))
-_near_all_query("near_duplicates_representative_all", "WHERE (exact, id) IN (SELECT (exact, min(id)) FROM m WHERE exact IS NOT NULL GROUP BY exact)", lambda df: search.representatives(df.where("exact is not null"), "id"))
+@_query("near_duplicates_representative", _sql_near("WHERE (exact, id) IN (SELECT (exact, min(id)) FROM m WHERE exact IS NOT NULL GROUP BY exact)", 0.9))
+def _near_representative(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of the first pictures of all groups of equal bytes."""
+    return _shown_pairs(search.near_duplicates(search.representatives(_multis(spark, d).where("exact is not null"), "id"), "id", 0.9))
 
 
 @_query("exact_duplicates", "SELECT lower(hex(exact)) AS exact, count(*) AS members, min(id) AS first_id FROM (SELECT DISTINCT id, exact FROM fingerprints WHERE exact IS NOT NULL) GROUP BY 1 HAVING count(*) > 1")
@@ -266,8 +263,7 @@ def _duplicate_members(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("full_fingerprint_groups", f"SELECT lower(hex(exact)) AS exact, lpad(lower(to_hex(g)), 16, '0') AS global_hash, count(*) AS members FROM ({_SINGLES}) GROUP BY exact, g, b HAVING count(*) > 1")
 def _full_groups(spark: SparkSession, d: str) -> DataFrame:
-    groups = _singles(spark, d).groupBy("fp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return groups.select(formatting.exact_hex(F.col("fp.exact")).alias("exact"), hex64(F.col("fp.global_hash")).alias("global_hash"), "members")
+    return search.full_duplicates(_singles(spark, d)).select(formatting.exact_hex(F.col("fp.exact")).alias("exact"), hex64(F.col("fp.global_hash")).alias("global_hash"), "members")
 
 
 _SEARCH = f"WITH m AS ({_MULTIS}), q AS (SELECT * FROM m ORDER BY id LIMIT 1), p AS (SELECT x.id, x.exact AS xe, y.exact AS ye, " + ", ".join(f"{s}.{a.field}.global_hash AS {s}g{a.field[0]}, {s}.{a.field}.block_hashes AS {s}b{a.field[0]}" for s in "xy" for a in HashAlgorithm) + " FROM m x CROSS JOIN q y)"
@@ -298,7 +294,7 @@ _HEX_BLOCKS = "array_to_string(list_transform(b, lambda x: lpad(lower(to_hex(x))
 
 @_query("exact_hash", "SELECT doc_id, sha256(text) AS exact FROM documents WHERE text IS NOT NULL")
 def _exact_hash(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("exact"))
+    return _read(spark, d, "documents").where("text is not null").select("doc_id", formatting.exact_hex(hashing.exact_sha256(F.encode("text", "utf-8"))).alias("exact"))
 
 
 @_query("format_single", f"SELECT id, lower(hex(exact)) || ':' || lpad(lower(to_hex(g)), 16, '0') || ':' || {_HEX_BLOCKS} AS text FROM ({_SINGLES}) WHERE exact IS NOT NULL")
@@ -337,18 +333,99 @@ def _pod_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _shown(rows, formatting.unpack_single(F.col("r")))
 
 
-@_query("pod_multi_roundtrip", f"SELECT id, lower(hex(exact)) AS exact, lpad(lower(to_hex(dhash.global_hash)), 16, '0') AS global_hash, array_to_string(list_transform(dhash.block_hashes, lambda x: lpad(lower(to_hex(x)), 16, '0')), ',') AS blocks FROM ({_MULTIS}) WHERE octet_length(exact) = 32")
+_ROUND_TRIP_MULTI = " UNION ALL ".join(
+    f"SELECT id, '{a.value}' AS algorithm, lower(hex(exact)) AS exact, lpad(lower(to_hex({a.field}.global_hash)), 16, '0') AS global_hash, array_to_string(list_transform({a.field}.block_hashes, lambda x: lpad(lower(to_hex(x)), 16, '0')), ',') AS blocks FROM ({_MULTIS}) WHERE octet_length(exact) = 32"
+    for a in HashAlgorithm
+)
+
+
+def _shown_multi(back: DataFrame) -> DataFrame:
+    """Rows (id, m) with the hashes of all three algorithms."""
+    each = F.explode(F.array(*(F.struct(F.lit(a.value).alias("algorithm"), F.col("m.exact").alias("exact"), F.col(f"m.{a.field}.global_hash").alias("global_hash"), F.col(f"m.{a.field}.block_hashes").alias("block_hashes")) for a in HashAlgorithm)))
+    return back.select("id", each.alias("y")).select("id", F.col("y.algorithm").alias("algorithm"), formatting.exact_hex(F.col("y.exact")).alias("exact"), hex64(F.col("y.global_hash")).alias("global_hash"), F.array_join(F.transform("y.block_hashes", hex64), ",").alias("blocks"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return _multis(spark, d).where(F.octet_length("exact") == 32)
+
+
+@_query("pod_multi_roundtrip", _ROUND_TRIP_MULTI)
 def _pod_multi_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    rows = _multis(spark, d).where(F.octet_length("exact") == 32).select("id", formatting.pack_multi(search.multi()).alias("r"))
-    back = rows.select("id", formatting.unpack_multi(F.col("r")).alias("m"))
-    return _shown(back, F.struct(F.col("m.exact").alias("exact"), F.col("m.dhash.global_hash").alias("global_hash"), F.col("m.dhash.block_hashes").alias("block_hashes")))
+    rows = _records(spark, d).select("id", formatting.pack_multi(search.multi()).alias("r"))
+    return _shown_multi(rows.select("id", formatting.unpack_multi(F.col("r")).alias("m")))
 
 
-@_query("json_multi_roundtrip", _SQL["pod_multi_roundtrip"])
+@_query("json_multi_roundtrip", _ROUND_TRIP_MULTI)
 def _json_multi_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    rows = _multis(spark, d).where(F.octet_length("exact") == 32).select("id", formatting.json_multi(search.multi()).alias("j"))
-    back = rows.select("id", formatting.parse_json_multi(F.col("j")).alias("m"))
-    return _shown(back, F.struct(F.col("m.exact").alias("exact"), F.col("m.dhash.global_hash").alias("global_hash"), F.col("m.dhash.block_hashes").alias("block_hashes")))
+    rows = _records(spark, d).select("id", formatting.json_multi(search.multi()).alias("j"))
+    return _shown_multi(rows.select("id", formatting.parse_json_multi(F.col("j")).alias("m")))
+
+
+def _sql_little(h: str) -> str:
+    """Hex of the 8 bytes of a hash, the least significant first."""
+    digits = f"lpad(lower(to_hex({h})), 16, '0')"
+    return "(" + " || ".join(f"substr({digits}, {i}, 2)" for i in range(15, 0, -2)) + ")"
+
+
+def _sql_record(g: str, b: str) -> str:
+    return f"lower(hex(exact)) || {_sql_little(g)} || array_to_string(list_transform({b}, lambda x: {_sql_little('x')}), '')"
+
+
+def _sql_json(g: str, b: str) -> str:
+    unsigned = lambda x: f"(CASE WHEN {x} < 0 THEN {x}::HUGEINT + 18446744073709551616 ELSE {x}::HUGEINT END)::VARCHAR"
+    return f"""'{{"exact":' || {_SQL_BYTES} || ',"global_hash":' || {unsigned(g)} || ',"block_hashes":[' || array_to_string(list_transform({b}, lambda x: {unsigned('x')}), ',') || ']}}'"""
+
+
+_SQL_BYTES = "'[' || array_to_string(list_transform(range(32), lambda i: ('0x' || substr(hex(exact), 2 * i + 1, 2))::INTEGER::VARCHAR), ',') || ']'"
+
+
+@_query("pod_bytes", f"SELECT id, {_sql_record('g', 'b')} AS record FROM ({_SINGLES}) WHERE octet_length(exact) = 32")
+def _pod_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The 168 bytes themselves, as hex text."""
+    rows = _singles(spark, d).where(F.octet_length("fp.exact") == 32)
+    return rows.select("id", F.lower(F.hex(formatting.pack_single(F.col("fp.exact"), F.col("fp")))).alias("record"))
+
+
+@_query("pod_multi_bytes", f"SELECT id, lower(hex(exact)) || {' || '.join(_sql_record(f'{a.field}.global_hash', f'{a.field}.block_hashes') for a in HashAlgorithm)} AS record FROM ({_MULTIS}) WHERE octet_length(exact) = 32")
+def _pod_multi_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("id", F.lower(F.hex(formatting.pack_multi(search.multi()))).alias("record"))
+
+
+@_query("json_text", f"SELECT id, {_sql_json('g', 'b')} AS text FROM ({_SINGLES}) WHERE octet_length(exact) = 32")
+def _json_text(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON text itself."""
+    rows = _singles(spark, d).where(F.octet_length("fp.exact") == 32)
+    return rows.select("id", formatting.json_single(F.col("fp")).alias("text"))
+
+
+@_query("json_multi_text", "SELECT id, '{\"exact\":' || " + _SQL_BYTES + " || " + " || ".join(f"""',"{a.field}":' || {_sql_json(f'{a.field}.global_hash', f'{a.field}.block_hashes')}""" for a in HashAlgorithm) + f" || '}}' AS text FROM ({_MULTIS}) WHERE octet_length(exact) = 32")
+def _json_multi_text(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("id", formatting.json_multi(search.multi()).alias("text"))
+
+
+@_query("bincode_roundtrip", _ROUND_TRIP)
+def _bincode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = _singles(spark, d).where(F.octet_length("fp.exact") == 32).select("id", formatting.bincode_single(F.col("fp.exact"), F.col("fp")).alias("r"))
+    return _shown(rows, formatting.from_bincode_single(F.col("r")))
+
+
+_SQL_SCORE_TEXT = "CASE WHEN exact_match IS NULL THEN 'null' WHEN exact_match THEN 'true' ELSE 'false' END"
+
+
+@_query("json_similarity", f"""SELECT left_id, right_id, '{{"score":' || coalesce(round(score::DOUBLE, 6)::VARCHAR, 'null') || ',"exact_match":' || {_SQL_SCORE_TEXT} || ',"perceptual_distance":' || coalesce(perceptual_distance::VARCHAR, 'null') || '}}' AS text FROM similarities WHERE score IS NULL OR (score >= 0.001::FLOAT AND score <= 1::FLOAT)""")
+def _json_similarity(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "similarities").where("score is null or (score >= cast(0.001 as float) and score <= cast(1 as float))")
+    s = F.struct(_six(F.col("score")).alias("score"), "exact_match", "perceptual_distance")
+    return rows.select("left_id", "right_id", formatting.json_similarity(s).alias("text"))
+
+
+@_query("json_embedding_roundtrip", "SELECT DISTINCT id, model_id, len(vector)::INTEGER AS dimension, list_transform(vector, lambda x: x::DOUBLE) AS vector FROM embeddings_in WHERE len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0")
+def _json_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings to JSON text and back, all values."""
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = _read(spark, d, "embeddings_in").where((F.size("vector") > 0) & finite)
+    back = rows.select("id", formatting.parse_json_embedding(formatting.json_embedding(F.struct("vector", "model_id"))).alias("e"))
+    return back.select("id", F.col("e.model_id").alias("model_id"), F.size("e.vector").alias("dimension"), F.transform("e.vector", lambda x: x.cast("double")).alias("vector")).distinct()
 
 
 @_query("pick_algorithm", f"SELECT id, lpad(lower(to_hex(CASE id % 3 WHEN 0 THEN ahash.global_hash WHEN 1 THEN phash.global_hash ELSE dhash.global_hash END)), 16, '0') AS global_hash FROM ({_MULTIS})")
@@ -366,10 +443,13 @@ def _single_algorithms(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@_query("version_gate", "SELECT format_version, count(*) AS n_rows, format_version = 1 AS accepted FROM (SELECT DISTINCT id, format_version FROM fingerprints) GROUP BY 1")
+@_query("version_gate", "SELECT format_version, count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT id, format_version FROM fingerprints WHERE format_version IS DISTINCT FROM 1)) AS refused FROM (SELECT DISTINCT id, format_version FROM fingerprints) WHERE format_version = 1 GROUP BY 1")
 def _version_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "fingerprints").select("id", "format_version").distinct()
-    return rows.groupBy("format_version").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("accepted", F.col("format_version") == 1)
+    """What the gate of stored fingerprints lets through, and how many rows it refuses."""
+    every = _read(spark, d, "fingerprints").select("id", "format_version").distinct()
+    let = store.load(spark, f"{d}/fingerprints.parquet", strict=False).select("id", "format_version").distinct()
+    refused = every.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(let.agg(F.count(F.lit(1)).alias("m")))).select((F.col("n") - F.col("m")).alias("refused"))
+    return let.groupBy("format_version").agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(refused))
 
 
 # ---------------------------------------------------------------- pictures
@@ -443,29 +523,32 @@ def _luma(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "part").select("p_partkey", hashing.luma(r, g, b).alias("grey"))
 
 
-@_query("global_region", f"SELECT doc_id, list_sum(v)::BIGINT AS total, list_min(v)::BIGINT AS least, list_max(v)::BIGINT AS most FROM (SELECT doc_id, list_transform(range(1024), lambda i: {rasters.sql_grey('112 + i // 32', '112 + i % 32')}) AS v FROM {rasters.SQL_DOCUMENTS})")
+_SUMS = "list_sum(v)::BIGINT AS total, list_min(v)::BIGINT AS least, list_max(v)::BIGINT AS most, list_sum(list_transform(range(len(v)), lambda i: v[i + 1] * (i + 1)))::BIGINT AS placed"
+
+
+@_query("global_region", f"SELECT doc_id, {_SUMS} FROM (SELECT doc_id, list_transform(range(1024), lambda i: {rasters.sql_grey('112 + i // 32', '112 + i % 32')}) AS v FROM {rasters.SQL_DOCUMENTS})")
 def _global_region(spark: SparkSession, d: str) -> DataFrame:
-    v = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: rasters.grey(F.floor(i / 32) + 112, i % 32 + 112))
-    rows = rasters.documents(spark, d).select("doc_id", v.alias("v"))
-    return rows.select("doc_id", F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.array_min("v").alias("least"), F.array_max("v").alias("most"))
+    """The 1,024 pixels that the kernel cuts out: sum, extremes, and the sum weighted by place."""
+    return rasters.regions(spark, d, blocks=False).drop("block")
 
 
-@_query("block_grid", f"SELECT doc_id, block, list_sum(v)::BIGINT AS total FROM (SELECT doc_id, block, list_transform(range(64), lambda i: {rasters.sql_grey('block // 4 * 64 + i', 'block % 4 * 64 + i')}) AS v FROM {_BLOCKS})")
+@_query("block_grid", f"SELECT doc_id, block, {_SUMS} FROM (SELECT doc_id, block, list_transform(range(4096), lambda i: {rasters.sql_grey('block // 4 * 64 + i // 64', 'block % 4 * 64 + i % 64')}) AS v FROM {_BLOCKS})")
 def _block_grid(spark: SparkSession, d: str) -> DataFrame:
-    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: rasters.grey(F.floor(F.col("block") / 4) * 64 + i, F.col("block") % 4 * 64 + i))
-    return _blocks(spark, d).select("doc_id", "block", F.aggregate(v, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+    """Likewise all 4,096 pixels of each of the 16 blocks."""
+    return rasters.regions(spark, d, blocks=True)
 
 
 @_query("ahash_global", f"SELECT doc_id, {_MEAN_BITS} AS bits FROM (SELECT doc_id, {_list('112 + i // 8 * 4', '112 + i % 8 * 4', 64)} AS v FROM {rasters.SQL_DOCUMENTS})")
 def _ahash_global(spark: SparkSession, d: str) -> DataFrame:
-    v = rasters.pixels(64, lambda i: F.floor(i / 8) * 4 + 112, lambda i: i % 8 * 4 + 112)
+    v = F.array(*hashing.bilinear(lambda y, x: rasters.pixel(y + 112, x + 112), 32, 8, 8))
     return rasters.documents(spark, d).select("doc_id", v.alias("v")).select("doc_id", _bits(hashing.mean_threshold(F.col("v"))).alias("bits"))
 
 
 @_query("ahash_blocks", f"SELECT doc_id, block, {_MEAN_BITS} AS bits FROM (SELECT doc_id, block, {_list('block // 4 * 64 + i // 8 * 8', 'block % 4 * 64 + i % 8 * 8', 64)} AS v FROM {_BLOCKS})")
 def _ahash_blocks(spark: SparkSession, d: str) -> DataFrame:
-    v = rasters.pixels(64, lambda i: F.floor(F.col("block") / 4) * 64 + F.floor(i / 8) * 8, lambda i: F.col("block") % 4 * 64 + i % 8 * 8)
-    return _blocks(spark, d).select("doc_id", "block", v.alias("v")).select("doc_id", "block", _bits(hashing.mean_threshold(F.col("v"))).alias("bits"))
+    v = F.array(*hashing.bilinear(lambda y, x: rasters.pixel(F.col("r0") + y, F.col("c0") + x), 64, 8, 8))
+    rows = _blocks(spark, d).withColumns({"r0": F.floor(F.col("block") / 4) * 64, "c0": F.col("block") % 4 * 64})
+    return rows.select("doc_id", "block", v.alias("v")).select("doc_id", "block", _bits(hashing.mean_threshold(F.col("v"))).alias("bits"))
 
 
 @_query("dhash_global", f"SELECT doc_id, {_GRADIENT_BITS} AS bits FROM (SELECT doc_id, [{', '.join(rasters.sql_bilinear('112', '112', 32, 9, 8))}] AS v FROM {rasters.SQL_DOCUMENTS})")
@@ -487,71 +570,69 @@ def _bilinear(spark: SparkSession, d: str) -> DataFrame:
     return rasters.documents(spark, d).select("doc_id", F.transform(v, lambda x: F.round(x.cast("double"), 5)).alias("v"))
 
 
-@_query(
-    "box_downsample",
-    f"SELECT doc_id, list_transform(range(1024), lambda k: round((((((v[(k // 32 * 2) * 64 + k % 32 * 2 + 1] + v[(k // 32 * 2) * 64 + k % 32 * 2 + 2])::FLOAT + v[(k // 32 * 2 + 1) * 64 + k % 32 * 2 + 1])::FLOAT + v[(k // 32 * 2 + 1) * 64 + k % 32 * 2 + 2])::FLOAT) * 0.25::FLOAT)::DOUBLE, 5)) AS v FROM (SELECT doc_id, {_list('i // 64', 'i % 64', 4096)} AS v FROM {rasters.SQL_DOCUMENTS})",
-)
+_HALF = "(k // 32 * 2) * 64 + k % 32 * 2"
+_BOX = f"round(((((v[{_HALF} + 1] + v[{_HALF} + 2])::FLOAT + v[{_HALF} + 65])::FLOAT + v[{_HALF} + 66])::FLOAT * 0.25::FLOAT)::DOUBLE * 1020)"
+
+
+@_query("box_downsample", f"SELECT doc_id, block, list_sum(h)::BIGINT AS total, list_sum(list_transform(range(1024), lambda i: h[i + 1] * (i + 1)))::BIGINT AS placed FROM (SELECT doc_id, block, list_transform(range(1024), lambda k: {_BOX}) AS h FROM (SELECT doc_id, block, {_list('block // 4 * 64 + i // 64', 'block % 4 * 64 + i % 64', 4096)} AS v FROM {_BLOCKS}))")
 def _box(spark: SparkSession, d: str) -> DataFrame:
-    v = rasters.pixels(4096, lambda i: F.floor(i / 64), lambda i: i % 64)
-    rows = rasters.documents(spark, d).select("doc_id", v.alias("v"))
-    return rows.select("doc_id", F.transform(hashing.box_halved(F.col("v")), lambda x: F.round(x.cast("double"), 5)).alias("v"))
+    """All 16 blocks halved: the sum of the means, in quarters of a grey level, and the sum weighted by place."""
+    v = rasters.pixels(4096, lambda i: F.floor(F.col("block") / 4) * 64 + F.floor(i / 64), lambda i: F.col("block") % 4 * 64 + i % 64)
+    quarters = F.transform(hashing.box_halved(F.col("v")), lambda x: F.rint(x.cast("double") * 1020).cast("bigint"))
+    rows = _blocks(spark, d).select("doc_id", "block", v.alias("v")).select("doc_id", "block", quarters.alias("h"))
+    zero = F.lit(0).cast("bigint")
+    placed = F.zip_with("h", F.sequence(F.lit(1), F.lit(1024)), lambda x, i: x * i)
+    return rows.select("doc_id", "block", F.aggregate("h", zero, lambda s, x: s + x).alias("total"), F.aggregate(placed, zero, lambda s, x: s + x).alias("placed"))
 
 
-def _kernel_rasters(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, hashes of the centre, gap): the numpy kernels on the synthetic pictures. ``gap`` is the distance of the
-    median coefficient, in DOUBLE, to the next ones: below the rounding of 32 bits it says that a bit is a toss-up."""
-    from collections.abc import Iterator
+@_query("phash_rasters")
+def _phash_rasters(spark: SparkSession, d: str) -> DataFrame:
+    found = rasters.kernel_hashes(spark, d)
+    return found.where("block < 0").select("doc_id", *(hex64(a.field).alias(a.field) for a in HashAlgorithm))
 
-    import numpy as np
-    import pyarrow as pa
 
-    from ..operators import kernels
+def _sql_frequency(source: str, keys: str, values: str) -> str:
+    """Bits of the frequency hash of ``x``, 1,024 values; null where the median, in DOUBLE, is a toss-up in 32 bits."""
+    basis = "[" + ", ".join(repr(math.cos((2 * c + 1) * k * math.pi / 64)) for k in range(8) for c in range(32)) + "]::DOUBLE[]"
+    return f"""WITH x AS (SELECT {keys}, {values} AS x FROM {source}), b AS (SELECT {basis} AS b),
+    t AS (SELECT {keys}, b, list_transform(range(256), lambda k: list_inner_product(x[(k // 8) * 32 + 1:(k // 8) * 32 + 32], b[(k % 8) * 32 + 1:(k % 8) * 32 + 32])) AS t FROM x, b),
+    f AS (SELECT {keys}, list_transform(range(64), lambda k: list_inner_product(list_transform(range(32), lambda r: t[r * 8 + k % 8 + 1]), b[(k // 8) * 32 + 1:(k // 8) * 32 + 32]) / 256) AS c FROM t),
+    m AS (SELECT {keys}, c, list_sort(c) AS s FROM f)
+    SELECT {keys}, CASE WHEN least(s[33] - s[32], s[34] - s[33]) >= 1e-6 THEN array_to_string(list_transform(c, lambda v: CASE WHEN v >= s[33] THEN '1' ELSE '0' END), '') END AS bits FROM m"""
 
-    fields = [a.field for a in HashAlgorithm]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, c = np.arange(256, dtype=np.int64)[:, None], np.arange(256, dtype=np.int64)[None]
-        basis = np.cos(np.pi * (2 * np.arange(32)[None] + 1) * np.arange(8)[:, None] / 64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                p, q = (batch.column(n).to_numpy().astype(np.int64)[:, None, None] for n in ("p", "q"))
-                grey = ((r * r * p + c * q + r * c) % 256).astype(np.uint8)
-                found = kernels.fingerprint(grey)
-                low = np.sort((basis @ kernels.global_region(grey).astype(np.float64) @ basis.T / 256).reshape(len(grey), 64), axis=1)
-                gap = np.minimum(low[:, 32] - low[:, 31], low[:, 33] - low[:, 32])
-                yield pa.record_batch([batch.column("doc_id"), *(pa.array(found[f][0]) for f in fields), pa.array(gap)], names=["doc_id", *fields, "gap"])
+def _frequency_bits(spark: SparkSession, d: str, where: str) -> DataFrame:
+    bits = F.when(F.col("gap") >= 1e-6, _bits(F.col("phash")))
+    return rasters.kernel_hashes(spark, d).where(where).select("doc_id", "block", bits.alias("bits"))
 
-    return rasters.documents(spark, d).mapInArrow(run, "doc_id bigint, ahash bigint, phash bigint, dhash bigint, gap double")
 
+@_query("phash_global", _sql_frequency(rasters.SQL_DOCUMENTS, "doc_id", f"list_transform({_list('112 + i // 32', '112 + i % 32', 1024)}, lambda y: y::DOUBLE)"))
+def _phash_global(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency hashes of all pictures; null where the median is a toss-up in 32 bits."""
+    return _frequency_bits(spark, d, "block < 0").drop("block")
 
-@_query("phash_rasters")
-def _phash_rasters(spark: SparkSession, d: str) -> DataFrame:
-    return _kernel_rasters(spark, d).select("doc_id", *(hex64(a.field).alias(a.field) for a in HashAlgorithm))
 
+_QUAD = "v[(i // 32 * 2) * 64 + i % 32 * 2 + {0}]::DOUBLE"
 
-@_query(
-    "phash_global",
-    f"""WITH x AS (SELECT doc_id, list_transform({_list('112 + i // 32', '112 + i % 32', 1024)}, lambda y: y::DOUBLE) AS x FROM {rasters.SQL_DOCUMENTS}),
-    t AS (SELECT doc_id, list_transform(range(256), lambda k: list_sum(list_transform(range(32), lambda c: x[(k // 8) * 32 + c + 1] * cos((2 * c + 1) * (k % 8) * pi() / 64)))) AS t FROM x),
-    f AS (SELECT doc_id, list_transform(range(64), lambda k: list_sum(list_transform(range(32), lambda r: t[r * 8 + k % 8 + 1] * cos((2 * r + 1) * (k // 8) * pi() / 64))) / 256) AS c FROM t),
-    m AS (SELECT doc_id, c, list_sort(c) AS s FROM f)
-    SELECT doc_id, array_to_string(list_transform(c, lambda v: CASE WHEN v >= s[33] THEN '1' ELSE '0' END), '') AS bits FROM m WHERE least(s[33] - s[32], s[34] - s[33]) >= 1e-6""",
-)
-def _phash_global(spark: SparkSession, d: str) -> DataFrame:
-    """Frequency hashes, where the median isn't a toss-up in 32 bits."""
-    return _kernel_rasters(spark, d).where("gap >= 1e-6").select("doc_id", _bits(F.col("phash")).alias("bits"))
+
+@_query("phash_blocks", _sql_frequency(f"(SELECT doc_id, block, {_list('block // 4 * 64 + i // 64', 'block % 4 * 64 + i % 64', 4096)} AS v FROM {_BLOCKS})", "doc_id, block", f"list_transform(range(1024), lambda i: ({' + '.join(_QUAD.format(k) for k in (1, 2, 65, 66))}) / 4)"))
+def _phash_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Likewise of all blocks, which are halved first."""
+    return _frequency_bits(spark, d, "block >= 0")
 
 
-@_query("kernel_ahash", _SQL["ahash_global"])
-def _kernel_ahash(spark: SparkSession, d: str) -> DataFrame:
+def _kernel_query(name: str, algorithm: HashAlgorithm, blocks: bool) -> None:
     """The kernel must give the bits of the native stages."""
-    return _kernel_rasters(spark, d).select("doc_id", _bits(F.col("ahash")).alias("bits"))
+
+    @_query(name, _SQL[f"{algorithm.field}_{'blocks' if blocks else 'global'}"])
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = rasters.kernel_hashes(spark, d).where("block >= 0" if blocks else "block < 0").select("doc_id", "block", _bits(F.col(algorithm.field)).alias("bits"))
+        return found if blocks else found.drop("block")
 
 
-@_query("kernel_dhash", _SQL["dhash_global"])
-def _kernel_dhash(spark: SparkSession, d: str) -> DataFrame:
-    return _kernel_rasters(spark, d).select("doc_id", _bits(F.col("dhash")).alias("bits"))
+for _a in (HashAlgorithm.AHASH, HashAlgorithm.DHASH):
+    _kernel_query(f"kernel_{_a.field}", _a, False)
+    _kernel_query(f"kernel_{_a.field}_blocks", _a, True)
 
 
 # ---------------------------------------------------------------- embeddings
@@ -624,8 +705,7 @@ def _semantic_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("semantic_topk_all", "SELECT query_id, id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE k <= 5")
 def _semantic_topk_all(spark: SparkSession, d: str) -> DataFrame:
-    # a vector is its own best match, so six are asked for
-    return search.cosine_blocks(*_asked(spark, d), k=6).where("query_id <> id")
+    return search.cosine_blocks(*_asked(spark, d), k=5, others=True)
 
 
 @_query("semantic_bar", f"SELECT id, repeat('█', s) || repeat('░', 10 - s) AS bar, CASE WHEN score >= 0.95 THEN '★' ELSE '' END AS star FROM (SELECT id, score, greatest(0, least(10, trunc(score * 10)))::BIGINT AS s FROM ({_TO_FIRST}))")
@@ -634,11 +714,17 @@ def _semantic_bar(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", E.similarity_bar(F.col("score")).alias("bar"), E.star(F.col("score")).alias("star"))
 
 
-@_query("l2_normalize", "SELECT vec_id AS id, round((embedding[1] * 3 / sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) * (x::DOUBLE * 3)))))::DOUBLE, 4) AS first_value, 1.0::DOUBLE AS norm FROM embeddings")
+@_query(
+    "l2_normalize",
+    """WITH w AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (x * 3::FLOAT)::FLOAT) AS w FROM embeddings),
+    n AS (SELECT id, w, sqrt(list_reduce(list_transform(w, lambda y: (y * y)::FLOAT), lambda a, z: (a + z)::FLOAT)::DOUBLE)::FLOAT AS norm FROM w)
+    SELECT id, list_transform(w, lambda x: (x / norm)::FLOAT::DOUBLE) AS v, 1.0::DOUBLE AS length FROM n""",
+)
 def _l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    """All values, bit by bit, of vectors three times as long."""
     tripled = F.transform("embedding", lambda x: (x * F.lit(3).cast("float")).cast("float"))
     rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), E.l2_normalize(tripled).alias("v"))
-    return rows.select("id", F.round(F.col("v")[0].cast("double"), 4).alias("first_value"), F.round(F.sqrt(E.dot64(F.col("v"), F.col("v"))), 4).alias("norm"))
+    return rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.round(F.sqrt(E.dot64(F.col("v"), F.col("v"))), 4).alias("length"))
 
 
 @_query("mean_threshold_hash", f"SELECT id, {_MEAN_BITS} AS bits FROM (SELECT vec_id AS id, embedding AS v FROM embeddings)")

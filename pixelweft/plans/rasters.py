@@ -3,10 +3,16 @@ p and q come from its numbers. They exercise the hash stages where no decoded pi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import scaled, taps
+from ..operators import kernels
+from ..schema import N_BLOCKS, HashAlgorithm
 from ..session import read_spread
 
 P = "(doc_id % 251 + 1)"
@@ -33,6 +39,60 @@ def pixels(indexes: int, r: object, c: object) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(indexes - 1)), lambda i: pixel(r(i), c(i)))
 
 
+#: Pictures that a kernel call holds.
+BATCH = 64
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(doc_ids, grey pictures (n, 256, 256)) of the rows (doc_id, p, q)."""
+    r, c = np.arange(256, dtype=np.int64)[:, None], np.arange(256, dtype=np.int64)[None]
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(at, BATCH)
+            p, q = (batch.column(n).to_numpy().astype(np.int64)[:, None, None] for n in ("p", "q"))
+            yield batch.column("doc_id"), ((r * r * p + c * q + r * c) % 256).astype(np.uint8)
+
+
+def regions(spark: SparkSession, sf_dir: str, blocks: bool) -> DataFrame:
+    """(doc_id, block, total, least, most, placed) of the regions that the kernels cut out of each picture: the centre
+    (block -1) or the 16 blocks. ``placed`` is the sum of the pixels times their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, grey in _drawn(batches):
+            cut = kernels.block_grid(grey) if blocks else kernels.global_region(grey)[:, None]
+            v = np.rint(cut.reshape(*cut.shape[:2], -1).astype(np.float64) * 255).astype(np.int64)
+            block = np.tile(np.arange(v.shape[1]) if blocks else [-1], len(v)).astype(np.int32)
+            figures = (v.sum(axis=2), v.min(axis=2), v.max(axis=2), v @ np.arange(1, v.shape[2] + 1))
+            doc = pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), v.shape[1]))
+            yield pa.record_batch([doc, pa.array(block), *(pa.array(f.ravel()) for f in figures)], names=["doc_id", "block", "total", "least", "most", "placed"])
+
+    return documents(spark, sf_dir).mapInArrow(run, "doc_id bigint, block int, total bigint, least bigint, most bigint, placed bigint")
+
+
+def kernel_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, block, ahash, phash, dhash, gap): what the kernels make of each picture, of the centre (block -1) and of the 16
+    blocks. ``gap`` is the distance of the median coefficient, in DOUBLE, to the next ones: below the rounding of 32 bits
+    it says that a bit is a toss-up."""
+    fields = [a.field for a in HashAlgorithm]
+
+    def gaps(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+        low = np.sort((basis @ x.astype(np.float64) @ basis.T / 256).reshape(*x.shape[:-2], 64), axis=-1)
+        return np.minimum(low[..., 32] - low[..., 31], low[..., 33] - low[..., 32])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis = np.cos(np.pi * (2 * np.arange(32)[None] + 1) * np.arange(8)[:, None] / 64)
+        for ids, grey in _drawn(batches):
+            found = kernels.fingerprint(grey, tuple(fields))
+            halves = kernels.block_grid(grey).astype(np.float64).reshape(len(grey), N_BLOCKS, 32, 2, 32, 2).mean(axis=(3, 5))
+            gap = np.concatenate([gaps(kernels.global_region(grey), basis)[:, None], gaps(halves, basis)], axis=1)
+            hashes = [np.concatenate([found[f][0][:, None], found[f][1]], axis=1) for f in fields]
+            doc = pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), N_BLOCKS + 1))
+            block = pa.array(np.tile(np.arange(-1, N_BLOCKS), len(grey)).astype(np.int32))
+            yield pa.record_batch([doc, block, *(pa.array(h.ravel()) for h in hashes), pa.array(gap.ravel())], names=["doc_id", "block", *fields, "gap"])
+
+    return documents(spark, sf_dir).mapInArrow(run, "doc_id bigint, block int, ahash bigint, phash bigint, dhash bigint, gap double")
+
+
 def sql_grey(r: str, c: str) -> str:
     return f"((({r}) * ({r}) * p + ({c}) * q + ({r}) * ({c})) % 256)"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,14 +27,21 @@ def local_session(name: str = "pixelweft", cpus: int | None = None, partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset (tests) one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset one of our own, in local mode only
+    (tests): on a cluster a folder of one machine isn't shared, so there the setting must be given."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pixelweft-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Bytes of a table that is spread over all cores by a shuffle.
+SMALL = 1 << 30
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a file or folder on any file system Spark knows."""
     jvm = spark.sparkContext._jvm
@@ -42,11 +50,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over all cores if its files give fewer partitions than there are: one small file would
-    keep a costly kernel on one core. Large tables are read as they are, without a shuffle."""
+    """A Parquet table, spread over all cores where one small file would keep a costly kernel on a few of them. Only a table
+    that a shuffle costs little (``SMALL`` bytes) is spread; larger ones are read as they are."""
     df = spark.read.parquet(path)
     want = spark.sparkContext.defaultParallelism
-    return df if df._jdf.rdd().getNumPartitions() >= want else df.repartition(want)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(want) if size <= SMALL and df._jdf.rdd().getNumPartitions() < want else df
 
 
 class Scratch:

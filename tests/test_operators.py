@@ -232,3 +232,49 @@ def test_driver_contract(spark):
     assert rows and rows[0]["id"] == 0
     names = set(driver.queries())
     assert set(driver.oracle_sql()) <= names and len(names) > 50
+
+
+def test_json_of_small_types(spark):
+    from pixelweft.schema import ModelInputConfig
+
+    s = spark.createDataFrame([(0.5, True, 3), (None, None, None)], "score float, exact_match boolean, perceptual_distance int").select(F.struct("*").alias("s"))
+    texts = [r[0] for r in s.select(formatting.json_similarity(F.col("s"))).collect()]
+    assert texts == ['{"score":0.5,"exact_match":true,"perceptual_distance":3}', '{"score":null,"exact_match":null,"perceptual_distance":null}']
+    back = s.select(formatting.parse_json_similarity(formatting.json_similarity(F.col("s"))).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in back] == [(0.5, True, 3), (None, None, None)]
+    e = spark.createDataFrame([([1.5, -2.0], "m"), ([0.25], None)], "vector array<float>, model_id string").select(formatting.json_embedding(F.struct("*")).alias("j"))
+    assert e.first()["j"] == '{"vector":[1.5,-2.0],"model_id":"m"}'
+    extra = spark.createDataFrame([('{"vector":[1.0],"model_id":null,"x":1}',)], "j string")
+    assert extra.select(formatting.parse_json_embedding(F.col("j")).alias("e")).first()["e"] is None
+    err = spark.createDataFrame([("IoError", "io error: x")], "kind string, message string").select(formatting.json_error(F.struct("*")).alias("j"))
+    assert err.first()["j"] == '{"IoError":"io error: x"}'
+    for config in (MultiHashConfig(block_distance_threshold=7), ModelInputConfig.large_336()):
+        assert formatting.parse_json_config(formatting.json_config(config), type(config)) == config
+    with pytest.raises(ValueError, match="unknown"):
+        formatting.parse_json_config('{"x":1}', MultiHashConfig)
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pixelweft import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(cluster)
+
+
+def test_any_exception_of_a_picture_is_its_error(monkeypatch):
+    def broken(content, config):
+        raise RuntimeError("odd")
+
+    assert fp.read_grey(None, PreprocessConfig()) == (None, None)
+    monkeypatch.setattr(fp.decode, "decode", broken)
+    grey, error = fp.read_grey(b"x", PreprocessConfig())
+    assert grey is None and error.kind == "ProcessingError" and str(error) == "processing error: RuntimeError: odd"
+
+
+def test_cosine_blocks_leave_out_the_query(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(8)], "id bigint, vector array<float>")
+    got = search.cosine_blocks(rows, rows.where("id = 7"), k=5, others=True).collect()
+    assert sorted(r["id"] for r in got) == [0, 1, 2, 3, 4]
