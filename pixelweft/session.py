@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "pixelweft", cpus: int | None = None, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -67,6 +68,7 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         self._paths: dict[int, str] = {}
+        self._tables: list[str] = []
         atexit.register(self.close)
 
     def path(self, name: str = "t") -> str:
@@ -81,6 +83,22 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
+    def counted(self, df: DataFrame, what: Column, name: str = "t") -> tuple[DataFrame, int]:
+        """The table, and in how many of its rows ``what`` is true, counted while it is written."""
+        seen = Observation()
+        out = self.table(df.observe(seen, F.count_if(what).alias("n")), name)
+        return out, seen.get["n"]
+
+    def bucketed(self, df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+        """A table in buckets of one column, one file each: joins and groups on the column don't shuffle it."""
+        path = self.path(name)
+        table = f"scratch_{uuid.uuid4().hex[:12]}"
+        df.repartition(buckets, column).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(table)
+        self._tables.append(table)
+        out = self.spark.table(table)
+        self._paths[id(out)] = path
+        return out
+
     def drop(self, df: DataFrame | None) -> None:
         path = self._paths.pop(id(df), None)
         if path:
@@ -88,6 +106,8 @@ class Scratch:
 
     def close(self) -> None:
         try:
+            for table in self._tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             delete(self.spark, self.root)
         except Exception:  # the JVM may be gone  # noqa: BLE001
             if self.root.startswith("file:") and os.path.isdir(local := self.root.removeprefix("file://")):
