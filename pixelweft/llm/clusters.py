@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -15,16 +14,18 @@ from . import vectors
 
 #: Rotations of one grid; a cell is the nearest signed axis in each of them.
 AXES = 3
-#: Grids of each wave. Early waves join most of the large clusters, so that later ones meet few unlike cells.
-WAVES = (1, 4, 5, 6)
+#: Grids that are laid over the vectors.
+GRIDS = 8
+#: Vectors at home in a cell that make it dense.
+DENSE = 2
 
 
-def cells(rows: DataFrame, first: int, count: int) -> DataFrame:
-    """(grid, dim, model_id, cell, cid, home): cells of ``count`` grids of each row (cid, model_id, dim, vector).
+def cells(rows: DataFrame, grids: int) -> DataFrame:
+    """(grid, dim, model_id, cell, cid, home, depth): cells of ``grids`` grids of each row (cid, model_id, dim, vector).
 
     A grid turns the unit vectors by ``AXES`` random rotations and quantises each to its nearest signed axis. The adjacent
-    cells of a row, across its nearest border in one of the rotations, are given with ``home`` false: cells that are
-    adjacent meet in the rows between them.
+    cells of a row, across its nearest border in one of the rotations, are given with ``home`` false. ``depth`` says how far
+    inside its cell a vector lies, in millionths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,95 +36,55 @@ def cells(rows: DataFrame, first: int, count: int) -> DataFrame:
             for dim in np.unique(dims):
                 dim = int(dim)
                 if dim not in turns:
-                    turns[dim] = [[vectors.rotation(dim, 1000 * g + a) for a in range(AXES)] for g in range(first, first + count)]
+                    turns[dim] = [[vectors.rotation(dim, 1000 * g + a) for a in range(AXES)] for g in range(grids)]
                 own = table.filter(pa.array(dims == dim))
                 x = vectors.matrix(own["vector"])
-                model = own["model_id"].combine_chunks()
+                n = len(x)
+                model, cid = own["model_id"].combine_chunks(), own["cid"].combine_chunks()
                 for g, rotations in enumerate(turns[dim]):
-                    codes = [vectors.axis_codes(x @ r) for r in rotations]
-                    base = 2 * dim + 1
+                    turned = [x @ r for r in rotations]
+                    codes = [vectors.axis_codes(t) for t in turned]
+                    depth = np.rint(sum(np.abs(t).max(axis=1) for t in turned) * 1e6).astype(np.int32)
                     for change in range(-1, AXES):
-                        cell = np.zeros(len(x), np.int64)
+                        cell = np.zeros(n, np.int64)
                         for a, (best, second) in enumerate(codes):
-                            cell = cell * base + (second if a == change else best)
-                        n = len(x)
+                            cell = cell * (2 * dim + 1) + (second if a == change else best)
                         yield pa.record_batch(
-                            [pa.array(np.full(n, first + g, np.int32)), pa.array(np.full(n, dim, np.int32)), model, pa.array(cell), own["cid"].combine_chunks(), pa.array(np.full(n, change < 0))],
-                            names=["grid", "dim", "model_id", "cell", "cid", "home"],
+                            [pa.array(np.full(n, g, np.int32)), pa.array(np.full(n, dim, np.int32)), model, pa.array(cell), cid, pa.array(np.full(n, change < 0)), pa.array(depth)],
+                            names=["grid", "dim", "model_id", "cell", "cid", "home", "depth"],
                         )
 
-    return rows.select("cid", "model_id", "dim", "vector").mapInArrow(run, "grid int, dim int, model_id string, cell bigint, cid bigint, home boolean")
-
-
-def _linker(limit: int, chunk: int, carried: int):  # noqa: ANN202
-    """Streams rows in order of their cell; of each cell gives (label, least label) for labels that a similar pair of its rows joins."""
-
-    def joined(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # breadth first from one label's rows to the rows not reached yet: a crowd is left after a step or two, so rows of a
-        # crowd are compared with the others, not with one another
-        names, local = np.unique(label, return_inverse=True)
-        group = np.argsort(local, kind="stable")
-        starts = np.searchsorted(local[group], np.arange(len(names) + 1))
-        least = np.arange(len(names))
-        open_labels = np.ones(len(names), bool)
-        for first in range(len(names)):
-            if not open_labels[first]:
-                continue
-            open_labels[first] = False
-            frontier = group[starts[first] : starts[first + 1]]
-            rest = np.flatnonzero(open_labels[local])
-            while len(frontier) and len(rest):
-                reached = np.zeros(len(rest), bool)
-                for at in range(0, len(frontier), 512):
-                    todo = np.flatnonzero(~reached)
-                    if not len(todo):
-                        break
-                    best = (x[frontier[at : at + 512]] @ x[rest[todo]].T).max(axis=0)
-                    reached[todo] = np.rint(best * 1e6) >= limit
-                met = np.unique(local[rest[reached]])
-                if not len(met):
-                    break
-                least[met] = first
-                open_labels[met] = False
-                now = open_labels[local[rest]]
-                frontier, rest = rest[~now], rest[now]
-        moved = least != np.arange(len(names))
-        return names[moved], names[least[moved]]
+    return rows.select("cid", "model_id", "dim", "vector").mapInArrow(run, "grid int, dim int, model_id string, cell bigint, cid bigint, home boolean, depth int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: tuple | None = None
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def close(keep: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            table = pa.Table.from_batches(held)
-            label = table["label"].to_numpy()
-            if len(label) > 1 and (label != label[0]).any():
-                a, b = joined(vectors.matrix(table["vector"]), label)
-                if len(a):
-                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["u", "v"])
-            held = table.slice(0, carried).combine_chunks().to_batches() if keep else []
-            size = sum(b.num_rows for b in held)
 
+def dense_links(rows: DataFrame, scratch: Scratch, similarity: float, grids: int) -> DataFrame:
+    """(u, v) links through dense cells. Cells are counted, and each dense one (``DENSE`` vectors at home in it) is led by
+    the vector that lies deepest inside. A vector is linked to the leaders of its own cell and of the dense cells next to
+    it that are as similar as asked for; so a vector near a border joins adjacent dense cells. Per vector and grid there
+    are at most ``AXES`` + 1 leaders, so a crowded cell costs no more than its rows, and the count of a cell is combined
+    before the shuffle."""
+    place = ["grid", "dim", "model_id", "cell"]
+    quantised = scratch.table(cells(rows, grids), "cells")
+    # one number orders by depth, then by a hash of the id: aggregates of numbers don't sort
+    order = F.shiftleft(F.col("depth").cast("bigint"), 40) + F.shiftrightunsigned(F.xxhash64("cid"), 24)
+    counted = quantised.groupBy(*place).agg(F.count_if("home").alias("n"), F.max_by("cid", F.when(F.col("home"), order)).alias("leader")).where(F.col("n") >= DENSE)
+    leaders = counted.select(*place, "leader")
+    near = quantised.select(*place, "cid").join(leaders, place).where("cid <> leader").select("cid", "leader").distinct()
+    paired = near.join(rows.select("cid", F.col("vector").alias("x")), "cid").join(rows.select(F.col("cid").alias("leader"), F.col("vector").alias("y")), "leader")
+    limit = round(similarity * 1e6)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("grid", "dim", "model_id", "cell")), strict=True))
-            cut = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if keys[lo] != at:
-                    if size:
-                        yield from close(False)
-                    at = keys[lo]
-                for k in range(lo, hi, chunk):
-                    piece = batch.slice(k, min(chunk, hi - k))
-                    if size + piece.num_rows > chunk + carried:
-                        yield from close(True)
-                    held.append(piece)
-                    size += piece.num_rows
-        if size:
-            yield from close(False)
-
-    return run
+            sizes = np.array([len(v) for v in batch.column("x")]) if batch.num_rows else np.empty(0, np.int64)
+            for dim in np.unique(sizes):
+                own = pa.Table.from_batches([batch]).filter(pa.array(sizes == dim))
+                ok = np.rint(np.einsum("ij,ij->i", vectors.matrix(own["x"]), vectors.matrix(own["y"])) * 1e6) >= limit
+                u, v = own["cid"].to_numpy()[ok], own["leader"].to_numpy()[ok]
+                yield pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    links = scratch.table(paired.select("cid", "leader", "x", "y").mapInArrow(verify, "u bigint, v bigint").distinct(), "links")
+    scratch.drop(quantised)
+    return links
 
 
 def _across(limit: int):  # noqa: ANN202
@@ -153,7 +114,7 @@ def _across(limit: int):  # noqa: ANN202
     return within
 
 
-def unlike_links(rows: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float, block: int = 16384) -> DataFrame:
+def unlike_links(rows: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float, block: int = 8192) -> DataFrame:
     """(u, v) of all labels (cid, label) that two similar rows (cid, model_id, dim, vector) join, exactly: the rows of a
     model are cut into blocks, of at most ``block`` rows and about 32 MB on average, and each pair of blocks is one unit of
     work. A label with enough rows has blocks of its own, so that pairs of blocks of one label are left out."""
@@ -184,28 +145,25 @@ def propagate(edges: DataFrame, scratch: Scratch) -> DataFrame:
         offered = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("least")).withColumnRenamed("u", "node")
         stepped = labels.join(offered, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        moved = scratch.table(stepped.join(above, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), "labels")
-        scratch.drop(labels)
-        labels = moved
-        if moved.where("label <> old").isEmpty():
-            return moved.select("node", "label")
+        labels, changed = _replaced(scratch, labels, stepped.join(above, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
+        if not changed:
+            return labels.select("node", "label")
+
+
+def _replaced(scratch: Scratch, before: DataFrame, after: DataFrame) -> tuple[DataFrame, int]:
+    moved, changed = scratch.counted(after, F.col("label") != F.col("old"), "labels")
+    scratch.drop(before)
+    return moved, changed
 
 
-def grid_clusters(rows: DataFrame, scratch: Scratch, similarity: float = 0.80, waves: tuple[int, ...] = WAVES, chunk: int = 4096, block: int = 16384) -> DataFrame:
+def grid_clusters(rows: DataFrame, scratch: Scratch, similarity: float = 0.80, grids: int = GRIDS, block: int = 8192) -> DataFrame:
     """(cid, label) of distinct vectors (cid, model_id, dim, vector): vectors of one model with a cosine of at least
     ``similarity`` share a label, directly or through others.
 
-    Each wave counts the cells of some grids. Dense cells (two rows or more) whose rows, adjacent ones included, don't all
-    share a label yet are searched for similar pairs; the pairs join labels, and the least label is propagated to
-    convergence. A cell of more than ``chunk`` rows is searched chunk by chunk, in order of cid, each with a quarter chunk
-    of the cell's first rows. What cells and chunks miss is found at the end, when most rows of clusters share a label:
-    all pairs of rows whose labels differ are compared (``unlike_links``), so the result is exact.
+    Dense cells of several grids and those adjacent to them are joined by verified links (``dense_links``), and the least
+    label is propagated to convergence. That leaves few labels in dense regions; links that no cell shows are found by
+    an exact check of all pairs of rows whose labels differ (``unlike_links``), and propagated in turn.
     """
-    spark = rows.sparkSession
-    place = ["grid", "dim", "model_id", "cell"]
-    limit = round(similarity * 1e6)
-    labels = scratch.table(rows.select("cid", F.col("cid").alias("label")), "label")
-    done = 0
 
     def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         renamed = propagate(links, scratch).select(F.col("node").alias("label"), F.col("label").alias("least"))
@@ -213,18 +171,7 @@ def grid_clusters(rows: DataFrame, scratch: Scratch, similarity: float = 0.80, w
         scratch.drop(labels)
         return after
 
-    for count in waves:
-        quantised = cells(rows, done, count).drop("home").join(labels, "cid")
-        quantised = scratch.table(quantised, "cells")
-        mixed = quantised.groupBy(*place).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*place)
-        active = quantised.join(mixed, place, "left_semi").join(rows.select("cid", "vector"), "cid")
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = active.select(*place, "cid", "label", "vector").repartition(partitions, *place).sortWithinPartitions(*place, "cid")
-        links = scratch.table(ordered.mapInArrow(_linker(limit, chunk, chunk // 4), "u bigint, v bigint").distinct(), "links")
-        scratch.drop(quantised)
-        done += count
-        if not links.isEmpty():
-            labels = joined(labels, links)
+    labels = joined(scratch.table(rows.select("cid", F.col("cid").alias("label")), "label"), dense_links(rows, scratch, similarity, grids))
     links = unlike_links(rows, labels, scratch, similarity, block)
     return labels if links.isEmpty() else joined(labels, links)
 
@@ -260,20 +207,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(read("embeddings_in"), read("embedding_models"))
 
 
+def axis_cell(vector: Column) -> Column:
+    """Cell of a vector in the grid of its own axes: its nearest signed axis and the next nearest, as one number."""
+    size = F.transform(vector, lambda x: F.abs(x.cast("double")))
+    best = lambda a: F.array_position(a, F.array_max(a)).cast("int")
+    first = best(size)
+    second = best(F.transform(size, lambda x, i: F.when(i == first - 1, F.lit(-1.0)).otherwise(x)))
+    code = lambda at: (at - 1) * 2 + (F.element_at(vector, at) < 0).cast("int")
+    return (code(first).cast("bigint") * (2 * F.size(vector) + 1) + code(second)).cast("bigint")
+
+
 def describe(embeddings: DataFrame, models: DataFrame, similarity: float = 0.80, smallest: int = 5, typical: int = 5) -> DataFrame:
-    """(cluster_id, model_id, size, cell_members, typical): of each cluster its size, and of its densest cell the number of
-    its members and the ``typical`` smallest ids among them. Of equally dense cells the smallest counts."""
+    """(cluster_id, model_id, size, cell_members, typical): of each cluster its size, and of its densest cell
+    (``axis_cell``) the number of its members and the ``typical`` smallest ids among them. Of equally dense cells the
+    smallest counts. Null, unusable and repeated rows: see ``cluster``."""
     scratch = Scratch(embeddings.sparkSession, "clusters")
     members, rows = _prepared(embeddings, models, scratch)
     found = scratch.table(_clustered(members, grid_clusters(rows, scratch, similarity), smallest), "found")
-    home = cells(rows, 0, 1).where("home").select("cid", "model_id", "cell")
-    placed = found.join(home, "cid")
-    counts = placed.groupBy("label", "model_id", "size", "cell").agg(F.count_distinct("id").alias("n"))
+    placed = scratch.table(found.join(rows.select("cid", "model_id", axis_cell(F.col("vector")).alias("cell")), "cid").select("label", "model_id", "size", "cell", "id").distinct(), "placed")
+    counts = placed.groupBy("label", "model_id", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
     densest = counts.groupBy("label", "model_id", "size").agg(F.max(F.struct("n", (-F.col("cell")).alias("c"))).alias("d"))
     best = densest.select("label", "model_id", "size", F.col("d.n").alias("cell_members"), (-F.col("d.c")).alias("cell"))
-    from pyspark.sql import Window
-
-    inside = placed.select("label", "cell", "id").distinct().join(best.select("label", "cell"), ["label", "cell"], "left_semi")
+    inside = placed.select("label", "cell", "id").join(best.select("label", "cell"), ["label", "cell"], "left_semi")
     first = inside.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("k") <= typical)
     names = first.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("typical"))
     return best.join(names, "label").select(F.col("label").alias("cluster_id"), "model_id", "size", "cell_members", "typical")
@@ -295,3 +250,18 @@ reach AS (SELECT a AS id, a AS other FROM n UNION SELECT r.id, n.b FROM reach r
 g AS (SELECT id, min(other) AS cluster_id FROM reach GROUP BY id)
 SELECT id, cluster_id FROM g WHERE cluster_id IN (SELECT cluster_id FROM g GROUP BY cluster_id HAVING count(*) >= 5)
 """
+
+_SIZES = "list_transform(v, lambda x: abs(x))"
+_FIRST = f"list_position({_SIZES}, list_max({_SIZES}))"
+P7_CLUSTERS_SQL = (
+    P7_FOUND_SQL.replace("\nSELECT id, cluster_id FROM g", ",\nfound AS (SELECT id, cluster_id FROM g", 1).rstrip()
+    + f"""),
+a AS (SELECT f.id, f.cluster_id, u.model_id, u.dim, u.v, {_FIRST.replace("(v,", "(u.v,")} AS i FROM found f JOIN u USING (id)),
+b AS (SELECT *, list_transform(range(1, dim + 1), lambda k: CASE WHEN k = i THEN -1.0 ELSE abs(v[k]) END) AS w FROM a),
+c AS (SELECT *, list_position(w, list_max(w)) AS j FROM b),
+d AS (SELECT id, cluster_id, model_id, ((i - 1) * 2 + (v[i] < 0)::INTEGER)::BIGINT * (2 * dim + 1) + (j - 1) * 2 + (v[j] < 0)::INTEGER AS cell FROM c),
+cells AS (SELECT cluster_id, model_id, cell, count(*) AS members, list_sort(list(id))[1:5] AS typical FROM d GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY members DESC, cell) AS k, sum(members) OVER (PARTITION BY cluster_id) AS size FROM cells)
+SELECT cluster_id, model_id, size::BIGINT AS size, members AS cell_members, typical FROM r WHERE k = 1
+"""
+)

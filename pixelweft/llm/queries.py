@@ -41,5 +41,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_error_rate_24": seen.P5_ERROR_RATE_24_SQL,
         "p6_found": neighbours.P6_FOUND_SQL,
         "p7_found": clusters.P7_FOUND_SQL,
+        "p7_clusters": clusters.P7_CLUSTERS_SQL,
         "p9_violations": packing.P9_VIOLATIONS_SQL,
     }

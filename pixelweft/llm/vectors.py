@@ -22,10 +22,16 @@ def usable(embeddings: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """Members (id, cid): rows of equal model and vector are one class, named by its smallest id; a repeated id is one member."""
-    keys = rows.groupBy("model_id", "vector").agg(F.min("id").alias("cid"))
-    same = rows["vector"].eqNullSafe(keys["vector"]) & rows["model_id"].eqNullSafe(keys["model_id"])
-    return rows.join(keys, same).select("id", "cid").distinct()
+    """Members (id, cid): rows of equal model and vector are one class, named by its smallest id; a repeated id is one
+    member. Vectors meet by two 64-bit hashes and are then compared; one that differs from the vector of its class stands
+    for itself."""
+    keyed = rows.select("id", "model_id", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("k")).distinct()
+    keys = keyed.groupBy("model_id", "h", "k").agg(F.min("id").alias("cid")).select(F.col("model_id").alias("m"), "h", "k", "cid")
+    met = keyed.join(keys, ["h", "k"]).where(F.col("model_id").eqNullSafe(F.col("m"))).select("id", "cid")
+    vector = rows.select("id", "vector")
+    copies = met.where("id <> cid").join(vector, "id").join(vector.toDF("cid", "first"), "cid")
+    checked = copies.select("id", F.when(F.col("vector") == F.col("first"), F.col("cid")).otherwise(F.col("id")).alias("cid")).distinct()
+    return met.where("id = cid").unionByName(checked)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, unit: bool = True) -> np.ndarray:
