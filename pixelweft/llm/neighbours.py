@@ -8,67 +8,80 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 from . import vectors
 
-#: Vectors that the centroids of a dimension are fitted on at most, in order of a hash of the id.
+#: Vectors that the centroids of one fit are drawn from at most, in order of a hash of the id.
 SAMPLE = 20_000
-#: Centroids of a dimension at most: the table that every task holds stays under 16384 x dimension floats.
+#: Upper lists of a dimension at most, which bounds what is sent to all workers. With the default sizes they are that many
+#: from 8.6 thousand million vectors of a dimension on.
 MOST_LISTS = 16_384
 #: Angles, in degrees, that cut a list into a core, a middle and a rim.
 RINGS = (28.0, 50.0)
 
 
 class CentroidGraph:
-    """Centroids searched by an in-memory graph: entry points over groups of centroids, then walks along the links
-    between near centroids. With few centroids the entry layer covers them all."""
+    """Centroids in memory, searched by a graph of two layers: every centroid is linked to those next to it, and groups of
+    near centroids have an entry point. A search starts at the groups of the nearest entry points and walks on, along the
+    links of all centroids that are near enough to be wanted, until that brings no new group. Rows that visit a group are
+    compared with its centroids by one matrix product. The same for any number of centroids; no table of rows by
+    centroids is made."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = 16, seed: int = 7):
+    def __init__(self, centroids: np.ndarray, degree: int = 12, seed: int = 7):
         self.centroids = c = centroids.astype(np.float64)
-        k = len(c)
-        self.links = np.argsort(-(c @ c.T), axis=1, kind="stable")[:, 1 : degree + 1] if k <= 2048 else self._links_in_blocks(c, degree)
-        self.groups = None
-        if k > 512:
-            entries = kmeans(c, int(4 * math.sqrt(k)), 4, seed)
-            home = (c @ entries.T).argmax(axis=1)
-            width = int(np.bincount(home, minlength=len(entries)).max())
-            self.groups = np.full((len(entries), width), -1)
-            for g in range(len(entries)):
-                own = np.flatnonzero(home == g)
-                self.groups[g, : len(own)] = own
-            self.entries = entries
-
-    @staticmethod
-    def _links_in_blocks(c: np.ndarray, degree: int) -> np.ndarray:
-        out = []
+        entries = kmeans(c, max(1, round(2 * math.sqrt(len(c)))), 4, seed)
+        home = (c @ entries.T).argmax(axis=1)
+        used, home = np.unique(home, return_inverse=True)
+        self.entries = entries[used]
+        order = np.argsort(home, kind="stable")
+        starts = np.searchsorted(home[order], np.arange(len(used) + 1))
+        self.groups = [order[starts[g] : starts[g + 1]] for g in range(len(used))]
+        # of each centroid, the groups of the ones next to it
+        degree = min(degree, len(c) - 1)
+        self.links = np.empty((len(c), degree), np.int64)
         for at in range(0, len(c), 1024):
-            s = c[at : at + 1024] @ c.T
-            s[np.arange(len(s)), at + np.arange(len(s))] = -2
-            near = np.argpartition(-s, degree, axis=1)[:, :degree]
-            out.append(near)
-        return np.concatenate(out)
-
-    def search(self, x: np.ndarray, entries: int = 8, walks: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """For each row, all centroids met and the cosines to them; others have -2."""
-        met = np.full((len(x), len(self.centroids)), -2.0)
-        if self.groups is None:
-            met[:] = x @ self.centroids.T
-            return met, met.argmax(axis=1)
-        rows = np.arange(len(x))[:, None]
-        start = np.argpartition(-(x @ self.entries.T), entries, axis=1)[:, :entries]
-        todo = self.groups[start].reshape(len(x), -1)
-        for walk in range(walks + 1):
-            known = np.where(todo >= 0, met[rows, todo], 0)
-            r, j = np.nonzero((todo >= 0) & (known == -2))
-            c = todo[r, j]
-            met[r, c] = np.einsum("ij,ij->i", x[r], self.centroids[c])
-            if walk < walks:
-                nearest = np.argpartition(-met, 4, axis=1)[:, :4]
-                todo = self.links[nearest].reshape(len(x), -1)
-        return met, met.argmax(axis=1)
+            near = c[at : at + 1024] @ c.T
+            near[np.arange(len(near)), at + np.arange(len(near))] = -2
+            self.links[at : at + 1024] = home[np.argpartition(-near, max(0, degree - 1), axis=1)[:, :degree]]
+
+    def search(self, x: np.ndarray, ratio: float, least: float = 1e-6, entries: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, centroid, cosine) of the centroids met that are at most ``ratio`` times as far as the nearest one met; a
+        distance of that under ``least`` counts as ``least``."""
+        n, k = len(x), len(self.entries)
+        first = np.argpartition(-(x @ self.entries.T), min(entries, k) - 1, axis=1)[:, : min(entries, k)]
+        visited = np.zeros((n, k), bool)
+        best = np.full(n, -2.0)
+        met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        row, group = np.repeat(np.arange(n), first.shape[1]), first.ravel()
+        while len(row):
+            visited[row, group] = True
+            order = np.argsort(group, kind="stable")
+            row, group = row[order], group[order]
+            cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+            near = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                rows, members = row[lo:hi], self.groups[group[lo]]
+                cosine = x[rows] @ self.centroids[members].T
+                best[rows] = np.maximum(best[rows], cosine.max(axis=1))
+                i, j = np.nonzero(_far(cosine) <= ratio * np.maximum(_far(best[rows]), least)[:, None])
+                near.append((rows[i], members[j], cosine[i, j]))
+            r, c, cosine = (np.concatenate(m) for m in zip(*near, strict=True))
+            good = _far(cosine) <= ratio * np.maximum(_far(best[r]), least)
+            r, c, cosine = r[good], c[good], cosine[good]
+            met.append((r, c, cosine))
+            onward = np.unique((r[:, None] * k + self.links[c]).ravel())
+            onward = onward[~visited.ravel()[onward]]
+            row, group = onward // k, onward % k
+        r, c, cosine = (np.concatenate(m) for m in zip(*met, strict=True))
+        good = _far(cosine) <= ratio * np.maximum(_far(best[r]), least)
+        return r[good], c[good], cosine[good]
+
+
+def _far(cosine: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * cosine))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -90,41 +103,43 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Search:
-    """Parameters. ``floor``: cosines below it aren't looked for. ``replica_ratio``, ``probe_ratio``: lists whose centroid
-    is up to this factor farther than the nearest one hold the vector (two lists at most), and are searched for it."""
+    """Parameters. ``floor``: cosines below it aren't looked for. Vectors are put into upper lists of about ``sub_lists``
+    lists, of about ``list_size`` vectors each. ``route_ratio``: a vector goes to the upper lists whose centroid is up to
+    this factor farther than the nearest. Of the lists in them, ``replica_ratio`` and ``probe_ratio`` in the same way say
+    which hold the vector (two at most), and which are searched for it. Inside a crowd that fills several lists the nearest
+    centroid is so close that a factor means nothing; for routes and probes a distance under ``least_far`` counts as that."""
 
     k: int = 5
     floor: float = 0.80
     list_size: int = 512
+    sub_lists: int = 1024
+    route_ratio: float = 1.15
     replica_ratio: float = 1.05
     probe_ratio: float = 1.15
+    least_far: float = 0.5
     chunk: int = 2048
     queries: int = 8192
 
 
-def _fit(rows: DataFrame, search: Search) -> dict[int, CentroidGraph]:
-    """Centroids of each dimension, on a bounded sample; their number follows the number of vectors."""
+def _upper(rows: DataFrame, search: Search) -> dict[int, CentroidGraph]:
+    """Centroids of the upper lists of each dimension, fitted on a bounded sample; their number follows that of the vectors."""
     graphs = {}
     for dim, n in rows.groupBy("dim").agg(F.count(F.lit(1))).collect():
-        k = max(1, min(MOST_LISTS, math.ceil(n / search.list_size)))
-        share = min(1.0, 1.25 * SAMPLE / n)
-        drawn = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))).select("cid", "vector").limit(2 * SAMPLE).toArrow()
+        k = max(1, min(MOST_LISTS, math.ceil(n / (search.list_size * search.sub_lists))))
+        drawn = rows.where(F.col("dim") == dim).where(_drawn(F.lit(min(1.0, 1.25 * SAMPLE / n)))).select("cid", "vector").limit(2 * SAMPLE).toArrow()
         if not len(drawn):
             drawn = rows.where(F.col("dim") == dim).select("cid", "vector").limit(SAMPLE).toArrow()
         graphs[dim] = CentroidGraph(kmeans(vectors.matrix(drawn.sort_by("cid")["vector"])[:SAMPLE], k, 6, dim))
     return graphs
 
 
-def _ring(cosine: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.array(RINGS), np.degrees(np.arccos(np.clip(cosine, -1, 1))), side="right")
+def _drawn(share: Column) -> Column:
+    """Whether a row belongs to a sample of a share, by a hash of its id."""
+    return F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < share * 1_000_000
 
 
-def _placed(rows: DataFrame, shared: object, search: Search) -> DataFrame:
-    """Of each (cid, dim, model_id, vector): where it is stored, and what is searched for it. One row for each, with
-    ``side`` 0 and 1, as (side, dim, list, ring, cid). A ring is searched only if the floor can be reached in it: angles
-    are a metric, so members of a ring are no nearer than the difference of the angles to the centroid."""
-    reach = math.degrees(math.acos(search.floor))
-    edges = np.array([0.0, *RINGS, 180.0])
+def _routed(rows: DataFrame, shared: object, search: Search) -> DataFrame:
+    """(dim, list, home, cid): the upper lists a vector goes to; ``home`` is the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,69 +147,122 @@ def _placed(rows: DataFrame, shared: object, search: Search) -> DataFrame:
             dims = table["dim"].to_numpy()
             for dim in np.unique(dims):
                 own = table.filter(pa.array(dims == dim))
-                # cosines to all centroids are held for one part: 16 MB at most
-                for part in own.to_batches(max_chunksize=max(64, min(1024, 2_000_000 // len(shared.value[int(dim)].centroids)))):
-                    yield from place(int(dim), part)
-
-    def place(dim: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, cid = vectors.matrix(part.column("vector")), part.column("cid").to_numpy()
-        met, best = shared.value[dim].search(x)
-        far = np.sqrt(np.maximum(0, 2 - 2 * met))
-        near = far[np.arange(len(x)), best]
-        near = np.maximum(near, 1e-6)
-        second = met.copy()
-        second[np.arange(len(x)), best] = -2
-        nxt = second.argmax(axis=1)
-        also = (second.max(axis=1) > -2) & (far[np.arange(len(x)), nxt] <= search.replica_ratio * near)
-        store_row = np.concatenate([np.arange(len(x)), np.flatnonzero(also)])
-        store_list = np.concatenate([best, nxt[also]])
-        out = [(0, store_row, store_list, _ring(met[store_row, store_list]))]
-        r, c = np.nonzero((far <= search.probe_ratio * near[:, None]) & (met > -2))
-        angle = np.degrees(np.arccos(np.clip(met[r, c], -1, 1)))
-        for ring in range(len(RINGS) + 1):
-            ok = (angle - reach <= edges[ring + 1]) & (angle + reach >= edges[ring])
-            out.append((1, r[ok], c[ok], np.full(int(ok.sum()), ring)))
-        for side, rows_, lists, rings in out:
-            n = len(rows_)
-            yield pa.record_batch([pa.array(np.full(n, side, np.int8)), pa.array(np.full(n, dim, np.int32)), pa.array(lists.astype(np.int32)), pa.array(rings.astype(np.int8)), pa.array(cid[rows_])], names=["side", "dim", "list", "ring", "cid"])
-
-    return rows.select("cid", "dim", "vector").mapInArrow(run, "side tinyint, dim int, list int, ring tinyint, cid bigint")
+                x, cid = vectors.matrix(own["vector"]), own["cid"].to_numpy()
+                r, c, cosine = shared.value[int(dim)].search(x, search.route_ratio, search.least_far)
+                best = np.full(len(x), -2.0)
+                np.maximum.at(best, r, cosine)
+                home = cosine >= best[r]
+                yield pa.record_batch([pa.array(np.full(len(r), dim, np.int32)), pa.array(c.astype(np.int32)), pa.array(home), pa.array(cid[r])], names=["dim", "list", "home", "cid"])
+
+    return rows.select("cid", "dim", "vector").mapInArrow(run, "dim int, list int, home boolean, cid bigint")
+
+
+def _sub_fit(search: Search):  # noqa: ANN202
+    """Centroids of the lists inside one upper list, from a bounded sample of it."""
+
+    def run(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("cid")
+        dim, upper, k = (sample[c][0].as_py() for c in ("dim", "list", "k"))
+        c = kmeans(vectors.matrix(sample["vector"])[:SAMPLE], k, 6, upper)
+        n = len(c)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * c.shape[1], pa.int32()), pa.array(c.astype(np.float32).ravel()))
+        return pa.table({"dim": pa.array(np.full(n, dim, np.int32)), "list": pa.array(np.full(n, upper, np.int32)), "sub": pa.array(np.arange(n, dtype=np.int32)), "centroid": flat})
+
+    return run
+
+
+def _sub_search(search: Search):  # noqa: ANN202
+    """Of the vectors of one upper list (or a part of them), the lists that the graph finds near."""
+    schema = pa.schema([("dim", pa.int32()), ("list", pa.int32()), ("sub", pa.int32()), ("cid", pa.int64()), ("cosine", pa.float64())])
+
+    def run(rows: pa.Table, centroids: pa.Table) -> pa.Table:
+        if not rows.num_rows or not centroids.num_rows:
+            return schema.empty_table()
+        graph = CentroidGraph(vectors.matrix(centroids.sort_by("sub")["centroid"]))
+        found = []
+        for part in rows.to_batches(max_chunksize=4096):
+            r, c, cosine = graph.search(vectors.matrix(part.column("vector")), search.probe_ratio, search.least_far)
+            found.append((c.astype(np.int32), part.column("cid").to_numpy()[r], cosine))
+        sub, cid, cosine = (np.concatenate(f) for f in zip(*found, strict=True))
+        n = len(sub)
+        return pa.table([np.full(n, rows["dim"][0].as_py(), np.int32), np.full(n, rows["list"][0].as_py(), np.int32), sub, cid, cosine], schema=schema)
+
+    return run
+
+
+def _placed(rows: DataFrame, scratch: Scratch, search: Search) -> DataFrame:
+    """Of each (cid, dim, model_id, vector): where it is stored, and what is searched for it, as (side, dim, list, sub, ring,
+    cid) with ``side`` 0 and 1. A ring is searched only if the floor can be reached in it: angles are a metric, so members
+    of a ring are no nearer than the difference of the angles to the centroid."""
+    shared = rows.sparkSession.sparkContext.broadcast(_upper(rows, search))
+    routed = scratch.table(_routed(rows, shared, search), "routed")
+    upper = ["dim", "list"]
+    sizes = routed.groupBy(*upper).agg(F.count_if("home").alias("members"), F.count(F.lit(1)).alias("all")).where("members > 0")
+    sizes = scratch.table(sizes.select(*upper, "members", F.ceil(F.col("members") / search.list_size).cast("int").alias("k"), F.ceil(F.col("all") / 16384).cast("int").alias("parts")), "sizes")
+    data = rows.select("cid", "vector")
+    # the share drawn leaves a sample of about SAMPLE, and the whole list where that is smaller
+    sample = routed.where("home").join(sizes, upper).where(_drawn(F.lit(1.25 * SAMPLE) / F.col("members"))).join(data, "cid")
+    centroids = scratch.table(sample.select(*upper, "k", "cid", "vector").groupBy(*upper).applyInArrow(_sub_fit(search), "dim int, list int, sub int, centroid array<float>"), "centroids")
+    left = routed.join(sizes, upper).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).join(data, "cid").select(*upper, "part", "cid", "vector")
+    right = centroids.join(sizes, upper).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*upper, "part", "sub", "centroid")
+    right = right.toDF(*(f"_{c}" for c in right.columns)).toDF(*right.columns)
+    keys = [*upper, "part"]
+    met = scratch.table(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_sub_search(search), "dim int, list int, sub int, cid bigint, cosine double"), "met")
+    # of all upper lists together: the nearest list, and those that are not much farther
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine")))
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine")))))
+    by = Window.partitionBy("cid")
+    ranked = met.select(*upper, "sub", "cid", far.alias("far"), angle.alias("angle"), F.min(far).over(by).alias("least"), F.row_number().over(by.orderBy(F.desc("cosine"), "list", "sub")).alias("rank"))
+    near = F.greatest("least", F.lit(1e-6))
+    edges = [0.0, *RINGS, 180.0]
+    reach = math.degrees(math.acos(search.floor))
+    ring = sum(((F.col("angle") >= e).cast("int") for e in RINGS), F.lit(0))
+    stored = F.when((F.col("rank") == 1) | ((F.col("rank") == 2) & (F.col("far") <= search.replica_ratio * near)), F.array(F.struct(F.lit(0).alias("side"), ring.alias("ring"))))
+    asked = F.filter(F.array(*(F.when((F.col("far") <= search.probe_ratio * F.greatest("least", F.lit(search.least_far))) & (F.col("angle") - reach <= edges[i + 1]) & (F.col("angle") + reach >= edges[i]), F.struct(F.lit(1).alias("side"), F.lit(i).alias("ring"))) for i in range(len(RINGS) + 1))), lambda x: x.isNotNull())
+    both = F.concat(F.coalesce(stored, F.array().cast("array<struct<side:int,ring:int>>")), asked)
+    return ranked.select(*upper, "sub", "cid", F.explode(both).alias("x")).select(F.col("x.side").cast("tinyint").alias("side"), *upper, "sub", F.col("x.ring").cast("tinyint").alias("ring"), "cid")
 
 
 def _search_list(search: Search):  # noqa: ANN202
     limit = round(search.floor * 1e6)
+    schema = pa.schema([("cid", pa.int64()), ("other", pa.int64()), ("micro", pa.int32())])
 
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("cid", pa.int64()), ("other", pa.int64()), ("micro", pa.int32())])
         if not members.num_rows or not queries.num_rows:
             return schema.empty_table()
-        members = members.sort_by("cid")
         ids, asked = members["cid"].to_numpy(), queries["cid"].to_numpy()
         x, y = vectors.matrix(members["vector"]), vectors.matrix(queries["vector"])
         names = {None: 0}
         code = lambda t: np.array([names.setdefault(m, len(names)) for m in t["model_id"].to_pylist()])
         mx, my = code(members), code(queries)
+        several = len(names) > 2 or (mx != mx[0]).any() or (my != mx[0]).any()
+        # single precision finds candidates, with room for its rounding; DOUBLE decides
+        slack = np.float32(max(1e-4, 1.2e-7 * x.shape[1]))
+        rough = x.astype(np.float32)
         found = []
         for at in range(0, len(y), 512):
-            q, mq = y[at : at + 512], my[at : at + 512]
-            micro = np.rint((q @ x.T) * 1e6).astype(np.int64)
-            ok = (micro >= limit) & (ids[None] != asked[at : at + 512, None])
-            if len(names) > 2 or (mx != mq[0]).any() or (mq != mq[0]).any():
-                ok &= (mx[None] == mq[:, None]) | (mx[None] == 0) | (mq[:, None] == 0)
-            r = np.flatnonzero(ok.any(axis=1))
-            if not len(r):
-                continue
-            # one number that orders by cosine, then by smaller id
-            rank = np.where(ok[r], micro[r] * len(ids) + np.arange(len(ids))[::-1], -1)
-            k = min(search.k, len(ids))
-            best = np.argpartition(-rank, k - 1, axis=1)[:, :k]
-            good = np.take_along_axis(rank, best, 1) >= 0
-            i, j = np.nonzero(good)
-            c = best[i, j]
-            found.append((asked[at : at + 512][r[i]], ids[c], micro[r[i], c].astype(np.int32)))
+            near = y[at : at + 512].astype(np.float32) @ rough.T
+            near[asked[at : at + 512, None] == ids[None]] = -2
+            if several:
+                mq = my[at : at + 512]
+                near[~((mx[None] == mq[:, None]) | (mx[None] == 0) | (mq[:, None] == 0))] = -2
+            least = np.full(len(near), np.float32(search.floor) - slack)
+            full = np.flatnonzero((near >= least[:, None]).sum(axis=1) > search.k)
+            if len(full):  # nothing below the k-th best of a list counts
+                least[full] = np.maximum(least[full], -np.partition(-near[full], search.k - 1, axis=1)[:, search.k - 1] - 2 * slack)
+            i, j = np.nonzero(near >= least[:, None])
+            for lo in range(0, len(i), 16384):
+                a, b = i[lo : lo + 16384] + at, j[lo : lo + 16384]
+                micro = np.rint(np.einsum("ij,ij->i", y[a], x[b]) * 1e6).astype(np.int32)
+                ok = micro >= limit
+                found.append((asked[a[ok]], ids[b[ok]], micro[ok]))
         if not found:
             return schema.empty_table()
-        return pa.table([np.concatenate(f) for f in zip(*found, strict=True)], schema=schema)
+        q, other, micro = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.lexsort((other, -micro, q))
+        q, other, micro = q[order], other[order], micro[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        return pa.table([c[rank < search.k] for c in (q, other, micro)], schema=schema)
 
     return run
 
@@ -204,16 +272,16 @@ def nearest(rows: DataFrame, search: Search | None = None) -> DataFrame:
     comparable others with a cosine of at least the floor; micro is the cosine in millionths, rounded. Comparable are
     vectors of equal length whose model_ids are equal or one is missing. Ties go to the smaller cid.
 
-    Every vector is stored in the list of its nearest centroid, on a boundary also in the next, and cut by its angle to the
-    centroid into rings. Lists whose centroid is at most ``probe_ratio`` farther than the nearest are searched, all of them.
-    Lists and their queries are cut into chunks of fixed size by hashes, so that no task grows with a crowded region.
+    Lists come in two levels: upper lists, whose centroids all workers hold, and in each of them lists whose centroids are
+    fitted and searched where the upper list is, so the number of lists follows that of the vectors. Every vector is
+    stored in the list of its nearest centroid, on a boundary also in the next, and cut by its angle to the centroid into
+    rings. Lists whose centroid is at most ``probe_ratio`` farther than the nearest are searched, all of them. Lists and
+    their queries are cut into chunks of fixed size by hashes, so that no task grows with a crowded region.
     """
     search = search or Search()
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "nearest")
-    shared = spark.sparkContext.broadcast(_fit(rows, search))
-    placed = scratch.table(_placed(rows, shared, search), "placed")
-    place = ["dim", "list", "ring"]
+    scratch = Scratch(rows.sparkSession, "nearest")
+    placed = scratch.table(_placed(rows, scratch, search), "placed")
+    place = ["dim", "list", "sub", "ring"]
     sizes = placed.groupBy(*place).agg(F.count_if(F.col("side") == 0).alias("members"), F.count_if(F.col("side") == 1).alias("asked")).where("members > 0 and asked > 0")
     cuts = scratch.table(sizes.select(*place, F.ceil(F.col("members") / search.chunk).cast("int").alias("mc"), F.ceil(F.col("asked") / search.queries).cast("int").alias("qc")), "cuts")
     cut = placed.join(cuts, place)
@@ -226,8 +294,8 @@ def nearest(rows: DataFrame, search: Search | None = None) -> DataFrame:
     # both sides come from one table: new names for the columns of one of them keep the cogroup unambiguous
     asked = asked.toDF(*(f"_{c}" for c in asked.columns)).toDF(*asked.columns)
     met = members.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search_list(search), "cid bigint, other bigint, micro int")
-    ranked = met.distinct().groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("micro")).alias("less"), "other"))), 1, search.k).alias("best"))
-    return ranked.select("cid", F.explode("best").alias("x")).select("cid", F.col("x.other").alias("other"), (-F.col("x.less")).alias("micro"))
+    best = Window.partitionBy("cid").orderBy(F.desc("micro"), "other")
+    return met.distinct().withColumn("k", F.row_number().over(best)).where(F.col("k") <= search.k).select("cid", "other", "micro")
 
 
 def nearest_pairs(embeddings: DataFrame, models: DataFrame, search: Search | None = None) -> DataFrame:
@@ -245,7 +313,7 @@ def nearest_pairs(embeddings: DataFrame, models: DataFrame, search: Search | Non
     distinct_rows = scratch.table(rows.join(members.where("id = cid").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "cid"), "distinct")
     found = nearest(distinct_rows, search)
     own = members.select("cid", F.col("cid").alias("other"), F.lit(1_000_000).alias("micro")).distinct()
-    ranked = members.withColumn("_n", F.row_number().over(_order("cid", "id"))).where(F.col("_n") <= search.k + 1)
+    ranked = members.withColumn("_n", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("_n") <= search.k + 1)
     first = ranked.groupBy("cid").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumnRenamed("cid", "other")
     offered = found.unionByName(own).join(first, "other").select("cid", F.explode("ids").alias("id_b"), "micro")
     lists = offered.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct((-F.col("micro")).alias("less"), "id_b"))).alias("offers"))
@@ -253,12 +321,6 @@ def nearest_pairs(embeddings: DataFrame, models: DataFrame, search: Search | Non
     return mine.select(F.least("id", "x.id_b").alias("id_a"), F.greatest("id", "x.id_b").alias("id_b")).distinct()
 
 
-def _order(group: str, by: str):  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy(group).orderBy(by)
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return nearest_pairs(read("embeddings_in"), read("embedding_models"))
