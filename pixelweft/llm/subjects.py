@@ -1,7 +1,8 @@
-"""Problem 10: subject areas of documents, by propagating labels over the graph of documents that share words."""
+"""Problem 10: subject areas of documents, by propagating labels over a verified graph of documents that share words."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -44,9 +45,9 @@ def lines_of(text: str) -> list[str]:
 def word_pairs(text: str) -> dict[tuple[str, str], int]:
     """Counts of (word, word before it in the same line or ""); identifiers are cut into words."""
     found: dict[tuple[str, str], int] = {}
-    for line in lines_of(_CAMEL.sub(" ", text)):
+    for line in lines_of(text):
         before = ""
-        for word in _WORD.findall(line):
+        for word in _WORD.findall(_CAMEL.sub(" ", line)):
             word = word.lower()
             if word in _BETWEEN or len(word) < 2:
                 continue
@@ -90,71 +91,119 @@ def _word_table(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, words array<struct<w: bigint, p: bigint, n: int, first: boolean>>")
 
 
-def _mentions(words: DataFrame, lexicon: DataFrame, least: int) -> DataFrame:
-    """(doc_id, subject, mentions) with at least ``least`` mentions, by two words or more. Runs of adjacent words of one
-    subject are one mention. A single word, however often, may be half of a term of another subject."""
-    hits = words.join(lexicon.select("w", "subject"), "w")
-    before = lexicon.select(F.col("w").alias("p"), F.col("subject").alias("before"))
-    starts = hits.join(before, "p", "left").where("before is null or before <> subject")
-    counted = starts.groupBy("doc_id", "subject").agg(F.sum("n").alias("mentions"), F.min("w").alias("lo"), F.max("w").alias("hi"))
+#: Words of a lexicon that are sent to all workers; a larger one is joined by a shuffle.
+MOST_SENT = 100_000
+#: Subject areas of one job.
+MOST_SUBJECTS = 10_000
+#: Word rows of a bucket of the word table.
+PER_BUCKET = 2_000_000
+
+
+def _sent(lexicon: DataFrame) -> DataFrame:
+    """The lexicon, for a join: sent to all workers if its counted size allows."""
+    return F.broadcast(lexicon) if lexicon.count() <= MOST_SENT else lexicon.hint("merge")
+
+
+def _edges(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The links of the document graph, (doc_id, anchor, subject, w, n): from each document to the anchor of each verified
+    word it has, where a run of words of one subject begins; n is how often. A document has at most one link for each of
+    its words, so a word of a third of all documents costs a row each, and pairs of its documents are never built."""
+    sent = _sent(lexicon.select("w", "subject", "anchor"))
+    before = _sent(lexicon.select(F.col("w").alias("p"), F.col("subject").alias("before")))
+    return words.join(sent, "w").join(before, "p", "left").where("before is null or before <> subject").groupBy("doc_id", "anchor", "subject", "w").agg(F.sum("n").alias("n"))
+
+
+def _reached(edges: DataFrame, least: int) -> DataFrame:
+    """(doc_id, subject, mentions) of documents that labels reach: along links of two different words at least, with
+    ``least`` mentions or more. A single word, however often, may be half of a term of another subject."""
+    counted = edges.groupBy("doc_id", "subject").agg(F.sum("n").alias("mentions"), F.min("w").alias("lo"), F.max("w").alias("hi"))
     return counted.where((F.col("mentions") >= least) & (F.col("lo") < F.col("hi"))).select("doc_id", "subject", "mentions")
 
 
 def _beliefs(mentions: DataFrame) -> DataFrame:
     """(doc_id, subject, belief): shares of the mentions of the subjects a document isn't only touching in passing."""
-    total = mentions.groupBy("doc_id").agg(F.sum("mentions").alias("total"))
-    return mentions.join(total, "doc_id").select("doc_id", "subject", (F.col("mentions") / F.col("total")).alias("belief"))
+    total = F.sum("mentions").over(Window.partitionBy("doc_id"))
+    return mentions.select("doc_id", "subject", (F.col("mentions") / total).alias("belief"))
 
 
 def _lexicon(words: DataFrame, beliefs: DataFrame, frequency: DataFrame, share: float, support: float, lift: float) -> DataFrame:
-    """Words whose documents believe in one subject: (w, subject). ``lift`` is the share of the documents of a word that
-    must hold a belief at all; words of documents without any subject (merges, robots) fail it."""
-    votes = words.where("first").join(beliefs, "doc_id").groupBy("w", "subject").agg(F.sum("belief").alias("vote"))
-    best = votes.groupBy("w").agg(F.sum("vote").alias("votes"), F.max(F.struct("vote", "subject")).alias("best"))
-    ok = (F.col("best.vote") >= share * F.col("votes")) & (F.col("votes") >= support) & (F.col("votes") >= lift * F.col("df"))
-    return best.join(frequency, "w").where(ok).select("w", F.col("best.subject").alias("subject"))
+    """Verified words, (w, subject, anchor): their documents believe in one subject, and the anchor is the document that
+    believes most in it (of equals a hash decides). ``lift`` is the share of the documents of a word that must hold a
+    belief at all; words of documents without any subject (merges, robots) fail it."""
+    # one number orders by belief, then by a hash of the id: aggregates of numbers don't sort
+    order = F.shiftleft((F.col("belief") * 1_000_000).cast("bigint"), 40) + F.shiftrightunsigned(F.xxhash64("doc_id"), 24)
+    votes = words.where("first").join(beliefs.hint("shuffle_hash"), "doc_id").groupBy("w", "subject").agg(F.sum("belief").alias("vote"), F.max_by("doc_id", order).alias("d"))
+    # a word that passes has more than half of its votes for one subject, so there is no tie
+    best = votes.groupBy("w").agg(F.sum("vote").alias("votes"), F.max("vote").alias("vote"), F.max_by("subject", "vote").alias("subject"), F.max_by("d", "vote").alias("anchor"))
+    ok = (F.col("vote") >= share * F.col("votes")) & (F.col("votes") >= support) & (F.col("votes") >= lift * F.col("df"))
+    return best.join(frequency.hint("merge"), "w").where(ok).select("w", "subject", "anchor")
+
+
+def _state(labels: DataFrame) -> tuple[int, int]:
+    """What tells two sets of labels apart: their number and a hash of all of them."""
+    h = F.xxhash64("doc_id", "subject")
+    return tuple(labels.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(h), F.lit(0))).first())
 
 
-def assign_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = 2, least: int = 2, max_share: float = 0.4) -> DataFrame:
+def assign_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, rounds: int = 20, least: int = 2, max_share: float = 0.4) -> DataFrame:
     """(doc_id, subject) for each subject a document is about; none, one or several rows a document.
 
-    Documents are linked through the words they share, and the links are verified: a word links only if the documents
-    that have it agree on one subject. Labels go from documents to words and back by joins, the graph of document pairs is
-    never built, so a word of a third of all documents costs one row each. Seeds are the labelled documents; a seed whose
-    own words don't bear it out, by the first lexicon, isn't trusted and is dropped, the trusted ones are clamped in every
-    round. A document keeps every subject with at least ``least`` separate mentions (runs of adjacent words count once), by
-    two different words at least; a single word in passing is no case.
+    The graph links each document to anchor documents it shares words with, one for each word. A link must be verified: a
+    word links only if the documents that have it agree on one subject, and a label passes only where links of two
+    different words bring it. Seeds are the labelled documents; a seed whose own words don't bear out its label isn't
+    trusted. In each round labels go from documents to words (which are verified anew), and along the links of the graph
+    back to documents, all by joins; trusted seeds are clamped to their labels. Rounds go on until no label changes, or
+    until labels come back to an earlier state, at most ``rounds`` times. A document keeps every subject that reaches it
+    with at least ``least`` separate mentions (runs of adjacent words count once), and a trusted seed its own; a single
+    word in passing is no case.
 
     Words in fewer than three documents or in more than ``max_share`` of all link nothing. Null, empty and blank texts and
     null ids get no subject. Rows of a repeated doc_id count once. Labels of unknown documents or subjects are ignored;
     without labels there are no rows. Extra columns are ignored.
     """
-    scratch = Scratch(documents.sparkSession, "subjects")
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "subjects")
     texts = documents.where("doc_id is not null and text is not null and text <> ''")
     table = scratch.table(_word_table(texts), "words")
-    n = table.count()
+    n, different, rows = table.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    if different < n:
+        table, n = scratch.table(table.dropDuplicates(["doc_id"]), "words"), different
     flat = table.select("doc_id", F.explode("words").alias("x")).select("doc_id", "x.w", "x.p", "x.n", "x.first")
     counted = flat.where("first").groupBy("w").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= 3) & (F.col("df") <= max(3.0, max_share * n)))
     frequency = scratch.table(counted, "frequency")
-    words = scratch.table(flat.join(frequency.select("w"), "w"), "flat")
+    # in buckets of doc_id, so that no round shuffles the words again
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / PER_BUCKET))
+    words = scratch.bucketed(flat.join(frequency.select("w"), "w"), "flat", buckets, "doc_id")
     scratch.drop(table)
 
-    given = labels.join(areas.select("subject").distinct(), "subject").where("doc_id is not null").select("doc_id", "subject").distinct()
-    per = given.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
-    seeds = given.join(per, "doc_id").select("doc_id", "subject", (1.0 / F.col("k")).alias("belief"))
+    listed = [r["subject"] for r in areas.where("subject is not null").select("subject").distinct().orderBy("subject").limit(MOST_SUBJECTS + 1).collect()]
+    if len(listed) > MOST_SUBJECTS:
+        raise ValueError(f"at most {MOST_SUBJECTS} subject areas")
+    names = F.broadcast(spark.createDataFrame(list(enumerate(listed)), "code int, name string"))
+    coded = labels.join(names, F.col("subject") == F.col("name")).where("doc_id is not null")
+    given = scratch.table(coded.select("doc_id", F.col("code").alias("subject")).distinct(), "given")
+    seeds = given.select("doc_id", "subject", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).alias("belief"))
     rate = given.select("doc_id").distinct().count() / max(1, n)
-    seeded = words.join(per.select("doc_id"), "doc_id")
-    lexicon = scratch.table(_lexicon(seeded, seeds, frequency, 0.55, 2, 0.3 * rate), "lexicon")
-    trusted = scratch.table(_mentions(seeded, lexicon, least).join(given, ["doc_id", "subject"]).select("doc_id", "subject", "mentions"), "trusted")
-    lexicon = scratch.table(_lexicon(seeded, _beliefs(trusted), frequency, 0.65, 2, 0.3 * rate), "lexicon")
-
-    for _ in range(rounds - 1):
-        found = _mentions(words, lexicon, least)
-        # a trusted seed keeps its labels and nothing else
-        free = found.join(trusted.select("doc_id").distinct(), "doc_id", "left_anti")
-        beliefs = scratch.table(_beliefs(free.unionByName(trusted)), "beliefs")
-        lexicon = scratch.table(_lexicon(words, beliefs, frequency, 0.7, 2, 0.6), "lexicon")
-    return _mentions(words, lexicon, least).select("doc_id", "subject")
+    seeded = words.join(given.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    lexicon = scratch.table(_lexicon(words, seeds, frequency, 0.55, 2, 0.3 * rate), "lexicon")
+    borne_out = _reached(_edges(seeded, lexicon), least).join(given.hint("merge"), ["doc_id", "subject"])
+    trusted = scratch.table(borne_out.select("doc_id", "subject", "mentions"), "trusted")
+    clamped = trusted.select("doc_id").distinct()
+    lexicon = scratch.table(_lexicon(words, _beliefs(trusted), frequency, 0.65, 2, 0.3 * rate), "lexicon")
+
+    states: set[tuple[int, int]] = set()
+    for _ in range(rounds):
+        reached = _reached(_edges(words, lexicon), least)
+        # within the graph a trusted seed holds its labels and nothing else
+        held = scratch.table(reached.join(clamped.hint("merge"), "doc_id", "left_anti").unionByName(trusted), "labels")
+        if (state := _state(held)) in states:
+            break
+        states.add(state)
+        following = scratch.table(_lexicon(words, _beliefs(held), frequency, 0.7, 2, 0.6), "lexicon")
+        scratch.drop(lexicon)
+        lexicon = following
+    found = _reached(_edges(words, lexicon), least).select("doc_id", "subject").unionByName(trusted.select("doc_id", "subject")).distinct()
+    return found.join(names, F.col("subject") == F.col("code")).select("doc_id", F.col("name").alias("subject"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
