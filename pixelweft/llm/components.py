@@ -32,25 +32,25 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "components")
     ends = edges.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
-    graph = scratch.table(ends.distinct().select("a", "b", F.col("a").alias("eu"), F.col("b").alias("ev")), "edges")
+    every = F.lit(True)
+    graph, left = scratch.counted(ends.distinct().select("a", "b", F.col("a").alias("eu"), F.col("b").alias("ev")), every, "edges")
     labels: DataFrame | None = None
-    while labels is None or not graph.isEmpty():
+    while labels is None or left:
         half = graph.select(F.col("a").alias("c"), F.col("b").alias("o"), "eu", "ev").unionByName(graph.select(F.col("b").alias("c"), F.col("a").alias("o"), "eu", "ev"))
         chosen = scratch.table(half.groupBy("c").agg(F.min(F.struct("eu", "ev", "o"))["o"].alias("o")), "chosen")
         back = chosen.select(F.col("c").alias("o"), F.col("o").alias("oo"))
         is_root = (F.col("oo") == F.col("c")) & (F.col("c") < F.col("o"))
         parents = scratch.table(chosen.join(back, "o").select("c", F.when(is_root, F.col("c")).otherwise(F.col("o")).alias("p")), "parents")
         scratch.drop(chosen)
-        while True:
+        moved = 1
+        while moved:
             up = parents.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            twice = scratch.table(parents.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "parents")
+            twice, moved = scratch.counted(parents.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), F.col("moved"), "parents")
             scratch.drop(parents)
             parents = twice
-            if twice.where("moved").isEmpty():
-                break
         root = lambda x: parents.select(F.col("c").alias(x), F.col("p").alias(f"r{x}"))
-        moved = graph.join(root("a"), "a").join(root("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.struct("eu", "ev").alias("e"))
-        smaller = scratch.table(moved.groupBy("a", "b").agg(F.min("e").alias("e")).select("a", "b", "e.eu", "e.ev"), "edges")
+        across = graph.join(root("a"), "a").join(root("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.struct("eu", "ev").alias("e"))
+        smaller, left = scratch.counted(across.groupBy("a", "b").agg(F.min("e").alias("e")).select("a", "b", "e.eu", "e.ev"), every, "edges")
         if labels is None:
             longer = parents.select(F.col("c").alias("id"), F.col("p").alias("label"))
         else:

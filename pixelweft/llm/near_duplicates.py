@@ -49,7 +49,7 @@ def _coded(bands: DataFrame) -> DataFrame:
     return bands.select("key", (F.col("kind") + F.col("slot") * 2).cast("tinyint").alias("kind"), "id", "value")
 
 
-def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: int = 8, block_threshold: int = 32, target_recall: float = 0.99, crowd: float = 16, copies: int = 1000) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: int = 8, block_threshold: int = 32, target_recall: float = 0.99, crowd: float = 16, copies: int | None = 1000) -> DataFrame:
     """Pairs (kind, id_a < id_b) of ``fingerprint_records`` rows of one space whose similarity is at least ``score`` and
     that have at least ``min_blocks`` block positions within ``block_threshold``.
 
@@ -61,13 +61,14 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     Records of equal exact hash have the score 1 and meet by it. Finally classes are expanded to rows; of more than
     ``copies`` exact copies (equal content) each is paired with the one of the smallest id only, which also stands for them in
     pairs with others, since all pairs of a crowd of copies say no more than that. Of more than ``copies`` rows of equal
-    bytes the smallest id of each content stands for it.
+    bytes the smallest id of each content stands for it. ``copies=None`` gives all pairs whatever the crowd.
 
     Null, empty or malformed hashes: see ``comparable``. Repeated rows of one id, with equal values, count once. Empty
     tables give an empty result. Extra columns are ignored.
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "neardup")
+    copies = (1 << 62) if copies is None else copies
     content = ["kind", "space", "g", "blocks"]
     classes = scratch.table(records.groupBy(*content).agg(F.min("id").alias("cid")), "classes")
     n = classes.count()

@@ -77,6 +77,10 @@ def test_neighbours_equal_brute_force(spark, seed):
     got = {(r["id_a"], r["id_b"]) for r in neighbours.nearest_pairs(e, m, tight).collect()}
     assert len(got & want) >= 0.9 * len(want)
     assert all(max(cos[p], cos[p[::-1]]) >= 0.8 for p in got)
+    # several upper lists
+    tight = neighbours.Search(list_size=8, sub_lists=4, chunk=16, queries=16)
+    got = {(r["id_a"], r["id_b"]) for r in neighbours.nearest_pairs(e, m, tight).collect()}
+    assert len(got & want) >= 0.9 * len(want)
 
 
 def test_neighbours_of_nothing(spark):
@@ -93,8 +97,18 @@ def test_graph_finds_near_centroids():
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     x = c[rng.integers(0, 1500, 300)] + 0.1 * rng.standard_normal((300, 32)) / 6
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    _, best = neighbours.CentroidGraph(c).search(x)
-    assert (best == (x @ c.T).argmax(axis=1)).mean() > 0.95
+    for k in (1, 2, 13, 1500):
+        r, at, cosine = neighbours.CentroidGraph(c[:k]).search(x, 1.15)
+        assert len(set(zip(r.tolist(), at.tolist(), strict=True))) == len(r) and set(r.tolist()) == set(range(300))
+        assert np.allclose(cosine, (x[r] * c[at]).sum(axis=1))
+        every = x @ c[:k].T
+        best = {}
+        for i, j, v in zip(r, at, cosine, strict=True):
+            best[i] = max(best.get(i, (-2, 0)), (v, j))
+        assert np.mean([best[i][1] == every[i].argmax() for i in range(300)]) > 0.95
+        far = np.sqrt(np.maximum(0, 2 - 2 * every))
+        wanted = int((far <= 1.15 * np.maximum(far.min(axis=1, keepdims=True), 1e-6)).sum())
+        assert len(r) >= 0.95 * wanted
 
 
 @pytest.mark.parametrize("seed", [3, 4])
@@ -131,14 +145,14 @@ def test_clusters_of_nothing(spark):
     assert clusters.describe(e, m).collect() == []
 
 
-def test_crowded_cells_in_chunks(spark):
+def test_crowded_cells_in_blocks(spark):
     rng = np.random.default_rng(9)
     centre = unit(rng, 16)
     rows = [(i, [float(x) for x in centre + 0.3 * unit(rng, 16)], "m", "t", "c", 1, "d") for i in range(400)]
     e, m = tables(spark, rows)
     scratch = Scratch(spark, "test")
     _, distinct = clusters._prepared(e, m, scratch)
-    labels = {r["label"] for r in clusters.grid_clusters(distinct, scratch, chunk=32).collect()}
+    labels = {r["label"] for r in clusters.grid_clusters(distinct, scratch, block=32).collect()}
     assert labels == {0}
 
 
@@ -156,10 +170,20 @@ def test_crowds_joined_by_one_link(spark):
         angle = np.radians(rng.permutation(np.concatenate([rng.uniform(-20, -1, 1500), [0, 36], rng.uniform(37, 56, 1500)])))
         a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
         crowds.append(np.cos(angle)[:, None] * a + np.sin(angle)[:, None] * b)
-    got = labelled(spark, np.concatenate(crowds), chunk=16)
+    got = labelled(spark, np.concatenate(crowds))
     assert got == {k: k // 3002 * 3002 for k in range(9006)}
 
 
+def test_thousands_of_pairs_that_nothing_else_joins(spark):
+    rng = np.random.default_rng(5)
+    x = np.stack([unit(rng, 64) for _ in range(5000)])
+    other = rng.standard_normal(x.shape)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    got = labelled(spark, np.concatenate([x, 0.82 * x + np.sqrt(1 - 0.82**2) * other]))
+    assert sum(got[5000 + k] == got[k] for k in range(5000)) == 5000
+
+
 def test_links_at_the_limit_in_many_dimensions(spark):
     rng = np.random.default_rng(3)
     x = np.stack([unit(rng, 768) for _ in range(40)])
@@ -187,6 +211,19 @@ def test_subsets(spark):
     assert subset.choose(empty, m, q).collect() == [] and subset.choose(e, m, q.limit(0)).collect() == []
 
 
+def test_first_of_takes_the_first_in_order(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "m", int(rng.integers(0, 2)), 0, int(rng.integers(0, 3)), int(rng.integers(0, 2)), int(rng.integers(-(2**63), 2**63))) for i in range(3000)]
+    quotas = [(1, "m", 0, 0, 700), (1, "m", 1, 0, 5), (2, "m", 0, 0, 31), (2, "m", 1, 0, 10_000)]
+    ordered = spark.createDataFrame(rows, "cid bigint, model_id string, a int, b int, typical int, copy int, h bigint")
+    got = subset._first_of(ordered, spark.createDataFrame(quotas, "request_id int, model_id string, a int, b int, quota int")).collect()
+    want = set()
+    for request, _, a, _, quota in quotas:
+        own = sorted((r for r in rows if r[2] == a), key=lambda r: (r[5], -r[4], r[6], r[0]))
+        want |= {(request, r[0]) for r in own[:quota]}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_flow_is_balanced():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 30, (6, 7))
@@ -245,6 +282,14 @@ def test_flow_is_cheapest():
         assert cost(subset.flow_quotas(counts, size), counts, size) == pytest.approx(best)
 
 
+def test_typical_members_follow_the_definition(spark):
+    v = lambda *x: [float(y) for y in x]
+    rows = [(10 - k, v(9, 2 + 0.01 * k, 0, 0), "m", "t", "c", 1, "d") for k in range(7)] + [(20 + k, v(9, -2 - 0.01 * k, 0, 0), "m", "t", "c", 1, "d") for k in range(3)]
+    e, m = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("m", 4)], "model_id string, dimension int")
+    (row,) = clusters.describe(e, m).collect()
+    assert tuple(row) == (4, "m", 10, 7, [4, 5, 6, 7, 8])
+
+
 def test_classes(spark):
     rows = [(1, [1.0, 2.0], "a"), (2, [1.0, 2.0], "a"), (3, [1.0, 2.0], None), (4, [1.0, 2.0], None), (4, [1.0, 2.0], None), (5, [2.0, 1.0], "a")]
     df = spark.createDataFrame([(*r, 2) for r in rows], "id bigint, vector array<float>, model_id string, dim int")
