@@ -1,7 +1,7 @@
 """Decoding of encoded pictures: format by magic bytes, guards in a fixed order, pixels, orientation.
 
-PNG, BMP, GIF (first frame) and JPEG (``jpeg``) are decoded by the library. Pillow is used for JPEG and WebP where it is
-installed; without it, WebP bytes give UnsupportedFormat.
+PNG, BMP, GIF (first frame), JPEG (``jpeg``) and lossless WebP (``webp``) are decoded by the library. Pillow is used for JPEG
+and WebP where it is installed; without it, lossy WebP gives UnsupportedFormat.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 from ..errors import ImageError
 from ..schema import PreprocessConfig
 from .jpeg import decode_jpeg
+from .webp import chunks as webp_chunks
+from .webp import decode_webp
 
 try:
     from PIL import Image
@@ -229,7 +231,7 @@ def decode_png(data: bytes, limit: int) -> np.ndarray:
 # ---------------------------------------------------------------- BMP
 
 
-def decode_bmp(data: bytes) -> np.ndarray:
+def decode_bmp(data: bytes, limit: int) -> np.ndarray:
     try:
         (start,) = struct.unpack("<I", data[10:14])
         (size,) = struct.unpack("<I", data[14:18])
@@ -244,7 +246,11 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ImageError("DecodeError", "unexpected end of BMP") from None
     if packing not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32):
         raise ImageError("UnsupportedFormat", f"BMP of {bits} bits, packing {packing}")
+    if w <= 0 or not h:
+        raise ImageError("DecodeError", "BMP without pixels")
     rows, stride = abs(h), -(-w * bits // 32) * 4
+    if w * rows * 3 > limit:
+        raise ImageError("InvalidImage", "decoded size exceeds the limit")
     raw = np.frombuffer(data, np.uint8, count=-1)[start : start + rows * stride]
     if len(raw) < rows * stride:
         raise ImageError("DecodeError", "unexpected end of BMP")
@@ -278,10 +284,12 @@ def _masked(v: np.ndarray, mask: int) -> np.ndarray:
 # ---------------------------------------------------------------- GIF
 
 
-def decode_gif(data: bytes) -> np.ndarray:
+def decode_gif(data: bytes, limit: int) -> np.ndarray:
     """The first frame on the whole screen; what it doesn't cover is black."""
     try:
         w, h, flags = struct.unpack("<HHB", data[6:11])
+        if w * h * 3 > limit:
+            raise ImageError("InvalidImage", "decoded size exceeds the limit")
         at, table = 13, None
         if flags & 0x80:
             n = 2 << (flags & 7)
@@ -295,6 +303,8 @@ def decode_gif(data: bytes) -> np.ndarray:
         if data[at] != 0x2C:
             raise ImageError("DecodeError", "GIF without a frame")
         x, y, fw, fh, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        if fw * fh * 3 > limit:
+            raise ImageError("InvalidImage", "decoded size exceeds the limit")
         at += 10
         if flags & 0x80:
             n = 2 << (flags & 7)
@@ -376,12 +386,17 @@ def orientation(data: bytes) -> int:
                 if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
                     return _tiff_orientation(data[at + 10 : at + 2 + n])
                 at += 2 + n
-        elif kind == "PNG" and (at := data.find(b"eXIf")) > 0:
-            (n,) = struct.unpack(">I", data[at - 4 : at])
-            return _tiff_orientation(data[at + 4 : at + 4 + n])
-        elif kind == "WebP" and (at := data.find(b"EXIF")) > 0:
-            (n,) = struct.unpack("<I", data[at + 4 : at + 8])
-            return _tiff_orientation(data[at + 8 : at + 8 + n].removeprefix(b"Exif\0\0"))
+        elif kind == "PNG":
+            at = 8
+            while (tag := data[at + 4 : at + 8]) and tag != b"IEND":
+                (n,) = struct.unpack(">I", data[at : at + 4])
+                if tag == b"eXIf":
+                    return _tiff_orientation(data[at + 8 : at + 8 + n])
+                at += 12 + n
+        elif kind == "WebP":
+            for tag, body in webp_chunks(data):
+                if tag == b"EXIF":
+                    return _tiff_orientation(body.removeprefix(b"Exif\0\0"))
     except (IndexError, struct.error):
         pass
     return 1
@@ -432,9 +447,9 @@ def decode_pixels(data: bytes, config: PreprocessConfig) -> np.ndarray:
         raise ImageError("UnsupportedFormat", "the format isn't known")
     if kind == "JPEG" and Image is None:
         return decode_jpeg(data, limit)
+    if kind == "WebP" and Image is None:
+        return decode_webp(data, limit)
     if kind in ("JPEG", "WebP"):
-        if Image is None:
-            raise ImageError("UnsupportedFormat", f"no {kind} decoder is installed")
         try:
             with Image.open(io.BytesIO(data)) as picture:
                 return np.asarray(picture.convert("RGB"))
@@ -442,7 +457,7 @@ def decode_pixels(data: bytes, config: PreprocessConfig) -> np.ndarray:
             raise ImageError("DecodeError", str(e)) from None
     if kind == "PNG":
         return decode_png(data, limit)
-    return decode_bmp(data) if kind == "BMP" else decode_gif(data)
+    return decode_bmp(data, limit) if kind == "BMP" else decode_gif(data, limit)
 
 
 def decode(data: bytes, config: PreprocessConfig | None = None) -> np.ndarray:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import error
+from ..errors import PREFIXES, error
 from ..operators.fingerprint import fingerprint
 from ..schema import HashAlgorithm, PreprocessConfig
 
@@ -33,10 +36,55 @@ def picture_files(spark: SparkSession, folder: str, config: PreprocessConfig | N
     return small.unionByName(large.select("path", "length", F.lit(None).cast("binary").alias("content"), note.alias("error")))
 
 
+def picture_paths(spark: SparkSession, paths: DataFrame, config: PreprocessConfig | None = None, path: str = "path") -> DataFrame:
+    """(path, length, content, error) of each of the listed files, whatever its ending. A file that is missing, can't be read,
+    or is over the byte cap comes as a row with an IoError and null content; sizes are looked up before anything is read.
+    Files are opened in the workers, so a list of any length is spread over all of them."""
+    config = config or PreprocessConfig()
+    most = config.max_input_bytes
+    error_type = pa.struct([("kind", pa.string()), ("message", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 16):
+                names, sizes, contents, errors = whole.column(0).slice(at, 16).to_pylist(), [], [], []
+                for name in names:
+                    size, content, bad = None, None, None
+                    if name is not None:
+                        try:
+                            system, inner = fs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (fs.LocalFileSystem(), name)
+                            info = system.get_file_info(inner)
+                            if info.type != fs.FileType.File:
+                                raise FileNotFoundError(f"no such file: {name}")
+                            size = info.size
+                            if size > most:
+                                raise OSError(f"{size} bytes exceed {most}")
+                            with system.open_input_stream(inner) as f:
+                                content = f.read()
+                        except (OSError, pa.ArrowException) as e:
+                            bad = {"kind": "IoError", "message": PREFIXES["IoError"] + str(e)}
+                    sizes.append(size)
+                    contents.append(content)
+                    errors.append(bad)
+                yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(errors, error_type)], names=["path", "length", "content", "error"])
+
+    return paths.select(F.col(path).cast("string").alias("path")).mapInArrow(run, "path string, length bigint, content binary, error struct<kind:string,message:string>")
+
+
 def fingerprint_files(spark: SparkSession, folder: str, config: PreprocessConfig | None = None, algorithms: tuple[HashAlgorithm, ...] = tuple(HashAlgorithm), exact: str = "sha256") -> DataFrame:
     """(path, length, exact, hashes, error, format_version) of a folder; errors of reading and of decoding in one column."""
-    rows = picture_files(spark, folder, config).withColumnRenamed("error", "_read")
-    done = fingerprint(rows, algorithms=algorithms, config=config, exact=exact)
+    return _fingerprinted(picture_files(spark, folder, config), config, algorithms, exact)
+
+
+def fingerprint_paths(spark: SparkSession, paths: DataFrame, config: PreprocessConfig | None = None, algorithms: tuple[HashAlgorithm, ...] = tuple(HashAlgorithm), exact: str = "sha256", path: str = "path") -> DataFrame:
+    """Likewise of listed files; a missing one is a row with an IoError."""
+    return _fingerprinted(picture_paths(spark, paths, config, path), config, algorithms, exact)
+
+
+def _fingerprinted(rows: DataFrame, config: PreprocessConfig | None, algorithms: tuple[HashAlgorithm, ...], exact: str) -> DataFrame:
+    done = fingerprint(rows.withColumnRenamed("error", "_read"), algorithms=algorithms, config=config, exact=exact)
     return done.withColumn("error", F.coalesce("_read", "error")).drop("_read")
 
 

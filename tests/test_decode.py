@@ -8,6 +8,7 @@ from pixelweft.operators import decode
 from pixelweft.operators.exact import blake3
 from pixelweft.schema import PreprocessConfig
 
+from . import pictures
 from .pictures import bmp, exif_block, gif, gradient, png
 
 
@@ -143,3 +144,63 @@ def test_jpeg(spark, tmp_path, progressive):
         for cut in (20, len(data) // 3):
             assert kind(data[:cut]) is not None or cut > 200
         assert kind(data[: len(data) // 2] + b"\xff\xd9") in (None, "DecodeError")
+
+
+LOSSLESS_1X1 = "UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="
+
+
+@pytest.mark.parametrize("transforms", [(), ("green",), ("predict",), ("recolour",), ("predict", "recolour", "green"), ("green", "predict")])
+def test_webp_lossless(transforms):
+    rng = np.random.default_rng(3)
+    smooth = (np.cumsum(rng.integers(-3, 4, (37, 41, 4)), axis=1) + 128).astype(np.uint8)
+    for rgba in (smooth, rng.integers(0, 256, (9, 5, 4), dtype=np.uint8)):
+        got = decode.decode_webp(pictures.webp(rgba, transforms), 1 << 24)
+        assert (got == rgba).all()
+
+
+@pytest.mark.parametrize("colours", [2, 4, 16, 200])
+def test_webp_palette(colours):
+    rng = np.random.default_rng(colours)
+    table = rng.integers(0, 256, (colours, 4), dtype=np.uint8)
+    rgba = table[rng.integers(0, colours, (21, 19))]
+    assert (decode.decode_webp(pictures.webp(rgba, ("palette",)), 1 << 24) == rgba).all()
+    assert (decode.decode_webp(pictures.webp(rgba, ("palette", "predict")), 1 << 24) == rgba).all()
+
+
+def test_webp_copies_and_cache():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 256, (6, 50, 4), dtype=np.uint8)[:, rng.integers(0, 9, 50)]
+    rgba = np.repeat(rows, 5, axis=0)
+    assert (decode.decode_webp(pictures.webp(rgba, (), False, 9), 1 << 24) == rgba).all()
+    assert (decode.decode_webp(pictures.webp(rgba, ("green",), True, 10), 1 << 24) == rgba).all()
+
+
+def test_webp_as_a_picture():
+    import base64
+
+    rgba = np.concatenate([pictures.gradient(40, 36), np.full((36, 40, 1), 255, np.uint8)], axis=2)
+    data = pictures.webp(rgba, ("green",), exif=6)
+    assert decode.sniff(data) == "WebP" and decode.header_size(data) == (40, 36)
+    assert decode.decode(data).shape[:2] == (40, 36)  # turned
+    assert decode.decode_webp(base64.b64decode(LOSSLESS_1X1), 100).shape == (1, 1, 4)
+    for bad, kind in ((data[:40], "DecodeError"), (data.replace(b"VP8L", b"VP8 "), "UnsupportedFormat"), (data[:30] + b"\xff" * 200, "DecodeError")):
+        with pytest.raises(ImageError) as e:
+            decode.decode(bad)
+        assert e.value.kind == kind
+
+
+def test_limits_hold_for_all_formats():
+    small = PreprocessConfig(max_dimension=64, min_dimension=1)
+    # sizes in the header within the cap, decoded size not
+    assert decode.decode(pictures.bmp(pictures.gradient(64, 64)), small).shape[:2] == (64, 64)
+    for data in (pictures.bmp(pictures.gradient(80, 80)), pictures.gif(np.zeros((80, 80), int), np.zeros((4, 3)))):
+        with pytest.raises(ImageError) as e:
+            decode.decode_pixels(data, PreprocessConfig(max_dimension=40))
+        assert e.value.kind == "InvalidImage"
+
+
+def test_orientation_is_read_from_its_chunk_only():
+    rgb = pictures.gradient(40, 36)
+    inside = pictures.png(rgb)
+    hidden = inside[:-12] + inside[-12:] + b"eXIf" + pictures.exif_block(6)  # after the end
+    assert decode.orientation(hidden) == 1 and decode.orientation(pictures.png(rgb, exif=6)) == 6

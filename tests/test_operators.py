@@ -278,3 +278,13 @@ def test_cosine_blocks_leave_out_the_query(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(8)], "id bigint, vector array<float>")
     got = search.cosine_blocks(rows, rows.where("id = 7"), k=5, others=True).collect()
     assert sorted(r["id"] for r in got) == [0, 1, 2, 3, 4]
+
+
+def test_missing_and_oversized_files_are_rows(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png(gradient(50, 40)))
+    (tmp_path / "big.png").write_bytes(b"x" * 5000)
+    listed = [(f"file://{tmp_path}/a.png",), (str(tmp_path / "a.png"),), (f"file://{tmp_path}/none.png",), (str(tmp_path / "big.png"),), (str(tmp_path),), (None,)]
+    rows = files.fingerprint_paths(spark, spark.createDataFrame(listed, "path string"), PreprocessConfig(max_input_bytes=4999)).collect()
+    kinds = [r["error"]["kind"] if r["error"] else None for r in rows]
+    assert kinds == [None, None, "IoError", "IoError", "IoError", None]
+    assert rows[0]["phash"] == rows[1]["phash"] and rows[0]["phash"] is not None and rows[3]["length"] == 5000 and rows[5]["phash"] is None
