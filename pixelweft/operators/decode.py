@@ -119,12 +119,19 @@ def _unfilter(raw: bytes, rows: int, stride: int, step: int, band: int = 512) ->
     y = 0
     while y < rows:
         if kinds[y] <= 2:
+            # rows of one kind together: those with a left filter don't depend on one another, those with an upper one add up
+            n = int(np.argmax(np.r_[kinds[y:] != kinds[y], True]))
+            given, done = lines[y : y + n], out[y + 1 : y + 1 + n]
             if kinds[y] == 1:
-                steps = np.pad(lines[y], (0, -stride % step)).reshape(-1, step)
-                out[y + 1] = np.cumsum(steps, axis=0, dtype=np.uint8).reshape(-1)[:stride]
+                steps = np.pad(given, ((0, 0), (0, -stride % step))).reshape(n, -1, step)
+                done[:] = np.cumsum(steps, axis=1, dtype=np.uint8).reshape(n, -1)[:, :stride]
+            elif kinds[y] == 2:
+                done[:] = given
+                done[0] += out[y]
+                np.cumsum(done, axis=0, dtype=np.uint8, out=done)
             else:
-                out[y + 1] = lines[y] + out[y] if kinds[y] == 2 else lines[y]
-            y += 1
+                done[:] = given
+            y += n
             continue
         # to the last such row of the band, with the rows between
         mixed = np.flatnonzero(kinds[y : y + band] > 2)
@@ -157,10 +164,10 @@ def _diagonals(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray, step: in
             guess = left + up >> 1
         else:
             corner = past[t - 2, lo - 1 : hi - 1] if t > 1 else np.zeros_like(up)
-            da, db = up - corner, left - corner
-            dc = np.abs(da + db)
-            da, db = np.abs(da), np.abs(db)
-            guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+            # nearest of the three to left + up - corner, ties in this order; without distances: an end, or the corner
+            turn = corner * 3 - left - up
+            low, high = np.minimum(left, up), np.maximum(left, up)
+            guess = np.where(turn <= low, high, np.where(turn >= high, low, corner))
             if some != {4}:
                 guess = np.where(of == 4, guess, np.where(of == 3, left + up >> 1, np.where(of == 2, up, np.where(of == 1, left, 0))))
         past[t, lo:hi] = (skewed[t, lo:hi] + guess) & 255
