@@ -192,8 +192,9 @@ def _sub_search(search: Search):  # noqa: ANN202
 
 def _placed(rows: DataFrame, scratch: Scratch, search: Search) -> DataFrame:
     """Of each (cid, dim, model_id, vector): where it is stored, and what is searched for it, as (side, dim, list, sub, ring,
-    cid) with ``side`` 0 and 1. A ring is searched only if the floor can be reached in it: angles are a metric, so members
-    of a ring are no nearer than the difference of the angles to the centroid."""
+    cid): with ``side`` 0 the ring it lies in, with 1 the rings to be searched, as bits. A ring is searched only if the floor
+    can be reached in it: angles are a metric, so members of a ring are no nearer than the difference of the angles to the
+    centroid."""
     shared = rows.sparkSession.sparkContext.broadcast(_upper(rows, search))
     routed = scratch.table(_routed(rows, shared, search), "routed")
     upper = ["dim", "list"]
@@ -211,16 +212,17 @@ def _placed(rows: DataFrame, scratch: Scratch, search: Search) -> DataFrame:
     # of all upper lists together: the nearest list, and those that are not much farther
     far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine")))
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine")))))
-    by = Window.partitionBy("cid")
-    ranked = met.select(*upper, "sub", "cid", far.alias("far"), angle.alias("angle"), F.min(far).over(by).alias("least"), F.row_number().over(by.orderBy(F.desc("cosine"), "list", "sub")).alias("rank"))
+    by = Window.partitionBy("cid").orderBy(F.desc("cosine"), "list", "sub")
+    ranked = met.select(*upper, "sub", "cid", far.alias("far"), angle.alias("angle"), F.row_number().over(by).alias("rank"), F.first(far).over(by).alias("least"))
     near = F.greatest("least", F.lit(1e-6))
     edges = [0.0, *RINGS, 180.0]
     reach = math.degrees(math.acos(search.floor))
     ring = sum(((F.col("angle") >= e).cast("int") for e in RINGS), F.lit(0))
-    stored = F.when((F.col("rank") == 1) | ((F.col("rank") == 2) & (F.col("far") <= search.replica_ratio * near)), F.array(F.struct(F.lit(0).alias("side"), ring.alias("ring"))))
-    asked = F.filter(F.array(*(F.when((F.col("far") <= search.probe_ratio * F.greatest("least", F.lit(search.least_far))) & (F.col("angle") - reach <= edges[i + 1]) & (F.col("angle") + reach >= edges[i]), F.struct(F.lit(1).alias("side"), F.lit(i).alias("ring"))) for i in range(len(RINGS) + 1))), lambda x: x.isNotNull())
-    both = F.concat(F.coalesce(stored, F.array().cast("array<struct<side:int,ring:int>>")), asked)
-    return ranked.select(*upper, "sub", "cid", F.explode(both).alias("x")).select(F.col("x.side").cast("tinyint").alias("side"), *upper, "sub", F.col("x.ring").cast("tinyint").alias("ring"), "cid")
+    held = (F.col("rank") == 1) | ((F.col("rank") == 2) & (F.col("far") <= search.replica_ratio * near))
+    reached = sum((F.when((F.col("angle") - reach <= edges[i + 1]) & (F.col("angle") + reach >= edges[i]), 1 << i).otherwise(0) for i in range(len(RINGS) + 1)), F.lit(0))
+    asked = F.when(F.col("far") <= search.probe_ratio * F.greatest("least", F.lit(search.least_far)), reached).otherwise(0)
+    sides = F.filter(F.array(F.when(held, F.struct(F.lit(0).alias("side"), ring.alias("ring"))), F.when(asked > 0, F.struct(F.lit(1).alias("side"), asked.alias("ring")))), lambda x: x.isNotNull())
+    return ranked.select(*upper, "sub", "cid", F.explode(sides).alias("x")).select(F.col("x.side").cast("tinyint").alias("side"), *upper, "sub", F.col("x.ring").cast("tinyint").alias("ring"), "cid")
 
 
 def _search_list(search: Search):  # noqa: ANN202
@@ -238,24 +240,30 @@ def _search_list(search: Search):  # noqa: ANN202
         several = len(names) > 2 or (mx != mx[0]).any() or (my != mx[0]).any()
         # single precision finds candidates, with room for its rounding; DOUBLE decides
         slack = np.float32(max(1e-4, 1.2e-7 * x.shape[1]))
-        rough = x.astype(np.float32)
+        rough, rough_y = x.astype(np.float32), y.astype(np.float32)
+        ring, wanted = members["ring"].to_numpy(), queries["ring"].to_numpy()
         found = []
-        for at in range(0, len(y), 512):
-            near = y[at : at + 512].astype(np.float32) @ rough.T
-            near[asked[at : at + 512, None] == ids[None]] = -2
-            if several:
-                mq = my[at : at + 512]
-                near[~((mx[None] == mq[:, None]) | (mx[None] == 0) | (mq[:, None] == 0))] = -2
-            least = np.full(len(near), np.float32(search.floor) - slack)
-            full = np.flatnonzero((near >= least[:, None]).sum(axis=1) > search.k)
-            if len(full):  # nothing below the k-th best of a list counts
-                least[full] = np.maximum(least[full], -np.partition(-near[full], search.k - 1, axis=1)[:, search.k - 1] - 2 * slack)
-            i, j = np.nonzero(near >= least[:, None])
-            for lo in range(0, len(i), 16384):
-                a, b = i[lo : lo + 16384] + at, j[lo : lo + 16384]
-                micro = np.rint(np.einsum("ij,ij->i", y[a], x[b]) * 1e6).astype(np.int32)
-                ok = micro >= limit
-                found.append((asked[a[ok]], ids[b[ok]], micro[ok]))
+        for r in range(len(RINGS) + 1):
+            inside, asking = np.flatnonzero(ring == r), np.flatnonzero(wanted & (1 << r))
+            if not len(inside):
+                continue
+            for at in range(0, len(asking), 512):
+                rows = asking[at : at + 512]
+                near = rough_y[rows] @ rough[inside].T
+                near[asked[rows, None] == ids[inside][None]] = -2
+                if several:
+                    mq, mi = my[rows][:, None], mx[inside][None]
+                    near[~((mi == mq) | (mi == 0) | (mq == 0))] = -2
+                least = np.full(len(near), np.float32(search.floor) - slack)
+                full = np.flatnonzero((near >= least[:, None]).sum(axis=1) > search.k)
+                if len(full):  # nothing below the k-th best of a ring counts
+                    least[full] = np.maximum(least[full], -np.partition(-near[full], search.k - 1, axis=1)[:, search.k - 1] - 2 * slack)
+                i, j = np.nonzero(near >= least[:, None])
+                for lo in range(0, len(i), 16384):
+                    a, b = rows[i[lo : lo + 16384]], inside[j[lo : lo + 16384]]
+                    micro = np.rint(np.einsum("ij,ij->i", y[a], x[b]) * 1e6).astype(np.int32)
+                    ok = micro >= limit
+                    found.append((asked[a[ok]], ids[b[ok]], micro[ok]))
         if not found:
             return schema.empty_table()
         q, other, micro = (np.concatenate(f) for f in zip(*found, strict=True))
@@ -281,7 +289,7 @@ def nearest(rows: DataFrame, search: Search | None = None) -> DataFrame:
     search = search or Search()
     scratch = Scratch(rows.sparkSession, "nearest")
     placed = scratch.table(_placed(rows, scratch, search), "placed")
-    place = ["dim", "list", "sub", "ring"]
+    place = ["dim", "list", "sub"]
     sizes = placed.groupBy(*place).agg(F.count_if(F.col("side") == 0).alias("members"), F.count_if(F.col("side") == 1).alias("asked")).where("members > 0 and asked > 0")
     cuts = scratch.table(sizes.select(*place, F.ceil(F.col("members") / search.chunk).cast("int").alias("mc"), F.ceil(F.col("asked") / search.queries).cast("int").alias("qc")), "cuts")
     cut = placed.join(cuts, place)
@@ -289,8 +297,8 @@ def nearest(rows: DataFrame, search: Search | None = None) -> DataFrame:
     part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = [*place, "m", "q"]
-    members = cut.where("side = 0").withColumn("m", part("mc")).withColumn("q", every("qc")).join(data, "cid").select(*keys, "cid", "model_id", "vector")
-    asked = cut.where("side = 1").withColumn("q", part("qc")).withColumn("m", every("mc")).join(data, "cid").select(*keys, "cid", "model_id", "vector")
+    members = cut.where("side = 0").withColumn("m", part("mc")).withColumn("q", every("qc")).join(data, "cid").select(*keys, "ring", "cid", "model_id", "vector")
+    asked = cut.where("side = 1").withColumn("q", part("qc")).withColumn("m", every("mc")).join(data, "cid").select(*keys, "ring", "cid", "model_id", "vector")
     # both sides come from one table: new names for the columns of one of them keep the cogroup unambiguous
     asked = asked.toDF(*(f"_{c}" for c in asked.columns)).toDF(*asked.columns)
     met = members.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search_list(search), "cid bigint, other bigint, micro int")
