@@ -15,7 +15,7 @@ from ..errors import ImageError
 from ..functions.hashing import exact_sha256
 from ..schema import ERROR, FORMAT_VERSION, HASHES, HashAlgorithm, ModelInputConfig, PreprocessConfig
 from . import decode, kernels
-from .exact import blake3
+from .exact import blake3_many
 
 #: Pictures of a kernel call: 64 normalised ones and their blocks are about 40 MB.
 BATCH = 64
@@ -37,6 +37,11 @@ def _columns(greys: list[np.ndarray | None], errors: list[ImageError | None], fi
     return out
 
 
+def _blake3_array(data: list[bytes | None]) -> pa.Array:
+    found = iter(blake3_many([d for d in data if d is not None]))
+    return pa.array([None if d is None else next(found) for d in data], pa.binary())
+
+
 def read_grey(data: bytes | None, config: PreprocessConfig) -> tuple[np.ndarray | None, ImageError | None]:
     """The normalised picture or its error; whatever else a picture may cause is its own error, not the job's."""
     if data is None:
@@ -74,15 +79,17 @@ def fingerprint(df: DataFrame, content: str = "content", algorithms: tuple[HashA
                     grey, bad = read_grey(d, config)
                     greys.append(grey)
                     errors.append(bad)
-                key = batch.column("exact") if exact == "sha256" else pa.array([None if d is None else blake3(d) for d in data], pa.binary())
+                key = batch.column("exact") if exact == "sha256" else _blake3_array(data)
                 yield pa.record_batch([*(batch.column(c) for c in kept), key, *_columns(greys, errors, fields)], names=[*kept, "exact", *fields, "error"])
 
     return rows.mapInArrow(run, schema).withColumn("format_version", F.lit(FORMAT_VERSION))
 
 
-def fingerprint_decoded(images: DataFrame, keep: tuple[str, ...] = (), image: str = "image") -> DataFrame:
+def fingerprint_decoded(images: DataFrame, keep: tuple[str, ...] = (), image: str = "image", exact: str = "sha256") -> DataFrame:
     """Fingerprints of decoded pictures (Spark's image struct). The exact hash is that of the RGB pixels, so it never
     equals that of the encoded bytes. No guards on sizes; pictures that couldn't be decoded give a DecodeError."""
+    if exact not in ("sha256", "blake3"):
+        raise ValueError(f"exact must be sha256 or blake3, not {exact}")
     fields = tuple(a.field for a in HashAlgorithm)
     flat = images.select(*keep, F.col(f"{image}.height").alias("_h"), F.col(f"{image}.width").alias("_w"), F.col(f"{image}.nChannels").alias("_c"), F.col(f"{image}.data").alias("_d"))
     schema = T.StructType([*(flat.schema[c] for c in keep), T.StructField("_rgb", T.BinaryType()), *(T.StructField(f, HASHES) for f in fields), T.StructField("error", ERROR)])
@@ -103,9 +110,11 @@ def fingerprint_decoded(images: DataFrame, keep: tuple[str, ...] = (), image: st
                     greys.append(kernels.normalise(rgb))
                     raw.append(rgb.tobytes())
                     errors.append(None)
-                yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(raw, pa.binary()), *_columns(greys, errors, fields)], names=[*keep, "_rgb", *fields, "error"])
+                pixels = pa.array(raw, pa.binary()) if exact == "sha256" else _blake3_array(raw)
+                yield pa.record_batch([*(batch.column(c) for c in keep), pixels, *_columns(greys, errors, fields)], names=[*keep, "_rgb", *fields, "error"])
 
-    return flat.mapInArrow(run, schema).select(*keep, exact_sha256(F.col("_rgb")).alias("exact"), *fields, "error", F.lit(FORMAT_VERSION).alias("format_version"))
+    key = exact_sha256(F.col("_rgb")) if exact == "sha256" else F.col("_rgb")
+    return flat.mapInArrow(run, schema).select(*keep, key.alias("exact"), *fields, "error", F.lit(FORMAT_VERSION).alias("format_version"))
 
 
 def single(df: DataFrame, algorithm: HashAlgorithm) -> DataFrame:
@@ -119,7 +128,8 @@ def single(df: DataFrame, algorithm: HashAlgorithm) -> DataFrame:
 
 
 class EmbeddingProvider(Protocol):
-    """What makes embeddings: called once for each picture, in the workers. ``model_id`` may be None."""
+    """What makes embeddings: called in the workers, once for each picture, or with ``embed_many`` once for each batch of
+    pictures; that gives a vector or an ImageError for each. ``model_id`` may be None."""
 
     model_id: str | None
 
@@ -144,7 +154,7 @@ class OnnxProvider:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_session": None}
 
-    def embed(self, content: bytes) -> np.ndarray:
+    def _loaded(self) -> object:
         if self._session is None:
             try:
                 import onnxruntime
@@ -152,14 +162,49 @@ class OnnxProvider:
                 self._session = onnxruntime.InferenceSession(self.model, providers=["CPUExecutionProvider"])
             except Exception as e:  # noqa: BLE001
                 raise ImageError("ProviderError", f"model can't be loaded: {e}") from None
-        x = model_input(content, self.config)[None]
+        return self._session
+
+    def _run(self, inputs: np.ndarray) -> np.ndarray:
+        """(n, dimension) vectors of (n, 3, size, size) inputs."""
+        session = self._loaded()
         try:
-            out = self._session.run(None, {self._session.get_inputs()[0].name: x})[0]
+            out = session.run(None, {session.get_inputs()[0].name: inputs})[0]
         except Exception as e:  # noqa: BLE001
             raise ImageError("ProviderError", f"inference failed: {e}") from None
-        v = np.asarray(out, np.float32).ravel()
-        norm = np.linalg.norm(v)
-        return v / norm if self.config.normalize_output and norm > 0 else v
+        v = np.asarray(out, np.float32).reshape(len(inputs), -1)
+        if self.config.normalize_output:
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            v = np.where(norm > 0, v / np.where(norm > 0, norm, 1), v)
+        return v
+
+    def embed(self, content: bytes) -> np.ndarray:
+        return self._run(model_input(content, self.config)[None])[0]
+
+    def embed_many(self, contents: list[bytes]) -> list[np.ndarray | ImageError]:
+        """One call of the model for all pictures that can be decoded, or one for each where the model takes one at a time."""
+        self._loaded()
+        made: list[np.ndarray | ImageError] = []
+        for content in contents:
+            try:
+                made.append(model_input(content, self.config))
+            except ImageError as e:
+                made.append(e)
+            except Exception as e:  # noqa: BLE001
+                made.append(ImageError("ProcessingError", f"{type(e).__name__}: {e}"))
+        good = [i for i, x in enumerate(made) if not isinstance(x, ImageError)]
+        whole = None
+        first = self._session.get_inputs()[0].shape[:1]
+        if good and not (first and isinstance(first[0], int) and first[0] == 1):
+            try:
+                whole = self._run(np.stack([made[i] for i in good]))
+            except ImageError:  # one picture may be to blame
+                whole = None
+        for k, i in enumerate(good):
+            try:
+                made[i] = whole[k] if whole is not None else self._run(made[i][None])[0]
+            except ImageError as e:
+                made[i] = e
+        return made
 
 
 def embed(df: DataFrame, provider: EmbeddingProvider | Callable[[], EmbeddingProvider], content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -178,21 +223,36 @@ def embed(df: DataFrame, provider: EmbeddingProvider | Callable[[], EmbeddingPro
             raise ImageError("InvalidEmbedding", "all values are zero")
         return v
 
+    def vectors_of(given: EmbeddingProvider, contents: list[bytes]) -> list[np.ndarray | ImageError]:
+        out: list[np.ndarray | ImageError] = []
+        try:
+            found = given.embed_many(contents) if hasattr(given, "embed_many") else [None] * len(contents)
+        except ImageError as e:
+            return [e] * len(contents)
+        for content, v in zip(contents, found, strict=True):
+            try:
+                if isinstance(v, ImageError):
+                    raise v
+                out.append(checked(np.asarray(given.embed(content) if v is None else v, np.float32)))
+            except ImageError as e:
+                out.append(e)
+            except Exception as e:  # noqa: BLE001
+                out.append(ImageError("ProviderError", f"{type(e).__name__}: {e}"))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = provider() if isinstance(provider, type) or (callable(provider) and not hasattr(provider, "embed")) else provider
+        given = provider() if isinstance(provider, type) or (callable(provider) and not hasattr(provider, "embed")) else provider
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
+                data = batch.column("_content").to_pylist()
+                made = iter(vectors_of(given, [d for d in data if d is not None]))
                 values, errors = [], []
-                for d in batch.column("_content").to_pylist():
-                    value, bad = None, None
-                    if d is not None:
-                        try:
-                            value = {"vector": checked(np.asarray(made.embed(d), np.float32)).tolist(), "model_id": made.model_id}
-                        except ImageError as e:
-                            bad = {"kind": e.kind, "message": str(e)}
-                    values.append(value)
-                    errors.append(bad)
+                for d in data:
+                    value = next(made) if d is not None else None
+                    bad = value if isinstance(value, ImageError) else None
+                    values.append(None if value is None or bad else {"vector": value.tolist(), "model_id": given.model_id})
+                    errors.append({"kind": bad.kind, "message": str(bad)} if bad else None)
                 yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(values, kind), pa.array(errors, _ERROR)], names=[*keep, "embedding", "error"])
 
     return rows.mapInArrow(run, schema)

@@ -204,3 +204,14 @@ def test_orientation_is_read_from_its_chunk_only():
     inside = pictures.png(rgb)
     hidden = inside[:-12] + inside[-12:] + b"eXIf" + pictures.exif_block(6)  # after the end
     assert decode.orientation(hidden) == 1 and decode.orientation(pictures.png(rgb, exif=6)) == 6
+
+
+def test_blake3_of_many_is_that_of_each(monkeypatch):
+    from pixelweft.operators import exact
+
+    rng = np.random.default_rng(6)
+    data = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 3073, 5000, 8192, 31744, 102400)]
+    alone = [exact.blake3(d) for d in data]
+    assert exact.blake3_many(data) == alone and exact.blake3_many([]) == []
+    monkeypatch.setattr(exact, "LANES", 7)
+    assert exact.blake3_many(data) == alone and [exact.blake3(d) for d in data] == alone

@@ -288,3 +288,46 @@ def test_missing_and_oversized_files_are_rows(spark, tmp_path):
     kinds = [r["error"]["kind"] if r["error"] else None for r in rows]
     assert kinds == [None, None, "IoError", "IoError", "IoError", None]
     assert rows[0]["phash"] == rows[1]["phash"] and rows[0]["phash"] is not None and rows[3]["length"] == 5000 and rows[5]["phash"] is None
+
+
+def pooling_model(batch):
+    """A model file in the public exchange format: the mean of each channel. Written field by field, as there is no library."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda k, body: number(k << 3 | 2) + number(len(body)) + body
+    value = lambda k, n: number(k << 3) + number(n)
+    dim = lambda d: field(1, field(2, d.encode()) if isinstance(d, str) else value(1, d))
+    tensor = lambda name, dims: field(1, name.encode()) + field(2, field(1, value(1, 1) + field(2, b"".join(map(dim, dims)))))
+    node = lambda kind, a, b: field(1, a.encode()) + field(2, b.encode()) + field(4, kind.encode())
+    graph = field(1, node("GlobalAveragePool", "x", "m")) + field(1, node("Flatten", "m", "y")) + field(2, b"g") + field(11, tensor("x", [batch, 3, 224, 224])) + field(12, tensor("y", [batch, 3]))
+    return value(1, 8) + field(7, graph) + field(8, field(1, b"") + value(2, 13))
+
+
+@pytest.mark.parametrize("batch", ["n", 1])
+def test_embeddings_by_a_real_model(spark, batch):
+    from pixelweft.schema import ModelInputConfig
+
+    pictures = [png(np.full((60, 50, 3), v, np.uint8)) for v in (0, 100, 255)] + [b"broken", None, png(gradient(64, 64))]
+    rows = spark.createDataFrame([(i, None if p is None else bytearray(p)) for i, p in enumerate(pictures)], "id int, content binary").coalesce(1)
+    config = ModelInputConfig(normalize_output=False)
+    got = {r["id"]: r for r in fp.embed(rows, fp.OnnxProvider(pooling_model(batch), config), keep=("id",)).collect()}
+    for i, v in enumerate((0, 100, 255)):
+        want = (v / 255 - np.array(config.mean)) / np.array(config.std)
+        assert np.allclose(got[i]["embedding"]["vector"], want, atol=1e-3) and got[i]["error"] is None
+    assert got[3]["error"]["kind"] == "UnsupportedFormat" and got[3]["embedding"] is None
+    assert got[4]["error"] is None and got[4]["embedding"] is None
+    unit = fp.OnnxProvider(pooling_model(batch)).embed(pictures[5])
+    assert np.isclose(np.linalg.norm(unit), 1, atol=1e-5)
+
+
+def test_decoded_pictures_with_the_other_exact_hash(spark):
+    rgb = gradient(40, 33)
+    row = ("a", 33, 40, 3, 16, bytearray(rgb[..., ::-1].tobytes()))
+    images = spark.createDataFrame([(row,)], "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>")
+    got = fp.fingerprint_decoded(images, exact="blake3").first()
+    assert bytes(got["exact"]) == blake3(rgb.tobytes()) and got["phash"] is not None
