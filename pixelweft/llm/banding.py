@@ -35,10 +35,13 @@ def recall_of(rows: int, global_bands: int, block_bands: int, global_distance: i
     return 1 - (1 - g) ** global_bands * (1 - b) ** (block_bands * n_blocks)
 
 
-def plan_bands(n: int, target_recall: float = 0.99, global_distance: int = 4, block_distance: int = 9, n_blocks: int = 16) -> BandPlan:
-    """Rows so that about eight of ``n`` records share a band value by chance (at least 16 rows), then the fewest bands
-    that reach the target for the hardest profile: every block at ``block_distance``, none closer."""
-    rows = max(16, min(40, math.ceil(math.log2(max(n, 2))) - 3))
+def plan_bands(n: int, target_recall: float = 0.99, global_distance: int = 4, block_distance: int = 9, n_blocks: int = 16, mates: int = 8) -> BandPlan:
+    """Rows so that about ``mates`` of ``n`` records share a band value by chance (and not more in small tables), then the
+    fewest bands that reach the target for the hardest profile: every block at ``block_distance``, none closer. A chance
+    meeting costs one comparison of two numbers inside its band, about a hundredth of a band row, so that more mates and
+    fewer bands are cheaper up to some hundred."""
+    fewer = round(math.log2(mates))
+    rows = max(19 - fewer, min(40, math.ceil(math.log2(max(n, 2))) - fewer))
     bands = 1
     while (r := recall_of(rows, 2 * bands, bands, global_distance, block_distance, n_blocks)) < target_recall:
         bands += 1

@@ -14,6 +14,8 @@ from .components import components
 
 #: Code of a record kind within the operator.
 KINDS = {"single": 0, "multi": 1}
+#: Records that share a band value by chance.
+MATES = 64
 #: Rows of a hot group that are compared with one another in one go.
 BLOCK = 4096
 
@@ -72,7 +74,7 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     content = ["kind", "space", "g", "blocks"]
     classes = scratch.table(records.groupBy(*content).agg(F.min("id").alias("cid")), "classes")
     n = classes.count()
-    plan = banding.plan_bands(n, target_recall, n_blocks=min_blocks)
+    plan = banding.plan_bands(n, target_recall, n_blocks=min_blocks, mates=MATES)
     limit = int((1.0 - score) * 64 / 0.4 + 1e-6)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
     kind = F.pmod("kind", F.lit(2)).cast("tinyint").alias("kind")
