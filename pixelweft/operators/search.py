@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import embedding as E
@@ -156,8 +156,9 @@ def cosine_blocks(rows: DataFrame, queries: DataFrame, floor: float = -1.0, k: i
     keys = ["dim", "r", "q"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_product(round(floor * 1e6), k, others), "query_id bigint, id bigint, micro int")
     if k is not None and nr > 1:
-        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("micro")).alias("less"), "id"))), 1, k)
-        met = met.groupBy("query_id").agg(best.alias("b")).select("query_id", F.explode("b").alias("x")).select("query_id", F.col("x.id").alias("id"), (-F.col("x.less")).alias("micro"))
+        # the limit of the rank is applied before the shuffle, so a query's candidates of all blocks never meet in one list
+        ranked = met.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("micro"), "id")))
+        met = ranked.where(F.col("_k") <= k).drop("_k")
     return met.select("query_id", "id", (F.col("micro") / 1e6).alias("score"))
 
 

@@ -585,12 +585,6 @@ def _box(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "block", F.aggregate("h", zero, lambda s, x: s + x).alias("total"), F.aggregate(placed, zero, lambda s, x: s + x).alias("placed"))
 
 
-@_query("phash_rasters")
-def _phash_rasters(spark: SparkSession, d: str) -> DataFrame:
-    found = rasters.kernel_hashes(spark, d)
-    return found.where("block < 0").select("doc_id", *(hex64(a.field).alias(a.field) for a in HashAlgorithm))
-
-
 def _sql_frequency(source: str, keys: str, values: str) -> str:
     """Bits of the frequency hash of ``x``, 1,024 values; null where the median, in DOUBLE, is a toss-up in 32 bits."""
     basis = "[" + ", ".join(repr(math.cos((2 * c + 1) * k * math.pi / 64)) for k in range(8) for c in range(32)) + "]::DOUBLE[]"
@@ -635,6 +629,42 @@ for _a in (HashAlgorithm.AHASH, HashAlgorithm.DHASH):
     _kernel_query(f"kernel_{_a.field}_blocks", _a, True)
 
 
+def _sql_three(keys: str, part: str) -> str:
+    """The SQL of all three algorithms side by side, of the centres or of the blocks."""
+    of = lambda a: f"(SELECT {keys}, bits AS {a} FROM ({_SQL[f'{a}_{part}']}))"
+    return f"SELECT * FROM {of('ahash')} JOIN {of('phash')} USING ({keys}) JOIN {of('dhash')} USING ({keys})"
+
+
+def _three_bits(hashes: DataFrame, gap: str = "gap") -> DataFrame:
+    """Bits of the three algorithms; null for the frequency hash where its median is a toss-up."""
+    return hashes.withColumns({"ahash": _bits(F.col("ahash")), "dhash": _bits(F.col("dhash")), "phash": F.when(F.col(gap) >= 1e-6, _bits(F.col("phash")))})
+
+
+@_query("phash_rasters", _sql_three("doc_id", "global"))
+def _phash_rasters(spark: SparkSession, d: str) -> DataFrame:
+    return _three_bits(rasters.kernel_hashes(spark, d).where("block < 0")).select("doc_id", *(a.field for a in HashAlgorithm))
+
+
+def _encoded_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, block, ahash, phash, dhash): fingerprints of the pictures as BMP and PNG files, by the whole operator:
+    decoding, grey levels, regions, hashes. Block -1 is the centre."""
+    found = fingerprint(rasters.encoded(spark, d), keep=("doc_id",))
+    places = F.explode(F.sequence(F.lit(-1), F.lit(N_BLOCKS - 1)))
+    of = lambda a: F.when(F.col("block") < 0, F.col(f"{a}.global_hash")).otherwise(F.get(F.col(f"{a}.block_hashes"), F.col("block"))).alias(a)
+    rows = found.select("doc_id", *(a.field for a in HashAlgorithm), places.alias("block")).select("doc_id", "block", *(of(a.field) for a in HashAlgorithm))
+    return _three_bits(rows.join(rasters.kernel_hashes(spark, d).select("doc_id", "block", "gap"), ["doc_id", "block"])).drop("gap")
+
+
+@_query("encoded_fingerprints", _sql_three("doc_id", "global"))
+def _encoded_centres(spark: SparkSession, d: str) -> DataFrame:
+    return _encoded_fingerprints(spark, d).where("block < 0").drop("block")
+
+
+@_query("encoded_fingerprints_blocks", _sql_three("doc_id, block", "blocks"))
+def _encoded_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _encoded_fingerprints(spark, d).where("block >= 0")
+
+
 # ---------------------------------------------------------------- embeddings
 
 _FINITE = "len(list_filter({0}, lambda x: x IS NULL OR isnan(x) OR isinf(x)))"

@@ -3,6 +3,8 @@ p and q come from its numbers. They exercise the hash stages where no decoded pi
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,6 +95,33 @@ def kernel_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).mapInArrow(run, "doc_id bigint, block int, ahash bigint, phash bigint, dhash bigint, gap double")
 
 
+def _bmp(grey: np.ndarray) -> bytes:
+    """An uncompressed BMP of 24 bits, bottom row first."""
+    h, w = grey.shape
+    body = np.repeat(grey[::-1, :, None], 3, axis=2).tobytes()
+    return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 0, 0, 0, 0) + body
+
+
+def _png(grey: np.ndarray, row_filter: int) -> bytes:
+    """A grey PNG with one filter for all rows: 0 none, 1 left, 2 above."""
+    before = [None, np.pad(grey, ((0, 0), (1, 0)))[:, :-1], np.pad(grey, ((1, 0), (0, 0)))[:-1]][row_filter]
+    lines = grey if before is None else grey - before
+    data = zlib.compress(np.pad(lines, ((0, 0), (1, 0)), constant_values=row_filter).tobytes(), 1)
+    chunk = lambda tag, b: struct.pack(">I", len(b)) + tag + b + struct.pack(">I", zlib.crc32(tag + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", grey.shape[1], grey.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", data) + chunk(b"IEND", b"")
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content) of the pictures as files: BMP, and PNG with three filters, in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, grey in _drawn(batches):
+            files = [_bmp(g) if i % 4 == 3 else _png(g, i % 4) for i, g in zip(ids.to_pylist(), grey, strict=True)]
+            yield pa.record_batch([ids, pa.array(files, pa.binary())], names=["doc_id", "content"])
+
+    return documents(spark, sf_dir).mapInArrow(run, "doc_id bigint, content binary")
+
+
 def sql_grey(r: str, c: str) -> str:
     return f"((({r}) * ({r}) * p + ({c}) * q + ({r}) * ({c})) % 256)"
 

@@ -59,9 +59,19 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(want) if size <= SMALL and df._jdf.rdd().getNumPartitions() < want else df
 
 
+_open: list[Scratch] = []
+
+
+def release() -> None:
+    """Frees the scratch tables of all operators so far. Results that aren't written or collected yet can't be read then."""
+    while _open:
+        _open[-1].close()
+
+
 class Scratch:
     """Tables that cut lineage: each is written as Parquet to the shared folder, so that a lost executor costs a
-    re-read and not a recomputation. ``drop`` frees one that no later step reads; the rest goes when Python ends."""
+    re-read and not a recomputation. ``drop`` frees one that no later step reads; the rest goes with ``release``, in long
+    sessions, or when Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -69,7 +79,7 @@ class Scratch:
         self._n = 0
         self._paths: dict[int, str] = {}
         self._tables: list[str] = []
-        atexit.register(self.close)
+        _open.append(self)
 
     def path(self, name: str = "t") -> str:
         self._n += 1
@@ -105,6 +115,8 @@ class Scratch:
             delete(self.spark, path)
 
     def close(self) -> None:
+        if self in _open:
+            _open.remove(self)
         try:
             for table in self._tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -116,6 +128,7 @@ class Scratch:
                 shutil.rmtree(local, ignore_errors=True)
 
 
+atexit.register(release)
 _shipped: set[str] = set()
 
 

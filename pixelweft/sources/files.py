@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,6 +55,8 @@ def picture_paths(spark: SparkSession, paths: DataFrame, config: PreprocessConfi
                     size, content, bad = None, None, None
                     if name is not None:
                         try:
+                            # the name that Hadoop gives to the store is unknown to the reader
+                            name = re.sub("^s3a:", "s3:", name)
                             system, inner = fs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (fs.LocalFileSystem(), name)
                             info = system.get_file_info(inner)
                             if info.type != fs.FileType.File:

@@ -331,3 +331,18 @@ def test_decoded_pictures_with_the_other_exact_hash(spark):
     images = spark.createDataFrame([(row,)], "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>")
     got = fp.fingerprint_decoded(images, exact="blake3").first()
     assert bytes(got["exact"]) == blake3(rgb.tobytes()) and got["phash"] is not None
+
+
+def test_scratch_is_released(spark):
+    import os
+
+    from pixelweft import session
+
+    scratch = session.Scratch(spark, "released")
+    table, n = scratch.counted(spark.range(10), F.col("id") > 6)
+    kept = scratch.bucketed(spark.range(20), "b", 3, "id")
+    assert n == 3 and table.count() == 10 and kept.count() == 20 and "Exchange" not in kept.groupBy("id").count()._jdf.queryExecution().toString().split("== Physical")[1]
+    local = scratch.root.removeprefix("file://")
+    assert os.path.isdir(local)
+    session.release()
+    assert not os.path.isdir(local)
