@@ -104,24 +104,25 @@ class HistoryIndex:
         first = accepted.where("exact is not null").groupBy("exact").agg(F.min(F.struct("batch_no", "arrival_id")).alias("at"))
         self._write("exact", first.select("exact", "at.batch_no", "at.arrival_id", self._part(F.xxhash64("exact")).alias("part")), "exact")
 
-    def _read(self, name: str, schema: str, asked: DataFrame | None = None) -> DataFrame:
-        """A table of the index; of it only the partitions of the ``part`` column of ``asked``."""
+    def _read(self, name: str, schema: str, asked: DataFrame | None = None, n: int = 0) -> DataFrame:
+        """A table of the index; of it only the partitions of the ``part`` column of ``asked``. Where ``asked`` is known to
+        hold ``n`` keys, eight times as many as there are partitions, it touches (nearly) all and isn't looked through."""
         rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
-        if asked is None:
+        if asked is None or n >= 8 * self.parts:
             return rows
         touched = sorted(r["part"] for r in asked.select("part").distinct().collect())
         return rows if len(touched) == self.parts else rows.where(F.col("part").isin(touched))
 
-    def exact(self, wanted: DataFrame) -> DataFrame:
-        """(exact, at) of the accepted ones among the ``exact`` hashes of ``wanted``, with the order of the first row that
-        has it."""
+    def exact(self, wanted: DataFrame, n: int = 0) -> DataFrame:
+        """(exact, at) of the accepted ones among the (at least ``n``, if known) ``exact`` hashes of ``wanted``, with the
+        order of the first row that has it."""
         asked = wanted.where("exact is not null").select("exact", self._part(F.xxhash64("exact")).alias("part")).distinct()
-        return self._read("exact", self.EXACT, asked).join(asked, ["part", "exact"]).groupBy("exact").agg(F.min(F.struct("batch_no", "arrival_id")).alias("at"))
+        return self._read("exact", self.EXACT, asked, n).join(asked, ["part", "exact"]).groupBy("exact").agg(F.min(F.struct("batch_no", "arrival_id")).alias("at"))
 
-    def near(self, hashes: DataFrame) -> DataFrame:
-        """Those of distinct ``global_hash`` rows that lie within the radius of an accepted hash."""
+    def near(self, hashes: DataFrame, n: int = 0) -> DataFrame:
+        """Those of distinct ``global_hash`` rows (at least ``n``, if known) that lie within the radius of an accepted hash."""
         asked = self.keys(hashes)
-        index = self._read("bands", self.BANDS, asked).withColumnRenamed("global_hash", "other")
+        index = self._read("bands", self.BANDS, asked, n * len(self.masks)).withColumnRenamed("global_hash", "other")
         met = asked.join(index, ["part", "key"])
         return met.where(hamming("global_hash", "other") <= self.radius).select("global_hash").distinct()
 
@@ -164,7 +165,8 @@ def judge(batches: DataFrame, radius: int = 3, parts: int | None = None, most: i
     new = rows.where("batch_no > 0")
     classes = scratch.table(new.groupBy("exact", "global_hash").agg(F.min(order).alias("ord")), "classes")
     hashes = classes.where("global_hash is not null").select("global_hash").distinct()
-    open_rows = classes.join(index.exact(classes).select("exact"), "exact", "left_anti").join(index.near(hashes), "global_hash", "left_anti").select("exact", "global_hash", "ord")
+    different = classes.agg(F.approx_count_distinct("exact").alias("e"), F.approx_count_distinct("global_hash").alias("h")).first()
+    open_rows = classes.join(index.exact(classes, different["e"]).select("exact"), "exact", "left_anti").join(index.near(hashes, different["h"]), "global_hash", "left_anti").select("exact", "global_hash", "ord")
     undecided = scratch.table(open_rows, "undecided")
 
     values = undecided.where("global_hash is not null").select("global_hash").distinct()
@@ -197,7 +199,7 @@ def judge(batches: DataFrame, radius: int = 3, parts: int | None = None, most: i
     # one scan of all rounds
     accepted = spark.read.schema(undecided.schema).parquet(*settled)
     index.append(accepted.select("ord.*", "exact", "global_hash"))
-    known = index.exact(new)
+    known = index.exact(new, different["e"])
     same = (F.col("at.batch_no") == F.col("batch_no")) & F.col("at.arrival_id").eqNullSafe(F.col("arrival_id"))
     # of an exact at most one new row is accepted, and none if batch 0 has it
     judged = new.join(known, "exact", "left").join(accepted.select(F.col("ord.arrival_id").alias("arrival_id"), F.lit(True).alias("in")), "arrival_id", "left")

@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": near_duplicates.p1_found,
         "p1_groups": near_duplicates.p1_groups,
         "p2_subset": subset.p2_subset,
+        "p2_sizes": subset.p2_sizes,
         "p3_found": history.p3_found,
         "p4_found": components.p4_found,
         "p5_found": seen.p5_found,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": clusters.p7_found,
         "p7_clusters": clusters.p7_clusters,
         "p8_ids": tokens.p8_ids,
+        "p8_roundtrip": tokens.p8_roundtrip,
         "p9_packed": packing.p9_packed,
         "p9_fill": packing.p9_fill,
         "p9_violations": packing.p9_violations,
@@ -34,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": near_duplicates.P1_FOUND_SQL,
+        "p2_sizes": subset.P2_SIZES_SQL,
         "p3_found": history.P3_FOUND_SQL,
         "p4_found": components.P4_FOUND_SQL,
         "p5_found": seen.P5_FOUND_SQL,
@@ -42,5 +45,6 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": neighbours.P6_FOUND_SQL,
         "p7_found": clusters.P7_FOUND_SQL,
         "p7_clusters": clusters.P7_CLUSTERS_SQL,
+        "p8_roundtrip": tokens.P8_ROUNDTRIP_SQL,
         "p9_violations": packing.P9_VIOLATIONS_SQL,
     }

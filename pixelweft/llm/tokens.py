@@ -189,5 +189,27 @@ def count(documents: DataFrame, ident: str = "doc_id", text: str = "text", folde
     return selected.mapInArrow(run, f"`{ident}` {documents.schema[ident].dataType.simpleString()}, n_tokens int")
 
 
+def decode(encoded: DataFrame, ident: str = "doc_id", ids: str = "ids", folder: str = VOCABULARIES, rank_file: str = RANK_FILE) -> DataFrame:
+    """(ident, text) of lists of ids: the bytes of their tokens in a row, as UTF-8; an empty list is an empty text, a null
+    list a null text. An id that the vocabulary lacks, or a null one, fails the job."""
+    shared = ranks_broadcast(encoded.sparkSession, folder, rank_file)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {rank: token for token, rank in shared.value.items()}
+        for batch in batches:
+            texts = [None if x is None else b"".join(map(token.__getitem__, x)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=[ident, "text"])
+
+    return encoded.select(ident, ids).mapInArrow(run, f"`{ident}` {encoded.schema[ident].dataType.simpleString()}, text string")
+
+
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; null texts come back empty."""
+    return decode(p8_ids(spark, sf_dir))
+
+
+P8_ROUNDTRIP_SQL = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_spread(spark, f"{sf_dir}/documents.parquet"))

@@ -180,3 +180,11 @@ def test_violations_are_found(spark):
     bad = [(7, 1, 1, 0, 0, 5), (7, 1, 4, 0, 0, 8), (7, 2, 2, 0, 0, 10), (7, 3, 2, 1, 10, 10), (7, 4, 3, 0, 0, 0)]
     rows = packing.violations(spark.createDataFrame(bad, packing.SCHEMA), sizes, capacities).collect()
     assert {(r["rule"], r["id"]) for r in rows} == {("capacity", 1), ("coverage", 2), ("split", 2)}
+
+
+def test_decoding(spark):
+    texts = ["", None, "naïve café 文字 \U0001f600", " a\r\n\tb ", "x" * 3000]
+    rows = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
+    back = {r["doc_id"]: r["text"] for r in tokens.decode(tokens.encode(rows)).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+    assert tokens.decode(spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")).first()["text"] is None
