@@ -50,19 +50,23 @@ def _close(x: np.ndarray, y: np.ndarray, same: bool, score: float, config: Multi
     bits = np.arange(N_BLOCKS)
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     step = max(1, 1_000_000 // max(1, len(y)))
+    first = int(np.argmax(weights))
     xs, ys = (np.ascontiguousarray(h[:, :, 0].T) for h in (x, y))
     for at in range(0, len(x), step):
-        part = x[at : at + step]
-        if bound is None:
-            ok = np.ones((len(part), len(y)), bool)
+        n = len(x[at : at + step])
+        if bound is None or not weights[first] > 0:
+            ok = np.ones((n, len(y)), bool)
         else:
-            far = np.zeros((len(part), len(y)), np.float32)
-            for k, w in enumerate(weights):
-                far += _counts(xs[k, at : at + step, None], ys[k][None]) * np.float32(w)
-            ok = far <= bound
+            ok = _counts(xs[first, at : at + step, None], ys[first][None]) <= bound / weights[first]
         if same:
-            ok &= np.arange(at, at + len(part))[:, None] < np.arange(len(y))
+            ok &= np.arange(at, at + n)[:, None] < np.arange(len(y))
         left, right = np.nonzero(ok)
+        if bound is not None and len(weights) > 1:
+            # the heaviest hash alone rules most pairs out; the others are looked at for the rest
+            far = np.zeros(len(left), np.float32)
+            for k, w in enumerate(weights):
+                far += _counts(xs[k, left + at], ys[k, right]) * np.float32(w)
+            left, right = left[far <= bound], right[far <= bound]
         if x.shape[2] < WIDTH:
             found.append((left + at, right))
             continue
