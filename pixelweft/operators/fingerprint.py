@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,26 +14,29 @@ from pyspark.sql import types as T
 
 from ..errors import ImageError
 from ..functions.hashing import exact_sha256
-from ..schema import ERROR, FORMAT_VERSION, HASHES, HashAlgorithm, ModelInputConfig, PreprocessConfig
+from ..schema import ERROR, FORMAT_VERSION, HASHES, N_BLOCKS, HashAlgorithm, ModelInputConfig, PreprocessConfig
 from . import decode, kernels
 from .exact import blake3_many
 
 #: Pictures of a kernel call: 64 normalised ones and their blocks are about 40 MB.
 BATCH = 64
 _HASHES = pa.struct([("global_hash", pa.int64()), ("block_hashes", pa.list_(pa.int64()))])
+_TIMING = pa.struct([(n, pa.int64()) for n in ("decode", "normalise", "hash")])
+TIMING = T.StructType([T.StructField(f.name, T.LongType()) for f in _TIMING])
 _ERROR = pa.struct([("kind", pa.string()), ("message", pa.string())])
 
 
 def _columns(greys: list[np.ndarray | None], errors: list[ImageError | None], fields: tuple[str, ...]) -> list[pa.Array]:
-    good = [i for i, g in enumerate(greys) if g is not None]
-    found = kernels.fingerprint(np.stack([greys[i] for i in good]), fields) if good else {}
+    good = np.array([g is not None for g in greys], bool)
+    found = kernels.fingerprint(np.stack([g for g in greys if g is not None]), fields) if good.any() else {}
+    offsets = pa.array(np.arange(len(greys) + 1, dtype=np.int32) * N_BLOCKS)
     out = []
     for f in fields:
-        values: list[dict | None] = [None] * len(greys)
-        for k, i in enumerate(good):
-            g, b = found[f]
-            values[i] = {"global_hash": int(g[k]), "block_hashes": b[k].tolist()}
-        out.append(pa.array(values, _HASHES))
+        whole, blocks = np.zeros(len(greys), np.int64), np.zeros((len(greys), N_BLOCKS), np.int64)
+        if f in found:
+            whole[good], blocks[good] = found[f]
+        lists = pa.ListArray.from_arrays(offsets, pa.array(blocks.ravel()))
+        out.append(pa.StructArray.from_arrays([pa.array(whole), lists], fields=list(_HASHES), mask=pa.array(~good)))
     out.append(pa.array([None if e is None else {"kind": e.kind, "message": str(e)} for e in errors], _ERROR))
     return out
 
@@ -42,22 +46,31 @@ def _blake3_array(data: list[bytes | None]) -> pa.Array:
     return pa.array([None if d is None else next(found) for d in data], pa.binary())
 
 
-def read_grey(data: bytes | None, config: PreprocessConfig) -> tuple[np.ndarray | None, ImageError | None]:
-    """The normalised picture or its error; whatever else a picture may cause is its own error, not the job's."""
-    if data is None:
-        return None, None
+def read_grey(data: bytes | None, config: PreprocessConfig, times: list[tuple[int, int]] | None = None) -> tuple[np.ndarray | None, ImageError | None]:
+    """The normalised picture or its error; whatever else a picture may cause is its own error, not the job's. ``times`` gets
+    the nanoseconds of decoding and of normalising."""
+    grey, bad = None, None
+    began = decoded = time.perf_counter_ns()
     try:
-        return kernels.normalise(decode.decode(data, config)), None
+        if data is not None:
+            pixels = decode.decode(data, config)
+            decoded = time.perf_counter_ns()
+            grey = kernels.normalise(pixels)
     except ImageError as e:
-        return None, e
+        bad = e
     except Exception as e:  # noqa: BLE001
-        return None, ImageError("ProcessingError", f"{type(e).__name__}: {e}")
+        bad = ImageError("ProcessingError", f"{type(e).__name__}: {e}")
+    if times is not None:
+        ended = time.perf_counter_ns()
+        times.append((decoded - began, ended - decoded) if decoded > began else (ended - began, 0))
+    return grey, bad
 
 
-def fingerprint(df: DataFrame, content: str = "content", algorithms: tuple[HashAlgorithm, ...] = tuple(HashAlgorithm), config: PreprocessConfig | None = None, exact: str = "sha256", keep: tuple[str, ...] | None = None) -> DataFrame:
+def fingerprint(df: DataFrame, content: str = "content", algorithms: tuple[HashAlgorithm, ...] = tuple(HashAlgorithm), config: PreprocessConfig | None = None, exact: str = "sha256", keep: tuple[str, ...] | None = None, timed: bool = False) -> DataFrame:
     """Adds exact, a struct of hashes for each algorithm, error and format_version to the ``keep`` columns (all but the
     content, if not given). A row has hashes or an error, never both, and errors touch no other row; null content gives
-    neither. All requested algorithms share one decoding. ``exact``: "sha256", computed by Spark, or "blake3". No shuffle.
+    neither. All requested algorithms share one decoding. ``exact``: "sha256", computed by Spark, or "blake3". ``timed`` adds
+    the microseconds that the stages of each picture took, as timing STRUCT<decode, normalise, hash>. No shuffle.
     """
     config = config or PreprocessConfig()
     if exact not in ("sha256", "blake3"):
@@ -66,21 +79,27 @@ def fingerprint(df: DataFrame, content: str = "content", algorithms: tuple[HashA
     kept = [c for c in (keep if keep is not None else df.columns) if c != content]
     rows = df.select(*kept, F.col(content).alias("_content"))
     rows = rows.withColumn("exact", exact_sha256(F.col("_content")) if exact == "sha256" else F.lit(None).cast("binary"))
-    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("exact", T.BinaryType()), *(T.StructField(f, HASHES) for f in fields), T.StructField("error", ERROR)])
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("exact", T.BinaryType()), *(T.StructField(f, HASHES) for f in fields), T.StructField("error", ERROR), *([T.StructField("timing", TIMING)] if timed else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 data = batch.column("_content").to_pylist()
+                times: list[tuple[int, int]] = []
                 greys: list[np.ndarray | None] = []
                 errors: list[ImageError | None] = []
                 for d in data:
-                    grey, bad = read_grey(d, config)
+                    grey, bad = read_grey(d, config, times)
                     greys.append(grey)
                     errors.append(bad)
                 key = batch.column("exact") if exact == "sha256" else _blake3_array(data)
-                yield pa.record_batch([*(batch.column(c) for c in kept), key, *_columns(greys, errors, fields)], names=[*kept, "exact", *fields, "error"])
+                began = time.perf_counter_ns()
+                columns = _columns(greys, errors, fields)
+                if timed:
+                    each = (time.perf_counter_ns() - began) // max(1, sum(g is not None for g in greys))
+                    columns.append(pa.array([None if d is None else {"decode": a // 1000, "normalise": b // 1000, "hash": each // 1000 if g is not None else 0} for d, g, (a, b) in zip(data, greys, times, strict=True)], _TIMING))
+                yield pa.record_batch([*(batch.column(c) for c in kept), key, *columns], names=[*kept, "exact", *fields, "error", *(["timing"] if timed else [])])
 
     return rows.mapInArrow(run, schema).withColumn("format_version", F.lit(FORMAT_VERSION))
 

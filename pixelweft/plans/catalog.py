@@ -17,7 +17,7 @@ from ..functions import similarity as S
 from ..functions.u64 import coarse_key, hamming, hex64, pick
 from ..operators import search
 from ..operators.fingerprint import fingerprint, single
-from ..schema import N_BLOCKS, HashAlgorithm, MultiHashConfig
+from ..schema import N_BLOCKS, HashAlgorithm, MultiHashConfig, PreprocessConfig
 from ..session import Scratch, read_spread
 from ..sources import files, store
 from . import rasters
@@ -477,6 +477,50 @@ def _byte_guard(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "images").where("content is not null").select("image_id", files.byte_guard(F.col("content"))["kind"].alias("kind"))
 
 
+_LIMITS = PreprocessConfig(max_input_bytes=2200, max_dimension=50, min_dimension=36)
+
+
+@_query("byte_guard_capped", "SELECT image_id, CASE WHEN octet_length(content) = 0 OR octet_length(content) > 2200 THEN 'InvalidImage' END AS kind FROM images WHERE content IS NOT NULL")
+def _byte_guard_capped(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "images").where("content is not null").select("image_id", files.byte_guard(F.col("content"), _LIMITS)["kind"].alias("kind"))
+
+
+@_query("byte_guard_config", "SELECT image_id, 'InvalidImage' AS kind FROM images WHERE content IS NOT NULL")
+def _byte_guard_config(spark: SparkSession, d: str) -> DataFrame:
+    """Limits that contradict one another are an error of each row."""
+    guard = files.byte_guard(F.col("content"), PreprocessConfig(max_dimension=40, min_dimension=50))
+    return _read(spark, d, "images").where("content is not null").select("image_id", guard["kind"].alias("kind"))
+
+
+@_query(
+    "decode_guards",
+    """WITH h AS (SELECT DISTINCT image_id, expected_error, octet_length(content) AS n, upper(hex(content)) AS h FROM images WHERE content IS NOT NULL),
+    s AS (SELECT *, starts_with(h, '89504E470D0A1A0A') AS png, CASE WHEN starts_with(h, '89504E470D0A1A0A') AND n >= 24 AND substr(h, 25, 8) = '49484452' THEN ('0x' || substr(h, 33, 8))::INTEGER END AS w,
+          CASE WHEN starts_with(h, '89504E470D0A1A0A') AND n >= 24 AND substr(h, 25, 8) = '49484452' THEN ('0x' || substr(h, 41, 8))::INTEGER END AS t FROM h)
+    SELECT image_id, CASE WHEN n = 0 OR n > 2200 THEN 'InvalidImage' WHEN w > 50 OR t > 50 THEN 'InvalidImage' WHEN w < 36 OR t < 36 THEN 'ImageTooSmall'
+        WHEN NOT png THEN 'UnsupportedFormat' WHEN expected_error = 'DecodeError' THEN 'DecodeError' END AS kind FROM s""",
+)
+def _decode_guards(spark: SparkSession, d: str) -> DataFrame:
+    """Narrow limits: bytes, then the size by the header, too large before too small, then the format, then the pixels."""
+    rows = fingerprint(_spread(spark, d, "images").where("content is not null").select("image_id", "content"), algorithms=(HashAlgorithm.AHASH,), config=_LIMITS)
+    kind = F.when(F.col("error").isNull() & F.col("ahash").isNull(), "no hashes").otherwise(F.col("error.kind"))
+    return rows.select("image_id", kind.alias("kind")).distinct()
+
+
+# The first 16 bytes of published hashes of 0, 1, ... 250, 0, ... by the length of the input.
+_BLAKE3 = {0: "af1349b9f5f9a1a6a0404dea36dcc949", 1: "2d3adedff11b61f14c886e35afa03673", 1023: "10108970eeda3eb932baac1428c7a216", 1024: "42214739f095a406f3fc83deb889744a", 1025: "d00278ae47eb27b34faecf67b4fe263f", 2048: "e776b6028c7cd22a4d0ba182a8bf6220", 2049: "5f4d72f40d7a5f82b15ca2b2e44b1de3", 3072: "b98cb0ff3623be03326b373de6b90952", 31744: "62b6960e1a44bcc1eb1a611a8d6235b6"}
+
+
+@_query("blake3_vectors", f"SELECT * FROM (VALUES {', '.join(f'({n}, {h!r})' for n, h in _BLAKE3.items())}) AS v(n, start)")
+def _blake3_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The other exact hash, by the fingerprint operator, of inputs whose hashes are published."""
+    sizes = spark.createDataFrame([(n,) for n in _BLAKE3], "n int")
+    digits = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(1)) - 1), lambda i: F.lpad(F.hex(i % 251), 2, "0"))
+    content = F.unhex(F.when(F.col("n") > 0, F.array_join(digits, "")).otherwise(""))
+    found = fingerprint(sizes.select("n", content.alias("content")), algorithms=(HashAlgorithm.AHASH,), exact="blake3")
+    return found.select("n", F.substring(formatting.exact_hex(F.col("exact")), 1, 32).alias("start"))
+
+
 @_query("fingerprint_errors", "SELECT DISTINCT image_id, sha256(content) AS exact, expected_error AS kind FROM images WHERE content IS NOT NULL")
 def _fingerprint_errors(spark: SparkSession, d: str) -> DataFrame:
     """Every kept picture decoded and hashed: the kind of error must be the one the table names, for all others there are hashes."""
@@ -645,10 +689,10 @@ def _phash_rasters(spark: SparkSession, d: str) -> DataFrame:
     return _three_bits(rasters.kernel_hashes(spark, d).where("block < 0")).select("doc_id", *(a.field for a in HashAlgorithm))
 
 
-def _encoded_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+def _encoded_fingerprints(spark: SparkSession, d: str, turned: bool = False) -> DataFrame:
     """(doc_id, block, ahash, phash, dhash): fingerprints of the pictures as BMP and PNG files, by the whole operator:
     decoding, grey levels, regions, hashes. Block -1 is the centre."""
-    found = fingerprint(rasters.encoded(spark, d), keep=("doc_id",))
+    found = fingerprint(rasters.encoded(spark, d, turned), keep=("doc_id",))
     places = F.explode(F.sequence(F.lit(-1), F.lit(N_BLOCKS - 1)))
     of = lambda a: F.when(F.col("block") < 0, F.col(f"{a}.global_hash")).otherwise(F.get(F.col(f"{a}.block_hashes"), F.col("block"))).alias(a)
     rows = found.select("doc_id", *(a.field for a in HashAlgorithm), places.alias("block")).select("doc_id", "block", *(of(a.field) for a in HashAlgorithm))
@@ -660,6 +704,12 @@ def _encoded_centres(spark: SparkSession, d: str) -> DataFrame:
     return _encoded_fingerprints(spark, d).where("block < 0").drop("block")
 
 
+@_query("oriented_fingerprints", _sql_three("doc_id", "global"))
+def _oriented(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures stored in the eight orientations come out upright."""
+    return _encoded_fingerprints(spark, d, True).where("block < 0").drop("block")
+
+
 @_query("encoded_fingerprints_blocks", _sql_three("doc_id, block", "blocks"))
 def _encoded_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _encoded_fingerprints(spark, d).where("block >= 0")

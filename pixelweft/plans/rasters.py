@@ -102,20 +102,32 @@ def _bmp(grey: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 0, 0, 0, 0) + body
 
 
-def _png(grey: np.ndarray, row_filter: int) -> bytes:
+def _png(grey: np.ndarray, row_filter: int, orientation: int | None = None) -> bytes:
     """A grey PNG with one filter for all rows: 0 none, 1 left, 2 above."""
     before = [None, np.pad(grey, ((0, 0), (1, 0)))[:, :-1], np.pad(grey, ((1, 0), (0, 0)))[:-1]][row_filter]
     lines = grey if before is None else grey - before
     data = zlib.compress(np.pad(lines, ((0, 0), (1, 0)), constant_values=row_filter).tobytes(), 1)
     chunk = lambda tag, b: struct.pack(">I", len(b)) + tag + b + struct.pack(">I", zlib.crc32(tag + b))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", grey.shape[1], grey.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", data) + chunk(b"IEND", b"")
+    note = b"" if orientation is None else chunk(b"eXIf", b"MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, orientation, 0, 0))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", grey.shape[1], grey.shape[0], 8, 0, 0, 0, 0)) + note + chunk(b"IDAT", data) + chunk(b"IEND", b"")
 
 
-def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, content) of the pictures as files: BMP, and PNG with three filters, in turn."""
+def _as_stored(grey: np.ndarray, orientation: int) -> np.ndarray:
+    """What a camera held that way stores of a picture."""
+    turned = {1: grey, 2: grey[:, ::-1], 3: grey[::-1, ::-1], 4: grey[::-1], 5: grey.T, 6: np.rot90(grey), 7: np.rot90(grey, 2).T, 8: np.rot90(grey, -1)}
+    return np.ascontiguousarray(turned[orientation])
+
+
+def encoded(spark: SparkSession, sf_dir: str, turned: bool = False) -> DataFrame:
+    """(doc_id, content) of the pictures as files: BMP, and PNG with three filters, in turn; or all as PNG, stored in the
+    eight orientations in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, grey in _drawn(batches):
+            if turned:
+                ways = [(i % 8 + 1, g) for i, g in zip(ids.to_pylist(), grey, strict=True)]
+                yield pa.record_batch([ids, pa.array([_png(_as_stored(g, way), 0, way) for way, g in ways], pa.binary())], names=["doc_id", "content"])
+                continue
             files = [_bmp(g) if i % 4 == 3 else _png(g, i % 4) for i, g in zip(ids.to_pylist(), grey, strict=True)]
             yield pa.record_batch([ids, pa.array(files, pa.binary())], names=["doc_id", "content"])
 

@@ -68,7 +68,9 @@ def each_partition(df: DataFrame, callback: Callable[[Iterator[Row]], None]) ->
 
 
 def counted(df: DataFrame, name: str = "fingerprints") -> tuple[DataFrame, Observation]:
-    """The same rows, and what the first action on them will have counted: rows, ok, failed."""
+    """The same rows, and what the first action on them will have counted: rows, ok, failed; of timed fingerprints also the
+    microseconds of each stage, in all."""
     seen = Observation(name)
     bad = F.col("error").isNotNull()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed")), seen
+    stages = [F.coalesce(F.sum(f"timing.{f.name}"), F.lit(0)).alias(f"{f.name}_us") for f in df.schema["timing"].dataType] if "timing" in df.columns else []
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"), *stages), seen

@@ -346,3 +346,13 @@ def test_scratch_is_released(spark):
     assert os.path.isdir(local)
     session.release()
     assert not os.path.isdir(local)
+
+
+def test_stages_are_timed(spark):
+    rows = spark.createDataFrame([(1, bytearray(png(gradient(64, 64)))), (2, bytearray(b"bad")), (3, None)], "id int, content binary")
+    timed, seen = store.counted(fp.fingerprint(rows, timed=True), "timed")
+    got = {r["id"]: r for r in timed.collect()}
+    assert got[1]["timing"]["decode"] > 0 and got[1]["timing"]["normalise"] > 0 and got[1]["timing"]["hash"] > 0
+    assert got[2]["timing"]["normalise"] == 0 and got[2]["error"] is not None and got[3]["timing"] is None
+    assert seen.get["rows"] == 3 and seen.get["failed"] == 1 and seen.get["hash_us"] == got[1]["timing"]["hash"]
+    assert "timing" not in fp.fingerprint(rows).columns
