@@ -39,10 +39,11 @@ def fingerprint_records(fingerprints: DataFrame | None = None, multi: DataFrame
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _banded(classes: DataFrame, global_bands: int, block_bands: int, rows: int, seed: int, space: Column) -> DataFrame:
-    """Band rows (key, slot, kind, id, value) of classes; slot 0 is the global hash, the blocks follow."""
+def _banded(classes: DataFrame, global_bands: int, block_bands: int, rows: int, seed: int) -> DataFrame:
+    """Band rows (key, slot, kind, id, value) of classes, whose ``place`` is a hash of kind and space; slot 0 is the global
+    hash, the blocks follow."""
     hashes = [(F.col("g"), global_bands), *((F.col("blocks")[i], block_bands) for i in range(N_BLOCKS))]
-    made = classes.select(F.posexplode(banding.band_keys(F.concat(F.col("kind").cast("string"), space), hashes, rows, seed)).alias("pos", "key"), "kind", F.col("cid").alias("id"), F.col("g").alias("value"), *([F.col("slot").alias("_out")] if "slot" in classes.columns else []))
+    made = classes.select(F.posexplode(banding.band_keys(F.col("place"), hashes, rows, seed)).alias("pos", "key"), "kind", F.col("cid").alias("id"), F.col("g").alias("value"))
     return made.withColumn("slot", F.when(F.col("pos") < global_bands, 0).otherwise(((F.col("pos") - global_bands) / block_bands).cast("int") + 1))
 
 
@@ -72,13 +73,13 @@ def near_duplicate_pairs(records: DataFrame, score: float = 0.883, min_blocks: i
     scratch = Scratch(spark, "neardup")
     copies = (1 << 62) if copies is None else copies
     content = ["kind", "space", "g", "blocks"]
-    classes = scratch.table(records.groupBy(*content).agg(F.min("id").alias("cid")), "classes")
+    classes = scratch.table(records.groupBy(*content).agg(F.min("id").alias("cid")).withColumn("place", F.xxhash64("kind", "space")), "classes")
     n = classes.count()
     plan = banding.plan_bands(n, target_recall, n_blocks=min_blocks, mates=MATES)
     limit = int((1.0 - score) * 64 / 0.4 + 1e-6)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
     kind = F.pmod("kind", F.lit(2)).cast("tinyint").alias("kind")
-    banded = _coded(_banded(classes, plan.global_bands, plan.block_bands, plan.rows, 1, F.col("space")))
+    banded = _coded(_banded(classes, plan.global_bands, plan.block_bands, plan.rows, 1))
     met = scratch.table(banding.band_pairs(banded, partitions, limit, BLOCK, crowd), "met")
     pairs = met.where("not hot").select(kind, "a", "b")
     if not (hot := met.where("hot")).isEmpty():

@@ -180,7 +180,7 @@ def assign_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, r
     if len(listed) > MOST_SUBJECTS:
         raise ValueError(f"at most {MOST_SUBJECTS} subject areas")
     names = F.broadcast(spark.createDataFrame(list(enumerate(listed)), "code int, name string"))
-    coded = labels.join(names, F.col("subject") == F.col("name")).where("doc_id is not null")
+    coded = labels.select("doc_id", "subject").join(names, F.col("subject") == F.col("name")).where("doc_id is not null")
     given = scratch.table(coded.select("doc_id", F.col("code").alias("subject")).distinct(), "given")
     seeds = given.select("doc_id", "subject", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).alias("belief"))
     rate = given.select("doc_id").distinct().count() / max(1, n)

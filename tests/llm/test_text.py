@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pixelweft.llm import packing, subjects, tokens
 
@@ -130,7 +131,9 @@ def corpus(seed, n=600):
 
 def assign(spark, docs, labels):
     areas = spark.createDataFrame([(s, "d") for s in WORDS], "subject string, description string")
-    out = subjects.assign_subjects(spark.createDataFrame(docs, SCHEMA), areas, spark.createDataFrame(labels, "doc_id bigint, subject string, labelled_by string")).collect()
+    clash = lambda df, *names: df.withColumns({n: F.lit("x") for n in names})
+    given = clash(spark.createDataFrame(labels, "doc_id bigint, subject string, labelled_by string"), "name", "code", "w", "text")
+    out = subjects.assign_subjects(clash(spark.createDataFrame(docs, SCHEMA), "subject", "w", "p", "belief"), clash(areas, "doc_id", "name", "code"), given).collect()
     assert len(out) == len({tuple(r) for r in out})
     return {(r["doc_id"], r["subject"]) for r in out}
 
