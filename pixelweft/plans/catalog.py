@@ -66,27 +66,28 @@ def _whole(h: Column) -> Column:
     return h["global_hash"].isNotNull() & (F.size(h["block_hashes"]) == N_BLOCKS) & F.forall(h["block_hashes"], lambda b: b.isNotNull())
 
 
-def _singles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, fp) of complete rows, once each."""
+def _singles(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """(id, fp) of complete rows, ``once`` each."""
     rows = _read(spark, sf_dir, "fingerprints").where(_whole(F.struct("global_hash", "block_hashes")))
-    return rows.dropDuplicates(["id"]).select("id", F.struct("exact", "global_hash", "block_hashes").alias("fp"))
+    return (rows.dropDuplicates(["id"]) if once else rows).select("id", F.struct("exact", "global_hash", "block_hashes").alias("fp"))
 
 
-def _multis(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _multis(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
     rows = _read(spark, sf_dir, "multi_fingerprints")
     for a in HashAlgorithm:
         rows = rows.where(F.col(a.field).isNotNull() & _whole(F.col(a.field)))
-    return rows.dropDuplicates(["id"]).select("id", "exact", *(a.field for a in HashAlgorithm))
+    return (rows.dropDuplicates(["id"]) if once else rows).select("id", "exact", *(a.field for a in HashAlgorithm))
 
 
 def _single_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row with the one of the next id."""
-    rows = _singles(spark, sf_dir)
+    """Each row with the one of the next id. A repeated row gives a repeated pair: what comes of it is small, and is made
+    distinct without sorting whole fingerprints."""
+    rows = _singles(spark, sf_dir, once=False)
     return rows.select("id", F.col("fp").alias("a")).join(rows.select((F.col("id") - 1).alias("id"), F.col("fp").alias("b")), "id")
 
 
 def _multi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _multis(spark, sf_dir).select("id", search.multi().alias("fp"))
+    rows = _multis(spark, sf_dir, once=False).select("id", search.multi().alias("fp"))
     return rows.select("id", F.col("fp").alias("a")).join(rows.select((F.col("id") - 1).alias("id"), F.col("fp").alias("b")), "id")
 
 
@@ -130,23 +131,23 @@ def _sql_multi(c: MultiHashConfig) -> str:
 
 def _flat(df: DataFrame, similarity: Column) -> DataFrame:
     out = df.select("id", similarity.alias("s"))
-    return out.select("id", _six(F.col("s.score")).alias("score"), F.col("s.exact_match").alias("exact_match"), F.col("s.perceptual_distance").alias("perceptual_distance"))
+    return out.select("id", _six(F.col("s.score")).alias("score"), F.col("s.exact_match").alias("exact_match"), F.col("s.perceptual_distance").alias("perceptual_distance")).distinct()
 
 
 @_query("hamming", f"{_S_PAIRS} SELECT id, bit_count(xor(xg, yg))::INTEGER AS distance FROM p")
 def _hamming(spark: SparkSession, d: str) -> DataFrame:
-    return _single_pairs(spark, d).select("id", hamming(F.col("a.global_hash"), F.col("b.global_hash")).alias("distance"))
+    return _single_pairs(spark, d).select("id", hamming(F.col("a.global_hash"), F.col("b.global_hash")).alias("distance")).distinct()
 
 
 @_query("hash_similarity", f"{_S_PAIRS} SELECT id, round({_sql_hash_sim('bit_count(xor(xg, yg))')}::DOUBLE, 6) AS similarity FROM p")
 def _hash_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return _single_pairs(spark, d).select("id", _six(S.hash_similarity(hamming(F.col("a.global_hash"), F.col("b.global_hash")))).alias("similarity"))
+    return _single_pairs(spark, d).select("id", _six(S.hash_similarity(hamming(F.col("a.global_hash"), F.col("b.global_hash")))).alias("similarity")).distinct()
 
 
 def _block_query(name: str, threshold: int) -> None:
     @_query(name, f"{_S_PAIRS} SELECT id, round(({_sql_block_sim('xb', 'yb', threshold)})::DOUBLE, 6) AS similarity FROM p")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _single_pairs(spark, d).select("id", _six(S.block_similarity(F.col("a.block_hashes"), F.col("b.block_hashes"), threshold)).alias("similarity"))
+        return _single_pairs(spark, d).select("id", _six(S.block_similarity(F.col("a.block_hashes"), F.col("b.block_hashes"), threshold)).alias("similarity")).distinct()
 
 
 for _name, _t in (("block_similarity", 32), ("block_similarity_t28", 28)):
@@ -186,12 +187,12 @@ for _name, _c in {
 @_query("is_similar", f"SELECT id, score >= 0.52::FLOAT AS similar FROM ({_sql_multi(MultiHashConfig()).replace(')::DOUBLE, 6) AS score', ')::DOUBLE, 9)::FLOAT AS score')})")
 def _is_similar(spark: SparkSession, d: str) -> DataFrame:
     pairs = _multi_pairs(spark, d).select("id", S.compare_multi(F.col("a"), F.col("b")).alias("s"))
-    return pairs.select("id", S.is_similar(F.col("s"), 0.52).alias("similar"))
+    return pairs.select("id", S.is_similar(F.col("s"), 0.52).alias("similar")).distinct()
 
 
 @_query("similarity_band", f"SELECT CASE WHEN score > 0.8 THEN 'very similar' WHEN score > 0.5 THEN 'somewhat similar' ELSE 'different' END AS band, count(*) AS pairs FROM ({_sql_multi(MultiHashConfig())}) GROUP BY 1")
 def _similarity_band(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _multi_pairs(spark, d).select(S.compare_multi(F.col("a"), F.col("b"))["score"].alias("score"))
+    pairs = _multi_pairs(spark, d).select("id", S.compare_multi(F.col("a"), F.col("b"))["score"].alias("score")).distinct()
     return pairs.groupBy(S.band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
@@ -247,7 +248,7 @@ def _near_singletons(spark: SparkSession, d: str) -> DataFrame:
 @_query("near_duplicates_representative", _sql_near("WHERE (exact, id) IN (SELECT (exact, min(id)) FROM m WHERE exact IS NOT NULL GROUP BY exact)", 0.9))
 def _near_representative(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of the first pictures of all groups of equal bytes."""
-    return _shown_pairs(search.near_duplicates(search.representatives(_multis(spark, d).where("exact is not null"), "id"), "id", 0.9))
+    return _shown_pairs(search.near_duplicates(search.representatives(_multis(spark, d, once=False).where("exact is not null"), "id"), "id", 0.9))
 
 
 @_query("exact_duplicates", "SELECT lower(hex(exact)) AS exact, count(*) AS members, min(id) AS first_id FROM (SELECT DISTINCT id, exact FROM fingerprints WHERE exact IS NOT NULL) GROUP BY 1 HAVING count(*) > 1")
@@ -271,9 +272,9 @@ _SEARCH = f"WITH m AS ({_MULTIS}), q AS (SELECT * FROM m ORDER BY id LIMIT 1), p
 
 @_query("similarity_search", f"SELECT id, score, exact_match, perceptual_distance FROM ({_SEARCH} SELECT id, round({_sql_multi(MultiHashConfig()).partition(' SELECT id, round(')[2]}) WHERE score >= 0.54")
 def _similarity_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = _multis(spark, d)
+    rows = _multis(spark, d, once=False)
     found = search.similarity_search(rows, rows.orderBy("id").limit(1), "id", 0.53)
-    return found.select("id", _six(F.col("score")).alias("score"), "exact_match", "perceptual_distance").where("score >= 0.54")
+    return found.select("id", _six(F.col("score")).alias("score"), "exact_match", "perceptual_distance").where("score >= 0.54").distinct()
 
 
 _SEARCH_ALL = _SEARCH.replace("FROM m ORDER BY id LIMIT 1", "FROM m WHERE id % 50 = 0").replace("p AS (SELECT x.id,", "p AS (SELECT y.id AS query_id, x.id,")
