@@ -542,6 +542,47 @@ def _image_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("image_id", formatting.exact_hex(F.col("exact")).alias("exact"), *(hex64(F.col(f"{a.field}.global_hash")).alias(a.field) for a in HashAlgorithm), F.col("error.kind").alias("kind"))
 
 
+def _written(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The kept pictures written as files, under their ids and the endings of their names; the folder, and the rows."""
+    rows = _spread(spark, d, "images").where("content is not null").select("image_id", files.extension(F.col("name")).alias("ending"), "content")
+    folder = Scratch(spark, "pictures").path("files")
+    files.write_files(rows.select(F.concat(F.col("image_id").cast("string"), F.lit("."), F.coalesce("ending", F.lit(""))).alias("name"), "content"), folder).agg(F.sum("length")).collect()
+    return folder, rows
+
+
+_ENDING = "lower(regexp_extract(name, '\\.([^./\\\\]+)$', 1)) IN ('jpg','jpeg','png','gif','webp','bmp')"
+
+
+@_query("file_scan", f"SELECT DISTINCT image_id, octet_length(content)::BIGINT AS length, sha256(content) AS exact, expected_error AS kind FROM images WHERE content IS NOT NULL AND {_ENDING}")
+def _file_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Picture files of a folder, listed by their endings, read and fingerprinted."""
+    folder, _ = _written(spark, d)
+    found = files.fingerprint_files(spark, folder, algorithms=(HashAlgorithm.AHASH,))
+    return found.select(F.regexp_extract("path", r"(\d+)\.[^./]+$", 1).cast("bigint").alias("image_id"), "length", formatting.exact_hex(F.col("exact")).alias("exact"), F.col("error.kind").alias("kind"))
+
+
+@_query("scan_to_json", f"SELECT DISTINCT image_id, sha256(content) AS exact_hash, true AS hashed FROM images WHERE content IS NOT NULL AND expected_error IS NULL AND {_ENDING}")
+def _scan_to_json(spark: SparkSession, d: str) -> DataFrame:
+    """The folder scanned, exported as lines of JSON and read again; pictures with an error are left out."""
+    folder, _ = _written(spark, d)
+    out = Scratch(spark, "export").path("json")
+    store.export_json(files.fingerprint_files(spark, folder), out)
+    back = spark.read.schema("filename string, exact_hash string, global_hash string, global_dhash string").json(out)
+    hashed = F.col("global_hash").rlike("^[0-9a-f]{16}$") & F.col("global_dhash").rlike("^[0-9a-f]{16}$")
+    return back.select(F.regexp_extract("filename", r"(\d+)\.[^./]+$", 1).cast("bigint").alias("image_id"), "exact_hash", hashed.alias("hashed"))
+
+
+@_query("listed_files", "SELECT DISTINCT image_id, octet_length(content)::BIGINT AS length, CASE WHEN octet_length(content) > 2200 THEN 'IoError' ELSE expected_error END AS kind FROM images WHERE content IS NOT NULL UNION ALL SELECT -1, NULL, 'IoError'")
+def _listed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Listed files, whatever their endings, and one that isn't there; large ones aren't read."""
+    folder, rows = _written(spark, d)
+    path = F.concat(F.lit(f"{folder}/"), F.col("image_id").cast("string"), F.lit("."), F.coalesce("ending", F.lit("")))
+    listed = rows.select(path.alias("path")).distinct().unionByName(spark.createDataFrame([(f"{folder}/missing",)], "path string"))
+    found = files.fingerprint_paths(spark, listed, PreprocessConfig(max_input_bytes=2200), algorithms=(HashAlgorithm.AHASH,))
+    ident = F.coalesce(F.regexp_extract("path", r"/(\d+)\.[^./]*$", 1).try_cast("bigint"), F.lit(-1))
+    return found.select(ident.alias("image_id"), "length", F.col("error.kind").alias("kind"))
+
+
 # ---------------------------------------------------------------- hash stages on synthetic pictures
 
 
@@ -808,6 +849,13 @@ def _l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.round(F.sqrt(E.dot64(F.col("v"), F.col("v"))), 4).alias("length"))
 
 
+@_query("median_threshold_dirty", "SELECT id, CASE WHEN isnan(m) THEN repeat('0', 64) ELSE array_to_string(list_transform(vector, lambda x: CASE WHEN NOT isnan(x) AND x >= m THEN '1' ELSE '0' END), '') END AS bits FROM (SELECT DISTINCT id, vector, list_sort(vector)[33] AS m FROM embeddings_in WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL)) = 0)")
+def _median_dirty(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients that aren't all finite: NaN sorts last and reaches no median, a NaN median gives 0."""
+    rows = _read(spark, d, "embeddings_in").where((F.size("vector") == 64) & F.forall("vector", lambda x: x.isNotNull()))
+    return rows.select("id", _bits(hashing.median_threshold(F.col("vector"))).alias("bits")).distinct()
+
+
 @_query("mean_threshold_hash", f"SELECT id, {_MEAN_BITS} AS bits FROM (SELECT vec_id AS id, embedding AS v FROM embeddings)")
 def _mean_hash(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), _bits(hashing.mean_threshold(F.col("embedding"))).alias("bits"))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +29,63 @@ def has_picture_ending(path: Column) -> Column:
 
 def picture_files(spark: SparkSession, folder: str, config: PreprocessConfig | None = None, recursive: bool = False) -> DataFrame:
     """(path, length, content, error) of the picture files of a folder. Files over the byte cap aren't read: the limit is
-    pushed to the scan, and they come as rows with an IoError and null content."""
+    pushed to the scan, and they come as rows with an IoError and null content. Empty files, which Spark's scan leaves out,
+    come as rows of empty content."""
     config = config or PreprocessConfig()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).where(has_picture_ending(F.col("path")))
     small = files.where(F.col("length") <= config.max_input_bytes).select("path", "length", "content", F.lit(None).cast("struct<kind:string,message:string>").alias("error"))
     large = files.where(F.col("length") > config.max_input_bytes).select("path", "length")
     note = error("IoError", F.concat(F.col("length").cast("string"), F.lit(f" bytes exceed {config.max_input_bytes}")))
-    return small.unionByName(large.select("path", "length", F.lit(None).cast("binary").alias("content"), note.alias("error")))
+    both = small.unionByName(large.select("path", "length", F.lit(None).cast("binary").alias("content"), note.alias("error")))
+    empty = _empty_files(spark, folder, recursive).where(has_picture_ending(F.col("path")))
+    return both.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"), F.lit(None).cast("struct<kind:string,message:string>").alias("error")))
+
+
+def _empty_files(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
+    """(path) of the files of no bytes, under the names that Spark's scan would give them. Folders are listed by workers, one
+    task each."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    folders = [str(f.getPath()) for f in found if f.isDirectory()]
+    alone = [str(f.getPath()) for f in found if f.isFile() and f.getLen() == 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                system, inner = _located(name)
+                at = [i.path for i in system.get_file_info(fs.FileSelector(inner, recursive=recursive)) if i.type == fs.FileType.File and i.size == 0]
+                head = name[: len(name) - len(inner.strip("/")) - (1 if name.endswith("/") else 0)].rstrip("/")
+                yield pa.record_batch([pa.array([f"{head}/{p.lstrip('/')}" for p in at], pa.string())], names=["path"])
+
+    listed = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders))).mapInArrow(run, "path string")
+    return listed.unionByName(spark.createDataFrame([(a,) for a in alone], "path string"))
+
+
+def _located(name: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a name; the name that Hadoop gives to an object store is unknown to the reader."""
+    name = re.sub("^s3a:", "s3:", name)
+    return fs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (fs.LocalFileSystem(), name)
+
+
+def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """(path, length) of files that are written to a folder all workers share, one for each row; rows without a name or
+    content write none. Written when the result is, by the workers; a repeated name is written again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = _located(folder)
+        system.create_dir(inner, recursive=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n is None or data is None:
+                    continue
+                with system.open_output_stream(f"{inner}/{n}") as f:
+                    f.write(data)
+                paths.append(f"{folder}/{n}")
+                sizes.append(len(data))
+            yield pa.record_batch([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "length"])
+
+    return df.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content")).mapInArrow(run, "path string, length bigint")
 
 
 def picture_paths(spark: SparkSession, paths: DataFrame, config: PreprocessConfig | None = None, path: str = "path") -> DataFrame:
@@ -46,8 +97,6 @@ def picture_paths(spark: SparkSession, paths: DataFrame, config: PreprocessConfi
     error_type = pa.struct([("kind", pa.string()), ("message", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for whole in batches:
             for at in range(0, whole.num_rows, 16):
                 names, sizes, contents, errors = whole.column(0).slice(at, 16).to_pylist(), [], [], []
@@ -55,9 +104,7 @@ def picture_paths(spark: SparkSession, paths: DataFrame, config: PreprocessConfi
                     size, content, bad = None, None, None
                     if name is not None:
                         try:
-                            # the name that Hadoop gives to the store is unknown to the reader
-                            name = re.sub("^s3a:", "s3:", name)
-                            system, inner = fs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (fs.LocalFileSystem(), name)
+                            system, inner = _located(name)
                             info = system.get_file_info(inner)
                             if info.type != fs.FileType.File:
                                 raise FileNotFoundError(f"no such file: {name}")

@@ -356,3 +356,14 @@ def test_stages_are_timed(spark):
     assert got[2]["timing"]["normalise"] == 0 and got[2]["error"] is not None and got[3]["timing"] is None
     assert seen.get["rows"] == 3 and seen.get["failed"] == 1 and seen.get["hash_us"] == got[1]["timing"]["hash"]
     assert "timing" not in fp.fingerprint(rows).columns
+
+
+def test_empty_files_are_rows(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png(gradient(50, 40)))
+    (tmp_path / "none.png").write_bytes(b"")
+    (tmp_path / "none.txt").write_bytes(b"")
+    for folder in (f"file://{tmp_path}", str(tmp_path), f"file:{tmp_path}/", f"file://{tmp_path}/*.png"):
+        rows = {r["path"]: r for r in files.fingerprint_files(spark, folder).collect()}
+        assert {p.rpartition("/")[2] for p in rows} == {"a.png", "none.png"} and len({p.rpartition("/")[0] for p in rows}) == 1
+        empty = next(r for p, r in rows.items() if p.endswith("none.png"))
+        assert empty["length"] == 0 and empty["error"]["kind"] == "InvalidImage"
