@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,19 +64,20 @@ def dense_links(rows: DataFrame, scratch: Scratch, similarity: float, grids: int
     it that are as similar as asked for; so a vector near a border joins adjacent dense cells. Per vector and grid there
     are at most ``AXES`` + 1 leaders, so a crowded cell costs no more than its rows, and the count of a cell is combined
     before the shuffle."""
-    place = ["grid", "dim", "model_id", "cell"]
-    quantised = scratch.table(cells(rows, grids), "cells")
+    # a cell goes by a hash; should two cells share one, the model is compared again below, and all links are verified
+    place = F.xxhash64("grid", "dim", "model_id", "cell").alias("place")
+    quantised = scratch.table(cells(rows, grids).select(place, "cid", "home", "depth"), "cells")
     # one number orders by depth, then by a hash of the id: aggregates of numbers don't sort
     order = F.shiftleft(F.col("depth").cast("bigint"), 40) + F.shiftrightunsigned(F.xxhash64("cid"), 24)
-    counted = quantised.groupBy(*place).agg(F.count_if("home").alias("n"), F.max_by("cid", F.when(F.col("home"), order)).alias("leader")).where(F.col("n") >= DENSE)
-    leaders = counted.select(*place, "leader")
-    near = quantised.select(*place, "cid").join(leaders, place).where("cid <> leader").select("cid", "leader").distinct()
-    paired = near.join(rows.select("cid", F.col("vector").alias("x")), "cid").join(rows.select(F.col("cid").alias("leader"), F.col("vector").alias("y")), "leader")
+    counted = quantised.groupBy("place").agg(F.count_if("home").alias("n"), F.max_by("cid", F.when(F.col("home"), order)).alias("leader"))
+    near = quantised.select("place", "cid").join(counted.where(F.col("n") >= DENSE).select("place", "leader"), "place").where("cid <> leader").select("cid", "leader").distinct()
+    end = lambda cid, vector, model: rows.select(F.col("cid").alias(cid), F.col("vector").alias(vector), F.col("model_id").alias(model))
+    paired = near.join(end("cid", "x", "mx"), "cid").join(end("leader", "y", "my"), "leader").where("mx = my and size(x) = size(y)")
     limit = round(similarity * 1e6)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(v) for v in batch.column("x")]) if batch.num_rows else np.empty(0, np.int64)
+            sizes = pc.list_value_length(batch.column("x")).to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes):
                 own = pa.Table.from_batches([batch]).filter(pa.array(sizes == dim))
                 ok = np.rint(np.einsum("ij,ij->i", vectors.matrix(own["x"]), vectors.matrix(own["y"])) * 1e6) >= limit
