@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,7 +108,9 @@ class Search:
     lists, of about ``list_size`` vectors each. ``route_ratio``: a vector goes to the upper lists whose centroid is up to
     this factor farther than the nearest. Of the lists in them, ``replica_ratio`` and ``probe_ratio`` in the same way say
     which hold the vector (two at most), and which are searched for it. Inside a crowd that fills several lists the nearest
-    centroid is so close that a factor means nothing; for routes and probes a distance under ``least_far`` counts as that."""
+    centroid is so close that a factor means nothing; for routes and probes a distance under ``least_far`` counts as that.
+    ``bundle`` lists next to one another are searched in one place, so that a vector goes there once for all of them, at
+    most ``chunk`` members and ``queries`` queries at a time."""
 
     k: int = 5
     floor: float = 0.80
@@ -117,7 +120,8 @@ class Search:
     replica_ratio: float = 1.05
     probe_ratio: float = 1.15
     least_far: float = 0.5
-    chunk: int = 2048
+    bundle: int = 16
+    chunk: int = 16384
     queries: int = 8192
 
 
@@ -164,6 +168,8 @@ def _sub_fit(search: Search):  # noqa: ANN202
         sample = sample.sort_by("cid")
         dim, upper, k = (sample[c][0].as_py() for c in ("dim", "list", "k"))
         c = kmeans(vectors.matrix(sample["vector"])[:SAMPLE], k, 6, upper)
+        # near ones get near numbers: a bundle is a range of them
+        c = c[np.argsort((c @ kmeans(c, max(1, round(len(c) / search.bundle)), 4, upper).T).argmax(axis=1), kind="stable")]
         n = len(c)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * c.shape[1], pa.int32()), pa.array(c.astype(np.float32).ravel()))
         return pa.table({"dim": pa.array(np.full(n, dim, np.int32)), "list": pa.array(np.full(n, upper, np.int32)), "sub": pa.array(np.arange(n, dtype=np.int32)), "centroid": flat})
@@ -241,12 +247,19 @@ def _search_list(search: Search):  # noqa: ANN202
         # single precision finds candidates, with room for its rounding; DOUBLE decides
         slack = np.float32(max(1e-4, 1.2e-7 * x.shape[1]))
         rough, rough_y = x.astype(np.float32), y.astype(np.float32)
-        ring, wanted = members["ring"].to_numpy(), queries["ring"].to_numpy()
+        # members by list and ring, questions by list
+        place = members["sub"].to_numpy().astype(np.int64) * 4 + members["ring"].to_numpy()
+        sorted_members = np.argsort(place, kind="stable")
+        probes = queries["probes"].combine_chunks()
+        sizes = pc.list_value_length(probes).to_numpy()
+        probe = probes.flatten().to_numpy()
+        sorted_probes = np.argsort(probe >> 3, kind="stable")
+        who, wanted, at_list = np.repeat(np.arange(len(y)), sizes)[sorted_probes], probe[sorted_probes] & 7, probe[sorted_probes] >> 3
         found = []
-        for r in range(len(RINGS) + 1):
-            inside, asking = np.flatnonzero(ring == r), np.flatnonzero(wanted & (1 << r))
-            if not len(inside):
-                continue
+        for cell in np.unique(place):
+            inside = sorted_members[slice(*np.searchsorted(place[sorted_members], [cell, cell + 1]))]
+            mine = slice(*np.searchsorted(at_list, [cell >> 2, (cell >> 2) + 1]))
+            asking = who[mine][(wanted[mine] >> (cell & 3) & 1).astype(bool)]
             for at in range(0, len(asking), 512):
                 rows = asking[at : at + 512]
                 near = rough_y[rows] @ rough[inside].T
@@ -269,6 +282,9 @@ def _search_list(search: Search):  # noqa: ANN202
         q, other, micro = (np.concatenate(f) for f in zip(*found, strict=True))
         order = np.lexsort((other, -micro, q))
         q, other, micro = q[order], other[order], micro[order]
+        # a boundary vector may be met in both of its lists
+        new = np.r_[True, (q[1:] != q[:-1]) | (other[1:] != other[:-1])]
+        q, other, micro = q[new], other[new], micro[new]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         return pa.table([c[rank < search.k] for c in (q, other, micro)], schema=schema)
 
@@ -288,17 +304,21 @@ def nearest(rows: DataFrame, search: Search | None = None) -> DataFrame:
     """
     search = search or Search()
     scratch = Scratch(rows.sparkSession, "nearest")
-    placed = scratch.table(_placed(rows, scratch, search), "placed")
-    place = ["dim", "list", "sub"]
-    sizes = placed.groupBy(*place).agg(F.count_if(F.col("side") == 0).alias("members"), F.count_if(F.col("side") == 1).alias("asked")).where("members > 0 and asked > 0")
-    cuts = scratch.table(sizes.select(*place, F.ceil(F.col("members") / search.chunk).cast("int").alias("mc"), F.ceil(F.col("asked") / search.queries).cast("int").alias("qc")), "cuts")
-    cut = placed.join(cuts, place)
+    placed = scratch.table(_placed(rows, scratch, search).withColumn("bundle", F.floor(F.col("sub") / search.bundle).cast("int")), "placed")
+    place = ["dim", "list", "bundle"]
+    probes = F.collect_list((F.col("sub") * 8 + F.col("ring")).cast("int")).alias("probes")
+    asking = scratch.table(placed.where("side = 1").groupBy(*place, "cid").agg(probes), "asking")
+    stored = placed.where("side = 0")
+    count = lambda df, name: df.groupBy(*place).agg(F.count(F.lit(1)).alias(name))
+    most = F.greatest(F.lit(512), F.least(F.lit(search.chunk), F.floor(F.lit(8_388_608) / F.col("dim")))) if search.chunk > 512 else F.lit(search.chunk)
+    sizes = count(stored, "members").join(count(asking, "asked"), place)
+    cuts = scratch.table(sizes.select(*place, F.ceil(F.col("members") / most).cast("int").alias("mc"), F.ceil(F.col("asked") / search.queries).cast("int").alias("qc")), "cuts")
     data = rows.select("cid", "model_id", "vector")
     part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = [*place, "m", "q"]
-    members = cut.where("side = 0").withColumn("m", part("mc")).withColumn("q", every("qc")).join(data, "cid").select(*keys, "ring", "cid", "model_id", "vector")
-    asked = cut.where("side = 1").withColumn("q", part("qc")).withColumn("m", every("mc")).join(data, "cid").select(*keys, "ring", "cid", "model_id", "vector")
+    members = stored.join(cuts, place).withColumn("m", part("mc")).withColumn("q", every("qc")).join(data, "cid").select(*keys, "sub", "ring", "cid", "model_id", "vector")
+    asked = asking.join(cuts, place).withColumn("q", part("qc")).withColumn("m", every("mc")).join(data, "cid").select(*keys, "probes", "cid", "model_id", "vector")
     # both sides come from one table: new names for the columns of one of them keep the cogroup unambiguous
     asked = asked.toDF(*(f"_{c}" for c in asked.columns)).toDF(*asked.columns)
     met = members.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search_list(search), "cid bigint, other bigint, micro int")
