@@ -172,3 +172,13 @@ WITH r AS (
 SELECT record_kind, id_a, id_b FROM p WHERE len(kept) >= 8 AND (same OR
   (0.4::FLOAT * (1::FLOAT - (d::FLOAT / 64::FLOAT)::FLOAT)::FLOAT + 0.6::FLOAT * ((list_sum(list_transform(kept, lambda k: 64 - k))::FLOAT / 64::FLOAT)::FLOAT / len(kept)::FLOAT)::FLOAT)::FLOAT >= 0.883::FLOAT)
 """
+
+P1_GROUPS_SQL = f"""
+WITH RECURSIVE f AS ({P1_FOUND_SQL}),
+n AS (SELECT record_kind, id_a AS a, id_b AS b FROM f UNION ALL SELECT record_kind, id_b, id_a FROM f),
+reach AS (SELECT record_kind, a AS id, a AS other FROM n UNION SELECT r.record_kind, r.id, n.b FROM reach r JOIN n ON n.record_kind = r.record_kind AND n.a = r.other),
+least AS (SELECT record_kind, id, min(other) AS group_id FROM reach GROUP BY ALL),
+every AS (SELECT DISTINCT 'single' AS record_kind, id FROM fingerprints WHERE {_COMPLETE.format("")} AND algorithm IS NOT NULL
+  UNION ALL SELECT DISTINCT 'multi', id FROM multi_fingerprints WHERE {_COMPLETE.format("phash.")})
+SELECT record_kind, id, coalesce(group_id, id) AS group_id FROM every LEFT JOIN least USING (record_kind, id)
+"""

@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": near_duplicates.P1_FOUND_SQL,
+        "p1_groups": near_duplicates.P1_GROUPS_SQL,
         "p2_sizes": subset.P2_SIZES_SQL,
         "p3_found": history.P3_FOUND_SQL,
         "p4_found": components.P4_FOUND_SQL,
