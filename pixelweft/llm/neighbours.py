@@ -73,9 +73,10 @@ class CentroidGraph:
             good = _far(cosine) <= ratio * np.maximum(_far(best[r]), least)
             r, c, cosine = r[good], c[good], cosine[good]
             met.append((r, c, cosine))
-            onward = np.unique((r[:, None] * k + self.links[c]).ravel())
-            onward = onward[~visited.ravel()[onward]]
-            row, group = onward // k, onward % k
+            onward = np.zeros((n, k), bool)
+            for lo in range(0, len(r), 65536):
+                onward[r[lo : lo + 65536, None], self.links[c[lo : lo + 65536]]] = True
+            row, group = np.nonzero(onward & ~visited)
         r, c, cosine = (np.concatenate(m) for m in zip(*met, strict=True))
         good = _far(cosine) <= ratio * np.maximum(_far(best[r]), least)
         return r[good], c[good], cosine[good]
@@ -150,13 +151,16 @@ def _routed(rows: DataFrame, shared: object, search: Search) -> DataFrame:
             table = pa.Table.from_batches([batch])
             dims = table["dim"].to_numpy()
             for dim in np.unique(dims):
-                own = table.filter(pa.array(dims == dim))
-                x, cid = vectors.matrix(own["vector"]), own["cid"].to_numpy()
-                r, c, cosine = shared.value[int(dim)].search(x, search.route_ratio, search.least_far)
-                best = np.full(len(x), -2.0)
-                np.maximum.at(best, r, cosine)
-                home = cosine >= best[r]
-                yield pa.record_batch([pa.array(np.full(len(r), dim, np.int32)), pa.array(c.astype(np.int32)), pa.array(home), pa.array(cid[r])], names=["dim", "list", "home", "cid"])
+                graph = shared.value[int(dim)]
+                for own in table.filter(pa.array(dims == dim)).to_batches(max_chunksize=max(256, min(4096, 2_000_000 // len(graph.centroids)))):
+                    yield route(int(dim), graph, own)
+
+    def route(dim: int, graph: CentroidGraph, own: pa.RecordBatch) -> pa.RecordBatch:
+        x, cid = vectors.matrix(own.column("vector")), own.column("cid").to_numpy()
+        r, c, cosine = graph.search(x, search.route_ratio, search.least_far)
+        best = np.full(len(x), -2.0)
+        np.maximum.at(best, r, cosine)
+        return pa.record_batch([pa.array(np.full(len(r), dim, np.int32)), pa.array(c.astype(np.int32)), pa.array(cosine >= best[r]), pa.array(cid[r])], names=["dim", "list", "home", "cid"])
 
     return rows.select("cid", "dim", "vector").mapInArrow(run, "dim int, list int, home boolean, cid bigint")
 
@@ -186,7 +190,7 @@ def _sub_search(search: Search):  # noqa: ANN202
             return schema.empty_table()
         graph = CentroidGraph(vectors.matrix(centroids.sort_by("sub")["centroid"]))
         found = []
-        for part in rows.to_batches(max_chunksize=4096):
+        for part in rows.to_batches(max_chunksize=max(256, min(4096, 2_000_000 // len(graph.centroids)))):
             r, c, cosine = graph.search(vectors.matrix(part.column("vector")), search.probe_ratio, search.least_far)
             found.append((c.astype(np.int32), part.column("cid").to_numpy()[r], cosine))
         sub, cid, cosine = (np.concatenate(f) for f in zip(*found, strict=True))
