@@ -49,24 +49,25 @@ def _close(x: np.ndarray, y: np.ndarray, same: bool, score: float, config: Multi
         bound = prefilter_bound(MultiHashConfig(*weights, *([0.0] * (3 - len(weights))), config.global_weight, config.block_weight), score)
     bits = np.arange(N_BLOCKS)
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    step = max(1, 1_000_000 // max(1, len(y)))
-    first = int(np.argmax(weights))
-    xs, ys = (np.ascontiguousarray(h[:, :, 0].T) for h in (x, y))
+    # what a step makes is written over and over, and stays in the cache of a core
+    step = max(1, 131_072 // max(1, len(y)))
+    xs, ys = (np.ascontiguousarray(h[:, :, 0].T).view(np.uint64) for h in (x, y))
+    unlike, bits_off = np.empty((step, len(y)), np.uint64), np.empty((step, len(y)), np.uint8)
+    far, part = np.empty((step, len(y)), np.float32), np.empty((step, len(y)), np.float32)
     for at in range(0, len(x), step):
         n = len(x[at : at + step])
-        if bound is None or not weights[first] > 0:
+        if bound is None:
             ok = np.ones((n, len(y)), bool)
         else:
-            ok = _counts(xs[first, at : at + step, None], ys[first][None]) <= bound / weights[first]
+            for k, w in enumerate(weights):
+                np.bitwise_count(np.bitwise_xor(xs[k, at : at + n, None], ys[k][None], out=unlike[:n]), out=bits_off[:n])
+                np.multiply(bits_off[:n], np.float32(w), out=part[:n] if k else far[:n])
+                if k:
+                    far[:n] += part[:n]
+            ok = far[:n] <= bound
         if same:
             ok &= np.arange(at, at + n)[:, None] < np.arange(len(y))
-        left, right = np.nonzero(ok)
-        if bound is not None and len(weights) > 1:
-            # the heaviest hash alone rules most pairs out; the others are looked at for the rest
-            far = np.zeros(len(left), np.float32)
-            for k, w in enumerate(weights):
-                far += _counts(xs[k, left + at], ys[k, right]) * np.float32(w)
-            left, right = left[far <= bound], right[far <= bound]
+        left, right = np.divmod(np.flatnonzero(ok), max(1, len(y)))
         if x.shape[2] < WIDTH:
             found.append((left + at, right))
             continue
