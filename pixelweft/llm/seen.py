@@ -221,7 +221,8 @@ def seen_before(sightings: DataFrame, known: DataFrame, batches: int = 16, hash_
         if made is not None:
             delete(spark, f"{kept}/{made['version']}")
     fresh = admitted.where("first is not null").select(F.col("first").alias("sighting_id"))
-    return rows.select("sighting_id").distinct().join(fresh, "sighting_id", "left_anti")
+    # a row for each new key, but few bytes of a compressed file beside the sets: by its size Spark would broadcast it
+    return rows.select("sighting_id").distinct().join(fresh.hint("merge"), "sighting_id", "left_anti")
 
 
 def _made(spark: SparkSession, kept: str) -> Row | None:
@@ -242,8 +243,8 @@ def error_rate(sightings: DataFrame, known: DataFrame, hash_bits: int = 64, lead
     answered = seen_before(sightings, known, hash_bits=hash_bits, leading=leading).select("sighting_id", F.lit(True).alias("seen"))
     listed = known.where(F.octet_length("exact") == 32).select("exact").distinct()
     # only the first sighting of a key can be answered wrongly: all later ones were seen
-    firsts = rows.groupBy("exact").agg(F.min("sighting_id").alias("sighting_id")).join(listed, "exact", "left_anti").select("sighting_id")
-    wrong = firsts.join(answered, "sighting_id", "left")
+    firsts = rows.groupBy("exact").agg(F.min("sighting_id").alias("sighting_id")).join(listed.hint("merge"), "exact", "left_anti").select("sighting_id")
+    wrong = firsts.join(answered.hint("merge"), "sighting_id", "left")
     named = lambda df, name, value: df.agg(value.alias("v")).select(F.lit(name).alias("k"), "v")
     every = F.count(F.lit(1))
     figures = named(rows, "answers", every).unionByName(named(answered, "seen_answers", every)).unionByName(named(listed, "known_keys", every))

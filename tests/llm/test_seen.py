@@ -80,3 +80,12 @@ def test_kept_sets_take_up_where_the_last_call_ended(spark, tmp_path):
     got |= run(spark, [r for r in rows if 500 <= r[0] < 900], [], kept=kept)
     got |= run(spark, [r for r in rows if r[0] >= 900], [], kept=kept)
     assert got == brute(rows, known)
+
+
+def test_no_table_that_grows_with_the_data_is_broadcast(spark):
+    rows, known = rows_of(5, 500)
+    df, listed = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(k,) for k in known], "exact binary")
+    for out in (seen.seen_before(df, listed), seen.error_rate(df, listed)):
+        assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.collect()
+        assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
