@@ -11,29 +11,131 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from . import vectors
-from .neighbours import kmeans
 
 #: Requests of one job; each costs the driver one flow.
 MOST_REQUESTS = 1000
 #: Categories of either kind.
 KINDS = 96
-#: Vectors of a model that the categories are fitted on at most, in order of a hash of the id.
-SAMPLE = 20_000
+#: Rounds in which the centroids move, at most.
+ROUNDS = 8
+#: Steps from 0 to 1 in which coordinates of unit vectors are summed: whole numbers give the same sums in any order of rows.
+STEPS = 1 << 24
+#: Models that are fitted in one pass, which bounds what a task and the driver hold of them.
+TOGETHER = 16
 
 
 def fit(rows: DataFrame, seed: int = 11) -> dict[str, list[np.ndarray]]:
-    """For each model two independent sets of at most ``KINDS`` centroids, on a bounded sample."""
+    """For each model two independent sets of at most ``KINDS`` centroids, by k-means over all rows (cid, model_id, vector).
+
+    A set starts from the distinct vectors whose ids have the least hashes. In each round every vector goes to its nearest
+    centroid, and the centroid to the sum of its vectors; one without vectors goes to a vector that lies farthest from its
+    own. The driver sees the sums only."""
+    models = sorted(r["model_id"] for r in rows.select("model_id").distinct().collect())
     centroids = {}
-    for model, n in rows.groupBy("model_id").agg(F.count(F.lit(1))).collect():
-        own = rows.where(F.col("model_id") == model)
-        share = int(min(1.0, 1.25 * SAMPLE / n) * 1_000_000)
-        drawn = own.where(F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < share).select("cid", "vector").limit(2 * SAMPLE).toArrow()
-        drawn = (drawn if len(drawn) else own.select("cid", "vector").limit(SAMPLE).toArrow()).sort_by("cid")
-        x = vectors.matrix(drawn["vector"])[:SAMPLE]
-        centroids[model] = [kmeans(x, KINDS, 8, seed + k) for k in (0, 1)]
+    for at in range(0, len(models), TOGETHER):
+        centroids |= _fitted(rows.where(F.col("model_id").isin(models[at : at + TOGETHER])), seed)
     return centroids
 
 
+def _fitted(rows: DataFrame, seed: int) -> dict[str, list[np.ndarray]]:
+    spark = rows.sparkSession
+    distinct = rows.groupBy("model_id", F.xxhash64("vector").alias("v")).agg(F.min("cid").alias("cid"))
+    order = Window.partitionBy("model_id", "kind").orderBy(F.xxhash64(F.col("kind") + seed, "cid"), "cid")
+    drawn = distinct.select("model_id", "cid", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= KINDS)
+    starts = _units(rows, drawn.select("model_id", (F.col("kind") * KINDS + F.col("k") - 1).alias("slot"), "cid"))
+    centroids = {m: [np.array([of[s] for s in sorted(of) if s // KINDS == kind]) for kind in (0, 1)] for m, of in starts.items()}
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(centroids)
+        found = _sums(rows, sent).toArrow()
+        sent.destroy()
+        moved = {m: [c.copy() for c in sets] for m, sets in centroids.items()}
+        empty = {(m, kind): set(range(len(c))) for m, sets in moved.items() for kind, c in enumerate(sets)}
+        far: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for (m, slot), total, last in _rows_of(found):
+            kind, home = divmod(slot, KINDS)
+            if norm := np.linalg.norm(total):
+                moved[m][kind][home] = total / norm
+            empty[m, kind].discard(home)
+            far.setdefault((m, kind), []).append(last)
+        refill = [(m, kind * KINDS + home, cid) for (m, kind), homes in empty.items() for home, (_, cid) in zip(sorted(homes), sorted(far[m, kind]), strict=False)]
+        if refill:
+            for m, of in _units(rows, spark.createDataFrame(refill, "model_id string, slot int, cid bigint")).items():
+                for slot, x in of.items():
+                    moved[m][slot // KINDS][slot % KINDS] = x
+        same = all(np.array_equal(a, b) for m in moved for a, b in zip(moved[m], centroids[m], strict=True))
+        centroids = moved
+        if same:
+            break
+    return centroids
+
+
+def _units(rows: DataFrame, picked: DataFrame) -> dict[str, dict[int, np.ndarray]]:
+    """By model and slot, the unit vectors of ``picked`` (model_id, slot, cid): at most two sets of each model."""
+    table = rows.select("model_id", "cid", "vector").join(F.broadcast(picked), ["model_id", "cid"]).select("model_id", "slot", "vector").toArrow()
+    models = np.array(table["model_id"].to_pylist())
+    found = {}
+    for model in sorted(set(models.tolist())):
+        own = table.filter(pa.array(models == model))
+        found[model] = dict(zip(own["slot"].to_pylist(), vectors.matrix(own["vector"]), strict=True))
+    return found
+
+
+def _rows_of(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[tuple[str, int], np.ndarray, tuple[int, int]]]:
+    model, slot, least, cid = (table[c].to_pylist() for c in ("model_id", "slot", "least", "cid"))
+    for i, total in enumerate(table["total"]):
+        yield (model[i], slot[i]), total.values.to_numpy(), (least[i], cid[i])
+
+
+_SUMS = "model_id string, slot int, total array<bigint>, least bigint, cid bigint"
+
+
+def _sums(rows: DataFrame, centroids: object) -> DataFrame:
+    """(model_id, slot, total, least, cid) of each centroid with vectors: their sum in ``STEPS``, and the least cosine with
+    the id that has it. A slot is the number of the set times ``KINDS`` and that of the centroid."""
+
+    def batch_of(held: dict) -> pa.RecordBatch:
+        cols = zip(*((m, slot, total, *last) for (m, slot), (total, last) in held.items()), strict=True)
+        types = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["model_id", "slot", "total", "least", "cid"])
+
+    def add(held: dict, key: tuple[str, int], total: np.ndarray, last: tuple[int, int]) -> None:
+        if key in held:
+            before, least = held[key]
+            total, last = before + total, min(least, last)
+        held[key] = (total, last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            models = np.array(table["model_id"].to_pylist())
+            for model in np.unique(models):
+                own = table.filter(pa.array(models == model))
+                x = vectors.matrix(own["vector"])
+                whole = np.rint(x * STEPS).astype(np.int64)
+                cid = own["cid"].to_numpy()
+                for kind, c in enumerate(centroids.value[str(model)]):
+                    cosine = x @ c.T
+                    home = cosine.argmax(axis=1)
+                    least = np.rint(cosine[np.arange(len(x)), home] * 1_000_000).astype(np.int64)
+                    order = np.lexsort((cid, least, home))
+                    at = np.flatnonzero(np.diff(home[order], prepend=-1))
+                    for i, total in zip(order[at], np.add.reduceat(whole[order], at, axis=0), strict=True):
+                        add(held, (str(model), kind * KINDS + int(home[i])), total, (int(least[i]), int(cid[i])))
+        if held:
+            yield batch_of(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for row in _rows_of(batch):
+                add(held, *row)
+        if held:
+            yield batch_of(held)
+
+    return rows.select("cid", "model_id", "vector").mapInArrow(run, _SUMS).repartition("model_id", "slot").mapInArrow(merge, _SUMS)
+
+
 def categories(rows: DataFrame, centroids: object) -> DataFrame:
     """(cid, model_id, a, b, typical): two independent categories of each vector, its nearest centroid in either set, and
     the sum of the two cosines in thousandths. Similar vectors share categories."""
@@ -183,9 +285,9 @@ def choose(embeddings: DataFrame, models: DataFrame, requests: DataFrame) -> Dat
     if len(wanted) > MOST_REQUESTS:
         raise ValueError(f"at most {MOST_REQUESTS} requests in one job")
     asked = spark.createDataFrame([(m,) for m in sorted({r["model_id"] for r in wanted})], "model_id string")
-    rows = scratch.table(vectors.usable(embeddings, models).join(asked, "model_id", "left_semi").withColumnRenamed("id", "cid"), "rows")
+    rows = scratch.table(vectors.usable(embeddings, models).join(asked, "model_id", "left_semi").withColumnRenamed("id", "cid").dropDuplicates(["cid"]), "rows")
     centroids = spark.sparkContext.broadcast(fit(rows))
-    placed = scratch.table(categories(rows.dropDuplicates(["cid"]), centroids), "placed")
+    placed = scratch.table(categories(rows, centroids), "placed")
     table = placed.groupBy("model_id", "a", "b").agg(F.count(F.lit(1)).alias("n")).toPandas()
     quotas = []
     for r in wanted:

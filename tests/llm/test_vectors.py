@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelweft.llm import clusters, neighbours, subset, vectors
 from pixelweft.session import Scratch
@@ -211,6 +212,35 @@ def test_subsets(spark):
     assert subset.choose(empty, m, q).collect() == [] and subset.choose(e, m, q.limit(0)).collect() == []
 
 
+def test_categories_are_fitted_on_all_vectors(spark):
+    # vectors whose ids a sample of 20,000 by hash would leave out point the other way
+    rare = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) >= 833_333
+    side = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 2000 - 0.25
+    e = spark.range(30_000).withColumn("rare", rare).select("id", "rare", F.array(F.when(F.col("rare"), -1.0).otherwise(1.0), side(1), side(2), side(3)).cast("array<float>").alias("vector"), F.lit("m").alias("model_id"))
+    rows = e.withColumnRenamed("id", "cid")
+    sets = subset.fit(rows)["m"]
+    assert [c.shape for c in sets] == [(subset.KINDS, 4)] * 2 and all(5 < (c[:, 0] < 0).sum() < 40 for c in sets)
+    assert all((a == b).all() for a, b in zip(sets, subset.fit(rows.repartition(7))["m"], strict=True))
+    requests = spark.createDataFrame([(1, "m", 200)], "request_id int, model_id string, subset_size int")
+    got = subset.choose(e, spark.createDataFrame([("m", 4)], "model_id string, dimension int"), requests).join(e, "id")
+    assert got.count() == 200 and 10 < got.where("rare").count() < 90
+
+
+def test_centroids_are_those_of_a_plain_kmeans(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([unit(rng, 8) + 0.1 * rng.standard_normal((60, 8)) for _ in range(6)]).astype(np.float32).astype(float)
+    data = [(i, "m", v.tolist()) for i, v in enumerate(x)] + [(1000 + i, "n", [1.0, 0.0]) for i in range(5)]
+    found = subset.fit(spark.createDataFrame(data, "cid bigint, model_id string, vector array<float>"))
+    assert all(np.allclose(c, [[1.0, 0.0]]) for c in found["n"])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for c in found["m"]:
+        assert len(c) == subset.KINDS and len({(x @ v).argmax() for v in c}) > 60
+        again = (x @ c.T).argmax(axis=1)
+        means = {k: x[again == k].sum(axis=0) for k in set(again)}
+        # settled after these rounds, or nearly so
+        assert np.mean([(c[k] @ m) / np.linalg.norm(m) for k, m in means.items()]) > 0.999
+
+
 def test_first_of_takes_the_first_in_order(spark):
     rng = np.random.default_rng(8)
     rows = [(i, "m", int(rng.integers(0, 2)), 0, int(rng.integers(0, 3)), int(rng.integers(0, 2)), int(rng.integers(-(2**63), 2**63))) for i in range(3000)]
