@@ -188,6 +188,21 @@ def test_similarity_search_of_many_queries(spark):
     assert many.count() > 1000 and search.similarity_search(df.where("id = 'p0003'"), many, "id", 0.99).count() >= 12
 
 
+def test_blocks_of_queries_are_scored_where_they_meet(spark):
+    """Candidates that are joined with both fingerprints again are most of the work: a third of all pairs may be found."""
+    rows, shape = prints_of(np.random.default_rng(5), 12)
+    rows += [("bare", rows[4][1], None, None, None), ("unlike", None, *rows[7][2:]), ("short", b"s", (rows[7][2][0], rows[7][2][1][:9]), *rows[7][3:])]
+    df = spark.createDataFrame(rows, shape).repartition(3).cache()
+    every = df.select(F.col("id"), search.multi().alias("fa")).join(df.select(F.col("id").alias("query_id"), search.multi().alias("fb")))
+    odd = (MultiHashConfig(0.2, 0.5, 0.3, 0.9, 0.9, 64), MultiHashConfig(-0.5, 1.0, 0.9, 0.5, 0.5, 0), MultiHashConfig(0.0, 0.0, 0.0, block_distance_threshold=-1))
+    for config, score, block in ((MultiHashConfig(), 0.53, 10), (MultiHashConfig(), 0.0, 16384), *((c, 0.0, 7) for c in odd)):
+        plain = every.withColumn("s", search.compare_multi(F.col("fa"), F.col("fb"), config)).where(F.col("s.score") >= F.lit(score).cast("float"))
+        found = search.similarity_blocks(df, df, "id", score, config, block)
+        want, got = (sorted(map(tuple, x.collect())) for x in (plain.select("query_id", "id", "s.*"), found))
+        assert want == got and ("bare", rows[4][0], 1.0, True, 0) in got
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_streams(spark, pictures, tmp_path):
     inbox, out, marks = (tmp_path / x for x in ("in", "out", "marks"))
     inbox.mkdir()
